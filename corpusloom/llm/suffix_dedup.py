@@ -2,7 +2,7 @@
 
 The suffixes that are sorted are those at anchors: of every string of `length` bytes, the
 positions of its least q-gram (by hash). Equal strings have equal anchors at equal places, and
-some 2 in 300 positions are anchors. The initial bucket of a suffix is its q-gram. A bucket is
+some 2 in 240 positions are anchors. The initial bucket of a suffix is its q-gram. A bucket is
 refined by the bucket identifiers of strings that start at other offsets about the anchor, whose
 own buckets the round before has refined. An identifier is a 128-bit hash of the string's content
 in place of a pointer to its bucket's end, so that tasks agree on it without one sorted array; a
@@ -16,17 +16,19 @@ import hashlib
 import struct
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import remove, save, scratch, table
+from corpusloom.llm._common import free, remove, save, scratch, table
 
 LENGTH = 400
 #: A node is cut into so many at most, a round.
 FAN = 7
 #: Bytes whose grams are held at once; longer documents are read in tiles with a margin.
 TILE = 1 << 20
-_NO_ID = -(1 << 63)
+#: Bits of an offset in a node's number.
+BITS = 10
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -63,23 +65,45 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: list[tuple[int, int]], length: int, q: int) -> np.ndarray:
-    """Positions in data that hold the least q-gram of a string of `length` bytes within one of bounds (start, end)."""
+    """(anchors, 3): position in data, first and last start of the strings of `length` bytes that have their least q-gram there.
+
+    Strings lie within one of bounds (start, end).
+    """
     w = length - q + 1
     if len(data) < length:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros((0, 3), dtype=np.int64)
     h = gram_hash(data, q)
     least = _sliding(h, w, np.minimum)
     whole = np.zeros(len(least), dtype=bool)
     for start, end in bounds:
         if end - start >= length:
             whole[start : end - length + 1] = True
-    least = np.where(whole, least, np.uint32(0))
-    most = _sliding(np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)]), w, np.maximum)
-    return np.flatnonzero((h == most[: len(h)]) & (h > 0))
+    least = np.where(whole, least, np.uint32(0xFFFFFFFF))
+    # Runs of starts with one least value; all anchors of a run hold that value.
+    new = np.ones(len(least), dtype=bool)
+    new[1:] = least[1:] != least[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(least)) - 1
+    value = least[first]
+    first, last, value = (x[value != 0xFFFFFFFF] for x in (first, last, value))
+    low = _sliding(np.concatenate([np.zeros(w - 1, np.uint32), np.where(whole, least, np.uint32(0)), np.zeros(w - 1, np.uint32)]), w, np.maximum)
+    spots = np.flatnonzero(h == low[: len(h)])
+    at, out = np.searchsorted(spots, first), []
+    runs = np.arange(len(first))
+    while len(runs):
+        runs, at = runs[at < len(spots)], at[at < len(spots)]
+        inside = spots[at] <= last[runs] + w - 1
+        runs, at = runs[inside], at[inside]
+        own = h[spots[at]] == value[runs]
+        p, r = spots[at[own]], runs[own]
+        out.append(np.stack([p, np.maximum(first[r], p - w + 1), np.minimum(last[r], p)], axis=1))
+        at = at + 1
+    found = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
+    return found[found[:, 1] <= found[:, 2]]
 
 
 def document_anchors(texts: list[bytes], length: int, q: int):
-    """Yields (document, positions) of each text that has any."""
+    """Yields (document, anchors in it) of each text that has any."""
     margin = 2 * length
     k = 0
     while k < len(texts):
@@ -88,7 +112,7 @@ def document_anchors(texts: list[bytes], length: int, q: int):
             for at in range(0, len(data), TILE):
                 low, high = max(0, at - margin), min(len(data), at + TILE + margin)
                 p = anchors(data[low:high], [(0, high - low)], length, q) + low
-                found.append(p[(p >= at) & (p < at + TILE)])
+                found.append(p[(p[:, 0] >= at) & (p[:, 0] < at + TILE)])
             yield k, np.concatenate(found)
             k += 1
             continue
@@ -99,57 +123,75 @@ def document_anchors(texts: list[bytes], length: int, q: int):
         ends = np.cumsum([len(t) for t in texts[first:k]])
         starts = ends - [len(t) for t in texts[first:k]]
         p = anchors(np.frombuffer(b"".join(texts[first:k]), dtype=np.uint8), list(zip(starts.tolist(), ends.tolist(), strict=True)), length, q)
-        doc = np.searchsorted(ends, p, side="right")
+        p = p[np.argsort(p[:, 0], kind="stable")]
+        doc = np.searchsorted(ends, p[:, 0], side="right")
         cuts = np.flatnonzero(np.diff(doc)) + 1
         for own in np.split(np.arange(len(p)), cuts) if len(p) else []:
             d = int(doc[own[0]])
             yield first + d, p[own] - starts[d]
 
 
-NODE = "did bigint, th bigint, a int, i1 int, i2 int, v1 int, v2 int, u0 bigint, u1 bigint, c0 bigint, c1 bigint"
+#: A node is an anchor and a range of offsets of strings before it: anchor, first offset of its
+#: place in the grid, first and last offset of its own strings, packed into one number.
+NODE = "rid bigint, node bigint, u0 bigint, u1 bigint, c bigint"
+_MASK = (1 << BITS) - 1
 
 
-def _node_rows(text: bytes, wanted: list[tuple[int, int, int]], length: int, digests: list[bytes], rows: list) -> None:
-    """Appends the nodes (anchor, first, last offset of a string before the anchor) that hold a whole string.
+def _grid(width: int) -> list[int]:
+    """Offsets that a node of each round spans; a round's nodes nest in the round's before."""
+    steps = [width]
+    while steps[-1] > 1:
+        steps.append(-(-steps[-1] // FAN))
+    return steps
 
-    Two identifiers: of all that its strings cover, with their offsets, and of what they all share.
-    """
-    from xxhash import xxh3_128_digest
 
-    for a, i1, i2 in wanted:
-        v1, v2 = max(i1, a - (len(text) - length)), min(i2, a)
-        if v1 > v2:
-            continue
+def _last(i: int, steps: list[int]) -> int:
+    """The last offset of the node of the last of steps that starts at offset i."""
+    start, end = 0, steps[0] - 1
+    for step in steps[1:]:
+        start += (i - start) // step * step
+        end = min(end, start + step - 1)
+    return end
+
+
+def _node_ids(text: bytes, wanted: list[tuple[int, int, int, int, int]], length: int, digests: list[bytes], rows: list) -> None:
+    """Appends the nodes (anchor, grid's first and last offset, own first and last) and their two identifiers:
+    of all that its own strings cover, with their offsets, and of what all strings in its place of the grid share."""
+    from xxhash import xxh3_64_digest, xxh3_128_digest
+
+    for a, i1, i2, v1, v2 in wanted:
         digests.append(xxh3_128_digest(struct.pack("<HHH", i1, v1, v2) + text[a - v2 : a - v1 + length]))
-        digests.append(xxh3_128_digest(struct.pack("<H", i1) + text[a - i1 : a - i2 + length]))
-        rows.append((a, i1, i2, v1, v2))
+        digests.append(xxh3_64_digest(struct.pack("<H", i1) + text[a - i1 : a - i2 + length]))
+        rows.append((((a << BITS | i1) << BITS | v1) << BITS) | v2)
 
 
 def _columns(rows: list, digests: list[bytes]) -> list:
     import pyarrow as pa
 
-    ids = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 4)
-    ints = np.array(rows, dtype=np.int32).reshape(-1, 5)
-    return [pa.array(ints[:, k]) for k in range(5)] + [pa.array(ids[:, k]) for k in range(4)]
+    ids = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 3)
+    return [pa.array(rows, pa.int64()), *(pa.array(ids[:, k]) for k in range(3))]
 
 
-def _refine(nodes: DataFrame, marks: list[DataFrame], last: bool, length: int, at: str, spent: list[str]) -> DataFrame | None:
-    """One round: appends the strings found twice to marks; returns the nodes to be cut further."""
-    node = F.struct("did", "th", "a", "i1", "i2", "witness")
-    path = lambda k: spent.append(f"{at}-{k}") or spent[-1]
-    classes = save(nodes.groupBy("u0", "u1", "c0", "c1").agg(F.count("*").alias("n"), F.min(node).alias("node")), path("classes"))
+def _refine(nodes: DataFrame, last: bool, length: int, at: str) -> tuple[DataFrame, DataFrame | None]:
+    """One round: the strings found twice, as spans, and the nodes to be cut further."""
+    spark = nodes.sparkSession
+    classes = nodes.groupBy("u0", "u1").agg(F.count("*").alias("n"), F.min("c").alias("c"), F.max("rid").alias("rid"), F.max_by("node", "rid").alias("node"), F.max("witness").alias("witness"))
+    classes = save(classes, f"{at}-classes")
     twice = classes.filter("n > 1").select("u0", "u1")
-    found = nodes.filter("not witness").join(twice, ["u0", "u1"]).select("did", "th", (F.col("a") - F.col("v2")).alias("start"), (F.col("a") - F.col("v1") + length).alias("end"))
-    marks.append(save(found, f"{at}-marks"))
-    if last:
-        return None
-    shared = save(classes.groupBy("c0", "c1").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1"), path("shared"))
-    live = classes.join(shared, ["c0", "c1"]).filter("n = 1 or kinds > 1")
-    return save(live.select("node.did", "node.th", "node.a", "node.i1", "node.i2", (F.col("node.witness") | (F.col("n") > 1)).alias("witness")), path("cut"))
+    anchor, v1, v2 = F.shiftright("node", 3 * BITS), F.shiftright("node", BITS).bitwiseAND(F.lit(_MASK)), F.col("node").bitwiseAND(F.lit(_MASK))
+    marks = save(nodes.filter("not witness").join(twice, ["u0", "u1"]).select("rid", (anchor - v2).cast("int").alias("start"), (anchor - v1 + length).cast("int").alias("end")), f"{at}-marks")
+    cut = None
+    if not last:
+        shared = save(classes.groupBy("c").agg(F.sum("n").alias("every"), F.count("*").alias("kinds")).filter("every > 1").select("c", "kinds"), f"{at}-shared")
+        live = classes.join(shared, "c").filter("n = 1 or kinds > 1")
+        cut = save(live.select("rid", "node", (F.col("witness") | (F.col("n") > 1)).alias("witness")), f"{at}-cut")
+        remove(spark, f"{at}-shared")
+    remove(spark, f"{at}-classes")
+    return marks, cut
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
+    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null if all stay).
 
     A byte of a text in UTF-8 is removed if a string of `length` bytes that covers it also
     starts anywhere else in the table, in the same document or another; strings never cross
@@ -159,65 +201,59 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     import xxhash  # noqa: F401  (fails here rather than on an executor)
 
     spark = docs.sparkSession
-    q = max(8, length // 4)
-    if length < 16:
-        raise ValueError("length is 16 bytes at least")
-    width = length - q + 1
+    q = max(8, 2 * length // 5)
+    steps = _grid(length - q + 1)
+    if length < 16 or steps[0] > _MASK:
+        raise ValueError("length is from 16 to about 1700 bytes")
     base = scratch(spark, "repeats")
-    spent: list[str] = []
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
     def scan(batches):
         import pyarrow as pa
+        import zstandard
 
-        none = pa.nulls
+        pack, none, rid = zstandard.ZstdCompressor(level=1).compress, pa.nulls, TaskContext.get().partitionId() << 36
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                did, th, m = part.column("did"), part.column("th"), len(texts)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+                m = len(texts)
+                rids = np.arange(rid, rid + m)
+                rid += m
                 sizes, shas = [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), did, th, *(none(m, pa.int32()) for _ in range(5)), *(none(m, pa.int64()) for _ in range(4)), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary())], names)
-                owner: list[int] = []
-                rows: list = []
-                digests: list[bytes] = []
-                for d, positions in document_anchors(texts, length, q):
-                    before = len(rows)
-                    _node_rows(texts[d], [(a, 0, width - 1) for a in positions.tolist()], length, digests, rows)
-                    owner += [d] * (len(rows) - before)
+                packed = [pack(t) if len(t) >= length else None for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(rids), *(none(m, pa.int64()) for _ in range(4)), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(packed, pa.binary())], names)
+                owner, rows, digests = [], [], []
+                for d, found in document_anchors(texts, length, q):
+                    _node_ids(texts[d], [(p, 0, steps[0] - 1, p - s2, p - s1) for p, s1, s2 in found.tolist()], length, digests, rows)
+                    owner.append(np.full(len(found), rids[d]))
                 if rows:
                     m = len(rows)
-                    take = pa.array(owner, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), did.take(take), th.take(take), *_columns(rows, digests), none(m, pa.int64()), none(m, pa.binary())], names)
-
-    names = ["kind", *(c.split()[0] for c in NODE.split(", ")), "n_bytes", "sha"]
-    scanned = save(keyed.select("did", "th", "text").mapInArrow(scan, f"kind int, {NODE}, n_bytes bigint, sha binary"), f"{base}-scan", "kind")
-    grams = scanned.filter("kind = 1").drop("kind", "n_bytes", "sha")
-    met = save(grams.groupBy("c0", "c1").agg(F.count("*").alias("n")).filter("n > 1").select("c0", "c1"), f"{base}-met")
-    nodes = save(grams.join(met, ["c0", "c1"]).withColumn("witness", F.lit(False)), f"{base}-nodes0")
-    named = save(nodes.select("did", "th").distinct(), f"{base}-named")
-
-    def squeeze(batches):
-        import pyarrow as pa
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())], ["did", "th", "packed"])
-
-    packed = keyed.select("did", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(squeeze, "did bigint, th bigint, packed binary")
-    texts = save(packed.join(named, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]), f"{base}-texts")
-    spent += [f"{base}-{k}" for k in ("met", "nodes0", "named")]
+                    yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(np.concatenate(owner)), *_columns(rows, digests), *(none(m, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
+
+    names = ["kind", *(c.split()[0] for c in NODE.split(", ")), "doc_id", "n_bytes", "sha", "packed"]
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"kind int, {NODE}, doc_id bigint, n_bytes bigint, sha binary, packed binary")
+    scanned = save(scanned, f"{base}-scan", "kind")
+    grams = scanned.filter("kind = 1").select(*names[1:6])
+    met = save(grams.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), f"{base}-met")
+    nodes = save(grams.join(met, "c").withColumn("witness", F.lit(False)), f"{base}-nodes0")
+    named = save(nodes.select("rid").distinct(), f"{base}-named")
+    rows = save(scanned.filter("kind = 0").select("rid", "doc_id", "n_bytes", "sha"), f"{base}-rows")
+    free(spark)
+    texts = save(scanned.filter("kind = 0").select("rid", "packed").join(named, "rid"), f"{base}-texts")
+    for p in ("scan", "met", "named"):
+        remove(spark, f"{base}-{p}")
+    free(spark)
 
     marks: list[DataFrame] = []
-    step, level = width, 0
-    while True:
-        cut = _refine(nodes, marks, step == 1, length, f"{base}-{level}", spent)
+    for level in range(len(steps)):
+        found, cut = _refine(nodes, level == len(steps) - 1, length, f"{base}-{level}")
+        marks.append(found)
+        remove(spark, f"{base}-nodes{level}")
+        free(spark)
         if cut is None:
             break
-        step, level = -(-step // FAN), level + 1
 
-        def children(batches, step=step):
+        def children(batches, upper=steps[: level + 1], step=steps[min(level + 1, len(steps) - 1)]):
             import pyarrow as pa
             import zstandard
 
@@ -225,28 +261,31 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    rows: list = []
-                    digests: list[bytes] = []
-                    owner, seen = [], []
-                    for d, (raw, own) in enumerate(zip(part.column("packed").to_pylist(), part.column("own").to_pylist(), strict=True)):
-                        text = unpack(raw)
+                    rows, digests, owner, seen = [], [], [], []
+                    for rid, raw, own in zip(part.column("rid").to_pylist(), part.column("packed").to_pylist(), part.column("own").to_pylist(), strict=True):
+                        text, before = unpack(raw), len(rows)
                         for n in own:
-                            before = len(rows)
-                            _node_rows(text, [(n["a"], i, min(i + step - 1, n["i2"])) for i in range(n["i1"], n["i2"] + 1, step)], length, digests, rows)
-                            owner += [d] * (len(rows) - before)
-                            seen += [n["witness"]] * (len(rows) - before)
+                            node = n["node"]
+                            a, i1, v1, v2 = node >> 3 * BITS, node >> 2 * BITS & _MASK, node >> BITS & _MASK, node & _MASK
+                            i2 = _last(i1, upper)
+                            # Only the parts of the grid that hold strings of this anchor.
+                            wanted = [(a, i, min(i + step - 1, i2), max(i, v1), min(i + step - 1, v2)) for i in range(i1 + (v1 - i1) // step * step, v2 + 1, step)]
+                            _node_ids(text, wanted, length, digests, rows)
+                            seen += [n["witness"]] * len(wanted)
+                        owner += [rid] * (len(rows) - before)
                     if rows:
-                        take = pa.array(owner, pa.int32())
-                        yield pa.RecordBatch.from_arrays([part.column("did").take(take), part.column("th").take(take), *_columns(rows, digests), pa.array(seen, pa.bool_())], [*names[1:12], "witness"])
+                        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *_columns(rows, digests), pa.array(seen, pa.bool_())], [*names[1:6], "witness"])
 
-        own = save(cut.groupBy("did", "th").agg(F.collect_list(F.struct("a", "i1", "i2", "witness")).alias("own")), f"{base}-own{level}")
-        nodes = save(own.join(texts, ["did", "th"]).select("did", "th", "packed", "own").mapInArrow(children, f"{NODE}, witness boolean"), f"{base}-nodes{level}")
-        spent += [f"{base}-own{level}", f"{base}-nodes{level}"]
+        own = save(cut.groupBy("rid").agg(F.collect_list(F.struct("node", "witness")).alias("own")), f"{base}-own{level}")
+        nodes = save(own.join(texts, "rid").select("rid", "packed", "own").mapInArrow(children, f"{NODE}, witness boolean"), f"{base}-nodes{level + 1}")
+        for p in (f"{base}-own{level}", f"{base}-{level}-cut"):
+            remove(spark, p)
+        free(spark)
 
     every = marks[0]
     for m in marks[1:]:
         every = every.union(m)
-    spans = save(every.groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{base}-spans")
+    spans = save(every.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{base}-spans")
 
     def cut_out(batches):
         import pyarrow as pa
@@ -266,15 +305,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         removed, at = removed + e - at, e
                 kept = b"".join(kept) + text[at:]
                 out.append((removed, runs, hashlib.sha256(kept).digest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))] if out else [batch.column("did"), batch.column("th"), *(pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["did", "th", "n_removed", "n_spans", "kept_sha", "kept"])
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], ["rid", "n_removed", "n_spans", "kept_sha", "kept"])
 
-    cut_texts = spans.join(texts, ["did", "th"]).select("did", "th", "packed", "spans").mapInArrow(cut_out, "did bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha binary, kept binary")
+    cut_texts = spans.join(texts, "rid").select("rid", "packed", "spans").mapInArrow(cut_out, "rid bigint, n_removed bigint, n_spans bigint, kept_sha binary, kept binary")
     results = save(cut_texts, f"{base}-results")
-    for p in (*spent, f"{base}-spans", f"{base}-texts", *(f"{base}-{k}-marks" for k in range(level + 1))):
-        remove(spark, p)
-    rows = scanned.filter("kind = 0").select("did", "th", "n_bytes", "sha")
+    for p in ("spans", "texts", *(f"{k}-marks" for k in range(len(marks)))):
+        remove(spark, f"{base}-{p}")
+    free(spark)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(results, ["did", "th"], "left").select(F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), "n_bytes", zero("n_removed"), zero("n_spans"), F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), "kept")
+    return rows.join(results, "rid", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), "kept")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
