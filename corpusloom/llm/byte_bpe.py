@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm._common import table
-from corpusloom.llm.piece_cache import CachedEncoder
+from corpusloom.llm.piece_cache import PartEncoder
 
 #: Bytes that are merged directly; longer strings are halved.
 LEAF_BYTES = 16
@@ -121,10 +121,10 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_coders: dict[tuple[str, str], tuple[TreeBpe, CachedEncoder]] = {}
+_coders: dict[tuple[str, str], tuple[TreeBpe, PartEncoder]] = {}
 
 
-def coder(path: str, pattern: str) -> tuple[TreeBpe, CachedEncoder]:
+def coder(path: str, pattern: str) -> tuple[TreeBpe, PartEncoder]:
     """A worker's coder for a ranks file and a pattern, made once."""
     if (path, pattern) not in _coders:
         import numpy as np
@@ -132,7 +132,7 @@ def coder(path: str, pattern: str) -> tuple[TreeBpe, CachedEncoder]:
 
         tree, find = TreeBpe(load_ranks(path)), regex.compile(pattern).findall
         one = lambda part: [i for m in find(part) for i in tree.encode(m.encode())]
-        _coders[path, pattern] = tree, CachedEncoder(lambda group: [np.array(one(p), dtype="<u4").tobytes() for p in group])
+        _coders[path, pattern] = tree, PartEncoder(lambda group: [np.array(one(p), dtype="<u4").tobytes() for p in group])
     return _coders[path, pattern]
 
 
@@ -163,10 +163,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         tree, encoder = coder(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part, encoded in encoder.batches(batch):
                 n, ids_sha, out_sha = [], [], []
-                for raw in encoder.texts([t or "" for t in part.column("text").to_pylist()]):
+                for raw in encoded:
                     ids = np.frombuffer(raw, dtype="<u4").tolist()
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())

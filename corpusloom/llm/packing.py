@@ -89,10 +89,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
         encoder, end, seen, task = _encoder(tokenizer), end_id.to_bytes(4, "little"), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part, encoded in encoder.batches(batch):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
@@ -124,7 +123,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     # One sorted key for a search by (length, rank); ranks are below 2 ** 48.
     keys = (slots[:, 0] << 48) + slots[:, 1]
-    ranked = pieces.join(bases.select("length", "source_task", "base"), ["length", "source_task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
+    ranked = pieces.join(bases.select("length", "source_task", "base").hint("merge"), ["length", "source_task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
     out = [c for c in pieces.columns if c not in ("source_task", "task_rank")]
 
     def place(batches):

@@ -1,52 +1,89 @@
-"""Token ids of whole texts through a bounded cache of their space-separated parts."""
+"""Token ids of whole texts by their distinct space-separated parts."""
 
 from __future__ import annotations
 
 import os
 import re
 
-#: Parts kept in a worker's cache before it starts anew.
-CACHE_PARTS = 600_000
+#: Characters of the texts that are encoded together; a longer text goes alone.
+CHARS_AT_ONCE = 20_000_000
 #: White space other than the space and the line feed.
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x00"
 #: A space between two characters that are no white space starts a new token for every pattern used here.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def parts(text: str) -> list[str]:
-    """text cut where a single space follows and precedes other characters; joined, the parts give text."""
-    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in _ODD):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+def marked(text: str) -> str:
+    """text with a NUL at each cut; it must hold none. Cuts lie about single spaces and line feeds between other characters.
+
+    A space goes with what follows it, a line feed is a part of its own; near other white space only the sure cuts are made.
+    """
+    if not text:
+        return text
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _ODD):
+        return "\0".join(_CUT.split(text))
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+
+
+#: At a part's end and after a letter, a token of its own.
+_TAILS = ",.;:!?"
 
 
-class CachedEncoder:
+class PartEncoder:
     """encode: a list of parts to a list of their ids as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, encode):
-        self.encode, self.known = encode, {}
+        self.encode = encode
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of some distinct parts."""
+        # A part that ends in such a sign is put together from the two.
+        tails = [p for p in parts if p[-1:] in _TAILS and p[-2:-1].lower().isalpha()]
+        rest = [*{*(p[:-1] for p in tails), *_TAILS}.union(parts).difference(tails, [""])] if tails else [p for p in parts if p]
+        known = {"": b""}
+        for k in range(0, len(rest), 5000):
+            group = rest[k : k + 5000]
+            known.update(zip(group, self.encode(group), strict=True))
+        for p in tails:
+            known[p] = known[p[:-1]] + known[p[-1]]
+        return [known[p] for p in parts]
+
+    def batches(self, batch):
+        """Yields (slice, ids of its texts) over an Arrow batch with a column `text`; null texts count as empty."""
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        first = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size > CHARS_AT_ONCE or k == len(texts) - 1:
+                yield batch.slice(first, k + 1 - first), self.texts(texts[first : k + 1])
+                first, size = k + 1, 0
 
     def texts(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes. A batch may hold more parts than the cache."""
-        cut = [parts(t) if t else [] for t in batch]
-        known = self.known
-        every = set().union(*cut)
-        missing = [p for p in every if p not in known]
-        if len(known) + len(missing) > CACHE_PARTS:
-            known.clear()
-            missing = list(every)
-        for k in range(0, len(missing), 5000):
-            group = missing[k : k + 5000]
-            known.update(zip(group, self.encode(group), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        """The ids of each text, as bytes; every distinct part of the batch is encoded once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not batch:
+            return []
+        whole = {k: t for k, t in enumerate(batch) if "\0" in t}
+        cut = pc.split_pattern(pa.array(["" if k in whole else marked(t) for k, t in enumerate(batch)], pa.large_string()), "\0")
+        coded = cut.values.dictionary_encode()
+        ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        data = memoryview(data or b"")
+        at = np.frombuffer(offsets, dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1][cut.offsets.to_numpy()].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        for k, t in whole.items():
+            out[k] = self.encode([t])[0]
+        return out
 
 
 #: A sign that both vocabularies hold as a token of its own after a space; parts with it are encoded alone.
 _SIGN = "|"
 
 
-def library_encoder(path: str) -> CachedEncoder:
+def library_encoder(path: str) -> PartEncoder:
     """The tokenizers library's ids without added special tokens; special strings in a text count as ordinary text.
 
     New parts go to the library many at a time, parted by a sign that white space sets
@@ -80,4 +117,4 @@ def library_encoder(path: str) -> CachedEncoder:
             out[k] = raw(e).tobytes()
         return out
 
-    return CachedEncoder(encode)
+    return PartEncoder(encode)

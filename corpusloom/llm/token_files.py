@@ -62,7 +62,7 @@ class PlaneWriter:
             del self.buffer[: 4 * BLOCK_IDS]
 
     def _block(self, ids: bytes) -> None:
-        planes = [self.pack(p) if any(p) else b"" for p in to_planes(ids)]
+        planes = [self.pack(p) if p.count(0) < len(p) else b"" for p in to_planes(ids)]
         self.blocks.append([self.at, len(ids) // 4, *map(len, planes)])
         for p in planes:
             self.out.write(p)
@@ -130,15 +130,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, root: str) -
         encoder, writer, out = _encoder(tokenizer), None, None
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part, encoded in encoder.batches(batch):
                 if writer is None:
                     store, path = open_store(root)
                     store.create_dir(path, recursive=True)
                     out = store.open_output_stream(f"{path}/{name}")
                     writer = PlaneWriter(out)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(texts), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     writer.add(doc, ids + end)
         if writer is not None:
             writer.close()
