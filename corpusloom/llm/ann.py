@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import table
@@ -116,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
 
     All vectors are indexed, in blocks by a hash of their id, and queries come in chunks; a
     task holds one block's multi-index and one chunk. It probes the fitted radius, reranks
-    what it finds in double precision and gives at most k rows a query; where a radius finds
+    what it finds in double precision and gives a list of at most k a query; where a radius finds
     fewer than k rows in a block that has more, it grows until it doesn't. Vectors that are not `usable`
     or have another length than most take no part; a row never finds its own id. Rows that repeat
     a vec_id are separate candidates.
@@ -124,7 +124,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     spark = vectors.sparkSession
     clean = lambda df: df.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors, queries = clean(vectors).filter("vec_id is not null"), clean(queries).filter("vec_id is not null")
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query_id bigint, vec_ids array<bigint>, scores array<double>"
     dims = sorted(vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect())
     if not dims:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -148,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
         data = np.stack(cell["embedding"].to_numpy())
         own_ids, own, wanted = ids[~asks], data[~asks], np.flatnonzero(asks)
         if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_ids": [], "scores": []})
         table, codes, out = MultiIndex(model.codes(own)), model.codes(data[wanted]), []
         width = codes.shape[1] * SUBSTRING_BITS
         for code, w in zip(codes, wanted, strict=True):
@@ -158,12 +158,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
                 radius = min(width, radius + 8)
                 found = table.within(code, radius)
             near, scores = best(data[w], ids[w], own_ids, own, found, k)
-            out.append((np.full(len(near), ids[w]), near, scores))
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+            out.append((ids[w], near, scores))
+        return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
 
     found = index.union(asking).groupBy("block", "chunk").applyInPandas(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # A query has at most MOST_BLOCKS * k finds, so its lists meet in one row.
+    pairs = F.zip_with("vec_ids", "scores", lambda i, s: F.struct((-s).alias("away"), i.alias("vec_id")))
+    merged = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    ranked = merged.select("query_id", F.posexplode("p").alias("pos", "p"))
+    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), "p.vec_id", (-F.col("p.away")).alias("score"))
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
