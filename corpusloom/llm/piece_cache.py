@@ -32,8 +32,9 @@ _TAILS = ",.;:!?"
 class PartEncoder:
     """encode: a list of parts to a list of their ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, fold: bool = False):
+        """fold: the encoder lower-cases, so parts that differ in the case of ASCII letters alone are one."""
+        self.encode, self.fold = encode, fold
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of some distinct parts."""
@@ -66,6 +67,8 @@ class PartEncoder:
 
         if not batch:
             return []
+        if self.fold:
+            batch = [t.lower() if t.isascii() else t for t in batch]
         whole = {k: t for k, t in enumerate(batch) if "\0" in t}
         cut = pc.split_pattern(pa.array(["" if k in whole else marked(t) for k, t in enumerate(batch)], pa.large_string()), "\0")
         coded = cut.values.dictionary_encode()
@@ -98,23 +101,44 @@ def library_encoder(path: str) -> PartEncoder:
     sign = tok.encode(f"a {_SIGN} b", add_special_tokens=False).ids[1]
     raw = lambda e: np.array(e.ids, dtype="<u4")
 
+    # A part of one word gives tokens of as many bytes as it has, or the last of them ends a word; no sign is needed then.
+    vocabulary = tok.get_vocab()
+    marks = '"continuing_subword_prefix"' in tok.to_str() and any(t.endswith("</w>") for t in vocabulary)
+    sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for t, i in vocabulary.items():
+        sizes[i] = t.endswith("</w>") if marks else len(t)
+
     def encode(group: list[str]) -> list[bytes]:
-        joined = [k for k, p in enumerate(group) if _SIGN not in p and p[0] == " " and len(p) > 1 and not p[-1].isspace()]
         out: list[bytes] = [b""] * len(group)
-        packs = [joined[k : k + 200] for k in range(0, len(joined), 200)]
-        for pack, e in zip(packs, tok.encode_batch_fast([f" {_SIGN}".join(group[k] for k in pack) for pack in packs], add_special_tokens=False), strict=True):
+        words = [k for k, p in enumerate(group) if p[0] == " " and p[1:].isalpha() and (p.isascii() or not marks or (max(p) < "\u0250" and p[1:].lower().isalpha()))]
+        for k, pack, e in batches(words, group, ""):
+            ids = raw(e)
+            reach = np.cumsum(sizes[ids])
+            wanted = np.arange(1, len(pack) + 1) if marks else np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in map(group.__getitem__, pack)])
+            stops = np.searchsorted(reach, wanted) + 1
+            if stops[-1] != len(ids) or (reach[stops - 1] != wanted).any():
+                raise ValueError("a word's tokens don't end where it does")
+            place(out, pack, ids.tobytes(), np.concatenate(([0], stops[:-1])).tolist(), stops.tolist())
+        rest = set(range(len(group))).difference(words)
+        apart = [k for k in rest if (p := group[k])[0] == " " and _SIGN not in p and len(p) > 1 and not p[-1].isspace()]
+        for k, pack, e in batches(apart, group, f" {_SIGN}"):
             ids = raw(e)
             cuts = np.flatnonzero(ids == sign)
             if len(cuts) != len(pack) - 1:
                 raise ValueError("a part was not set apart by the sign")
-            stops = [*cuts.tolist(), len(ids)]
-            data, at = ids.tobytes(), 0
-            for k, stop in zip(pack, stops, strict=True):
-                out[k] = data[4 * at : 4 * stop]
-                at = stop + 1
-        rest = sorted(set(range(len(group))).difference(joined))
-        for k, e in zip(rest, tok.encode_batch_fast([group[k] for k in rest], add_special_tokens=False), strict=True):
+            place(out, pack, ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+        alone = sorted(rest.difference(apart))
+        for k, e in zip(alone, tok.encode_batch_fast([group[k] for k in alone], add_special_tokens=False), strict=True):
             out[k] = raw(e).tobytes()
         return out
 
-    return PartEncoder(encode)
+    def batches(chosen: list[int], group: list[str], between: str):
+        packs = [chosen[k : k + 200] for k in range(0, len(chosen), 200)]
+        found = tok.encode_batch_fast([between.join([group[k] for k in pack]) for pack in packs], add_special_tokens=False)
+        return zip(range(len(packs)), packs, found, strict=True)
+
+    def place(out: list[bytes], pack: list[int], data: bytes, starts: list[int], stops: list[int]) -> None:
+        for k, a, b in zip(pack, starts, stops, strict=True):
+            out[k] = data[4 * a : 4 * b]
+
+    return PartEncoder(encode, fold=marks)
