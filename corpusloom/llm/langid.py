@@ -86,16 +86,16 @@ class CrossParser:
         self.code[every] = np.arange(1, len(every) + 1)
         width = len(every) + 1
         tables, base = [], 0
-        self.start = np.zeros(len(self.langs), dtype=np.int64)
+        self.start = np.zeros(len(self.langs), dtype=np.int32)
         # All automata in one table: state ids are offsets of rows, a language's start marks "no transition".
         for k, c in enumerate(coded):
             codes = self.code[c]
-            t = suffix_automaton(codes[codes > 0], width).astype(np.int64)
+            t = suffix_automaton(codes[codes > 0], width)
             t[:, 0] = 0
             tables.append((t + base) * width)
             self.start[k] = base * width
             base += len(t)
-        self.go = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
+        self.go = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.array([math.log2(max(2, len(c))) for c in coded])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -107,12 +107,12 @@ class CrossParser:
         segments = [t[k : k + SEGMENT] for t in texts for k in range(0, len(t), SEGMENT)]
         sizes = np.array([len(s) for s in segments])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((SEGMENT, len(segments)), dtype=np.int64)
+        grid = np.zeros((SEGMENT, len(segments)), dtype=np.int32)
         for k, o in enumerate(order):
             grid[: sizes[o], k] = self.code[segments[o]]
         active = np.searchsorted(-sizes[order], -np.arange(SEGMENT), side="left")
         for lang, start in enumerate(self.start):
-            state = np.full(len(segments), start)
+            state = np.full(len(segments), start, dtype=np.int32)
             count = np.ones(len(segments), dtype=np.int64)
             for k in range(SEGMENT):
                 n = active[k]

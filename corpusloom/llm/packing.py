@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import save, scratch, table
+from corpusloom.llm.piece_cache import CHARS_AT_ONCE
 from corpusloom.llm.token_files import _encoder
 
 CAPACITY = 2048
@@ -76,7 +77,7 @@ def _better_pair(free: np.ndarray, small: int, gap: int) -> tuple[int, int] | No
     return (int(have[best]), int(pairs[best])) if sums[best] > small else None
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = False, chars_at_once: int = CHARS_AT_ONCE) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, source_task, task_rank[, ids].
 
     A document is its ids and end_id; one of more than capacity ids is cut into pieces of
@@ -89,7 +90,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
         encoder, end, seen, task = _encoder(tokenizer), end_id.to_bytes(4, "little"), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for part, encoded in encoder.batches(batch):
+            for part, encoded in encoder.batches(batch, chars_at_once):
                 rows = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     ids += end
@@ -105,7 +106,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, chars_at_once: int = CHARS_AT_ONCE) -> DataFrame:
     """Each piece of docs with its sequence_id and offset in that sequence.
 
     The driver holds only the histogram of lengths, at most capacity numbers, and the plan
@@ -114,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
     rows that repeat a doc_id are packed as documents of their own; extra columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = save(cut_documents(docs, tokenizer, end_id, capacity, keep_ids), scratch(spark, "pieces"))
+    pieces = save(cut_documents(docs, tokenizer, end_id, capacity, keep_ids, chars_at_once), scratch(spark, "pieces"))
     per_task = pieces.groupBy("length", "source_task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("source_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = save(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), scratch(spark, "bases"))

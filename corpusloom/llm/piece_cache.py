@@ -9,6 +9,7 @@ import re
 CHARS_AT_ONCE = 20_000_000
 #: White space other than the space and the line feed.
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x00"
+_ODD_ASCII = [c for c in _ODD if c.isascii()]
 #: A space between two characters that are no white space starts a new token for every pattern used here.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -20,7 +21,7 @@ def marked(text: str) -> str:
     """
     if not text:
         return text
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _ODD):
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
         return "\0".join(_CUT.split(text))
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
@@ -49,14 +50,18 @@ class PartEncoder:
             known[p] = known[p[:-1]] + known[p[-1]]
         return [known[p] for p in parts]
 
-    def batches(self, batch):
-        """Yields (slice, ids of its texts) over an Arrow batch with a column `text`; null texts count as empty."""
+    def batches(self, batch, chars: int = CHARS_AT_ONCE):
+        """Yields (slice, ids of its texts) over an Arrow batch with a column `text`, about chars characters at once; null texts count as empty."""
+        import pyarrow as pa
+
         texts = [t or "" for t in batch.column("text").to_pylist()]
         first = size = 0
         for k, t in enumerate(texts):
             size += len(t)
-            if size > CHARS_AT_ONCE or k == len(texts) - 1:
+            if size > chars or k == len(texts) - 1:
                 yield batch.slice(first, k + 1 - first), self.texts(texts[first : k + 1])
+                texts[first : k + 1] = [""] * (k + 1 - first)
+                pa.default_memory_pool().release_unused()
                 first, size = k + 1, 0
 
     def texts(self, batch: list[str]) -> list[bytes]:
