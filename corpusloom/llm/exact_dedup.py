@@ -28,11 +28,15 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root, self.runs, self.merged = spark, root or scratch(spark, "digests"), [], None
+        self.spark, self.root, self.runs, self.merged, self.written = spark, root or scratch(spark, "digests"), [], None, 0
+
+    def _next(self, level: str) -> str:
+        self.written += 1
+        return f"{self.root}/{level}-{self.written}"
 
     def flush(self, rows: DataFrame) -> DataFrame:
         """rows: (id long, digest binary). Returns the written runs."""
-        path = f"{self.root}/level0-{len(self.runs)}"
+        path = self._next("level0")
         rows.select("id", "digest").sortWithinPartitions("digest", "id").write.options(**RUN_OPTIONS).parquet(path)
         self.runs.append(self.spark.read.schema("id long, digest binary").parquet(path))
         return self.runs[-1]
@@ -45,7 +49,7 @@ class DigestIndex:
         for p in parts[1:]:
             merged = merged.union(p)
         merged = merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        path = f"{self.root}/level1-{len(self.runs)}"
+        path = self._next("level1")
         merged.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(path)
         self.runs, self.merged = [], self.spark.read.schema("digest binary, keep_id long, group_size long").parquet(path)
         return self.merged
