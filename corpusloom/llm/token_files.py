@@ -16,7 +16,7 @@ from corpusloom.llm.piece_cache import library_encoder
 
 #: Ids of a block; the last block of a file may hold fewer.
 BLOCK_IDS = 65_536
-LEVEL = 3
+LEVEL = 1
 #: File: MAGIC, blocks, zstandard-compressed index (JSON), index length (8 bytes), MAGIC.
 MAGIC = b"IDPLANE1"
 
