@@ -84,8 +84,10 @@ def hrefs(html: Column) -> Column:
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct runs of n words ([a-z0-9:]+ of the lower-cased text)."""
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9:]+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # A lambda binds the words once; named in the inner lambda, they would be matched anew for each run.
+    runs = lambda ws: F.when(F.size(ws) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))).otherwise(none)
+    return F.element_at(F.transform(F.array(w), runs), 1)
 
 
 def without_thoughts(text: Column) -> Column:
