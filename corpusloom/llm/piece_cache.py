@@ -50,6 +50,12 @@ class PartEncoder:
             known[p] = known[p[:-1]] + known[p[-1]]
         return [known[p] for p in parts]
 
+    def _coded(self, parts):
+        """_ids_of over Arrow arrays: distinct strings, none null, to their ids as binaries."""
+        import pyarrow as pa
+
+        return pa.array(self._ids_of(parts.to_pylist()), pa.large_binary())
+
     def batches(self, batch, chars: int = CHARS_AT_ONCE):
         """Yields (slice, ids of its texts) over an Arrow batch with a column `text`, about chars characters at once; null texts count as empty."""
         import pyarrow as pa
@@ -77,7 +83,7 @@ class PartEncoder:
         whole = {k: t for k, t in enumerate(batch) if "\0" in t}
         cut = pc.split_pattern(pa.array(["" if k in whole else marked(t) for k, t in enumerate(batch)], pa.large_string()), "\0")
         coded = cut.values.dictionary_encode()
-        ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ids = self._coded(coded.dictionary).take(coded.indices)
         _, offsets, data = ids.buffers()
         data = memoryview(data or b"")
         at = np.frombuffer(offsets, dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1][cut.offsets.to_numpy()].tolist()
@@ -91,7 +97,92 @@ class PartEncoder:
 _SIGN = "|"
 
 
-def library_encoder(path: str) -> PartEncoder:
+#: Letters that every pattern used here takes for such, in any case, and that no normalisation joins to a neighbour.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Parts that the library gets at once.
+_PACK = 200
+
+
+class LibraryEncoder(PartEncoder):
+    """Plain parts stay in Arrow arrays from the text to its ids; others take encode's way."""
+
+    def __init__(self, tok, encode, sizes, marks: bool, sign: int):
+        """sizes: bytes of each id, or 1 where it ends a word (marks: the vocabulary does so); sign: the id of _SIGN after a space."""
+        super().__init__(encode, fold=marks)
+        self.tok, self.sizes, self.marks, self.sign = tok, sizes, marks, sign
+        self.line = None if marks else tok.encode("a\nb", add_special_tokens=False).ids[1]
+
+    def _coded(self, parts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tailed = pc.match_substring_regex(parts, f"[{_LETTERS}][{_TAILS}]$")
+        base = pc.if_else(tailed, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+        sign = pc.index_in(pc.utf8_slice_codeunits(parts, -1), pa.array(list(_TAILS), pa.large_string()))
+        ends = pa.array(self.encode(list(_TAILS)), pa.large_binary()).take(pc.if_else(tailed, sign, None))
+        none = pa.scalar(b"", pa.large_binary())
+        return pc.binary_join_element_wise(self._distinct(base.dictionary).take(base.indices), pc.fill_null(ends, none), none)
+
+    def _distinct(self, parts):
+        """The ids of distinct parts by their kinds: plain words, other plain parts at the start of a line or after a space, the rest."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lead = " ?" if self.marks else " "
+        kinds = [(f"^{lead}[{_LETTERS}]+$", "", None), (f"^{lead}[!-{{}}~{_LETTERS}]+$", f" {_SIGN}", self.sign)]
+        if not self.marks:
+            kinds.append((f"^[!-~{_LETTERS}]+$", "\n", self.line))
+        places, found, left = [], [], np.ones(len(parts), dtype=bool)
+        for pattern, after, cut in kinds:
+            mine = left & pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False)
+            left &= ~mine
+            places.append(np.flatnonzero(mine))
+            found.append(self._packed(parts.take(pa.array(places[-1])), after, cut))
+        places.append(np.flatnonzero(left))
+        found.append(pa.array(self._ids_of(parts.take(pa.array(places[-1])).to_pylist()), pa.large_binary()))
+        back = np.empty(len(parts), dtype=np.int64)
+        back[np.concatenate(places)] = np.arange(len(parts))
+        return pa.concat_arrays(found).take(pa.array(back))
+
+    def _packed(self, parts, after: str, cut: int | None):
+        """The ids of plain parts, many at a time; each is followed by `after`, which gives the id cut, or is known to end by its tokens' sizes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        none = pa.scalar("", pa.large_string())
+        if self.marks:
+            parts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.utf8_ltrim(parts, " "), none)
+        lengths = np.ones(len(parts), dtype=np.int64) if self.marks else pc.binary_length(parts).to_numpy()
+        if after:
+            parts = pc.binary_join_element_wise(parts, pa.scalar(after, pa.large_string()), none)
+        if not len(parts):
+            return pa.array([], pa.large_binary())
+        offsets = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        data, at = memoryview(parts.buffers()[2]), [*range(0, len(parts), _PACK), len(parts)]
+        stops = offsets[at].tolist()
+        packs = self.tok.encode_batch_fast([str(data[a:b], "utf-8") for a, b in zip(stops, stops[1:], strict=False)], add_special_tokens=False)
+        counts, kept = [], []
+        for e, a, b in zip(packs, at, at[1:], strict=False):
+            ids = np.array(e.ids, dtype="<u4")
+            if after:
+                ends = np.flatnonzero(ids == cut) - np.arange(b - a) if np.count_nonzero(ids == cut) == b - a else None
+                ids = ids[ids != cut]
+            else:
+                reach, wanted = np.cumsum(self.sizes[ids]), np.cumsum(lengths[a:b])
+                ends = np.searchsorted(reach, wanted) + 1
+                if ends[-1] != len(ids) or (reach[ends - 1] != wanted).any():
+                    ends = None
+            if ends is None:
+                raise ValueError("a part's tokens don't end where it does")
+            counts.append(np.diff(ends, prepend=0))
+            kept.append(ids)
+        ends = np.concatenate(([0], 4 * np.cumsum(np.concatenate(counts)))).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(kept))])
+
+
+def library_encoder(path: str) -> LibraryEncoder:
     """The tokenizers library's ids without added special tokens; special strings in a text count as ordinary text.
 
     New parts go to the library many at a time, parted by a sign that white space sets
@@ -146,4 +237,4 @@ def library_encoder(path: str) -> PartEncoder:
         for k, a, b in zip(pack, starts, stops, strict=True):
             out[k] = data[4 * a : 4 * b]
 
-    return PartEncoder(encode, fold=marks)
+    return LibraryEncoder(tok, encode, sizes, marks, sign)
