@@ -166,9 +166,13 @@ def test_digest_index_merges_runs(spark):
 AWKWARD = ["a", "É", "é", "́", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'ll", " 12", "!", "?!", "<|endoftext|>", "中文", "😀", "ß", "İ", "Σ", "x" * 50, ".", "\r\n", " ", "\0", "the", " | "]
 
 
+#: Tails after letters of every sort, signs that part packs, contractions and special strings at the starts and ends of lines.
+EDGES = ["Éa, b. İx! ŉ; ", "Th, Er.\nAb|c | d\n'sx 's", "ßa ǅb ﬁ. x́, é.", "Привет, мир. 你好,", "a  b \n c", " ", "<|endoftext|>, a <|endoftext|>", "it's, I'll. 'S 'LL\n'll", "x\0y z, \0", "5, 6. a5, a_ b-"]
+
+
 def awkward(n=600):
     r = random.Random(7)
-    return ["", *("".join(r.choice(AWKWARD) for _ in range(r.randint(0, 60))) for _ in range(n))] + [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    return ["", *EDGES, *("".join(r.choice(AWKWARD) for _ in range(r.randint(0, 60))) for _ in range(n))] + [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
