@@ -173,10 +173,15 @@ def evidence(facts: DataFrame, group: str, key: str, value: str) -> DataFrame:
 
 
 def label_claims(claims: DataFrame, found: DataFrame, tolerance: float = 0.55) -> DataFrame:
-    """DIRECT (an equal value), DERIVED (an equal sum, or a percentage within tolerance) or NOT_MACHINE_AUDITABLE; claims: claim_id, v, is_pct."""
-    c, e = claims.alias("c"), F.broadcast(found).alias("e")
+    """claim_id and label of every row of claims (claim_id, v, is_pct), rows that repeat a claim_id included.
+
+    DIRECT (an equal value), DERIVED (an equal sum, or a percentage within tolerance) or
+    NOT_MACHINE_AUDITABLE. Each distinct (v, is_pct) is labelled once.
+    """
+    c, e = claims.select("v", "is_pct").distinct().alias("c"), F.broadcast(found).alias("e")
     equal = (F.round("c.v", 6) == F.round("e.v", 6)) & (F.col("e.kind") != "pct")
     near = F.col("c.is_pct") & (F.col("e.kind") == "pct") & (F.abs(F.col("c.v") - F.col("e.v")) <= tolerance)
     grade = F.when(F.col("e.kind") == "value", 0).when(F.col("e.kind").isNotNull(), 1).otherwise(2)
-    best = c.join(e, equal | near, "left").groupBy("c.claim_id").agg(F.min(grade).alias("grade"))
-    return best.select("claim_id", F.when(F.col("grade") == 0, "DIRECT").when(F.col("grade") == 1, "DERIVED").otherwise("NOT_MACHINE_AUDITABLE").alias("label"))
+    best = c.join(e, equal | near, "left").groupBy(F.col("c.v").alias("_v"), F.col("c.is_pct").alias("_is_pct")).agg(F.min(grade).alias("grade"))
+    rows = claims.join(best, F.col("v").eqNullSafe(F.col("_v")) & F.col("is_pct").eqNullSafe(F.col("_is_pct")), "left")
+    return rows.select("claim_id", F.when(F.col("grade") == 0, "DIRECT").when(F.col("grade") == 1, "DERIVED").otherwise("NOT_MACHINE_AUDITABLE").alias("label"))
