@@ -185,3 +185,47 @@ def label_claims(claims: DataFrame, found: DataFrame, tolerance: float = 0.55) -
     best = c.join(e, equal | near, "left").groupBy(F.col("c.v").alias("_v"), F.col("c.is_pct").alias("_is_pct")).agg(F.min(grade).alias("grade"))
     rows = claims.join(best, F.col("v").eqNullSafe(F.col("_v")) & F.col("is_pct").eqNullSafe(F.col("_is_pct")), "left")
     return rows.select("claim_id", F.when(F.col("grade") == 0, "DIRECT").when(F.col("grade") == 1, "DERIVED").otherwise("NOT_MACHINE_AUDITABLE").alias("label"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = 1024, vector_block: int = 16384) -> DataFrame:
+    """query_id, vec_id, cosine (6 places) and rank of the k nearest vectors (vec_id, v) of each of queries (query_id, q), but for itself.
+
+    Exact: every query meets every vector, in tasks of about query_block by vector_block that
+    each give a query k rows at most. Vectors that are null or zero, and pairs of different
+    lengths, have no cosine and take no part. Ties go to the lesser vec_id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = -(-queries.count() // query_block) or 1
+    slices = -(-vectors.count() // vector_block) or 1
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "q", place("query_id", blocks).alias("block"), every(slices).alias("slice"))
+    held = vectors.select("vec_id", "v", place("vec_id", slices).alias("slice"), every(blocks).alias("block"))
+
+    def by_length(ids, values):
+        groups: dict = {}
+        for key, x in zip(ids, values, strict=True):
+            if x is not None and (a := np.asarray(x, dtype=np.float64)).size and np.linalg.norm(a) > 0:
+                groups.setdefault(a.size, []).append((key, a))
+        return {n: (np.array([key for key, _ in g], dtype=np.int64), np.stack([a for _, a in g])) for n, g in groups.items()}
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        theirs = by_length(v["vec_id"], v["v"])
+        for n, (query_ids, qs) in by_length(q["query_id"], q["q"]).items():
+            if n not in theirs:
+                continue
+            ids, vs = theirs[n]
+            squares = (vs * vs).sum(axis=1)
+            for query_id, x in zip(query_ids, qs, strict=True):
+                cosine = np.round(vs @ x / np.sqrt((x @ x) * squares), 6)
+                top = np.lexsort((ids, -cosine))
+                top = top[ids[top] != query_id][:k]
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "cosine": cosine[top]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    near = asked.groupBy("block", "slice").cogroup(held.groupBy("block", "slice")).applyInPandas(best, "query_id long, vec_id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

@@ -131,12 +131,6 @@ def a60(spark, d):
 
 @query("g06_vector_topk", "WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(q, list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(q, q) * list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))), 6) AS cosine FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10")
 def g06(spark, d):
-    """The lookup of a few stated query vectors in all vectors."""
-    from pyspark.sql import Window
-
+    """The lookup of the SQL's query vectors in all vectors."""
     e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = F.broadcast(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v")), 6).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+    return corpus.nearest(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e)

@@ -1,5 +1,8 @@
 """Operators on inputs that the queries' SQL leaves out."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from corpusloom.operators import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +14,20 @@ def test_label_claims_keeps_rows_that_repeat_an_id(spark):
     assert sorted((r["claim_id"], r["label"]) for r in corpus.label_claims(claims, found).collect()) == [
         (1, "DERIVED"), (1, "DERIVED"), (1, "DIRECT"), (2, "DERIVED"), (2, "NOT_MACHINE_AUDITABLE"), (3, "NOT_MACHINE_AUDITABLE"),
     ]
+
+
+def test_nearest_takes_any_query_set_in_blocks(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    odd = spark.createDataFrame([(9000, None), (9001, [0.0, 0.0]), (9020, [1.0])], "vec_id long, v array<double>")
+    q = e.union(odd).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = {}
+    for r in corpus.nearest(q, e.union(odd), query_block=8, vector_block=100).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["cosine"]))
+    rows = sorted((r["vec_id"], r["v"]) for r in e.collect())
+    ids, vs = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    unit = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0}
+    for i, got in found.items():
+        c = np.round(unit @ unit[ids == i][0], 6)
+        wanted = [k for k in np.lexsort((ids, -c)) if ids[k] != i][:10]
+        assert [g[0] for g in got] == ids[wanted].tolist() and np.allclose([g[1] for g in got], c[wanted], atol=2e-6)
