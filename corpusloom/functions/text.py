@@ -91,7 +91,8 @@ def shingles(text: Column, n: int = 5) -> Column:
 
 
 def without_thoughts(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    """Thinking blocks out, then white space of any kind at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?U)\A[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\z", "")
 
 
 def slug(text: Column) -> Column:

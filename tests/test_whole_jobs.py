@@ -1,8 +1,12 @@
 """Operators on inputs that the queries' SQL leaves out."""
 
+import re
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +35,12 @@ def test_nearest_takes_any_query_set_in_blocks(spark):
         c = np.round(unit @ unit[ids == i][0], 6)
         wanted = [k for k in np.lexsort((ids, -c)) if ids[k] != i][:10]
         assert [g[0] for g in got] == ids[wanted].tolist() and np.allclose([g[1] for g in got], c[wanted], atol=2e-6)
+
+
+def test_thoughts_are_stripped_from_whole_texts(spark):
+    texts = [x for (x,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    raw = [f"<think>{x}</think>\n\t {x}\r\n" for x in texts] + [f"{x}<think>\n</think> \u00a0<think>{x}</think>{x}\u2003" for x in texts[:20]]
+    raw += ["a <think> b", "a </think> b", "<think>a<think>b</think>c</think>\n", "\n\x1c", "", "<think>" + "x\n" * 200_000 + "</think>" + " " * 200_000 + "y"]
+    df = spark.createDataFrame(list(enumerate(raw)), "k long, t string")
+    found = {r["k"]: r["a"] for r in df.select("k", text.without_thoughts(F.col("t")).alias("a")).collect()}
+    assert [found[k] for k in range(len(raw))] == [re.sub("<think>.*?</think>", "", x, flags=re.DOTALL).strip() for x in raw]
