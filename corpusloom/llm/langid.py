@@ -14,7 +14,7 @@ from corpusloom.llm._common import table
 SAMPLE_CHARS, SAMPLE_CHARS_A_LANGUAGE = 160_000, 40_000
 #: Of each language, this many documents at most lend text to the sample.
 SAMPLE_DOCUMENTS = 128
-#: Letters with transitions of their own; others match no phrase.
+#: Codes below this have a column of the table of transitions; rarer letters' transitions are held one by one.
 ALPHABET = 96
 #: Texts are parsed in segments of this many characters, each from the automaton's start.
 SEGMENT = 512
@@ -41,13 +41,28 @@ def letters_of(text: str) -> np.ndarray:
     return cps[keep]
 
 
+class _Sparse(dict):
+    """Transitions of a state by code; others lead to 0."""
+
+    def __missing__(self, code):
+        return 0
+
+
 def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (states, width) of the suffix automaton of codes; 0 is both the start and no transition."""
+    """Transitions (states, width) of the suffix automaton of codes below width; 0 is both the start and no transition."""
+    return _automaton(codes, width)[0]
+
+
+def _automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The suffix automaton of codes: a table (states, width) for codes below width, and (state, code, next) for the rest."""
     size = 2 * len(codes) + 2
     go, link, longest = np.zeros((size, width), dtype=np.int32), [-1] * size, [0] * size
     rows = [go[k] for k in range(size)]
+    more = [_Sparse() for _ in range(size)] if (codes >= width).any() else []
+    dense = rows
     last, n = 0, 1
     for c in codes.tolist():
+        rows = dense if c < width else more
         new = n
         n += 1
         longest[new] = longest[last] + 1
@@ -64,14 +79,16 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
             else:
                 twin = n
                 n += 1
-                rows[twin][:] = rows[q]
+                dense[twin][:] = dense[q]
+                if more:
+                    more[twin].update(more[q])
                 longest[twin], link[twin] = longest[p] + 1, link[q]
                 while p != -1 and rows[p][c] == q:
                     rows[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return go[:n].copy()
+    return go[:n].copy(), [(k, c, to) for k, row in enumerate(more[:n]) for c, to in row.items()]
 
 
 class CrossParser:
@@ -81,23 +98,40 @@ class CrossParser:
         self.langs = sorted(samples)
         coded = [letters_of(samples[k]) for k in self.langs]
         every, n = np.unique(np.concatenate(coded), return_counts=True) if coded else (np.zeros(0, np.uint32), np.zeros(0, int))
-        every = every[np.lexsort((every, -n))][: ALPHABET - 1]
+        every = every[np.lexsort((every, -n))]
         self.code = np.zeros(0x110000, dtype=np.int32)
         self.code[every] = np.arange(1, len(every) + 1)
-        width = len(every) + 1
-        tables, base = [], 0
+        self.width = width = min(ALPHABET, len(every) + 1)
+        self.codes = len(every) + 1
+        tables, base, rare = [], 0, [np.zeros((0, 2), dtype=np.int64)]
         self.start = np.zeros(len(self.langs), dtype=np.int32)
         # All automata in one table: state ids are offsets of rows, a language's start marks "no transition".
         for k, c in enumerate(coded):
             codes = self.code[c]
-            t = suffix_automaton(codes[codes > 0], width)
+            t, far = _automaton(codes, width)
             t[:, 0] = 0
             tables.append((t + base) * width)
             self.start[k] = base * width
+            rare += [np.array([((state + base) * width * self.codes + code, (to + base) * width) for state, code, to in far], dtype=np.int64).reshape(-1, 2)]
             base += len(t)
         self.go = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        rare = np.concatenate(rare)
+        rare = rare[np.argsort(rare[:, 0])]
+        self.rare_from, self.rare_to = rare[:, 0].copy(), rare[:, 1].astype(np.int32)
         self.bits = np.array([math.log2(max(2, len(c))) for c in coded])
 
+    def _next(self, state: np.ndarray, code: np.ndarray, start: int) -> np.ndarray:
+        """The states after code, a language's start where there is no transition."""
+        if not len(self.rare_from):
+            return self.go[state + code]
+        far = np.flatnonzero(code >= self.width)
+        new = self.go[state + np.where(code < self.width, code, 0)]
+        if len(far):
+            key = state[far].astype(np.int64) * self.codes + code[far]
+            at = np.minimum(np.searchsorted(self.rare_from, key), len(self.rare_from) - 1)
+            new[far] = np.where(self.rare_from[at] == key, self.rare_to[at], start)
+        return new
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases of each text's cross-parsing times the bits of a phrase's pointer, per character."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -119,10 +153,10 @@ class CrossParser:
                 if not n:
                     break
                 c = grid[k, :n]
-                new = self.go[state[:n] + c]
+                new = self._next(state[:n], c, start)
                 stop = np.flatnonzero(new == start)
                 count[stop] += 1
-                new[stop] = self.go[start + c[stop]]
+                new[stop] = self._next(np.full(len(stop), start, dtype=np.int32), c[stop], start)
                 state[:n] = new
             np.add.at(out[:, lang], owner[order], count)
         lengths = np.maximum(1, [len(t) for t in texts])
