@@ -65,3 +65,8 @@ def test_sparse_transitions_equal_the_table(monkeypatch):
     coded = [langid.letters_of(t) for t in texts]
     assert not len(dense.rare_from) and len(few.rare_from)
     assert np.array_equal(dense.phrases(coded), few.phrases(coded))
+
+
+def test_phone_of_any_length():
+    long = "+1" + " -." * 70_000 + "2345678901"
+    assert pii.find_spans(f"call {long}, now") == [("phone", 5, 5 + len(long))]
