@@ -78,7 +78,20 @@ def visible_text(html: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'href="([^"]*)"'), F.lit(1))
+    """The href values of <a> tags in order, as written: in double, single or no quotes."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)(<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""), F.lit(1))
+    value = lambda tag: F.regexp_extract(tag, r"""(?is)^<a\s(?:[^>"'=\s]++|\s++|=|"[^"]*+"|'[^']*+')*?(?<=[\s"'])href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", 1)
+    return F.transform(F.filter(F.transform(tags, value), lambda x: x != ""), lambda x: F.regexp_replace(x, r"""^["']|["']\z""", ""))
+
+
+#: Signals of a page that a bot check or a refusal stands in for.
+CHALLENGES = ["checking your browser", "just a moment", "please wait", "403 error", "request blocked", "access denied", "enable javascript", "voight-kampff", "validation request", "user validation required", "captcha", "prove you are human"]
+
+
+def challenged(html: Column, signals: list[str] | None = None) -> Column:
+    """Any signal in the title or the first 500 characters; case is ignored."""
+    signals = CHALLENGES if signals is None else signals
+    return any_keyword(F.substring(html, 1, 500), signals) | any_keyword(title(html), signals)
 
 
 def shingles(text: Column, n: int = 5) -> Column:

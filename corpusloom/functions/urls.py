@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def netloc(url: Column) -> Column:
@@ -65,3 +70,26 @@ def decimal_places(raw: Column) -> Column:
 
 def file_slug(url: Column, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "/", "_"), 1, most)
+
+
+def links_within(url: str | None, hrefs: list[str]) -> list[str]:
+    """Absolute links of hrefs on url's own host, without fragments, closing slashes and url itself, distinct in order."""
+    out: dict[str, None] = {}
+    try:
+        base = urlsplit((url or "").strip())
+        for href in hrefs:
+            try:
+                link = urljoin(base.geturl(), html.unescape(href).strip()).split("#")[0].rstrip("/")
+                to = urlsplit(link)
+            except ValueError:
+                continue
+            if to.scheme in ("http", "https") and to.netloc.lower() == base.netloc.lower() and link != base.geturl().split("#")[0].rstrip("/"):
+                out[link] = None
+    except ValueError:
+        return []
+    return list(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def internal_links(url: pd.Series, hrefs: pd.Series) -> pd.Series:
+    return pd.Series([links_within(u, [] if h is None else list(h)) for u, h in zip(url, hrefs, strict=True)], index=url.index, dtype=object)

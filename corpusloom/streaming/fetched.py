@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
 
-CHALLENGES = ["just a moment", "captcha", "access denied"]
-
 
 def screened(pages: DataFrame) -> DataFrame:
     """Pages (url, html, fetched_at) with title, visible length and blocked; works on batches and streams."""
-    return pages.withColumns({"title": text.title(F.col("html")), "chars": F.length(text.visible_text(F.col("html"))), "blocked": text.any_keyword(F.substring("html", 1, 500), CHALLENGES)})
+    return pages.withColumns({"title": text.title(F.col("html")), "chars": F.length(text.visible_text(F.col("html"))), "blocked": text.challenged(F.col("html"))})
 
 
 def first_seen(pages: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -6,9 +6,10 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import text, urls
 from corpusloom.llm import langid, pii
 from corpusloom.operators import corpus
+from corpusloom.streaming import fetched
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,18 @@ def test_sparse_transitions_equal_the_table(monkeypatch):
 def test_phone_of_any_length():
     long = "+1" + " -." * 70_000 + "2345678901"
     assert pii.find_spans(f"call {long}, now") == [("phone", 5, 5 + len(long))]
+
+
+def test_internal_links_are_resolved_before_they_are_counted(spark):
+    page = """<link href="/css"><A class='x' HREF='/a'>1</a><a href="/a/"><a href="/a#x"><a href=b?p=1&amp;q=2><a href="//other.host/z"><a href="//Site.org/c">
+    <a data-href="/no" href = "https://site.org/d"><a href="mailto:x@y"><a href="../up"><a href="#top"><a title="a > b href='/q'" href="http://[bad"><a href="/e">""" + f"<a {'x' * 50_000} {'z=1 ' * 200}href=/f><a title=\"open"
+    df = spark.createDataFrame([("http://site.org/dir/page/", page), (None, page), ("http://site.org/", None)], "url string, html string")
+    found = [r[0] for r in df.select(urls.internal_links(F.col("url"), text.hrefs(F.col("html")))).collect()]
+    h = "http://site.org"
+    assert found == [[f"{h}/a", f"{h}/dir/page/b?p=1&q=2", "http://Site.org/c", "https://site.org/d", f"{h}/dir/up", f"{h}/e", f"{h}/f"], [], []]
+
+
+def test_challenges_in_late_titles_and_all_signals(spark):
+    late = "<html>" + " " * 600 + "<title>Just a Moment...</title>"
+    df = spark.createDataFrame([(late,), ("<p>Please wait</p>",), ("x" * 500 + " captcha",), (None,)], "html string").withColumn("url", F.lit("u"))
+    assert [r["blocked"] for r in fetched.screened(df).collect()] == [True, True, False, False]
