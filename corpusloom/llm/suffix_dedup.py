@@ -1,13 +1,16 @@
 """Removal of long repeated byte strings by refining buckets of suffixes.
 
-The suffixes that are sorted are those at anchors: of every string of `length` bytes, the
-positions of its least q-gram (by hash). Equal strings have equal anchors at equal places, and
-some 2 in 240 positions are anchors. The initial bucket of a suffix is its q-gram. A bucket is
-refined by the bucket identifiers of strings that start at other offsets about the anchor, whose
-own buckets the round before has refined. An identifier is a 128-bit hash of the string's content
-in place of a pointer to its bucket's end, so that tasks agree on it without one sorted array; a
-round is a count by identifier. A bucket of one suffix is dropped, and suffixes alike as far as
-`length` reaches need no more rounds, but for one that stays as witness for others.
+The suffixes that are sorted into buckets are those at anchors: of every string of `length`
+bytes, the positions of its least q-gram (by hash). Equal strings have equal anchors at equal
+places, and some 2 in 240 positions are anchors. The initial bucket of a suffix is its q-gram.
+A round splits every bucket by what stands at further offsets on both sides of the anchor: a
+new identifier is that of the bucket in the round before with the short strings next to it, so
+each round reuses the identifiers that the round before has made, and reads no byte twice. An
+identifier is a 128-bit hash in place of a pointer to its bucket's end, so that tasks agree on
+it without one sorted array; a round is a count by identifier. A bucket of one suffix is
+dropped, and suffixes alike as far as `length` reaches need no more rounds, but for one that
+stays as witness for others. Strings with one identifier count as equal; their bytes are not
+compared (at 10 ** 14 strings, some 1 in 10 ** 10 that any two identifiers meet by chance).
 """
 
 from __future__ import annotations
@@ -132,9 +135,13 @@ def document_anchors(texts: list[bytes], length: int, q: int):
 
 
 #: A node is an anchor and a range of offsets of strings before it: anchor, first offset of its
-#: place in the grid, first and last offset of its own strings, packed into one number.
-NODE = "rid bigint, node bigint, u0 bigint, u1 bigint, c bigint"
+#: place in the grid, first and last offset of its own strings, packed into one number; u: the
+#: identifier of all that its own strings cover, c: of its bucket, what all strings there share.
+NODE = "rid bigint, node bigint, u0 bigint, u1 bigint, c0 bigint, c1 bigint"
 _MASK = (1 << BITS) - 1
+_HEAD = struct.Struct("<HHH").pack
+#: Bytes of texts that leave a task at once.
+BYTES_AT_ONCE = 4 << 20
 
 
 def _grid(width: int) -> list[int]:
@@ -154,44 +161,52 @@ def _last(i: int, steps: list[int]) -> int:
     return end
 
 
-def _node_ids(text: bytes, wanted: list[tuple[int, int, int, int, int]], length: int, digests: list[bytes], rows: list) -> None:
-    """Appends the nodes (anchor, grid's first and last offset, own first and last) and their two identifiers:
-    of all that its own strings cover, with their offsets, and of what all strings in its place of the grid share."""
-    from xxhash import xxh3_64_digest, xxh3_128_digest
+def _node_ids(text: bytes, wanted: list[tuple], length: int, digests: list[bytes], rows: list) -> None:
+    """Appends nodes and their identifiers.
 
-    for a, i1, i2, v1, v2 in wanted:
-        digests.append(xxh3_128_digest(struct.pack("<HHH", i1, v1, v2) + text[a - v2 : a - v1 + length]))
-        digests.append(xxh3_64_digest(struct.pack("<H", i1) + text[a - i1 : a - i2 + length]))
+    wanted: anchor, the grid's first and last offset, own first and last, and of the bucket
+    that the node is cut from its first and last offset and identifier. What the strings at
+    offsets i1 to i2 share goes from a - i1 to a - i2 + length; it is what those of the wider
+    bucket share, and a piece more on each side.
+    """
+    from xxhash import xxh3_128_digest
+
+    for a, i1, i2, v1, v2, w1, w2, known in wanted:
+        end = a + length
+        c = xxh3_128_digest(_HEAD(i1, 0, 0) + known + text[a - i1 : a - w1] + text[end - w2 : end - i2])
+        digests.append(xxh3_128_digest(_HEAD(i1, v1, v2) + c + text[a - v2 : a - i1] + text[end - i2 : end - v1]))
+        digests.append(c)
         rows.append((((a << BITS | i1) << BITS | v1) << BITS) | v2)
 
 
 def _columns(rows: list, digests: list[bytes]) -> list:
     import pyarrow as pa
 
-    ids = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 3)
-    return [pa.array(rows, pa.int64()), *(pa.array(ids[:, k]) for k in range(3))]
+    ids = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 4)
+    return [pa.array(rows, pa.int64()), *(pa.array(ids[:, k]) for k in range(4))]
 
 
 def _refine(nodes: DataFrame, last: bool, length: int, at: str) -> tuple[DataFrame, DataFrame | None]:
     """One round: the strings found twice, as spans, and the nodes to be cut further."""
     spark = nodes.sparkSession
-    classes = nodes.groupBy("u0", "u1").agg(F.count("*").alias("n"), F.min("c").alias("c"), F.max("rid").alias("rid"), F.max_by("node", "rid").alias("node"), F.max("witness").alias("witness"))
-    classes = save(classes, f"{at}-classes")
+    newest = F.max_by(F.struct("rid", "node", "c0", "c1"), F.struct("rid", "node")).alias("m")
+    classes = nodes.groupBy("u0", "u1").agg(F.count("*").alias("n"), newest, F.max("witness").alias("witness"))
+    classes = save(classes.select("u0", "u1", "n", "m.*", "witness"), f"{at}-classes")
     twice = classes.filter("n > 1").select("u0", "u1")
     anchor, v1, v2 = F.shiftright("node", 3 * BITS), F.shiftright("node", BITS).bitwiseAND(F.lit(_MASK)), F.col("node").bitwiseAND(F.lit(_MASK))
     marks = save(nodes.filter("not witness").join(twice, ["u0", "u1"]).select("rid", (anchor - v2).cast("int").alias("start"), (anchor - v1 + length).cast("int").alias("end")), f"{at}-marks")
     cut = None
     if not last:
-        shared = save(classes.groupBy("c").agg(F.sum("n").alias("every"), F.count("*").alias("kinds")).filter("every > 1").select("c", "kinds"), f"{at}-shared")
-        live = classes.join(shared, "c").filter("n = 1 or kinds > 1")
-        cut = save(live.select("rid", "node", (F.col("witness") | (F.col("n") > 1)).alias("witness")), f"{at}-cut")
+        shared = save(classes.groupBy("c0", "c1").agg(F.sum("n").alias("every"), F.count("*").alias("kinds")).filter("every > 1").select("c0", "c1", "kinds"), f"{at}-shared")
+        live = classes.join(shared, ["c0", "c1"]).filter("n = 1 or kinds > 1")
+        cut = save(live.select("rid", "node", (F.col("witness") | (F.col("n") > 1)).alias("witness"), "c0", "c1"), f"{at}-cut")
         remove(spark, f"{at}-shared")
     remove(spark, f"{at}-classes")
     return marks, cut
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null if all stay).
+    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte of a text in UTF-8 is removed if a string of `length` bytes that covers it also
     starts anywhere else in the table, in the same document or another; strings never cross
@@ -219,28 +234,27 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 m = len(texts)
                 rids = np.arange(rid, rid + m)
                 rid += m
-                sizes, shas = [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]
-                packed = [pack(t) if len(t) >= length else None for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(rids), *(none(m, pa.int64()) for _ in range(4)), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(packed, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(rids), *(none(m, pa.int64()) for _ in range(5)), part.column("doc_id"), pa.array([pack(t) for t in texts], pa.binary())], names)
                 owner, rows, digests = [], [], []
                 for d, found in document_anchors(texts, length, q):
-                    _node_ids(texts[d], [(p, 0, steps[0] - 1, p - s2, p - s1) for p, s1, s2 in found.tolist()], length, digests, rows)
+                    # The initial bucket: the q-gram at the anchor, what the strings at all offsets share.
+                    _node_ids(texts[d], [(p, 0, steps[0] - 1, p - s2, p - s1, 0, length, b"") for p, s1, s2 in found.tolist()], length, digests, rows)
                     owner.append(np.full(len(found), rids[d]))
                 if rows:
                     m = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(np.concatenate(owner)), *_columns(rows, digests), *(none(m, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(np.concatenate(owner)), *_columns(rows, digests), none(m, pa.int64()), none(m, pa.binary())], names)
 
-    names = ["kind", *(c.split()[0] for c in NODE.split(", ")), "doc_id", "n_bytes", "sha", "packed"]
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"kind int, {NODE}, doc_id bigint, n_bytes bigint, sha binary, packed binary")
+    names = ["kind", *(c.split()[0] for c in NODE.split(", ")), "doc_id", "packed"]
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"kind int, {NODE}, doc_id bigint, packed binary")
     scanned = save(scanned, f"{base}-scan", "kind")
-    grams = scanned.filter("kind = 1").select(*names[1:6])
-    met = save(grams.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), f"{base}-met")
-    nodes = save(grams.join(met, "c").withColumn("witness", F.lit(False)), f"{base}-nodes0")
+    rows = scanned.filter("kind = 0").select("rid", "doc_id", "packed")
+    grams = scanned.filter("kind = 1").select(*names[1:7])
+    met = save(grams.groupBy("c0", "c1").agg(F.count("*").alias("n")).filter("n > 1").select("c0", "c1"), f"{base}-met")
+    nodes = save(grams.join(met, ["c0", "c1"]).select(*names[1:7], F.lit(False).alias("witness")), f"{base}-nodes0")
     named = save(nodes.select("rid").distinct(), f"{base}-named")
-    rows = save(scanned.filter("kind = 0").select("rid", "doc_id", "n_bytes", "sha"), f"{base}-rows")
     free(spark)
-    texts = save(scanned.filter("kind = 0").select("rid", "packed").join(named, "rid"), f"{base}-texts")
-    for p in ("scan", "met", "named"):
+    texts = save(rows.select("rid", "packed").join(named, "rid"), f"{base}-texts")
+    for p in ("scan/kind=1", "met", "named"):
         remove(spark, f"{base}-{p}")
     free(spark)
 
@@ -265,18 +279,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     for rid, raw, own in zip(part.column("rid").to_pylist(), part.column("packed").to_pylist(), part.column("own").to_pylist(), strict=True):
                         text, before = unpack(raw), len(rows)
                         for n in own:
-                            node = n["node"]
+                            node, known = n["node"], struct.pack("<qq", n["c0"], n["c1"])
                             a, i1, v1, v2 = node >> 3 * BITS, node >> 2 * BITS & _MASK, node >> BITS & _MASK, node & _MASK
                             i2 = _last(i1, upper)
                             # Only the parts of the grid that hold strings of this anchor.
-                            wanted = [(a, i, min(i + step - 1, i2), max(i, v1), min(i + step - 1, v2)) for i in range(i1 + (v1 - i1) // step * step, v2 + 1, step)]
+                            wanted = [(a, i, min(i + step - 1, i2), max(i, v1), min(i + step - 1, v2), i1, i2, known) for i in range(i1 + (v1 - i1) // step * step, v2 + 1, step)]
                             _node_ids(text, wanted, length, digests, rows)
                             seen += [n["witness"]] * len(wanted)
                         owner += [rid] * (len(rows) - before)
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *_columns(rows, digests), pa.array(seen, pa.bool_())], [*names[1:6], "witness"])
+                        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *_columns(rows, digests), pa.array(seen, pa.bool_())], [*names[1:7], "witness"])
 
-        own = save(cut.groupBy("rid").agg(F.collect_list(F.struct("node", "witness")).alias("own")), f"{base}-own{level}")
+        own = save(cut.groupBy("rid").agg(F.collect_list(F.struct("node", "witness", "c0", "c1")).alias("own")), f"{base}-own{level}")
         nodes = save(own.join(texts, "rid").select("rid", "packed", "own").mapInArrow(children, f"{NODE}, witness boolean"), f"{base}-nodes{level + 1}")
         for p in (f"{base}-own{level}", f"{base}-{level}-cut"):
             remove(spark, p)
@@ -286,17 +300,21 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for m in marks[1:]:
         every = every.union(m)
     spans = save(every.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{base}-spans")
+    for p in ("texts", *(f"{k}-marks" for k in range(len(marks)))):
+        remove(spark, f"{base}-{p}")
+    free(spark)
 
     def cut_out(batches):
         import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            out = []
-            for raw, own in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            out, size = [], 0
+            for doc, raw, own in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 kept, removed, runs, at, text = [], 0, 0, 0, unpack(raw)
-                for s, e in sorted((x["start"], x["end"]) for x in own):
+                for s, e in sorted((x["start"], x["end"]) for x in own or ()):
                     if s > at or not runs:
                         kept.append(text[at:s])
                         runs += 1
@@ -304,18 +322,19 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if e > at:
                         removed, at = removed + e - at, e
                 kept = b"".join(kept) + text[at:]
-                out.append((removed, runs, hashlib.sha256(kept).digest(), kept))
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], ["rid", "n_removed", "n_spans", "kept_sha", "kept"])
+                out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+                size += len(kept)
+                if size > BYTES_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
 
-    cut_texts = spans.join(texts, "rid").select("rid", "packed", "spans").mapInArrow(cut_out, "rid bigint, n_removed bigint, n_spans bigint, kept_sha binary, kept binary")
-    results = save(cut_texts, f"{base}-results")
-    for p in ("spans", "texts", *(f"{k}-marks" for k in range(len(marks)))):
-        remove(spark, f"{base}-{p}")
-    free(spark)
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(results, "rid", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), "kept")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    return rows.join(spans, "rid", "left").select("doc_id", "packed", "spans").mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    """The contract's columns, and the text that is left; a character of which only some bytes stay shows as U+FFFD there."""
+    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
