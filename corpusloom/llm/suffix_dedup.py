@@ -189,9 +189,9 @@ def _columns(rows: list, digests: list[bytes]) -> list:
 def _refine(nodes: DataFrame, last: bool, length: int, at: str) -> tuple[DataFrame, DataFrame | None]:
     """One round: the strings found twice, as spans, and the nodes to be cut further."""
     spark = nodes.sparkSession
-    newest = F.max_by(F.struct("rid", "node", "c0", "c1"), F.struct("rid", "node")).alias("m")
-    classes = nodes.groupBy("u0", "u1").agg(F.count("*").alias("n"), newest, F.max("witness").alias("witness"))
-    classes = save(classes.select("u0", "u1", "n", "m.*", "witness"), f"{at}-classes")
+    # Nodes with one identifier share their bucket's.
+    newest = (F.max("rid").alias("rid"), F.max_by("node", "rid").alias("node"), F.min("c0").alias("c0"), F.min("c1").alias("c1"))
+    classes = save(nodes.groupBy("u0", "u1").agg(F.count("*").alias("n"), *newest, F.max("witness").alias("witness")), f"{at}-classes")
     twice = classes.filter("n > 1").select("u0", "u1")
     anchor, v1, v2 = F.shiftright("node", 3 * BITS), F.shiftright("node", BITS).bitwiseAND(F.lit(_MASK)), F.col("node").bitwiseAND(F.lit(_MASK))
     marks = save(nodes.filter("not witness").join(twice, ["u0", "u1"]).select("rid", (anchor - v2).cast("int").alias("start"), (anchor - v1 + length).cast("int").alias("end")), f"{at}-marks")
