@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of this process."""
+    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of this process, which a local master alone can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(Path(tempfile.mkdtemp(prefix="corpusloom-")).as_uri())
     return _own[0]
@@ -32,6 +35,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it what no column of df is called."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def save(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """df written as Parquet and reread: its lineage ends in files that outlive executors."""
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write

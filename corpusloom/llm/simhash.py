@@ -5,10 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import components, save, scratch, table
+from corpusloom.llm._common import components, remove, save, scratch, table, unused
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
@@ -39,17 +40,15 @@ def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, words_a_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row of docs (doc_id, text)."""
+def fingerprints(words_a_shingle: int = SHINGLE_WORDS):
+    """A Column function from text to the fingerprint's bits as a signed long."""
 
-    def run(batches):
-        import pyarrow as pa
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        fps = np.array([fingerprint(t, words_a_shingle) for t in texts], dtype=np.uint64)
+        return pd.Series(fps.view(np.int64), index=texts.index)
 
-        for batch in batches:
-            fps = np.array([fingerprint(t, words_a_shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return run
 
 
 class BkForest:
@@ -160,38 +159,72 @@ def _forest_links(batches, radius: int):
         yield out
 
 
-def _block_keys(fp: Column, blocks: int, equal: int) -> Column:
-    """A key for each choice of `equal` blocks of the fingerprint: the choice's number and the chosen bits' hash."""
-    bounds = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << bounds[k + 1]) - (1 << bounds[k])) for k in range(blocks)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), equal)):
-        mask = sum(masks[k] for k in chosen)
-        keys.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
-    return F.array(*keys)
+def _choices(bits: list[int], blocks: int, equal: int) -> list[tuple[int, list[int]]]:
+    """For each choice of `equal` of the blocks that these bits are cut into: the mask of the chosen bits, and the bits that are left."""
+    bounds = [len(bits) * k // blocks for k in range(blocks + 1)]
+    parts = [bits[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    out = []
+    for chosen in combinations(range(blocks), equal):
+        mask = sum(1 << b for k in chosen for b in parts[k])
+        out.append((mask - (1 << 64) if mask >> 63 else mask, [b for k in range(blocks) if k not in chosen for b in parts[k]]))
+    return out
+
+
+def _in_shards(fps: DataFrame, blocks: int, equal: int, tree_size: int, at: str) -> DataFrame:
+    """fps (fp) in shards of two or more: fp, shard, n (its size).
+
+    A shard holds the fingerprints with equal bits in one choice of `equal` blocks of the 64
+    bits. One of more than tree_size is cut again, by choices of as many blocks of the bits
+    that are left: of those, too, no pair within the radius differs in more than the rest.
+    """
+    first = _choices(list(range(64)), blocks, equal)
+    keys = lambda chosen: F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")) for k, (mask, _) in enumerate(chosen)])
+    keyed = save(fps.select("fp", F.explode(keys(first)).alias("k")).select("fp", "k.choice", "k.bits"), f"{at}-keys")
+    sizes = save(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-sizes")
+    met = keyed.join(sizes, ["choice", "bits"])
+    small = met.filter(F.col("n") <= tree_size).select("fp", F.xxhash64("choice", "bits").alias("shard"), "n")
+    deeper = F.array(*[keys(_choices(left, blocks, equal)) for _, left in first])
+    large = met.filter(F.col("n") > tree_size).select("fp", "choice", "bits", F.explode(F.element_at(deeper, F.col("choice") + 1)).alias("k"))
+    large = save(large.select("fp", F.xxhash64("choice", "bits", "k.choice", "k.bits").alias("shard")), f"{at}-deeper")
+    counted = save(large.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-counted")
+    return small.union(large.join(counted, "shard").select("fp", "shard", "n"))
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
     """Links (a, b) between distinct fingerprints fps (fp) that connect all within radius of each other.
 
     Two fingerprints within radius agree in blocks - radius blocks at least, so they meet in
-    a shard, the fingerprints with equal bits in one choice of such blocks. A shard of more
-    than tree_size is dealt to several BK-trees, and every pair of its parts meets in one
-    task, so no task holds more than about twice tree_size of one shard. A task gives the
-    links of each shard as a star about its least member, never all pairs.
+    a shard. A shard that is still larger than tree_size after the second cut is dealt to
+    several BK-trees, and every pair of its parts meets in one task, so no task holds more than
+    about twice tree_size of one shard. A task gives the links of each shard as a star about
+    its least member, never all pairs.
     """
     equal = blocks - radius
     if equal < 1:
         raise ValueError("more blocks than the radius are needed")
-    spark = fps.sparkSession
-    keyed = save(fps.select("fp", F.explode(_block_keys(F.col("fp"), blocks, equal)).alias("k")).select("fp", "k.choice", "k.bits"), scratch(spark, "simhash-keys"))
-    sizes = save(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"), scratch(spark, "simhash-sizes"))
-    met = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", F.ceil(F.col("n") / tree_size)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    at = scratch(fps.sparkSession, "simhash-shards")
+    met = _in_shards(fps, blocks, equal, tree_size, at).withColumn("parts", F.ceil(F.col("n") / tree_size)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("fp", F.xxhash64("choice", "bits", F.least("part", "other"), F.greatest("part", "other")).alias("tree"), (F.col("part") <= F.col("other")).alias("own"), (F.col("part") >= F.col("other")).alias("ask"))
+    met = met.select("fp", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("tree"), (F.col("part") <= F.col("other")).alias("own"), (F.col("part") >= F.col("other")).alias("ask"))
     # With an equal part on both sides a fingerprint is a node and a query; else the lesser part's are the nodes.
     near = met.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _forest_links(b, radius), "a bigint, b bigint")
-    return near.distinct()
+    links = save(near.distinct(), f"{at}-links")
+    for k in ("keys", "sizes", "deeper", "counted"):
+        remove(fps.sparkSession, f"{at}-{k}")
+    return links
+
+
+def _labelled(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, root and component_id of each fingerprint of marked (doc_id, fp), a written table."""
+    spark, at = marked.sparkSession, scratch(marked.sparkSession, "simhash")
+    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{at}-distinct")
+    roots = components(fingerprint_links(distinct.select("fp"), radius), "simhash")
+    placed = save(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), f"{at}-placed")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = save(placed.join(least, "root").select("fp", "root", "component_id"), f"{at}-labels")
+    for k in ("distinct", "placed"):
+        remove(spark, f"{at}-{k}")
+    return labels
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -199,24 +232,31 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SH
 
     Rows with one fingerprint are linked, those without words (fingerprint zero) included.
     Null texts count as empty. A null doc_id is never a component_id unless all of its group
-    are null. Rows that repeat a doc_id stay as rows of their own; extra columns are ignored.
+    are null. Rows that repeat a doc_id stay as rows of their own; extra columns are ignored;
+    an empty table gives no rows.
+    """
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(words_a_shingle)(F.col("text")).alias("fp"))
+    marked = save(marked, scratch(docs.sparkSession, "simhash-docs"))
+    return marked.join(_labelled(marked, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_a_group(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of docs for each group of near copies: that of the least doc_id, null last; rows and columns else unchanged.
+
+    Rows are told apart by their place in the table, not by doc_id, so rows that repeat an id
+    with another text stand in the group of their own text. Of rows with one text and id one
+    stays. Null texts count as empty. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    marked = save(with_fingerprint(docs, words_a_shingle), scratch(spark, "simhash-docs"))
-    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), scratch(spark, "simhash-distinct"))
-    links = save(fingerprint_links(distinct.select("fp"), radius), scratch(spark, "simhash-links"))
-    roots = save(components(links, "simhash"), scratch(spark, "simhash-roots"))
-    placed = save(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), scratch(spark, "simhash-placed"))
-    least = save(placed.groupBy("root").agg(F.min("least").alias("component_id")), scratch(spark, "simhash-least"))
-    labels = save(placed.join(least, "root").select("fp", "component_id"), scratch(spark, "simhash-labels"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_a_group(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose group holds a lesser doc_id; rows and columns else unchanged."""
-    groups = near_groups(docs)
-    gone = save(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), scratch(docs.sparkSession, "simhash-gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    row, fp = unused(docs, "_row"), unused(docs, "_fp")
+    marked = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprints(words_a_shingle)(F.col("text"))})
+    marked = save(marked, scratch(spark, "simhash-docs"))
+    keys = marked.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    alike = keys.groupBy("fp").agg(first.alias("row"), F.min("doc_id").alias("doc_id"))
+    stay = alike.join(_labelled(keys, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("row"))
+    stay = save(stay.select(F.col("row").alias("_stays")), scratch(spark, "simhash-stay"))
+    return marked.join(stay, marked[row] == stay["_stays"], "left_semi").select(*[marked[c] for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
