@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import save, scratch, table
+from corpusloom.llm._common import remove, save, scratch, table, unused
 
-#: Parquet's own filters on the digest column, so that a lookup skips the runs without its digest.
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
+#: Rows of a memtable; a task flushes a run for each.
+MEMTABLE_ROWS = 100_000
+#: Bits of a filter for each digest in it, and of a block, a row of the filter (the bits that bitmap_construct_agg sets).
+FILTER_BITS, BLOCK_BITS = 16, 32_768
+#: The bound of a filter that is sent to all tasks. Beyond it none is, and every row takes the exact lookup.
+MOST_FILTER_BYTES = 64 << 20
+#: The least size of a group in the filter.
+REPEATED = 2
 
 
 def normal_form(text: Column) -> Column:
@@ -20,11 +28,13 @@ def sha256_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digest runs under one folder: `flush` adds level-0 runs, `compact` merges all runs.
+    """Sorted digest runs under one folder: `flush` adds runs of level 0, `compact` merges them into level 1.
 
-    A task of `flush` is a memtable: it sorts its (digest, id) rows and writes them as one
-    file, a run, with a filter on the digest. `compact` merges all runs and an earlier
-    compaction into one row a digest with the smallest id and the number of rows.
+    A run of level 0 is a memtable: the rows of a task are dealt to memtables as they come, and
+    each is sorted and written as a file. `compact` merges all runs and the files of an earlier
+    level 1 into one row a digest, with the smallest id and the number of rows, in sorted files
+    that part the range of digests. A lookup asks the filter of the repeated digests first, so
+    that only its hits are shuffled to the level's rows.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -37,55 +47,99 @@ class DigestIndex:
     def flush(self, rows: DataFrame) -> DataFrame:
         """rows: (id long, digest binary). Returns the written runs."""
         path = self._next("level0")
-        rows.select("id", "digest").sortWithinPartitions("digest", "id").write.options(**RUN_OPTIONS).parquet(path)
-        self.runs.append(self.spark.read.schema("id long, digest binary").parquet(path))
-        return self.runs[-1]
+        memtable = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / MEMTABLE_ROWS).alias("memtable")
+        runs = rows.select("id", "digest", memtable).sortWithinPartitions("memtable", "digest", "id").select("id", "digest")
+        runs.write.option("maxRecordsPerFile", MEMTABLE_ROWS).parquet(path)
+        self.runs.append((path, self.spark.read.schema("id long, digest binary").parquet(path)))
+        return self.runs[-1][1]
 
     def compact(self) -> DataFrame:
-        """(digest, keep_id, group_size) over all that was flushed; a null id is the largest."""
-        parts = [r.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")) for r in self.runs]
-        parts += [self.merged] if self.merged is not None else []
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.union(p)
-        merged = merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        """(digest, keep_id, group_size) over all that was flushed; a null id is the largest. The merged runs are removed."""
+        parts = [r.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")) for _, r in self.runs]
+        old = [p for p, _ in self.runs] + ([self.merged[0]] if self.merged else [])
+        parts += [self.merged[1]] if self.merged else []
+        merged = reduce(DataFrame.union, parts).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         path = self._next("level1")
-        merged.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(path)
-        self.runs, self.merged = [], self.spark.read.schema("digest binary, keep_id long, group_size long").parquet(path)
-        return self.merged
+        merged.repartitionByRange("digest").sortWithinPartitions("digest").write.parquet(path)
+        self.runs, self.merged = [], (path, self.spark.read.schema("digest binary, keep_id long, group_size long").parquet(path))
+        for p in old:
+            remove(self.spark, p)
+        return self.merged[1]
+
+    def filter(self) -> tuple[int, DataFrame] | None:
+        """(bits, blocks (block, bitmap)) over the digests of groups of two or more; None if the bound leaves no room."""
+        repeated = self.merged[1].filter(F.col("group_size") >= REPEATED).select("digest")
+        blocks = 1 + repeated.count() * FILTER_BITS // BLOCK_BITS
+        if blocks * BLOCK_BITS // 8 > MOST_FILTER_BYTES:
+            return None
+        bits, path = blocks * BLOCK_BITS, self._next("filter")
+        at = _bit(F.col("digest"), bits)
+        return bits, save(repeated.select(F.floor(at / BLOCK_BITS).alias("block"), (at % BLOCK_BITS).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), path)
+
+    def ask(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows (with a column digest), parted: those that may be in a group of two or more, and those that surely are alone."""
+        known = self.filter()
+        if known is None:
+            return rows, rows.filter(F.lit(False))
+        bits, blocks = known
+        bit, block, bitmap = (unused(rows, c) for c in ("_bit", "_block", "_bitmap"))
+        blocks = F.broadcast(blocks.select(F.col("block").alias(block), F.col("bitmap").alias(bitmap)))
+        asked = rows.withColumn(bit, _bit(F.col("digest"), bits)).withColumn(block, F.floor(F.col(bit) / BLOCK_BITS)).join(blocks, block, "left")
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.col(bit) % BLOCK_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col(bit) % 8).cast("int") + 1)) != 0, F.lit(False))
+        return asked.filter(hit).select(*rows.columns), asked.filter(~hit).select(*rows.columns)
+
+
+def _bit(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(bits))
+
+
+def _verified(index: DigestIndex, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, same, keep_id, keep_row, group_size) of each repeated digest; and the rows of those that hold several texts.
+
+    Every group of the index is verified on bytes: the least and the greatest of its texts must
+    be one (`same`). Those are found before the shuffle, so a large group moves as a row a task.
+    Rows of the others (row, id, digest, other: the text) are to be grouped by their texts.
+    """
+    repeated = index.merged[1].filter(F.col("group_size") >= REPEATED)
+    seen = save(hits.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), _least()), path := index._next("seen"))
+    checked = repeated.join(seen.select("digest", "keep_row", (F.col("low") == F.col("high")).alias("same")), "digest")
+    checked = save(checked.select("digest", "same", "keep_id", "keep_row", "group_size"), index._next("checked"))
+    remove(index.spark, path)
+    mixed = hits.join(checked.filter("not same").select("digest"), "digest").select("row", "id", "digest", F.col("norm").alias("other"))
+    return checked, save(mixed, index._next("mixed"))
+
+
+def _least() -> Column:
+    return F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("keep_row")
 
 
 def exact_dedup(docs: DataFrame, digest=sha256_digest) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs (doc_id, text): id, digest, other, keep_id, group_size.
 
     Texts are equal when their normal forms are: each run of white space
     ([\\x20\\x09-\\x0D]+) made one space, null counted as empty. Every digest hit is verified
-    against the keeper's bytes; rows that fail (two texts with one digest) are grouped by
-    their text instead. digest: a Column function from text to binary.
+    on the texts' bytes; where one digest has several texts its rows are grouped by their text,
+    which `other` then holds. digest: a Column function from text to binary.
     Rows that repeat a doc_id count in group_size; they are one document, so with equal texts
     each carries the same decision. A null doc_id is never kept unless its whole group has
     null ids. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), normal_form(F.col("text")).alias("norm"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), normal_form(F.col("text")).alias("norm"))
+    texts = save(texts.withColumn("digest", digest(F.col("norm"))), scratch(spark, "texts"))
     index = DigestIndex(spark)
-    runs = index.flush(texts.select("id", digest(F.col("norm")).alias("digest")))
-    merged = index.compact()
-    hits = merged.filter("group_size > 1").select("digest", "keep_id", "group_size")
-    # Only rows of groups of two or more bring their texts to the verification.
-    grouped = texts.withColumn("digest", digest(F.col("norm"))).join(hits, "digest")
-    path = f"{index.root}/groups"
-    grouped = save(grouped.select("id", "digest", "keep_id", "group_size", "norm"), path)
-    keepers = grouped.filter("id <=> keep_id").groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    keepers = save(keepers, f"{index.root}/keepers")
-    checked = save(grouped.join(keepers, "digest").select("id", "digest", "keep_id", "group_size", (F.col("norm") == F.col("kept_norm")).alias("same"), F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other")), f"{index.root}/checked")
-    sizes = save(checked.groupBy("digest").agg(F.sum(F.col("same").cast("long")).alias("same_size")), f"{index.root}/sizes")
-    same = checked.filter("same").join(sizes, "digest").select("id", "digest", "keep_id", F.col("same_size").alias("group_size"), F.lit(None).cast("string").alias("other"))
-    other = checked.filter("not same")
-    by_text = save(other.groupBy("other").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")), f"{index.root}/by_text")
-    other = other.select("id", "digest", "other").join(by_text, "other").select("id", "digest", "keep_id", "group_size", "other")
-    alone = runs.join(merged.filter("group_size = 1").select("digest"), "digest").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("other"))
-    return same.unionByName(other).unionByName(alone)
+    index.flush(texts.select("id", "digest"))
+    index.compact()
+    hits, alone = index.ask(texts)
+    checked, mixed = _verified(index, hits)
+    one, none = F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("other")
+    # Hits of the filter that the level doesn't hold as repeated are alone.
+    same = hits.select("id", "digest").join(checked.select("digest", "same", "keep_id", "group_size"), "digest", "left").filter("same is null or same")
+    same = same.select("id", "digest", none, F.when(F.col("same"), F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", one).alias("group_size"))
+    by_text = mixed.groupBy("digest", "other").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    others = mixed.join(by_text, ["digest", "other"]).select("id", "digest", "other", "keep_id", "group_size")
+    return alone.select("id", "digest", none, F.col("id").alias("keep_id"), one).union(same).union(others)
 
 
 def decisions(docs: DataFrame, digest=sha256_digest) -> DataFrame:
@@ -95,15 +149,27 @@ def decisions(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup doesn't keep, columns unchanged; of rows with one id and text, one stays."""
-    stays = exact_dedup(docs).filter("id <=> keep_id").groupBy("id", "digest").agg(F.count("*").alias("n")).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n")
-    stays = save(stays, scratch(docs.sparkSession, "stays"))
-    keyed = docs.withColumn("_digest", sha256_digest(normal_form(F.col("text"))))
-    kept = keyed.join(stays.drop("n"), [keyed["doc_id"].cast("long").eqNullSafe(stays["_id"]), keyed["_digest"] == stays["_digest"]], "left_semi")
-    if not stays.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_digest"])
-    return kept.drop("_digest")
+def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
+    """One row of docs for each text: that of the least doc_id, null last; rows and columns else unchanged.
+
+    Texts are equal as in exact_dedup. Rows are told apart by their place in the table, so of
+    rows that repeat an id and text one stays, and a row that repeats an id with another text
+    stands for itself. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    row, key = unused(docs, "_row"), unused(docs, "_digest")
+    marked = docs.withColumns({row: F.monotonically_increasing_id(), key: digest(normal_form(F.col("text")))})
+    marked = save(marked, scratch(spark, "texts"))
+    index = DigestIndex(spark)
+    held = marked.select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("digest"))
+    index.flush(held.select("id", "digest"))
+    index.compact()
+    hits, alone = index.ask(held)
+    checked, mixed = _verified(index, hits.withColumn("norm", normal_form(F.col("doc.text"))))
+    alone_too = hits.select("row", "digest").join(index.merged[1].filter(F.col("group_size") < REPEATED).select("digest"), "digest").select("row")
+    by_text = mixed.groupBy("digest", "other").agg(_least()).select("keep_row")
+    stay = save(checked.filter("same").select(F.col("keep_row").alias("row")).union(alone_too).union(by_text), scratch(spark, "stays"))
+    return alone.select("doc.*").union(hits.join(stay, "row", "left_semi").select("doc.*"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
