@@ -33,9 +33,20 @@ _TAILS = ",.;:!?"
 class PartEncoder:
     """encode: a list of parts to a list of their ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, encode, fold: bool = False):
-        """fold: the encoder lower-cases, so parts that differ in the case of ASCII letters alone are one."""
-        self.encode, self.fold = encode, fold
+    def __init__(self, encode, fold: bool = False, specials: tuple[str, ...] = ()):
+        """fold: the encoder lower-cases, so parts that differ in the case of ASCII letters alone are one.
+
+        specials: strings that the encoder takes for tokens of their own; a text that holds one, in any case, goes to it whole.
+        """
+        self.encode, self.fold, self.specials = encode, fold, tuple(s.lower() for s in specials)
+
+    def _whole(self, text: str) -> bool:
+        if "\0" in text:
+            return True
+        if not self.specials or "<" not in text and all("<" in s for s in self.specials):
+            return False
+        low = text.lower()
+        return any(s in low for s in self.specials)
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of some distinct parts."""
@@ -78,9 +89,9 @@ class PartEncoder:
 
         if not batch:
             return []
+        whole = {k: t for k, t in enumerate(batch) if self._whole(t)}
         if self.fold:
             batch = [t.lower() if t.isascii() else t for t in batch]
-        whole = {k: t for k, t in enumerate(batch) if "\0" in t}
         cut = pc.split_pattern(pa.array(["" if k in whole else marked(t) for k, t in enumerate(batch)], pa.large_string()), "\0")
         coded = cut.values.dictionary_encode()
         ids = self._coded(coded.dictionary).take(coded.indices)
@@ -108,7 +119,7 @@ class LibraryEncoder(PartEncoder):
 
     def __init__(self, tok, encode, sizes, marks: bool, sign: int):
         """sizes: bytes of each id, or 1 where it ends a word (marks: the vocabulary does so); sign: the id of _SIGN after a space."""
-        super().__init__(encode, fold=marks)
+        super().__init__(encode, fold=marks, specials=tuple(t.content for t in tok.get_added_tokens_decoder().values()))
         self.tok, self.sizes, self.marks, self.sign = tok, sizes, marks, sign
         self.line = None if marks else tok.encode("a\nb", add_special_tokens=False).ids[1]
 
@@ -154,7 +165,7 @@ class LibraryEncoder(PartEncoder):
         none = pa.scalar("", pa.large_string())
         if self.marks:
             parts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.utf8_ltrim(parts, " "), none)
-        lengths = np.ones(len(parts), dtype=np.int64) if self.marks else pc.binary_length(parts).to_numpy()
+        lengths, plain = np.ones(len(parts), dtype=np.int64) if self.marks else pc.binary_length(parts).to_numpy(), parts
         if after:
             parts = pc.binary_join_element_wise(parts, pa.scalar(after, pa.large_string()), none)
         if not len(parts):
@@ -175,7 +186,8 @@ class LibraryEncoder(PartEncoder):
                 if ends[-1] != len(ids) or (reach[ends - 1] != wanted).any():
                     ends = None
             if ends is None:
-                raise ValueError("a part's tokens don't end where it does")
+                each = [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(plain.slice(a, b - a).to_pylist(), add_special_tokens=False)]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
             counts.append(np.diff(ends, prepend=0))
             kept.append(ids)
         ends = np.concatenate(([0], 4 * np.cumsum(np.concatenate(counts)))).astype(np.int64)
@@ -183,9 +195,9 @@ class LibraryEncoder(PartEncoder):
 
 
 def library_encoder(path: str) -> LibraryEncoder:
-    """The tokenizers library's ids without added special tokens; special strings in a text count as ordinary text.
+    """The tokenizers library's ids without added special tokens, as it gives them by default.
 
-    New parts go to the library many at a time, parted by a sign that white space sets
+    A special string in a text is thus its token; such a text goes to the library whole. New parts go to the library many at a time, parted by a sign that white space sets
     apart; parts that hold the sign or white space at an end go alone.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -193,7 +205,6 @@ def library_encoder(path: str) -> LibraryEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     sign = tok.encode(f"a {_SIGN} b", add_special_tokens=False).ids[1]
     raw = lambda e: np.array(e.ids, dtype="<u4")
 
@@ -206,6 +217,7 @@ def library_encoder(path: str) -> LibraryEncoder:
 
     def encode(group: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(group)
+        alone: set[int] = set()
         words = [k for k, p in enumerate(group) if p[0] == " " and p[1:].isalpha() and (p.isascii() or not marks or (max(p) < "\u0250" and p[1:].lower().isalpha()))]
         for k, pack, e in batches(words, group, ""):
             ids = raw(e)
@@ -213,7 +225,8 @@ def library_encoder(path: str) -> LibraryEncoder:
             wanted = np.arange(1, len(pack) + 1) if marks else np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in map(group.__getitem__, pack)])
             stops = np.searchsorted(reach, wanted) + 1
             if stops[-1] != len(ids) or (reach[stops - 1] != wanted).any():
-                raise ValueError("a word's tokens don't end where it does")
+                alone.update(pack)
+                continue
             place(out, pack, ids.tobytes(), np.concatenate(([0], stops[:-1])).tolist(), stops.tolist())
         rest = set(range(len(group))).difference(words)
         apart = [k for k in rest if (p := group[k])[0] == " " and _SIGN not in p and len(p) > 1 and not p[-1].isspace()]
@@ -221,9 +234,11 @@ def library_encoder(path: str) -> LibraryEncoder:
             ids = raw(e)
             cuts = np.flatnonzero(ids == sign)
             if len(cuts) != len(pack) - 1:
-                raise ValueError("a part was not set apart by the sign")
+                alone.update(pack)
+                continue
             place(out, pack, ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
-        alone = sorted(rest.difference(apart))
+        # Also those whose tokens could not be told apart in a pack.
+        alone = sorted(alone.union(rest.difference(apart)))
         for k, e in zip(alone, tok.encode_batch_fast([group[k] for k in alone], add_special_tokens=False), strict=True):
             out[k] = raw(e).tobytes()
         return out
