@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import table
+from corpusloom.llm._common import table, unused
 
 #: The bound of the training sample: characters over all languages, and at most so many a language.
 SAMPLE_CHARS, SAMPLE_CHARS_A_LANGUAGE = 160_000, 40_000
@@ -184,7 +184,8 @@ def sample(docs: DataFrame) -> dict[str, str]:
     """Text by language from docs (doc_id, text, lang): the bounded training sample, from documents that are not held out.
 
     Of each language, the document of the least hash in each of SAMPLE_DOCUMENTS hash
-    classes gives an equal share of its characters. Rows without doc_id, text or lang give none.
+    classes gives an equal share of its characters, from a place that its hash tells. Rows
+    without doc_id, text or lang give none; rows that repeat a doc_id give one share.
     """
     h = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"))
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
@@ -193,7 +194,8 @@ def sample(docs: DataFrame) -> dict[str, str]:
         return {}
     picked: dict[str, dict[int, str]] = {}
     share = SAMPLE_CHARS_A_LANGUAGE * 4 // SAMPLE_DOCUMENTS
-    for r in usable.filter(h.isin(least)).select("lang", h.alias("h"), F.substring("text", 1, share).alias("text")).collect():
+    place = (1 + F.pmod(F.xxhash64(F.lit(8), F.col("doc_id").cast("long")), F.greatest(F.lit(1), F.length("text") - share + 1))).cast("int")
+    for r in usable.filter(h.isin(least)).select("lang", h.alias("h"), F.substring(F.col("text"), place, F.lit(share)).alias("text")).collect():
         known = picked.setdefault(r["lang"], {})
         known[r["h"]] = max(known.get(r["h"], ""), r["text"])
     most = min(SAMPLE_CHARS_A_LANGUAGE, SAMPLE_CHARS // len(picked))
@@ -207,7 +209,9 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs with lang_pred and score (0 to 1) added; predictions read the whole text and nothing else.
 
     A text that is null or has no letter is `und` with score 0, as is every text if there are
-    no samples. Equal costs go to the language first by name. All rows and columns stay.
+    no samples. Equal costs go to the language first by name. All rows and columns stay, rows
+    that repeat too; a column of docs that is called lang_pred or score stays under that name
+    with underscores after it. Rows of an empty table: none.
     """
     from pyspark.sql import types as T
 
@@ -230,7 +234,9 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         found += _parsers[key].predict(batch)
         return pd.DataFrame(found[:-1], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", predict(F.col("text"))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    found = unused(docs, "_found")
+    kept = [F.col(f"`{c}`").alias(unused(docs, c) if c.lower() in ("lang_pred", "score") else c) for c in docs.columns]
+    return docs.withColumn(found, predict(F.col("text"))).select(*kept, F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
