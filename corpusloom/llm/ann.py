@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -118,18 +119,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     task holds one block's multi-index and one chunk. It probes the fitted radius, reranks
     what it finds in double precision and gives a list of at most k a query; where a radius finds
     fewer than k rows in a block that has more, it grows until it doesn't. Vectors that are not `usable`
-    or have another length than most take no part; a row never finds its own id. Rows that repeat
-    a vec_id are separate candidates.
+    take no part; those of each length are searched among themselves, as there is no inner
+    product of others. A row never finds its own id. Rows that repeat a vec_id are separate
+    candidates; of queries that repeat an id the least vector asks. Ties go to the smaller vec_id. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     clean = lambda df: df.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors, queries = clean(vectors).filter("vec_id is not null"), clean(queries).filter("vec_id is not null")
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # A table has vectors of one length, or of a few.
+    dims = sorted(map(tuple, vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()))
+    found = [_search(vectors.filter(F.size("embedding") == dim), queries.filter(F.size("embedding") == dim), dim, n, k) for dim, n in dims]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def _search(vectors: DataFrame, queries: DataFrame, dim: int, n: int, k: int) -> DataFrame:
     schema = "query_id bigint, vec_ids array<bigint>, scores array<double>"
-    dims = sorted(vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect())
-    if not dims:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, n = dims[0]
-    vectors, queries = vectors.filter(F.size("embedding") == dim), queries.filter(F.size("embedding") == dim)
     asked = queries.count()
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).collect()
     model = CodeModel(np.array([r["embedding"] for r in picked]).reshape(-1, dim), k)
@@ -148,7 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
         data = np.stack(cell["embedding"].to_numpy())
         own_ids, own, wanted = ids[~asks], data[~asks], np.flatnonzero(asks)
         if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_ids": [], "scores": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_ids": np.zeros(0, object), "scores": np.zeros(0, object)})
         table, codes, out = MultiIndex(model.codes(own)), model.codes(data[wanted]), []
         width = codes.shape[1] * SUBSTRING_BITS
         for code, w in zip(codes, wanted, strict=True):
