@@ -147,11 +147,33 @@ def test_exact_dedup(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(table(spark, rows)).collect()) == [1, 2, 7, 9]
 
 
-def test_exact_dedup_survives_colliding_digests(spark):
-    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "ccc")]
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_exact_dedup_survives_colliding_digests(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MOST_FILTER_BYTES", most)
+    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "ccc"), (6, "dddd"), (6, "dddd"), (6, "eeee")]
     weak = lambda c: F.encode(F.length(c).cast("string"), "UTF-8")
-    got = {(r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(table(spark, rows), weak).collect()}
-    assert got == {(1, 1, 2), (3, 1, 2), (2, 2, 2), (4, 2, 2), (5, 5, 1)}
+    got = sorted((r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(table(spark, rows), weak).collect())
+    assert got == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 1), (6, 6, 1), (6, 6, 2), (6, 6, 2)]
+    kept = sorted(map(tuple, exact_dedup.drop_copies(table(spark, rows), weak).collect()))
+    assert kept == [(1, "aa"), (2, "bb"), (5, "ccc"), (6, "dddd"), (6, "eeee")]
+
+
+def test_a_filter_holds_every_repeated_digest_and_few_others(spark):
+    rows = spark.range(4000).select(F.col("id"), F.sha2((F.col("id") % 3500).cast("string"), 256).cast("binary").alias("digest"))
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(rows)
+    index.compact()
+    hits, alone = index.ask(rows)
+    assert hits.count() + alone.count() == 4000 and hits.filter("id < 500 or id >= 3500").count() == 1000
+    assert hits.count() < 1000 + 3000 * 0.15
+
+
+def test_memtables_are_sorted_files(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 50)
+    index = exact_dedup.DigestIndex(spark)
+    runs = index.flush(spark.range(0, 200, 1, 1).select("id", F.md5(F.col("id").cast("string")).cast("binary").alias("digest")))
+    files = runs.groupBy(F.input_file_name().alias("f")).agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    assert sorted(r["ids"] for r in files) == [list(range(k, k + 50)) for k in range(0, 200, 50)]
 
 
 def test_digest_index_merges_runs(spark):
@@ -163,6 +185,27 @@ def test_digest_index_merges_runs(spark):
     assert {(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in index.compact().collect()} == {(b"x", 1, 2), (b"y", 2, 2)}
 
 
+def test_copies_that_share_an_id_with_another_text_stay(spark):
+    rows = [(1, "A b c d e f"), (2, "A b c d e f"), (2, "quite another text here")]
+    assert sorted(map(tuple, simhash.keep_one_a_group(table(spark, rows)).collect())) == [rows[0], rows[2]]
+    assert sorted(map(tuple, exact_dedup.drop_copies(table(spark, rows)).collect())) == [rows[0], rows[2]]
+    again = [(5, "x y z u v w"), (5, "x y z u v w"), (None, "x y z u v w"), (None, None), (7, None)]
+    assert sorted(simhash.keep_one_a_group(table(spark, again)).collect()) == sorted(exact_dedup.drop_copies(table(spark, again)).collect()) == [(5, "x y z u v w"), (7, None)]
+
+
+def test_names_that_clash_are_kept(spark):
+    names = {c: F.lit(c) for c in ("_row", "_fp", "_digest", "_stays", "_found", "lang_pred", "score", "row", "doc", "digest", "norm", "fp", "a", "b")}
+    docs = table(spark, [(1, "der und die"), (2, "der und die"), (3, "the of that")]).withColumns(names)
+    kept = {"_row": "_row", "_digest": "_digest", "_fp": "_fp", "doc": "doc", "digest": "digest"}
+    for f in (simhash.keep_one_a_group, exact_dedup.drop_copies):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert [(r["doc_id"], *(r[k] == v for k, v in kept.items())) for r in sorted(out.collect())] == [(1, *[True] * 5), (3, *[True] * 5)]
+    found = langid.identify(docs, {"de": "der die und das ist", "en": "the and of that is"})
+    assert [(r["lang_pred"], r["lang_pred_"], r["score_"], r["_found"]) for r in sorted(found.collect())] == [(w, "lang_pred", "score", "_found") for w in ("de", "de", "en")]
+    assert exact_dedup.decisions(docs).count() == simhash.near_groups(docs).count() == 3
+
+
 AWKWARD = ["a", "É", "é", "́", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'ll", " 12", "!", "?!", "<|endoftext|>", "中文", "😀", "ß", "İ", "Σ", "x" * 50, ".", "\r\n", " ", "\0", "the", " | "]
 
 
@@ -178,9 +221,18 @@ def awkward(n=600):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_parts_give_the_library_s_ids(name):
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
-    wanted = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(awkward(), add_special_tokens=False)]
-    assert piece_cache.library_encoder(P.path(name)).texts(awkward()) == wanted
+    texts = [*awkward(), "<|startoftext|>a", "x <|ENDOFTEXT|> y", "<|endoftext|", "a<|endoftext|>b c\n<|endoftext|>"]
+    wanted = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert piece_cache.library_encoder(P.path(name)).texts(texts) == wanted
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packs_that_cannot_be_told_apart_go_part_by_part(name):
+    encoder = piece_cache.library_encoder(P.path(name))
+    encoder.sizes[:] = 7
+    encoder.sign = encoder.line = -1
+    wanted = [np.array(Tokenizer.from_file(P.path(name)).encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in EDGES]
+    assert encoder.texts(EDGES) == wanted
 
 
 def test_token_files_round_trip(spark):
