@@ -1,4 +1,4 @@
-"""Order statistics by index, agreement, and exact intervals."""
+"""Levels, agreement, and exact intervals."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def order_statistic(values: Column, share: float) -> Column:
-    """The element at index floor(share * n) of the sorted values, no interpolation; null without any."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, (F.floor(F.size(ordered) * share) + 1).cast("int")))
-
-
 def level(value: Column, low: Column, high: Column) -> Column:
     return F.when(value >= high, "high").when(value > low, "medium").otherwise("low")
 

@@ -46,16 +46,19 @@ def word_count(text: Column) -> Column:
 
 
 def language_hint(text: Column, lists: dict[str, list[str]]) -> Column:
-    """The language with the most of its function words among the text's words; ties to the first listed, none to `unknown`."""
+    """The language with the most of its function words among the text's words; ties, and texts without any, go to the first listed."""
     present = F.array_distinct(words(text))
     scores = {k: F.size(F.array_intersect(present, F.array(*map(F.lit, v)))) for k, v in lists.items()}
     top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    return first_match([(k, (s == top) & (top > 0)) for k, s in scores.items()], "unknown")
+    return first_match([(k, s == top) for k, s in scores.items()], next(iter(lists)))
+
+
+#: A number as written: thousands by comma, decimals, a percent sign; no word goes on before or after it.
+NUMBER = r"\b(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:%\B|\b)"
 
 
 def numbers(text: Column) -> Column:
-    """Numbers as written: thousands by comma, decimals, a closing percent sign."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?)"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U)({NUMBER})"), F.lit(1))
 
 
 def number_value(raw: Column) -> Column:

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Scheme and host are optional, as addresses are listed in any form: host, path and query as groups.
+PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
 def netloc(url: Column) -> Column:
-    return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.regexp_extract(F.trim(url), PARTS, 1)
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    """All up to query and fragment where no `//` tells a host, so `example.org/x` is a path."""
+    return F.regexp_extract(F.trim(url), PARTS, 2)
 
 
 def query_string(url: Column) -> Column:
-    return F.regexp_extract(url, r"\?([^#]*)", 1)
+    return F.regexp_extract(F.trim(url), PARTS, 3)
 
 
 def dedup_key(url: Column) -> Column:
@@ -43,7 +48,11 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(netloc(url)), r"^www\.", "")
 
 
-def registrable_domain(url: Column, double_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "gov.uk", "ac.uk", "com.au")) -> Column:
+#: Public suffixes of two labels that the addresses met so far need; a parameter wherever it is used.
+DOUBLE_SUFFIXES = ("co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "co.nz", "com.br", "co.jp")
+
+
+def registrable_domain(url: Column, double_suffixes: tuple[str, ...] = DOUBLE_SUFFIXES) -> Column:
     """The label before the public suffix and that suffix; double_suffixes are the suffixes of two labels."""
     host = domain(url)
     two, three = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
@@ -60,12 +69,14 @@ def path_depth(url: Column) -> Column:
 
 
 def extension(url: Column) -> Column:
-    return F.regexp_extract(F.lower(path(url)), r"(\.[^./]+)$", 1)
+    """From the last point of the last path segment, in lower case; a leading or closing point begins none."""
+    return F.regexp_extract(F.regexp_extract(F.lower(path(url)), "([^/]+)/*$", 1), r"^.+(\.[^.]+)$", 1)
 
 
 def decimal_places(raw: Column) -> Column:
-    """Digits after the point of a number as written; 0 without a point."""
-    return F.length(F.regexp_extract(raw, r"\.([0-9]+)$", 1)).cast("long")
+    """Digits after the point of a number as written; 0 without a point, null for null or blank."""
+    bare = F.trim(raw)
+    return F.when(bare != "", F.length(F.regexp_extract(bare, r"(?s)^[^.]*\.(.*)$", 1)).cast("long"))
 
 
 def file_slug(url: Column, most: int = 80) -> Column:

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBER = re.compile(r"(?<![\w.])\d{1,3}(?:,\d{3})+(?:\.\d+)?%?|(?<![\w.])\d+(?:\.\d+)?%?")
+from corpusloom.functions.text import NUMBER
+
+_NUMBER = re.compile(NUMBER)
 TOKENS = T.ArrayType(T.StructType([T.StructField("raw", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("is_pct", T.BooleanType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def sentences(text: Column) -> Column:
     """Cut after a closing sign, white space and before a capital or an opening sign."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.filter(F.split(flat, r"(?<=[.!?])\s+(?=[\p{Lu}\"“(‘’])"), lambda x: x != "")
+    return F.filter(F.split(flat, r"(?<=[.!?])\s+(?=[A-Z\"“(‘’])"), lambda x: x != "")
 
 
 @F.pandas_udf(TOKENS)
@@ -33,13 +35,49 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a, b, strict=True)], index=a.index, dtype="float64")
 
 
+# How reports state a count with its percentage. Groups: the count, the whole where it is stated, the percentage.
+_N, _GAP, _OF = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?", r"(?:\s+\S+){0,5}?", r"\s+of\s+(?:the\s+)?"
+SHAPES = {
+    "of_whole_in_brackets": (rf"(?U)(?<!\d)({_N}){_OF}(?<!\d)({_N}){_GAP}\s*\(\s*(?<!\d)({_N})%\s*\)", True),
+    "of_whole_after_comma": (rf"(?U)(?<!\d)({_N}){_OF}(?<!\d)({_N}){_GAP},\s*(?:or\s+)?(?<!\d)({_N})%", True),
+    "of_total": (rf"(?U)(?<!\d)(?<!of )(?<!the )({_N})(?!\s+of\s+(?:the\s+)?\d){_GAP}\s*[(,]\s*(?<!\d)({_N})%", False),
+}
+
+
 def count_percent_mismatches(df: DataFrame, key: str, body: str, total: str, tolerance: float = 0.55) -> DataFrame:
-    """Stated "n (p%)" whose p is further than tolerance from 100 n / total: key, n, stated, actual."""
-    found = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(\d[\d,]*\s*\(\s*\d+(?:\.\d+)?\s*%\s*\))"), F.lit(1))
-    rows = df.select(key, F.col(total).cast("double").alias("_t"), F.explode(found).alias("s"))
-    n = F.regexp_replace(F.regexp_extract("s", r"^([\d,]+)", 1), ",", "").try_cast("double")
-    rows = rows.select(key, n.alias("n"), F.regexp_extract("s", r"\(\s*(\d+(?:\.\d+)?)", 1).try_cast("double").alias("stated"), F.when(F.col("_t") > 0, 100 * n / F.col("_t")).alias("actual"))
-    return rows.filter(F.abs(F.col("stated") - F.col("actual")) > tolerance)
+    """Stated counts whose percentage is further than tolerance from the computed one: key, shape, n, whole, stated, actual.
+
+    "n of m ... (p%)" and "n of m ..., p%" are held against 100 n / m, "n ... (p%)" and
+    "n ..., p%" against 100 n / total. Rows whose total is null or not positive give none.
+    """
+    text, number = F.coalesce(F.col(body), F.lit("")), lambda c: F.regexp_replace(c, ",", "").try_cast("double")
+    groups = lambda p, *ks: [F.regexp_extract_all(text, F.lit(p), F.lit(k)) for k in ks]
+
+    def finds(shape: str, pattern: str, states_whole: bool) -> Column:
+        n, *whole, p = groups(pattern, 1, 2, 3) if states_whole else groups(pattern, 1, 2)
+        whole = whole[0] if whole else F.transform(n, lambda _: F.col(total).cast("string"))
+        return F.transform(F.arrays_zip(n.alias("n"), whole.alias("whole"), p.alias("p")), lambda x: F.struct(F.lit(shape).alias("shape"), x["n"].alias("n"), x["whole"].alias("whole"), x["p"].alias("p")))
+
+    found = [finds(shape, *how) for shape, how in SHAPES.items()]
+    rows = df.filter(F.col(total) > 0).select(key, F.explode(F.concat(*found)).alias("s"))
+    rows = rows.select(key, "s.shape", number(F.col("s.n")).alias("n"), number(F.col("s.whole")).alias("whole"), number(F.col("s.p")).alias("stated")).filter("whole > 0")
+    return rows.withColumn("actual", 100 * F.col("n") / F.col("whole")).filter(F.abs(F.col("stated") - F.col("actual")) > tolerance)
+
+
+# How reports state the number of records; the count is group 1, of how many group 2 where it is told.
+OUTCOMES = (r"(?i)Screening outcome:\s*([\d,]+)\s+of\s+([\d,]+)\s+URLs retained", r"Screening outcome:\s*([\d,]+)\s+of the\s+([\d,]+)\s+input URLs were retained")
+
+
+def stated_outcome(text: Column) -> Column:
+    """struct(retained, total) of the first phrasing that holds; null without any."""
+    number = lambda k: F.coalesce(*[F.nullif(F.replace(F.regexp_extract(text, p, k), F.lit(","), F.lit("")), F.lit("")).try_cast("bigint") for p in OUTCOMES])
+    return F.when(number(1).isNotNull(), F.struct(number(1).alias("retained"), number(2).alias("total")))
+
+
+def stated_total(text: Column, noun: str) -> Column:
+    """The count stated before noun (a pattern), or else that of a stated outcome."""
+    first = F.replace(F.regexp_extract(text, rf"([\d,]+)\s+{noun}", 1), F.lit(","), F.lit(""))
+    return F.coalesce(F.nullif(first, F.lit("")).try_cast("bigint"), stated_outcome(text)["retained"])
 
 
 def bootstrap_ratio(df: DataFrame, cluster: str, part: str, whole: str, resamples: int = 10_000, seed: int = 20260812) -> tuple[float, float]:

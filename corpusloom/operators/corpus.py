@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geo, stats, text, urls
+from corpusloom.operators.ordered import numbered, order_statistics
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -21,12 +22,19 @@ def flag_near_duplicates(df: DataFrame, url: str, order: str) -> DataFrame:
     return flagged.withColumns({"is_duplicate": F.col("_rn") > 1, "duplicate_of": F.when(F.col("_rn") > 1, F.col("_first"))}).drop("_rn", "_first")
 
 
-def merge_by(df: DataFrame, key: str, body: str, order: str) -> DataFrame:
-    """Documents merged by key: the primary is the longest, then the first; text joins all bodies, primary first."""
-    n = F.length(F.coalesce(F.col(body), F.lit("")))
-    part = F.struct((-n).alias("n"), F.col(order).alias("o"), F.coalesce(F.col(body), F.lit("")).alias("t"))
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("p"), F.count("*").alias("n_merged"))
-    return grouped.select(key, F.col("p")[0]["o"].alias("primary"), "n_merged", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("merged"))
+def merge_by(df: DataFrame, key: str, body: str, order: str, per_part: int = 1000) -> DataFrame:
+    """Documents merged by key: the primary is the longest, then the first; text joins all bodies, primary first.
+
+    A merged text comes in parts of per_part documents (part, from 0), as one key may hold a
+    large share of the table: key, part, primary (of the key), n_merged and merged (of the part).
+    """
+    body_ = F.coalesce(F.col(body), F.lit(""))
+    rows = df.select(F.col(key), F.col(order).alias("_o"), body_.alias("_t"), (-F.length(body_)).alias("_l"))
+    rows = numbered(rows, ["_l", "_o"], "_rank", [key])
+    parts = rows.groupBy(key, F.floor((F.col("_rank") - 1) / per_part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("_rank", "_t"))).alias("p"), F.count("*").alias("n_merged"))
+    primary = rows.filter("_rank = 1").select(F.col(key).alias("_k"), F.col("_o").alias("primary"))
+    joined = parts.join(primary, F.col(key).eqNullSafe(F.col("_k")))
+    return joined.select(key, "part", "primary", "n_merged", F.array_join(F.transform("p", lambda x: x["_t"]), "\n\n").alias("merged"))
 
 
 def levels(df: DataFrame, value: str, by: list[str] | None = None, shares: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
@@ -34,8 +42,7 @@ def levels(df: DataFrame, value: str, by: list[str] | None = None, shares: tuple
 
     The two thresholds are aggregates joined back, so no partition holds all rows.
     """
-    low, high = (stats.order_statistic(F.col(value), s) for s in shares)
-    limits = df.groupBy(*(by or [])).agg(low.alias("_low"), high.alias("_high"))
+    limits = order_statistics(df, value, {"_low": shares[0], "_high": shares[1]}, by)
     joined = df.join(limits, by) if by else df.crossJoin(F.broadcast(limits))  # one row
     return joined.withColumn("level", stats.level(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
@@ -75,10 +82,15 @@ def locate(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return found.union(none)
 
 
+#: Names' runs of words up to this number are sent to all tasks; more are met by a shuffle.
+MOST_SENT = 200_000
+
+
 def shingle_leaks(docs: DataFrame, doc_key: str, body: str, names: DataFrame, name_key: str, name_body: str, n: int = 5) -> DataFrame:
-    """Pairs that share runs of n words, with their number; an equi-join on the runs."""
+    """Pairs that share runs of n words, with their number; an equi-join on the runs, after the size of the names' side is checked."""
     left = docs.select(doc_key, F.explode(text.shingles(F.col(body), n)).alias("s"))
     right = names.select(name_key, F.explode(text.shingles(F.col(name_body), n)).alias("s"))
+    right = F.broadcast(right) if right.limit(MOST_SENT + 1).count() <= MOST_SENT else right
     return left.join(right, "s").groupBy(doc_key, name_key).agg(F.count("*").alias("n_shared"))
 
 
@@ -101,21 +113,22 @@ def hash_sample(df: DataFrame, key: str, by: list[str], k: int, salt: str = "s")
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def water_fill(capacities: dict, total: int) -> dict:
-    """Equal shares of total over strata, none above its capacity; what is left over goes one each in key order."""
-    out, open_, left = dict.fromkeys(capacities, 0), {k for k, c in capacities.items() if c > 0}, min(total, sum(capacities.values()))
-    while left and open_:
-        each = left // len(open_)
-        if each == 0:
-            for k in sorted(open_)[:left]:
-                out[k] += 1
-            break
-        for k in sorted(open_):
-            take = min(each, capacities[k] - out[k])
-            out[k] += take
-            left -= take
-        open_ = {k for k in open_ if out[k] < capacities[k]}
-    return out
+def equal_allocation(strata: DataFrame, keys: list[str], cap: str, total: int) -> DataFrame:
+    """strata with alloc: the highest level at which strata of at most their size take no more than total together.
+
+    What is then left over goes one each to strata with rows left, by the md5 of their keys.
+    Strata are counted by size first, so the levels meet at most total sizes.
+    """
+    levels_ = strata.sparkSession.range(total + 1).withColumnRenamed("id", "_v")
+    sizes = strata.groupBy(F.least(cap, F.lit(total)).alias("_size")).agg(F.count("*").alias("_k"))
+    used = sizes.join(F.broadcast(levels_)).groupBy("_v").agg(F.sum(F.col("_k") * F.least("_size", "_v")).alias("_used"))
+    level = used.filter(F.col("_used") <= total).agg(F.max(F.struct("_v", "_used")).alias("_l")).select("_l.*")
+    filled = strata.crossJoin(F.broadcast(level))  # one row
+    order = [F.md5(F.concat_ws(":", *keys).cast("binary")), *keys]
+    first = numbered(filled.filter(F.col(cap) > F.col("_v")), order, "_rn").filter(F.col("_rn") <= total - F.col("_used"))
+    extra = first.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(1).alias("_one"))
+    joined = filled.join(extra, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    return joined.select(*strata.columns, (F.least(cap, "_v") + F.coalesce("_one", F.lit(0))).cast("long").alias("alloc"))
 
 
 def confusion(df: DataFrame, a: str, b: str, classes: list) -> DataFrame:
@@ -147,6 +160,22 @@ def set_overlap(df: DataFrame, item: str, side: str, a, b, by: list[str] | None
     return sides.groupBy(*by).agg(F.count_if(~F.col("in_b")).alias("only_a"), F.count_if(~F.col("in_a")).alias("only_b"), both.alias("both_sides"), F.count("*").alias("either_side"), F.round(F.when(F.count("*") > 0, 100.0 * both / F.count("*")), 1).alias("pct"))
 
 
+def replicate_pairs(df: DataFrame, replicate: str, item: str, by: list[str] | None = None) -> DataFrame:
+    """All pairs a < b of the replicates of each group of by: by, a, b, shared items, pct (Jaccard in percent).
+
+    df (by, replicate, item) holds distinct rows. Replicates are few, so their pairs are a small
+    table; items meet by equality.
+    """
+    by = by or []
+    s = df.select(*by, F.col(replicate).alias("a"), F.col(item).alias("_i"))
+    n = s.groupBy(*by, "a").agg(F.count("*").alias("na"))
+    other = n.select(*by, F.col("a").alias("b"), F.col("na").alias("nb"))
+    pairs = (n.join(other, by) if by else n.crossJoin(F.broadcast(other))).filter("a < b")
+    shared = s.join(s.withColumnRenamed("a", "b"), [*by, "_i"]).filter("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
+    k = F.coalesce("k", F.lit(0).cast("long"))
+    return pairs.join(shared, [*by, "a", "b"], "left").select(*by, "a", "b", k.alias("shared"), F.round(100.0 * k / (F.col("na") + F.col("nb") - k), 1).alias("pct"))
+
+
 def chunks(df: DataFrame, key: str, body: str, size: int = 1800, overlap: int = 100) -> DataFrame:
     """Windows of size white-space tokens that overlap: key, chunk (from 0), text; empty texts have none."""
     w = df.select(key, F.filter(F.split(F.coalesce(F.col(body), F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda x: x != "").alias("w"))
@@ -156,33 +185,45 @@ def chunks(df: DataFrame, key: str, body: str, size: int = 1800, overlap: int =
 
 
 def evidence(facts: DataFrame, group: str, key: str, value: str) -> DataFrame:
-    """Numbers that a text may state: the values, their sums by twos, and each as a percentage of each total group value.
+    """Numbers that a text may state, as (g, k, v, kind): values, sums of any two and of three of a group, and percentages.
 
-    facts is the facts table of one report, some ninety rows; it is checked to be small.
+    A percentage is of the total of all facts: of a value, or of two or three of a group.
+    Sums are equi-joins but for those across groups, which the table of one report, some
+    ninety facts, bounds; that it is small is checked.
     """
     n = facts.count()
     if n > 2000:
         raise ValueError(f"evidence: {n} facts")
     f = facts.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    a, b = f.alias("a"), f.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
-    sums = pairs.select(F.col("a.g").alias("g"), F.concat_ws("+", "a.k", "b.k").alias("k"), (F.col("a.v") + F.col("b.v")).alias("v"), F.lit("sum").alias("kind"))
-    total = f.groupBy("g").agg(F.sum("v").alias("t"))
-    pct = f.join(total, "g").filter("t > 0").select("g", "k", F.round(100 * F.col("v") / F.col("t"), 4).alias("v"), F.lit("pct").alias("kind"))
+    a, b, c = f.alias("a"), f.alias("b"), f.alias("c")
+    two = a.join(b, F.col("a.g") == F.col("b.g")).filter("a.k < b.k").select("a.g", F.concat_ws("+", "a.k", "b.k").alias("k"), (F.col("a.v") + F.col("b.v")).alias("v"))
+    across = a.join(F.broadcast(b), F.col("a.g") < F.col("b.g")).select(F.concat_ws("|", "a.g", "b.g").alias("g"), F.concat_ws("+", "a.k", "b.k").alias("k"), (F.col("a.v") + F.col("b.v")).alias("v"))
+    three = a.join(b, F.col("a.g") == F.col("b.g")).join(c, F.col("a.g") == F.col("c.g")).filter("a.k < b.k AND b.k < c.k")
+    three = three.select("a.g", F.concat_ws("+", "a.k", "b.k", "c.k").alias("k"), (F.col("a.v") + F.col("b.v") + F.col("c.v")).alias("v"))
+    total = f.agg(F.sum("v").alias("t"))
+    parts = f.union(two).union(three).crossJoin(F.broadcast(total)).filter("t > 0")  # one row
+    pct = parts.select("g", "k", F.round(100 * F.col("v") / F.col("t"), 4).alias("v"), F.lit("pct").alias("kind"))
+    sums = two.union(across).union(three).withColumn("kind", F.lit("sum"))
     return f.withColumn("kind", F.lit("value")).unionByName(sums).unionByName(pct)
 
 
 def label_claims(claims: DataFrame, found: DataFrame, tolerance: float = 0.55) -> DataFrame:
     """claim_id and label of every row of claims (claim_id, v, is_pct), rows that repeat a claim_id included.
 
-    DIRECT (an equal value), DERIVED (an equal sum, or a percentage within tolerance) or
-    NOT_MACHINE_AUDITABLE. Each distinct (v, is_pct) is labelled once.
+    DIRECT (an equal value), DERIVED (an equal sum; for a percentage one within tolerance) or
+    NOT_MACHINE_AUDITABLE. Each distinct (v, is_pct) is labelled once: values and sums meet by
+    equality, percentages by strips as wide as the tolerance, a claim in three of them.
     """
-    c, e = claims.select("v", "is_pct").distinct().alias("c"), F.broadcast(found).alias("e")
-    equal = (F.round("c.v", 6) == F.round("e.v", 6)) & (F.col("e.kind") != "pct")
-    near = F.col("c.is_pct") & (F.col("e.kind") == "pct") & (F.abs(F.col("c.v") - F.col("e.v")) <= tolerance)
-    grade = F.when(F.col("e.kind") == "value", 0).when(F.col("e.kind").isNotNull(), 1).otherwise(2)
-    best = c.join(e, equal | near, "left").groupBy(F.col("c.v").alias("_v"), F.col("c.is_pct").alias("_is_pct")).agg(F.min(grade).alias("grade"))
+    c = claims.select("v", "is_pct").distinct()
+    e = found.select(F.col("v").alias("_e"), "kind")
+    exact = e.filter("kind <> 'pct'").groupBy(F.round("_e", 6).alias("_at")).agg(F.min(F.when(F.col("kind") == "value", 0).otherwise(1)).alias("_exact"))
+    strip = lambda x: F.floor(x / tolerance)
+    pct = e.filter("kind = 'pct'").select("_e", strip(F.col("_e")).alias("_strip")).distinct()
+    near = c.filter("is_pct").select("v", F.explode(F.array(*[strip(F.col("v")) + k for k in (-1, 0, 1)])).alias("_strip"))
+    near = near.join(pct, "_strip").filter(F.abs(F.col("v") - F.col("_e")) <= tolerance).select(F.col("v").alias("_near")).distinct()
+    graded = c.withColumn("_at", F.round("v", 6)).join(exact, "_at", "left").join(near, c["v"] == near["_near"], "left")
+    grade = F.when(F.col("_exact") == 0, 0).when(F.when(F.col("is_pct"), F.col("_near").isNotNull()).otherwise(F.col("_exact") == 1), 1).otherwise(2)
+    best = graded.select(F.col("v").alias("_v"), F.col("is_pct").alias("_is_pct"), grade.alias("grade"))
     rows = claims.join(best, F.col("v").eqNullSafe(F.col("_v")) & F.col("is_pct").eqNullSafe(F.col("_is_pct")), "left")
     return rows.select("claim_id", F.when(F.col("grade") == 0, "DIRECT").when(F.col("grade") == 1, "DERIVED").otherwise("NOT_MACHINE_AUDITABLE").alias("label"))
 

@@ -6,34 +6,48 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import claims
 from corpusloom.plans.common import BOXES_SQL, boxes, t
-from corpusloom.plans.documents import JUDGED, TURNS, judged, turns
+from corpusloom.plans.documents import JUDGED, TURNS, a51, judged
 from corpusloom.plans.registry import query
 
 FLAT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
-@query("x18_sentences", rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({FLAT}, '([.!?])\s+([\p{{Lu}}"“(‘’])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)
+@query("x18_sentences", rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({FLAT}, '([.!?])\s+([A-Z"“(‘’])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, unnest(generate_series(0, len(s) - 1))::INT AS pos, md5(unnest(s)) AS sentence_md5 FROM s WHERE len(s) > 0""")
 def x18(spark, d):
     s = t(spark, d, "documents").select("doc_id", F.posexplode(claims.sentences(F.col("text"))).alias("pos", "s"))
     return s.select("doc_id", "pos", F.md5(F.col("s").cast("binary")).alias("sentence_md5"))
 
 
-STATED = "(SELECT k, total, n || ' (' || (n * 100 // total + n % 3) || '%)' AS body FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1), (SELECT count(*) AS total FROM orders))"
+COUNTS = "(SELECT k, n, total, n * 100 // total + n % 3 AS p FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1), (SELECT count(*) AS total FROM orders))"
 
 
-@query("x23_count_percent", rf"WITH s AS (SELECT k, total, regexp_extract(body, '^([0-9]+)', 1)::DOUBLE AS n, regexp_extract(body, '\(([0-9]+)', 1)::DOUBLE AS stated FROM {STATED}) SELECT k, n, stated, round(100 * n / total, 6) AS actual FROM s WHERE abs(stated - 100 * n / total) > 0.55")
-def x23(spark, d):
+def stated(spark, d):
+    """Sentences that state the orders of a priority in all shapes, some wrongly: k, total, n, p, body."""
     o = t(spark, d, "orders")
     by = o.groupBy(F.col("o_orderpriority").alias("k")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(o.agg(F.count("*").alias("total"))))
-    stated = by.select("k", "total", F.expr("concat(n, ' (', n * 100 div total + n % 3, '%)')").alias("body"))
-    return claims.count_percent_mismatches(stated, "k", "body", "total").withColumn("actual", F.round("actual", 6))
+    by = by.withColumn("p", F.expr("n * 100 div total + n % 3"))
+    return by.withColumn("body", F.expr("concat(n, ' of ', total, ' kept orders (', p, '%) came first. ', n, ' of the ', total, ' orders, or ', p, '%, came late. ', n, ' orders (', p, '%) shipped.')"))
+
+
+@query("x23_count_percent", f"SELECT k, shape, n::DOUBLE AS n, total::DOUBLE AS whole, p::DOUBLE AS stated, round(100 * n::DOUBLE / total, 6) AS actual FROM {COUNTS}, (VALUES ('of_whole_in_brackets'), ('of_whole_after_comma'), ('of_total')) s(shape) WHERE abs(p - 100 * n::DOUBLE / total) > 0.55")
+def x23(spark, d):
+    """The SQL computes from the numbers that the sentences were made of."""
+    return claims.count_percent_mismatches(stated(spark, d), "k", "body", "total").withColumn("actual", F.round("actual", 6))
 
 
-@query("x27_stated_total", "SELECT doc_id, regexp_extract(text, '(?i)(?:total of|all|over) ([0-9][0-9,]*)', 1) AS raw, try_cast(replace(regexp_extract(text, '(?i)(?:total of|all|over) ([0-9][0-9,]*)', 1), ',', '') AS BIGINT) AS total FROM documents WHERE text IS NOT NULL")
+PHRASES = "CASE WHEN n % 3 = 0 THEN {0} || ' sharing groups were found' WHEN n % 3 = 1 THEN 'Screening outcome: ' || {0} || ' of ' || total || ' URLs retained.' ELSE 'Screening outcome: ' || {0} || ' of the ' || total || ' input URLs were retained.' END"
+
+
+@query("x27_stated_total", f"SELECT k, n AS stated FROM {COUNTS}")
 def x27(spark, d):
-    raw = F.regexp_extract("text", "(?i)(?:total of|all|over) ([0-9][0-9,]*)", 1)
-    return t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", raw.alias("raw"), F.replace(raw, F.lit(","), F.lit("")).try_cast("bigint").alias("total"))
+    return stated(spark, d).withColumn("body", F.expr(PHRASES.format("format_number(n, 0)"))).select("k", claims.stated_total(F.col("body"), "sharing groups").alias("stated"))
+
+
+@query("x57_stated_outcome", f"SELECT k, CASE WHEN n % 3 <> 0 THEN n END AS retained, CASE WHEN n % 3 <> 0 THEN total END AS total FROM {COUNTS}")
+def x57(spark, d):
+    found = stated(spark, d).withColumn("body", F.expr(PHRASES.format("n"))).select("k", claims.stated_outcome(F.col("body")).alias("o"))
+    return found.select("k", "o.retained", "o.total")
 
 
 @query("x34_box_accept", f"""SELECT a.name AS a, b.name AS b, round(((b.max_lng - b.min_lng) * (b.max_lat - b.min_lat)) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat)), 6) AS ratio FROM {BOXES_SQL.replace('AS b(', 'AS a(')} JOIN {BOXES_SQL} ON a.name <> b.name AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat
@@ -74,10 +88,9 @@ def u05(spark, d):
     return raw.join(t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("raw")), "raw", "left_anti")
 
 
-@query("u02_in_all_turns", f"SELECT word FROM {TURNS} WHERE role = 'user' AND turn IN (0, 2, 4) GROUP BY word HAVING count(DISTINCT turn) = 3")
+@query("u02_in_all_turns", f"WITH s AS (SELECT * FROM {TURNS}), n AS (SELECT role, count(DISTINCT turn) AS k FROM s GROUP BY role) SELECT s.role, word FROM s JOIN n USING (role) GROUP BY s.role, word, k HAVING count(DISTINCT turn) = k")
 def u02(spark, d):
-    s = turns(spark, d).filter("role = 'user' AND turn IN (0, 2, 4)").groupBy("word").agg(F.countDistinct("turn").alias("n"))
-    return s.filter("n = 3").select("word")
+    return a51(spark, d).filter("note = 'stable'").select("role", "word")
 
 
 @query("u04_aligned_union", "SELECT 'summary' AS kind, lang, count(*) AS n, NULL::BIGINT AS doc_id FROM documents GROUP BY lang UNION ALL SELECT 'row', NULL, NULL, doc_id FROM labels WHERE quality = toxic")

@@ -31,15 +31,17 @@ POINTS_SQL = "(SELECT page_id, CASE WHEN page_id % 41 = 0 THEN NULL ELSE 51 + (p
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' addresses with variants of themselves, in an order."""
     p = t(spark, sf_dir, "pages").select("page_id", "url")
-    forms = F.array(F.col("url"), F.when(F.col("page_id") % 2 == 0, F.col("url")), F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/"))), F.when(F.col("page_id") % 5 == 0, F.replace(F.col("url"), F.lit("http://"), F.lit("https://"))))
+    forms = F.array(F.col("url"), F.when(F.col("page_id") % 2 == 0, F.col("url")), F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/"))), F.when(F.col("page_id") % 5 == 0, F.replace(F.col("url"), F.lit("http://"), F.lit("https://"))), F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "^https?://", "")), F.when(F.col("page_id") % 11 == 0, F.regexp_replace("url", "^https?:", "")))
     return p.select("page_id", F.posexplode(forms).alias("form", "url")).filter("url is not null").select((F.col("form") * 100000000 + F.col("page_id")).alias("ord"), "url")
 
 
 URLS_SQL = """(SELECT page_id AS ord, url FROM pages UNION ALL SELECT 100000000 + page_id, url FROM pages WHERE page_id % 2 = 0
 UNION ALL SELECT 200000000 + page_id, url || '/' FROM pages WHERE page_id % 3 = 0
-UNION ALL SELECT 300000000 + page_id, replace(url, 'http://', 'https://') FROM pages WHERE page_id % 5 = 0)"""
-HOST = r"regexp_extract(trim({0}), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
-PATH = r"regexp_extract(trim({0}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+UNION ALL SELECT 300000000 + page_id, replace(url, 'http://', 'https://') FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT 400000000 + page_id, regexp_replace(url, '^https?://', '') FROM pages WHERE page_id % 7 = 0
+UNION ALL SELECT 500000000 + page_id, regexp_replace(url, '^https?:', '') FROM pages WHERE page_id % 11 = 0)"""
+PARTS = r"'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
+HOST, PATH, QUERY = (f"regexp_extract(trim({{0}}), {PARTS}, {k})" for k in (1, 2, 3))
 DOMAIN = rf"regexp_replace(lower({HOST}), '^www\.', '')"
 DEDUP_KEY = f"replace({HOST.format('lower({0})')}, 'www.', '') || regexp_replace({PATH.format('lower({0})')}, '/+$', '')"
 WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import corpus
+from corpusloom.operators.ordered import numbered
 from corpusloom.plans.common import TOKENS, WORDS, t
 from corpusloom.plans.registry import query
 
 DIMENSIONS = {"license": ["licensed under", "copyright"], "contact": ["@", "http"], "credential": ["token", "password"], "article": ["the ", "der ", "los "], "percent": ["%"]}
-HINTS = {"en": ["the", "and", "of", "that", "is"], "fr": ["le", "la", "de", "et", "les"], "de": ["der", "die", "und", "das", "ist"], "es": ["el", "los", "que", "una", "por"]}
+# Function words of each language, in the order that ties are settled.
+HINTS = {
+    "en": ["the", "and", "is", "are", "we", "our", "for", "with"],
+    "fr": ["le", "la", "les", "et", "est", "nous", "pour", "avec"],
+    "de": ["der", "die", "das", "und", "ist", "wir", "für", "mit"],
+    "es": ["el", "la", "los", "y", "es", "nosotros", "para", "con"],
+    "ga": ["an", "na", "agus", "le", "do", "ar", "faoi"],
+}
 any_sql = lambda ws: "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + ")"
 
 
@@ -50,11 +57,21 @@ def w02(spark, d):
 SCORES = {k: f"len(list_intersect({WORDS.format('text')}, {v}))" for k, v in HINTS.items()}
 
 
-@query("x10_language_hint", "WITH s AS (SELECT doc_id, " + ", ".join(f"{e} AS s_{k}" for k, e in SCORES.items()) + " FROM documents), m AS (SELECT *, greatest(" + ", ".join(f"s_{k}" for k in HINTS) + ") AS top FROM s) SELECT doc_id, CASE WHEN top = 0 THEN 'unknown' " + " ".join(f"WHEN s_{k} = top THEN '{k}'" for k in HINTS) + " END AS hint FROM m")
+HINT_SQL = "(WITH s AS (SELECT doc_id, " + ", ".join(f"{e} AS s_{k}" for k, e in SCORES.items()) + " FROM documents), m AS (SELECT *, greatest(" + ", ".join(f"s_{k}" for k in HINTS) + ") AS top FROM s) SELECT doc_id, CASE " + " ".join(f"WHEN s_{k} = top THEN '{k}'" for k in HINTS) + " END AS hint FROM m)"
+
+
+@query("x10_language_hint", f"SELECT doc_id, hint FROM {HINT_SQL}")
 def x10(spark, d):
     return t(spark, d, "documents").select("doc_id", text.language_hint(F.col("text"), HINTS).alias("hint"))
 
 
+@query("a11_hint_distribution", f"SELECT hint, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS pct FROM {HINT_SQL} GROUP BY hint")
+def a11(spark, d):
+    n = x10(spark, d).groupBy("hint").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("hint", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))  # one row
+
+
 @query("a02_language_distribution", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def a02(spark, d):
     return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
@@ -78,7 +95,7 @@ def x14(spark, d):
     return t(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 
 
-@query("x15_numbers", "WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?%?')) AS raw FROM documents) SELECT doc_id, raw, count(*) AS n, try_cast(regexp_replace(raw, '[,%]', '', 'g') AS DOUBLE) AS value, raw LIKE '%\\%' ESCAPE '\\' AS is_pct FROM n GROUP BY ALL")
+@query("x15_numbers", "WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '" + text.NUMBER + "')) AS raw FROM documents) SELECT doc_id, raw, count(*) AS n, try_cast(regexp_replace(raw, '[,%]', '', 'g') AS DOUBLE) AS value, raw LIKE '%\\%' ESCAPE '\\' AS is_pct FROM n GROUP BY ALL")
 def x15(spark, d):
     n = t(spark, d, "documents").select("doc_id", F.explode(text.numbers(F.col("text"))).alias("raw"))
     return n.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).withColumns({"value": text.number_value(F.col("raw")), "is_pct": F.col("raw").endswith("%")})
@@ -102,9 +119,10 @@ def x30(spark, d):
     return corpus.shingle_leaks(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "item_id", "text")
 
 
-@query("a16_domain_merge", "SELECT source, arg_min(doc_id, {'a': -length(coalesce(text, '')), 'b': doc_id}) AS \"primary\", count(*) AS n_merged, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY length(coalesce(text, '')) DESC, doc_id)) AS merged_md5 FROM documents GROUP BY source")
+@query("a16_domain_merge", "WITH r AS (SELECT source, doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY source ORDER BY length(coalesce(text, '')) DESC, doc_id) AS rk, first(doc_id) OVER (PARTITION BY source ORDER BY length(coalesce(text, '')) DESC, doc_id) AS p FROM documents) SELECT source, ((rk - 1) // 20)::BIGINT AS part, any_value(p) AS \"primary\", count(*) AS n_merged, md5(string_agg(t, chr(10) || chr(10) ORDER BY rk)) AS merged_md5 FROM r GROUP BY ALL")
 def a16(spark, d):
-    return corpus.merge_by(t(spark, d, "documents"), "source", "text", "doc_id").select("source", "primary", "n_merged", F.md5(F.col("merged").cast("binary")).alias("merged_md5"))
+    """Parts of 20 documents here, so that parts are met on small tables."""
+    return corpus.merge_by(t(spark, d, "documents"), "source", "text", "doc_id", 20).select("source", "part", "primary", "n_merged", F.md5(F.col("merged").cast("binary")).alias("merged_md5"))
 
 
 @query("g02_chunks", f"WITH w AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), c AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 180) / 160.0))::INT)) AS chunk FROM w WHERE len(w) > 0) SELECT doc_id, chunk::INT AS chunk, md5(array_to_string(w[chunk * 160 + 1:chunk * 160 + 180], ' ')) AS text_md5 FROM c")
@@ -131,7 +149,7 @@ def a06(spark, d):
 
 @query("w03_rank_in_group", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
 def w03(spark, d):
-    return t(spark, d, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+    return numbered(t(spark, d, "documents").select("source", "doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], "rank", ["source"]).select("source", "doc_id", "rank")
 
 
 @query("t02_top_groups", "SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source ORDER BY n DESC, first_id LIMIT 3")
@@ -212,7 +230,7 @@ def p05(spark, d):
 
 @query("w10_sequential_ids", "SELECT doc_id, 'A' || lpad((row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS item FROM labels")
 def w10(spark, d):
-    return t(spark, d, "labels").select("doc_id", F.format_string("A%06d", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id"))).alias("item"))
+    return numbered(t(spark, d, "labels").select("doc_id"), ["doc_id"], "n").select("doc_id", F.format_string("A%06d", "n").alias("item"))
 
 
 TURNS = r"(SELECT DISTINCT role, turn, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS word FROM conversations)"
@@ -227,20 +245,19 @@ def u01(spark, d):
     return corpus.set_overlap(turns(spark, d), "word", "role", "user", "assistant")
 
 
-@query("a51_presence_stability", f"WITH p AS (SELECT role, word, count(DISTINCT turn) AS presence FROM {TURNS} WHERE turn < 3 GROUP BY ALL) SELECT role, word, presence, CASE WHEN presence = 3 THEN 'stable' ELSE 'partial' END AS note FROM p")
+@query("a51_presence_stability", f"WITH s AS (SELECT * FROM {TURNS}), n AS (SELECT role, count(DISTINCT turn) AS turns FROM s GROUP BY role), p AS (SELECT role, word, count(DISTINCT turn) AS presence FROM s GROUP BY ALL) SELECT role, word, presence, CASE WHEN presence = turns THEN 'stable' ELSE 'partial' END AS note FROM p JOIN n USING (role)")
 def a51(spark, d):
-    p = turns(spark, d).filter("turn < 3").groupBy("role", "word").agg(F.countDistinct("turn").alias("presence"))
-    return p.withColumn("note", F.when(F.col("presence") == 3, "stable").otherwise("partial"))
+    """A word is stable if it is said in every turn that its role has."""
+    s = turns(spark, d)
+    n = s.groupBy("role").agg(F.countDistinct("turn").alias("turns"))
+    p = s.groupBy("role", "word").agg(F.count("*").alias("presence")).join(F.broadcast(n), "role")  # a row a role
+    return p.select("role", "word", "presence", F.when(F.col("presence") == F.col("turns"), "stable").otherwise("partial").alias("note"))
 
 
-@query("j16_replicate_pairs", f"WITH s AS (SELECT turn, word FROM {TURNS} WHERE role = 'user' AND turn < 6), n AS (SELECT turn, count(*) AS n FROM s GROUP BY turn), i AS (SELECT a.turn AS x, b.turn AS y, count(*) AS k FROM s a JOIN s b ON a.word = b.word AND a.turn < b.turn GROUP BY ALL) SELECT p.turn AS turn_a, q.turn AS turn_b, coalesce(k, 0) AS shared, round(100.0::DOUBLE * coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 1) AS pct FROM n p JOIN n q ON p.turn < q.turn LEFT JOIN i ON i.x = p.turn AND i.y = q.turn")
+@query("j16_replicate_pairs", f"WITH s AS (SELECT turn, word FROM {TURNS} WHERE role = 'user'), n AS (SELECT turn, count(*) AS n FROM s GROUP BY turn), i AS (SELECT a.turn AS x, b.turn AS y, count(*) AS k FROM s a JOIN s b ON a.word = b.word AND a.turn < b.turn GROUP BY ALL) SELECT p.turn AS turn_a, q.turn AS turn_b, coalesce(k, 0) AS shared, round(100.0::DOUBLE * coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 1) AS pct FROM n p JOIN n q ON p.turn < q.turn LEFT JOIN i ON i.x = p.turn AND i.y = q.turn")
 def j16(spark, d):
-    s = turns(spark, d).filter("role = 'user' AND turn < 6").select("turn", "word")
-    n = s.groupBy("turn").agg(F.count("*").alias("n"))
-    shared = s.alias("a").join(s.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.turn") < F.col("b.turn"))).groupBy(F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b")).agg(F.count("*").alias("k"))
-    pairs = n.select(F.col("turn").alias("turn_a"), F.col("n").alias("na")).join(n.select(F.col("turn").alias("turn_b"), F.col("n").alias("nb")), F.col("turn_a") < F.col("turn_b"))
-    k = F.coalesce("k", F.lit(0).cast("long"))
-    return pairs.join(shared, ["turn_a", "turn_b"], "left").select("turn_a", "turn_b", k.alias("shared"), F.round(100.0 * k / (F.col("na") + F.col("nb") - k), 1).alias("pct"))
+    s = turns(spark, d).filter("role = 'user'").select("turn", "word")
+    return corpus.replicate_pairs(s, "turn", "word").withColumnRenamed("a", "turn_a").withColumnRenamed("b", "turn_b")
 
 
 @query("j10_cache_lookup", "WITH c AS (SELECT sha256(text) AS h, min(item_id) AS item_id FROM benchmark GROUP BY 1) SELECT b.item_id, c.item_id IS NOT NULL AS hit FROM benchmark b LEFT JOIN c ON c.h = sha256(CASE WHEN b.item_id % 3 = 0 THEN b.text || '.' ELSE b.text END)")
@@ -259,9 +276,12 @@ def j11(spark, d):
     return yes.union(docs.join(labels, "doc_id", "left_anti").withColumn("labelled", F.lit(False)))
 
 
-@query("x40_strip_thoughts", "SELECT doc_id, trim(regexp_replace('<think>' || left(coalesce(text, ''), 20) || '</think> ' || lang, '(?s)<think>.*?</think>', '', 'g')) AS answer FROM documents")
+@query("x40_strip_thoughts", r"SELECT doc_id, md5(regexp_replace(regexp_replace('<think>' || coalesce(text, '') || '</think>' || coalesce(text, '') || '<think>' || chr(10) || lang || '</think> ' || lang || chr(10), '(?s)<think>.*?</think>', '', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS answer_md5 FROM documents")
 def x40(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.without_thoughts(F.concat(F.lit("<think>"), F.substring(F.coalesce("text", F.lit("")), 1, 20), F.lit("</think> "), F.col("lang"))).alias("answer"))
+    """Whole texts as the thought and as the answer, with a second block and line ends after it."""
+    body = F.coalesce("text", F.lit(""))
+    said = F.concat(F.lit("<think>"), body, F.lit("</think>"), body, F.lit("<think>\n"), "lang", F.lit("</think> "), "lang", F.lit("\n"))
+    return t(spark, d, "documents").select("doc_id", F.md5(text.without_thoughts(said).cast("binary")).alias("answer_md5"))
 
 
 @query("x38_slugify", "SELECT DISTINCT source || ' Of ' || lang AS raw, replace(lower(trim(source || ' Of ' || lang)), ' ', '_') AS slug FROM documents")

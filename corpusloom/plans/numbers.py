@@ -78,7 +78,8 @@ def x35(spark, d):
 
 
 FACTS_SQL = "(SELECT o_orderpriority AS g, o_orderstatus AS k, count(*)::DOUBLE AS v FROM orders GROUP BY ALL)"
-EVIDENCE = f"SELECT g, k, v, 'value' AS kind FROM {FACTS_SQL} UNION ALL SELECT a.g, a.k || '+' || b.k, a.v + b.v, 'sum' FROM {FACTS_SQL} a JOIN {FACTS_SQL} b ON a.g = b.g AND a.k < b.k UNION ALL SELECT g, k, round(100 * v / sum(v) OVER (PARTITION BY g), 4), 'pct' FROM {FACTS_SQL}"
+EVIDENCE = f"""WITH f AS (SELECT * FROM {FACTS_SQL}), s2 AS (SELECT a.g, a.k || '+' || b.k AS k, a.v + b.v AS v FROM f a JOIN f b ON a.g = b.g AND a.k < b.k), s3 AS (SELECT a.g, a.k || '+' || b.k || '+' || c.k AS k, a.v + b.v + c.v AS v FROM f a JOIN f b ON a.g = b.g AND a.k < b.k JOIN f c ON c.g = a.g AND b.k < c.k), x AS (SELECT a.g || '|' || b.g AS g, a.k || '+' || b.k AS k, a.v + b.v AS v FROM f a JOIN f b ON a.g < b.g)
+SELECT g, k, v, 'value' AS kind FROM f UNION ALL SELECT *, 'sum' FROM s2 UNION ALL SELECT *, 'sum' FROM s3 UNION ALL SELECT *, 'sum' FROM x UNION ALL SELECT g, k, round(100 * v / (SELECT sum(v) FROM f), 4), 'pct' FROM (SELECT * FROM f UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
 
 
 def facts(spark, d):
@@ -93,11 +94,10 @@ def x21(spark, d):
 CLAIMS = "(SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_quantity * (1 + l_orderkey % 40) AS v, l_linenumber % 2 = 0 AS is_pct FROM lineitem)"
 
 
-@query("j13_label_claims", f"WITH e AS ({EVIDENCE}), c AS (SELECT * FROM {CLAIMS}), v AS (SELECT DISTINCT v, is_pct FROM c), g AS (SELECT v.v, v.is_pct, min(CASE WHEN kind = 'value' THEN 0 WHEN kind IS NOT NULL THEN 1 ELSE 2 END) AS grade FROM v LEFT JOIN e ON (round(v.v, 6) = round(e.v, 6) AND kind <> 'pct') OR (is_pct AND kind = 'pct' AND abs(v.v - e.v) <= 0.55) GROUP BY ALL) SELECT claim_id, CASE grade WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' ELSE 'NOT_MACHINE_AUDITABLE' END AS label FROM c JOIN g USING (v, is_pct) WHERE claim_id IN (SELECT claim_id FROM c GROUP BY 1 HAVING count(*) = 1)")
+@query("j13_label_claims", f"WITH e AS ({EVIDENCE}), c AS (SELECT * FROM {CLAIMS}), v AS (SELECT DISTINCT v, is_pct FROM c), g AS (SELECT v.v, v.is_pct, min(CASE WHEN kind = 'value' THEN 0 WHEN kind IS NOT NULL THEN 1 ELSE 2 END) AS grade FROM v LEFT JOIN e ON (round(v.v, 6) = round(e.v, 6) AND (kind = 'value' OR (kind = 'sum' AND NOT is_pct))) OR (is_pct AND kind = 'pct' AND abs(v.v - e.v) <= 0.55) GROUP BY ALL) SELECT claim_id, CASE grade WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'DERIVED' ELSE 'NOT_MACHINE_AUDITABLE' END AS label FROM c JOIN g USING (v, is_pct)")
 def j13(spark, d):
     c = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), (F.col("l_quantity") * (1 + F.col("l_orderkey") % 40)).alias("v"), (F.col("l_linenumber") % 2 == 0).alias("is_pct"))
-    single = c.groupBy("claim_id").agg(F.count("*").alias("n"), F.first("v").alias("v"), F.first("is_pct").alias("is_pct")).filter("n = 1")
-    return corpus.label_claims(single, x21(spark, d))
+    return corpus.label_claims(c, x21(spark, d))
 
 
 @query("a12_facts_pivot", "SELECT o_orderpriority AS g, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS n_f, count_if(o_orderstatus = 'O')::BIGINT AS n_o, count_if(o_orderstatus = 'P')::BIGINT AS n_p, round(100.0::DOUBLE * count_if(o_orderstatus = 'F') / count(*), 1) AS pct_f FROM orders GROUP BY 1")
@@ -129,8 +129,7 @@ def a60(spark, d):
     return corpus.edge_degrees(e, "a", "b")
 
 
-@query("g06_vector_topk", "WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(q, list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(q, q) * list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))), 6) AS cosine FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10")
+@query("g06_vector_topk", "WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(q, list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(q, q) * list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))), 6) AS cosine FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10")
 def g06(spark, d):
-    """The lookup of the SQL's query vectors in all vectors."""
     e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return corpus.nearest(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e)
+    return corpus.nearest(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.operators import corpus
 from corpusloom.plans.common import t
 from corpusloom.plans.documents import CLASS, JUDGED, TOKENS, classify, judged
 from corpusloom.plans.registry import query
@@ -23,17 +24,12 @@ def p03(spark, d):
     return t(spark, d, "documents").select("source", "doc_id", F.row_number().over(w).alias("rn")).filter("rn <= 3").select("source", "doc_id")
 
 
-@query("p04_equal_allocation", """WITH c AS (SELECT source, lang, count(*) AS cap FROM documents GROUP BY ALL), l AS (SELECT max(v) AS level FROM (SELECT v, (SELECT sum(least(cap, v)) FROM c) AS used FROM range(0, 61) r(v)) WHERE used <= 60)
-SELECT source, lang, cap, least(cap, level)::BIGINT AS alloc FROM c, l""")
+@query("p04_equal_allocation", """WITH c AS (SELECT source, lang, count(*) AS cap FROM documents GROUP BY ALL), l AS (SELECT max(v) AS level FROM (SELECT v, (SELECT sum(least(cap, v)) FROM c) AS used FROM range(0, 64) r(v)) WHERE used <= 63), r AS (SELECT 63 - sum(least(cap, level)) AS rest FROM c, l),
+o AS (SELECT source, lang, row_number() OVER (ORDER BY md5(concat_ws(':', source, lang)), source, lang) AS rn FROM c, l WHERE cap > level) SELECT c.source, c.lang, cap, (least(cap, level) + coalesce((rn <= rest)::INT, 0))::BIGINT AS alloc FROM c CROSS JOIN l CROSS JOIN r LEFT JOIN o ON o.source = c.source AND o.lang IS NOT DISTINCT FROM c.lang""")
 def p04(spark, d):
-    """The highest level at which strata of at most their size each take no more than 60 rows together."""
+    """63 rows in equal shares over strata of at most their size; what is left over goes one each by hash."""
     caps = t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("cap"))
-    levels = spark.range(61).withColumnRenamed("id", "v")
-    # Strata are counted by size first, so the 61 levels meet at most 61 sizes.
-    sizes = caps.groupBy(F.least("cap", F.lit(60)).alias("size")).agg(F.count("*").alias("k"))
-    used = sizes.join(F.broadcast(levels)).groupBy("v").agg(F.sum(F.col("k") * F.least("size", "v")).alias("used"))
-    level = used.filter("used <= 60").agg(F.max("v").alias("level"))
-    return caps.crossJoin(F.broadcast(level)).select("source", "lang", "cap", F.least("cap", "level").alias("alloc"))
+    return corpus.equal_allocation(caps, ["source", "lang"], "cap", 63)
 
 
 @query("p07_preferred_then_rest", f"SELECT source, doc_id, quality FROM (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC, {DRAW.format('p7')}, doc_id) AS rn FROM documents JOIN labels USING (doc_id)) WHERE rn <= 3")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
 from corpusloom.operators import corpus
-from corpusloom.plans.common import DEDUP_KEY, DOMAIN, HOST, PATH, URLS_SQL, t, url_list
+from corpusloom.operators.ordered import running
+from corpusloom.plans.common import DEDUP_KEY, DOMAIN, HOST, PATH, QUERY, URLS_SQL, t, url_list
 from corpusloom.plans.registry import query
 
 key, dom, host, path = DEDUP_KEY.format("url"), DOMAIN.format("url"), HOST.format("url"), PATH.format("url")
@@ -74,13 +75,14 @@ def f25(spark, d):
     return t(spark, d, "pages").select("page_id", F.substring(F.md5(F.col("url").cast("binary")), 1, 12).alias("name"))
 
 
-@query("x01_url_parts", f"""SELECT page_id, {host} AS host, {dom} AS domain, {key} AS dedup_key, regexp_extract({host}, '\\.([A-Za-z]+)$', 1) AS tld, len(list_filter(string_split({path}, '/'), lambda x: x <> ''))::BIGINT AS depth, regexp_extract(lower({path}), '(\\.[^./]+)$', 1) AS ext FROM pages""")
+@query("x01_url_parts", f"""SELECT page_id, {host} AS host, {dom} AS domain, {key} AS dedup_key, regexp_extract({host}, '\\.([A-Za-z]+)$', 1) AS tld, len(list_filter(string_split({path}, '/'), lambda x: x <> ''))::BIGINT AS depth, regexp_extract(regexp_extract(lower({path}), '([^/]+)/*$', 1), '^.+(\\.[^.]+)$', 1) AS ext FROM pages""")
 def x01(spark, d):
     u = F.col("url")
     return t(spark, d, "pages").select("page_id", urls.netloc(u).alias("host"), urls.domain(u).alias("domain"), urls.dedup_key(u).alias("dedup_key"), urls.tld(u).alias("tld"), urls.path_depth(u).alias("depth"), urls.extension(u).alias("ext"))
 
 
-CORPUS_KEY = f"""regexp_replace({HOST.format('lower(url)')}, '^www\\.', '') || CASE WHEN length({PATH.format('lower(url)')}) > 1 AND {PATH.format('lower(url)')} LIKE '%/' THEN left({PATH.format('lower(url)')}, length({PATH.format('lower(url)')}) - 1) ELSE {PATH.format('lower(url)')} END || CASE WHEN regexp_extract(lower(url), '\\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(lower(url), '\\?([^#]*)', 1) ELSE '' END"""
+LOW_PATH, LOW_QUERY = PATH.format("lower(url)"), QUERY.format("lower(url)")
+CORPUS_KEY = f"regexp_replace({HOST.format('lower(url)')}, '^www\\.', '') || CASE WHEN length({LOW_PATH}) > 1 AND {LOW_PATH} LIKE '%/' THEN left({LOW_PATH}, length({LOW_PATH}) - 1) ELSE {LOW_PATH} END || CASE WHEN {LOW_QUERY} <> '' THEN '?' || {LOW_QUERY} ELSE '' END"
 
 
 @query("x02_corpus_key", f"SELECT ord, {CORPUS_KEY} AS corpus_key FROM {URLS_SQL}")
@@ -88,9 +90,14 @@ def x02(spark, d):
     return url_list(spark, d).select("ord", urls.corpus_key(F.col("url")).alias("corpus_key"))
 
 
-@query("x04_registrable_domain", f"SELECT page_id, regexp_extract({dom}, '([^.]+\\.[^.]+)$', 1) AS registrable FROM pages")
+IN_UK = "CASE WHEN page_id % 3 = 0 THEN replace(url, '.example.', '.example.co.') ELSE url END"
+
+
+@query("x04_registrable_domain", f"WITH d AS (SELECT page_id, {DOMAIN.format(IN_UK)} AS d FROM (SELECT page_id, regexp_replace(url, '[.](com|org|net)(/|$)', '.uk\\2') AS url FROM pages)), e AS (SELECT page_id, d, regexp_extract(d, '([^.]+\\.[^.]+)$', 1) AS two, regexp_extract(d, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS three FROM d) SELECT page_id, CASE WHEN two IN ({', '.join(map(repr, urls.DOUBLE_SUFFIXES))}) AND three <> '' THEN three WHEN two <> '' THEN two ELSE d END AS registrable FROM e")
 def x04(spark, d):
-    return t(spark, d, "pages").select("page_id", urls.registrable_domain(F.col("url")).alias("registrable"))
+    """Suffixes of one and of two labels, on the pages' addresses moved below .uk and .co.uk."""
+    moved = t(spark, d, "pages").select("page_id", F.regexp_replace("url", "[.](com|org|net)(/|$)", ".uk$2").alias("url"))
+    return moved.select("page_id", urls.registrable_domain(F.expr(IN_UK)).alias("registrable"))
 
 
 @query("a17_corpus_stats", f"""WITH p AS (SELECT regexp_extract({host}, '\\.([A-Za-z]+)$', 1) AS tld, url, {key} AS k, {dom} AS dom, len(list_filter(string_split({path}, '/'), lambda x: x <> '')) AS depth FROM pages)
@@ -121,8 +128,9 @@ def a23(spark, d):
 @query("w04_domain_curve", f"WITH n AS (SELECT {dom} AS domain, count(*) AS n FROM pages GROUP BY 1) SELECT domain, n, row_number() OVER w AS rank, round(sum(n) OVER w / sum(n) OVER (), 6)::DOUBLE AS cum_share FROM n WINDOW w AS (ORDER BY n DESC, domain ROWS UNBOUNDED PRECEDING)")
 def w04(spark, d):
     n = t(spark, d, "pages").groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "domain")
-    return n.select("domain", "n", F.row_number().over(w).cast("long").alias("rank"), F.round(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("cum_share"))
+    curve = running(n, [F.desc("n"), "domain"], {"rank": F.lit(1), "upto": F.col("n")})
+    total = n.agg(F.sum("n").alias("total"))
+    return curve.crossJoin(F.broadcast(total)).select("domain", "n", "rank", F.round(F.col("upto") / F.col("total"), 6).alias("cum_share"))  # one row
 
 
 @query("a19_top_share", f"WITH n AS (SELECT {dom} AS domain, count(*) AS n FROM pages GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, domain) AS rk FROM n) SELECT round(sum(CASE WHEN rk <= 1 THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS top1, round(sum(CASE WHEN rk <= 3 THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS top3, round(sum(CASE WHEN rk <= 10 THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS top10 FROM r")

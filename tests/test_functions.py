@@ -10,7 +10,7 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("url, key", [("HTTP://www.A.org/b//?q=1#f", "a.org/b"), ("https://a.org", "a.org"), ("nonsense", ""), ("http://a b.org/x y/", "a b.org/x y")])
+@pytest.mark.parametrize("url, key", [("HTTP://www.A.org/b//?q=1#f", "a.org/b"), ("https://a.org", "a.org"), ("nonsense", "nonsense"), ("example.org/x/", "example.org/x"), ("//www.A.org/b?q", "a.org/b"), ("example.org:80/x", "80/x"), ("mailto:a@b.c", "a@b.c"), ("http://a b.org/x y/", "a b.org/x y")])
 def test_dedup_key(spark, url, key):
     assert one(spark, urls.dedup_key(F.lit(url))) == key
 
@@ -20,6 +20,24 @@ def test_corpus_key_keeps_query(spark):
     assert one(spark, urls.corpus_key(F.lit("https://a.org/"))) == "a.org/"
 
 
+def test_corpus_key_of_addresses_without_a_scheme(spark):
+    assert one(spark, urls.corpus_key(F.lit("Example.org/b/?q=1#f"))) == "example.org/b?q=1"
+    assert one(spark, urls.corpus_key(F.lit("a#x?y"))) == "a"
+
+
+@pytest.mark.parametrize("raw, n", [("51.5", 1), ("51", 0), (" 1.25 ", 2), ("", None), (None, None)])
+def test_decimal_places(spark, raw, n):
+    assert one(spark, urls.decimal_places(F.lit(raw).cast("string"))) == n
+
+
+@pytest.mark.parametrize("address", ["http://a/b.PDF", "http://a/b.c/", "http://a/.bashrc", "http://a/b.", "http://a.org", "http://a/x.tar.gz?y=.z"])
+def test_extension_is_that_of_a_path(spark, address):
+    from pathlib import PurePosixPath
+    from urllib.parse import urlparse
+
+    assert one(spark, urls.extension(F.lit(address))) == PurePosixPath(urlparse(address).path).suffix.lower().removesuffix("." if address.endswith(".") else "")
+
+
 def test_keyword_space_rule(spark):
     assert not one(spark, text.keyword_present(F.lit("apple"), "app"))
     assert one(spark, text.keyword_present(F.lit("the App."), "app"))
@@ -38,11 +56,6 @@ def test_exact_intervals():
     assert stats.clopper_pearson(0, 25)[1] == pytest.approx(0.1372, abs=1e-4)
 
 
-def test_water_fill():
-    assert corpus.water_fill({"a": 2, "b": 10, "c": 10}, 12) == {"a": 2, "b": 5, "c": 5}
-    assert sum(corpus.water_fill({"a": 1, "b": 1}, 9).values()) == 2
-
-
 def test_url_csv_layouts(spark, tmp_path):
     for body, lat in (("URL,Lat,Lng\n http://a/ ,1.50,2\n,3,4\n", "1.50"), ("URL,coordinates\nhttp://a/,\"1.50, 2\"\n", "1.50"), ("URL \nhttp://a/\n", "")):
         p = tmp_path / f"{len(body)}.csv"

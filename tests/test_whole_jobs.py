@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
-from corpusloom.llm import langid, pii
 from corpusloom.operators import corpus
 from corpusloom.streaming import fetched
 
@@ -48,31 +47,6 @@ def test_thoughts_are_stripped_from_whole_texts(spark):
     assert [found[k] for k in range(len(raw))] == [re.sub("<think>.*?</think>", "", x, flags=re.DOTALL).strip() for x in raw]
 
 
-def test_langid_keeps_all_letters_of_the_samples():
-    r = np.random.default_rng(5)
-    scripts = {"many": r.integers(0x4E00, 0x5200, 6000), "more": r.integers(0x5200, 0x5600, 6000), "few": r.integers(0x430, 0x44A, 4000), "latin": r.integers(0x61, 0x7B, 12000)}
-    samples = {k: "".join(map(chr, v)) for k, v in scripts.items()}
-    parser = langid.CrossParser(samples)
-    assert len(parser.rare_from) and parser.width == langid.ALPHABET
-    assert [x for x, _ in parser.predict([t[k : k + 30] for t in samples.values() for k in (100, 900)])] == [k for k in samples for _ in range(2)]
-
-
-def test_sparse_transitions_equal_the_table(monkeypatch):
-    samples = {"a": "the cat and the hat sat on that mat", "b": "der hund und die katze sitzen auf der matte", "c": "zażółć gęślą jaźń"}
-    texts = ["that cat", "die katze und der hund", "gęślą jaźń zażółć", "the hund q", ""]
-    dense = langid.CrossParser(samples)
-    monkeypatch.setattr(langid, "ALPHABET", 4)
-    few = langid.CrossParser(samples)
-    coded = [langid.letters_of(t) for t in texts]
-    assert not len(dense.rare_from) and len(few.rare_from)
-    assert np.array_equal(dense.phrases(coded), few.phrases(coded))
-
-
-def test_phone_of_any_length():
-    long = "+1" + " -." * 70_000 + "2345678901"
-    assert pii.find_spans(f"call {long}, now") == [("phone", 5, 5 + len(long))]
-
-
 def test_internal_links_are_resolved_before_they_are_counted(spark):
     page = """<link href="/css"><A class='x' HREF='/a'>1</a><a href="/a/"><a href="/a#x"><a href=b?p=1&amp;q=2><a href="//other.host/z"><a href="//Site.org/c">
     <a data-href="/no" href = "https://site.org/d"><a href="mailto:x@y"><a href="../up"><a href="#top"><a title="a > b href='/q'" href="http://[bad"><a href="/e">""" + f"<a {'x' * 50_000} {'z=1 ' * 200}href=/f><a title=\"open"
