@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm._common import table
 from corpusloom.llm.piece_cache import PartEncoder
 
-#: Bytes that are merged directly; longer strings are halved.
-LEAF_BYTES = 16
 NO_RANK = 1 << 62
-#: Checked pairs of tokens that an encoder remembers before it starts anew.
-PAIR_CACHE = 200_000
+#: Windows beyond this many bytes are merged with a heap.
+LONG_BYTES = 32
+#: Pairs of tokens, and encoded strings of up to MEMO_BYTES bytes, that an encoder remembers before it starts anew.
+PAIR_CACHE, MEMO, MEMO_BYTES = 200_000, 400_000, 16
+#: Ids that decoding puts together at a leaf of its tree.
+LEAF_IDS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,18 +28,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeBpe:
-    """Encoder and decoder for a table of ranks (bytes to id, lower merges first)."""
+    """Encoder and decoder for a table of ranks (bytes to id, lower merges first).
+
+    A string is halved down to single bytes, and neighbours are joined on the way up; an
+    encoder remembers the joins of token pairs and the encodings of short strings.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.pairs = ranks, {}
+        self.ranks, self.pairs, self.known = ranks, {}, {}
         self.bytes_of = {i: b for b, i in ranks.items()}
+        #: Joins made, those whose seam was stable at once, and windows that had to grow.
+        self.joins, self.clean, self.grown = 0, 0, 0
 
     def merge(self, text: bytes) -> list[int]:
-        """The ids of text by merging pairs of least rank, leftmost first, with no halving."""
+        """The ids of text by merging pairs of least rank, leftmost first, with no halving: what is done to a window."""
         ranks = self.ranks
         if text in ranks:
             return [ranks[text]]
-        if len(text) > 2 * LEAF_BYTES:
+        if len(text) > LONG_BYTES:
             return self._merge_long(text)
         parts = [text[k : k + 1] for k in range(len(text))]
         rank, none = ranks.get, NO_RANK
@@ -81,13 +89,18 @@ class TreeBpe:
             offer(k)
         return [ranks[text[k : end[k]]] for k in range(n) if alive[k]]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the pair a, b encodes to itself."""
-        if (a, b) not in self.pairs:
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the bytes of two tokens together."""
+        found = self.pairs.get((a, b))
+        if found is None:
             if len(self.pairs) >= PAIR_CACHE:
                 self.pairs.clear()
-            self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.pairs[a, b]
+            found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b])
+        return found
+
+    def stable(self, a: int, b: int) -> bool:
+        """Whether the pair a, b encodes to itself."""
+        return self.pair(a, b) == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the two decoded strings together.
@@ -98,24 +111,37 @@ class TreeBpe:
         """
         if not left or not right:
             return left or right
+        self.joins += 1
+        new = self.pair(left[-1], right[0])
+        if new == [left[-1], right[0]]:
+            self.clean += 1
+            return left + right
         wl = wr = 1
         while True:
-            window = b"".join(map(self.bytes_of.__getitem__, left[-wl:] + right[:wr]))
-            new = self.merge(window)
             left_ok = wl >= len(left) or self.stable(left[-wl - 1], new[0])
             right_ok = wr >= len(right) or self.stable(new[-1], right[wr])
             if left_ok and right_ok:
                 return left[:-wl] + new + right[wr:]
+            self.grown += 1
             wl, wr = (wl if left_ok else min(2 * wl, len(left))), (wr if right_ok else min(2 * wr, len(right)))
+            new = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-wl:] + right[:wr])))
 
     def encode(self, text: bytes) -> list[int]:
-        if len(text) <= LEAF_BYTES:
-            return self.merge(text) if text else []
+        """The ids of text; the list is not to be changed."""
+        found = self.known.get(text)
+        if found is not None:
+            return found
         half = len(text) // 2
-        return self.join(self.encode(text[:half]), self.encode(text[half:]))
+        found = self.join(self.encode(text[:half]), self.encode(text[half:])) if half else [self.ranks[text]] if text else []
+        if len(text) <= MEMO_BYTES:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[text] = found
+        return found
 
     def decode(self, ids) -> bytes:
-        if len(ids) <= 4096:
+        """The bytes of ids, put together up a tree of halves."""
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
