@@ -15,9 +15,9 @@ NEIGHBOURS = 20
 #: The model is fitted on the vectors of so many least id hashes at most.
 SAMPLE_VECTORS = 4096
 #: Rotations of the space, each giving a bit a dimension; bits of an indexed substring.
-ROTATIONS, SUBSTRING_BITS = 2, 8
+ROTATIONS, SUBSTRING_BITS = 4, 8
 #: Share of the sample's true neighbours within the search radius. Neighbours in the whole table are nearer.
-SAMPLE_RECALL = 0.97
+SAMPLE_RECALL = 0.95
 #: Rows of an index block and queries of a chunk, at least and at most.
 LEAST_ROWS, MOST_ROWS, MOST_BLOCKS = 2048, 262_144, 256
 
@@ -124,7 +124,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataF
     candidates; of queries that repeat an id the least vector asks. Ties go to the smaller vec_id. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    clean = lambda df: df.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    clean = lambda df: df.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     vectors, queries = clean(vectors).filter("vec_id is not null"), clean(queries).filter("vec_id is not null")
     queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # A table has vectors of one length, or of a few.
@@ -150,7 +150,7 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, n: int, k: int) ->
 
         asks = cell["asks"].to_numpy()
         ids = cell["vec_id"].to_numpy()
-        data = np.stack(cell["embedding"].to_numpy())
+        data = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
         own_ids, own, wanted = ids[~asks], data[~asks], np.flatnonzero(asks)
         if not len(own) or not len(wanted):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_ids": np.zeros(0, object), "scores": np.zeros(0, object)})
