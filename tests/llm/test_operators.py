@@ -264,6 +264,30 @@ def test_byte_bpe_equals_tiktoken():
         assert tree.decode(ids) == t.encode()
 
 
+def test_byte_bpe_joins_make_the_ids():
+    """Every string of two bytes or more comes of joins; strings without any pattern go through one tree whole."""
+    import tiktoken
+
+    tree = byte_bpe.TreeBpe(byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    whole = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=tree.ranks, special_tokens={})
+    r, strings = random.Random(12), set()
+    for _ in range(300):
+        strings.add("".join(r.choice(["the", "re", " ", "tion", "é", "a", "zz", "中", "\n", "ing", "1"]) for _ in range(r.randint(1, 200))))
+    for s in strings:
+        assert tree.encode(s.encode()) == whole.encode_ordinary(s)
+    assert tree.clean > 0 and tree.grown > 0 and tree.joins >= tree.clean + 1000
+    assert tree.encode(b"") == [] and tree.decode([]) == b""
+
+
+def test_byte_bpe_round_trip_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "é <|endoftext|>"), (4, "x" * 70_000)]
+    got = byte_bpe.round_trip(table(spark, rows).withColumn("ids", F.lit(0)), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    texts = sorted((hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows))
+    assert sorted(r["decoded_sha256"] for r in got) == texts
+    assert [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0] and sum(r["doc_id"] == 3 for r in got) == 2
+    assert byte_bpe.round_trip(table(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
 def test_packing_places_every_piece_without_gaps(spark):
     rows = [(k, "word " * (k * 37 % 3000)) for k in range(120)] + [(500, None), (501, ""), (1, "again")]
     got = packing.pack_documents(table(spark, rows), P.path("word_bpe_49k.json"), keep_ids=True).collect()
@@ -328,6 +352,9 @@ def test_ann_recall_and_edges(spark):
     odd = table(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.5, None]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(ann.search(odd, odd.filter("vec_id = 0")).collect())] == [(1, 1, 1.0), (2, 7, 1.0)]
     assert ann.search(odd.limit(0), odd.limit(0)).count() == 0
+    again = table(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (20, [3.0]), (21, [2.0]), (22, [-1.0])], "vec_id long, embedding array<double>").withColumn("score", F.lit(9))
+    found = sorted(map(tuple, ann.search(again, again.filter("vec_id % 20 = 0")).collect()))
+    assert found == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (20, 1, 21, 6.0), (20, 2, 22, -3.0)]
 
 
 def test_multi_index_finds_all_within_radius():
