@@ -80,6 +80,19 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\x0B]+", " "))
 
 
+def rough_text(html: Column, most: int = 2000) -> Column:
+    """Markup out, white space single, the first characters: what a guess of the language reads."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<[^>]+>", " "), r"\s+", " ")
+    return F.substring(F.trim(bare), 1, most)
+
+
+def main_text(html: Column, least: int = 100) -> Column:
+    """Visible text of the first <article>, else <main>; of the whole page where that is shorter than least and than the page's."""
+    part = lambda tag: F.nullif(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), F.lit(""))
+    main, whole = visible_text(F.coalesce(part("article"), part("main"), F.lit(""))), visible_text(html)
+    return F.when((F.length(main) < least) & (F.length(whole) > F.length(main)), whole).otherwise(main)
+
+
 def hrefs(html: Column) -> Column:
     """The href values of <a> tags in order, as written: in double, single or no quotes."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)(<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""), F.lit(1))

@@ -83,6 +83,11 @@ def file_slug(url: Column, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "/", "_"), 1, most)
 
 
+def raw_file(url: Column) -> Column:
+    """The name that a page is kept under: no scheme, slashes as underscores, nothing cut."""
+    return F.concat(F.regexp_replace(F.regexp_replace(F.trim(url), "^https?://", ""), "/", "_"), F.lit(".html"))
+
+
 def links_within(url: str | None, hrefs: list[str]) -> list[str]:
     """Absolute links of hrefs on url's own host, without fragments, closing slashes and url itself, distinct in order."""
     out: dict[str, None] = {}
