@@ -293,6 +293,11 @@ class _Sections(HTMLParser):
         if self.inside and data.strip():
             self.parts.append(data.strip())
 
+    def close(self):
+        super().close()
+        if self.inside:
+            self.handle_endtag(self.inside)
+
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("para", T.StringType())])))
 def sections(pages: pd.Series) -> pd.Series:
