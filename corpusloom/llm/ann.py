@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +17,8 @@ SAMPLE_VECTORS = 4096
 ROTATIONS, SUBSTRING_BITS = 4, 8
 #: Share of the sample's true neighbours within the search radius. Neighbours in the whole table are nearer.
 SAMPLE_RECALL = 0.95
-#: Rows of an index block and queries of a chunk, at least and at most.
-LEAST_ROWS, MOST_ROWS, MOST_BLOCKS = 2048, 262_144, 256
+#: Rows of an index block at least and at most, blocks of a table up to that, and queries of a chunk.
+LEAST_ROWS, MOST_ROWS, MOST_BLOCKS, CHUNK = 16_384, 262_144, 256, 1024
 
 
 class CodeModel:
@@ -61,34 +60,41 @@ class MultiIndex:
         self.order = np.argsort(codes, axis=0, kind="stable")
         values = np.arange(257)
         self.starts = np.stack([np.searchsorted(np.sort(codes[:, k]), values) for k in range(codes.shape[1])])
-        self.flips = [np.array([0], dtype=np.uint8)]
-        for n in range(1, SUBSTRING_BITS + 1):
-            more = [sum(1 << b for b in c) for c in combinations(range(SUBSTRING_BITS), n)]
-            self.flips.append(np.concatenate([self.flips[-1], np.array(more, dtype=np.uint8)]))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows with codes within radius of code.
+    def reach(self, radius: int) -> list[int]:
+        """How far each substring's values are probed, -1 for not at all.
 
-        With radius = s * m + a over m substrings, such a code is within s of one of the first
-        a + 1 substrings or within s - 1 of one of the others; those values are probed.
+        With radius = s * m + a over m substrings, a code within radius is within s of one of
+        the first a + 1 substrings or within s - 1 of one of the others.
         """
-        m = len(code)
+        m = self.codes.shape[1]
         s, a = divmod(min(radius, m * SUBSTRING_BITS), m)
-        seen = np.zeros(len(self.codes), dtype=bool)
-        for k in range(m):
-            reach = s if k <= a else s - 1
+        return [s if k <= a else s - 1 for k in range(m)]
+
+    def probed(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """(queries, rows in bits): the rows in any bucket that a query probes. Queries with one value of a substring probe it once."""
+        n = len(self.codes)
+        seen = np.zeros((len(queries), -(-n // 8)), dtype=np.uint8)
+        values = np.arange(256, dtype=np.uint8)
+        for k, reach in enumerate(self.reach(radius)):
             if reach < 0:
                 continue
-            probes = self.flips[min(reach, SUBSTRING_BITS)] ^ code[k]
-            low, high = self.starts[k][probes], self.starts[k][probes.astype(np.int64) + 1]
-            n = high - low
-            total = int(n.sum())
-            if total:
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-                seen[self.order[at, k]] = True
-        found = np.flatnonzero(seen)
-        apart = np.bitwise_count(self.codes[found].view(_WORD) ^ code.view(_WORD)).sum(axis=1) if m % 8 == 0 else np.bitwise_count(self.codes[found] ^ code).sum(axis=1)
-        return found[apart <= radius]
+            sizes = np.diff(self.starts[k])
+            asked, which = np.unique(queries[:, k], return_inverse=True)
+            by_value = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
+            for value, own in zip(asked, by_value, strict=True):
+                near = np.bitwise_count(values ^ value) <= reach
+                rows = np.zeros(n, dtype=bool)
+                rows[self.order[np.repeat(near, sizes), k]] = True
+                seen[own] |= np.packbits(rows)
+        return seen
+
+    def within(self, queries: np.ndarray, radius: int):
+        """Yields all rows with codes within radius, for each of queries."""
+        for code, seen in zip(queries, self.probed(queries, radius), strict=True):
+            found = np.flatnonzero(np.unpackbits(seen, count=len(self.codes)))
+            own, code = (x.view(_WORD) if x.shape[-1] % 8 == 0 else x for x in (self.codes[found], code))
+            yield found[np.bitwise_count(own ^ code).sum(axis=1) <= radius]
 
 
 _WORD = np.uint64
@@ -138,8 +144,8 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, n: int, k: int) ->
     asked = queries.count()
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).collect()
     model = CodeModel(np.array([r["embedding"] for r in picked]).reshape(-1, dim), k)
-    rows_of = lambda n: min(max(LEAST_ROWS, -(-n // MOST_BLOCKS)), MOST_ROWS)
-    blocks, chunks = -(-n // rows_of(n)), max(1, -(-asked // rows_of(asked)))
+    rows = min(max(LEAST_ROWS, -(-n // MOST_BLOCKS)), MOST_ROWS)
+    blocks, chunks = -(-n // rows), max(1, -(-asked // CHUNK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
     index = vectors.select(deal(blocks, 1).alias("block"), every(chunks).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "embedding")
@@ -156,12 +162,11 @@ def _search(vectors: DataFrame, queries: DataFrame, dim: int, n: int, k: int) ->
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_ids": np.zeros(0, object), "scores": np.zeros(0, object)})
         table, codes, out = MultiIndex(model.codes(own)), model.codes(data[wanted]), []
         width = codes.shape[1] * SUBSTRING_BITS
-        for code, w in zip(codes, wanted, strict=True):
+        for code, w, found in zip(codes, wanted, table.within(codes, model.radius), strict=True):
             radius = model.radius
-            found = table.within(code, radius)
             while len(found) <= k and radius < width:
                 radius = min(width, radius + 8)
-                found = table.within(code, radius)
+                found = next(table.within(code[None], radius))
             near, scores = best(data[w], ids[w], own_ids, own, found, k)
             out.append((ids[w], near, scores))
         return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
