@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +19,9 @@ NO_RANK = 1 << 62
 #: Windows beyond this many bytes are merged with a heap.
 LONG_BYTES = 32
 #: Pairs of tokens, and encoded strings of up to MEMO_BYTES bytes, that an encoder remembers before it starts anew.
-PAIR_CACHE, MEMO, MEMO_BYTES = 200_000, 400_000, 16
+PAIR_CACHE, MEMO, MEMO_BYTES = 200_000, 300_000, 8
+#: Parts of texts whose ids a worker remembers, from one batch to the next, before it starts anew.
+PARTS = 400_000
 #: Ids that decoding puts together at a leaf of its tree.
 LEAF_IDS = 64
 
@@ -147,18 +151,32 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _coders: dict[tuple[str, str], tuple[TreeBpe, PartEncoder]] = {}
 
 
 def coder(path: str, pattern: str) -> tuple[TreeBpe, PartEncoder]:
     """A worker's coder for a ranks file and a pattern, made once."""
     if (path, pattern) not in _coders:
-        import numpy as np
         import regex
 
         tree, find = TreeBpe(load_ranks(path)), regex.compile(pattern).findall
-        one = lambda part: [i for m in find(part) for i in tree.encode(m.encode())]
-        _coders[path, pattern] = tree, PartEncoder(lambda group: [np.array(one(p), dtype="<u4").tobytes() for p in group])
+        seen: dict[str, bytes] = {}
+
+        def ids_of(group: list[str]) -> list[bytes]:
+            out = []
+            for part in group:
+                ids = seen.get(part)
+                if ids is None:
+                    ids = array("I", [i for m in find(part) for i in tree.encode(m.encode())]).tobytes()
+                    if len(part) <= 64:
+                        if len(seen) >= PARTS:
+                            seen.clear()
+                        seen[part] = ids
+                out.append(ids)
+            return out
+
+        _coders[path, pattern] = tree, PartEncoder(ids_of)
     return _coders[path, pattern]
 
 
