@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import geo, stats, text, urls
+from corpusloom.functions import stats, text, urls
+from corpusloom.operators import nearby
 from corpusloom.operators.ordered import numbered, order_statistics
 
 
@@ -64,22 +65,11 @@ def herfindahl(df: DataFrame, key: Column) -> DataFrame:
 def locate(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     """The box of each point: the containing one of nearest centre, else the nearest of all (`nearest`); no coordinates: `no_coords`.
 
-    boxes: name, min_lng, min_lat, max_lng, max_lat; a district list, so it is joined as a
-    broadcast after its size is checked.
+    boxes: name, min_lng, min_lat, max_lng, max_lat. Ties go to the first name.
     """
-    if boxes.count() > 10_000:
-        raise ValueError("locate: more boxes than a district list holds")
-    cx = (geo.mercator_x(F.col("min_lng")) + geo.mercator_x(F.col("max_lng"))) / 2
-    cy = (geo.mercator_y(F.col("min_lat")) + geo.mercator_y(F.col("max_lat"))) / 2
-    centred = F.broadcast(boxes.withColumns({"_cx": cx, "_cy": cy}))
-    away = F.pow(geo.mercator_x(F.col("lng")) - F.col("_cx"), F.lit(2)) + F.pow(geo.mercator_y(F.col("lat")) - F.col("_cy"), F.lit(2))
-    inside = (F.col("lng") > F.col("min_lng")) & (F.col("lng") < F.col("max_lng")) & (F.col("lat") > F.col("min_lat")) & (F.col("lat") < F.col("max_lat"))
-    known = points.filter(~geo.missing(F.col("lat"), F.col("lng")))
-    pairs = known.crossJoin(centred).select(key, F.struct((~inside).alias("out"), away.alias("away"), F.col("name")).alias("c"))
-    best = pairs.groupBy(key).agg(F.min("c").alias("c"))
-    found = best.select(key, F.col("c.name").alias("district"), F.when(F.col("c.out"), "nearest").otherwise("exact").alias("match_type"))
-    none = points.filter(geo.missing(F.col("lat"), F.col("lng"))).select(key, F.lit("Not Specified").alias("district"), F.lit("no_coords").alias("match_type"))
-    return found.union(none)
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("min_lng", "min_lat"), corner("max_lng", "min_lat"), corner("max_lng", "max_lat"), corner("min_lng", "max_lat"), corner("min_lng", "min_lat"))
+    return nearby.locate(points, numbered(boxes.select("name", F.array(ring).alias("rings")), ["name"], "ord"), key)
 
 
 #: Names' runs of words up to this number are sent to all tasks; more are met by a shuffle.

@@ -186,5 +186,17 @@ def margin_box(points: DataFrame, by: list[str], margin: float = 0.25) -> DataFr
     return b.select(*by, *[(F.col(f"{n}_{c}") + (wide(c) if n == "max" else -wide(c))).alias(f"{n}_{c}") for n in ("min", "max") for c in ("lng", "lat")])
 
 
+def outside_own_box(points: DataFrame, boxes: DataFrame, key: str, city: str) -> DataFrame:
+    """Points (key, city, lat, lng) outside their own city's box (c, min_lng, ...): key, city, inside_of (the first other city whose box holds them, or null).
+
+    A city has one box, so the boxes are configuration and sent to all tasks.
+    """
+    boxes = F.broadcast(boxes)
+    held = F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
+    out = points.join(boxes, F.col(city) == F.col("c")).filter(~held).select(key, city, "lat", "lng")
+    other = out.join(boxes, held & (F.col(city) != F.col("c")), "left")
+    return other.groupBy(key, city).agg(F.min("c").alias("inside_of"))
+
+
 def access_failure(reason: Column) -> Column:
     return F.coalesce(reason.rlike("(?i)" + "|".join(ACCESS_FAILURES)), F.lit(False))

@@ -61,16 +61,6 @@ def a26(spark, d):
     return n.agg(F.count("*").alias("n_points"), F.max("n").alias("largest"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("shared"))
 
 
-@query("a27_nn_distance", f"WITH p AS (SELECT DISTINCT lat, lng FROM {POINTS_SQL} WHERE lat IS NOT NULL), n AS (SELECT a.lat, a.lng, min({HAVERSINE.format('a', 'b')}) AS m FROM p a JOIN p b ON (a.lat, a.lng) <> (b.lat, b.lng) GROUP BY ALL) SELECT round(median(m), 4) AS mid, round(quantile_cont(m, 0.25), 4) AS low, round(quantile_cont(m, 0.75), 4) AS high FROM n")
-def a27(spark, d):
-    """All pairs of distinct places, which the derived grid bounds at 97 x 89."""
-    p = points(spark, d).filter("lat IS NOT NULL").select("lat", "lng").distinct()
-    a, b = p.alias("a"), F.broadcast(p).alias("b")
-    other = (F.col("a.lat") != F.col("b.lat")) | (F.col("a.lng") != F.col("b.lng"))
-    n = a.join(b, other).groupBy("a.lat", "a.lng").agg(F.min(geo.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))).alias("m"))
-    return n.agg(F.round(F.percentile("m", 0.5), 4).alias("mid"), F.round(F.percentile("m", 0.25), 4).alias("low"), F.round(F.percentile("m", 0.75), 4).alias("high"))
-
-
 @query("x35_geo_reasoning", f"SELECT page_id, CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS hemisphere, CASE WHEN abs(lat) < 23.5 THEN 'tropical' WHEN abs(lat) < 66.5 THEN 'temperate' ELSE 'polar' END AS band FROM {POINTS_SQL} WHERE lat IS NOT NULL")
 def x35(spark, d):
     p = points(spark, d).filter("lat IS NOT NULL")
