@@ -38,6 +38,18 @@ def merge_by(df: DataFrame, key: str, body: str, order: str, per_part: int = 100
     return joined.select(key, "part", "primary", "n_merged", F.array_join(F.transform("p", lambda x: x["_t"]), "\n\n").alias("merged"))
 
 
+def prepared(pages: DataFrame, key: str, order: str) -> DataFrame:
+    """A document of each key's pages (url, body): key, part, n_merged and text; the longest page leads with a header, others follow as sections."""
+    n = F.length("body")
+    lead = pages.groupBy(key).agg(F.min(F.struct((-n).alias("l"), F.col(order).alias("o")))["o"].alias("_lead"))
+    first = F.concat(F.lit("# "), "url", F.lit("\n\nFull text:\n"), "body")
+    rest = F.concat(F.lit("--- Additional page: "), "url", F.lit(" ---\n"), "body")
+    rows = pages.join(lead, key).withColumn("_leads", F.col(order) == F.col("_lead"))
+    ranked = numbered(rows.withColumn("_l", -n), ["_l", order], "_rank", [key])
+    parts = ranked.groupBy(key, F.floor((F.col("_rank") - 1) / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("_rank", F.when(F.col("_leads"), first).otherwise(rest).alias("t")))).alias("p"), F.count("*").alias("n_merged"))
+    return parts.select(key, "part", "n_merged", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
+
+
 def levels(df: DataFrame, value: str, by: list[str] | None = None, shares: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
     """Adds level by the index order statistics of the whole table, or of each group of by.
 
