@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -50,6 +50,34 @@ def save(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap that bitmap_construct_agg makes, and the bound of the bitmaps that are sent to all tasks.
+BLOCK_BITS, MOST_SENT_BYTES = 32_768, 64 << 20
+
+
+def bit_set(bitmap: Column, bit: Column) -> Column:
+    """Whether a bit (0 to BLOCK_BITS - 1) is set; false for a null bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0, F.lit(False))
+
+
+def without_rows(df: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose number, its column `row`, is in gone (row); that column is dropped.
+
+    Numbers come of monotonically_increasing_id and lie close together, so gone is packed into
+    bitmaps, some bits a row of df. Up to a bound these go to all tasks and df isn't shuffled;
+    beyond it df is joined.
+    """
+    path = scratch(df.sparkSession, "gone")
+    blocks = gone.groupBy(F.floor(F.col("row") / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("row") % BLOCK_BITS).alias("bitmap"))
+    blocks = save(blocks, path)
+    kept = [df[c] for c in df.columns if c != row]
+    if blocks.count() * (BLOCK_BITS // 8) > MOST_SENT_BYTES:
+        return df.join(gone, df[row] == gone["row"], "left_anti").select(*kept)
+    sent = F.broadcast(blocks.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap")))
+    joined = df.join(sent, F.floor(df[row] / BLOCK_BITS) == sent["_block"], "left")
+    return joined.filter(~bit_set(sent["_bitmap"], df[row] % BLOCK_BITS)).select(*kept)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

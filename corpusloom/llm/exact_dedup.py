@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import remove, save, scratch, table, unused
+from corpusloom.llm._common import BLOCK_BITS, bit_set, remove, save, scratch, table, unused, without_rows
 
 #: Rows of a memtable; a task flushes a run for each.
 MEMTABLE_ROWS = 100_000
-#: Bits of a filter for each digest in it, and of a block, a row of the filter (the bits that bitmap_construct_agg sets).
-FILTER_BITS, BLOCK_BITS = 16, 32_768
+#: Bits of a filter for each digest in it; a block, a row of the filter, has BLOCK_BITS.
+FILTER_BITS = 16
 #: The bound of a filter that is sent to all tasks. Beyond it none is, and every row takes the exact lookup.
 MOST_FILTER_BYTES = 64 << 20
 #: The least size of a group in the filter.
@@ -85,8 +85,7 @@ class DigestIndex:
         bit, block, bitmap = (unused(rows, c) for c in ("_bit", "_block", "_bitmap"))
         blocks = F.broadcast(blocks.select(F.col("block").alias(block), F.col("bitmap").alias(bitmap)))
         asked = rows.withColumn(bit, _bit(F.col("digest"), bits)).withColumn(block, F.floor(F.col(bit) / BLOCK_BITS)).join(blocks, block, "left")
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.col(bit) % BLOCK_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col(bit) % 8).cast("int") + 1)) != 0, F.lit(False))
+        hit = bit_set(F.col(bitmap), F.col(bit) % BLOCK_BITS)
         return asked.filter(hit).select(*rows.columns), asked.filter(~hit).select(*rows.columns)
 
 
@@ -160,16 +159,18 @@ def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     row, key = unused(docs, "_row"), unused(docs, "_digest")
     marked = docs.withColumns({row: F.monotonically_increasing_id(), key: digest(normal_form(F.col("text")))})
     marked = save(marked, scratch(spark, "texts"))
+    held = marked.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("digest"), F.col("text").alias("norm"))
     index = DigestIndex(spark)
-    held = marked.select(F.struct(*docs.columns).alias("doc"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("digest"))
     index.flush(held.select("id", "digest"))
     index.compact()
-    hits, alone = index.ask(held)
-    checked, mixed = _verified(index, hits.withColumn("norm", normal_form(F.col("doc.text"))))
-    alone_too = hits.select("row", "digest").join(index.merged[1].filter(F.col("group_size") < REPEATED).select("digest"), "digest").select("row")
-    by_text = mixed.groupBy("digest", "other").agg(_least()).select("keep_row")
-    stay = save(checked.filter("same").select(F.col("keep_row").alias("row")).union(alone_too).union(by_text), scratch(spark, "stays"))
-    return alone.select("doc.*").union(hits.join(stay, "row", "left_semi").select("doc.*"))
+    hits, _ = index.ask(held)
+    hits = hits.withColumn("norm", normal_form(F.col("norm")))
+    checked, mixed = _verified(index, hits)
+    repeated = hits.select("row", "digest").join(checked.select("digest", "same", "keep_row"), "digest")
+    by_text = mixed.groupBy("digest", "other").agg(_least())
+    others = mixed.join(by_text, ["digest", "other"]).select("row", "keep_row")
+    gone = repeated.filter("same").select("row", "keep_row").union(others).filter("row <> keep_row").select("row")
+    return without_rows(marked.drop(key), row, gone)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import components, remove, save, scratch, table, unused
+from corpusloom.llm._common import components, remove, save, scratch, table, unused, without_rows
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
@@ -255,8 +255,8 @@ def keep_one_a_group(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
     alike = keys.groupBy("fp").agg(first.alias("row"), F.min("doc_id").alias("doc_id"))
     stay = alike.join(_labelled(keys, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("row"))
-    stay = save(stay.select(F.col("row").alias("_stays")), scratch(spark, "simhash-stay"))
-    return marked.join(stay, marked[row] == stay["_stays"], "left_semi").select(*[marked[c] for c in docs.columns])
+    gone = keys.select("row").join(stay.select("row"), "row", "left_anti")
+    return without_rows(marked.drop(fp), row, gone)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
