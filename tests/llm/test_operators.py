@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import ann, byte_bpe, exact_dedup, html_text, langid, packing, pii, piece_cache, simhash, suffix_dedup, token_files
+from corpusloom.llm import _common, ann, byte_bpe, exact_dedup, html_text, langid, packing, pii, piece_cache, simhash, suffix_dedup, token_files
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -193,6 +193,16 @@ def test_copies_that_share_an_id_with_another_text_stay(spark):
     assert sorted(simhash.keep_one_a_group(table(spark, again)).collect()) == sorted(exact_dedup.drop_copies(table(spark, again)).collect()) == [(5, "x y z u v w"), (7, None)]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_rows_that_go_are_found_by_number(spark, monkeypatch, most):
+    monkeypatch.setattr(_common, "MOST_SENT_BYTES", most)
+    df = spark.range(0, 3000, 1, 5).withColumn("_block", F.lit("clash")).withColumn("n", F.monotonically_increasing_id())
+    gone = df.filter("id % 7 = 3 OR id = 2999").select(F.col("n").alias("row"))
+    left = _common.without_rows(df, "n", gone)
+    assert left.columns == ["id", "_block"] and sorted(r["id"] for r in left.collect()) == [k for k in range(2999) if k % 7 != 3]
+    assert _common.without_rows(df, "n", gone.limit(0)).count() == 3000
+
+
 def test_names_that_clash_are_kept(spark):
     names = {c: F.lit(c) for c in ("_row", "_fp", "_digest", "_stays", "_found", "lang_pred", "score", "row", "doc", "digest", "norm", "fp", "a", "b")}
     docs = table(spark, [(1, "der und die"), (2, "der und die"), (3, "the of that")]).withColumns(names)
