@@ -124,5 +124,18 @@ def without_thoughts(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?U)\A[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\z", "")
 
 
+def repaired_answers(raw: Column, fields: str, expected: int) -> Column:
+    """Exactly `expected` structs of fields (a DDL) from a model's answer: its first JSON array, else its first object.
+
+    Fences go; what follows the JSON is left out; missing entries are structs of nulls, surplus ones are cut.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(raw), r"^```(?:json)?|```$", ""))
+    many = F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), f"array<struct<{fields.replace(' ', ':', 1)}>>")
+    one = F.from_json(F.regexp_extract(bare, r"(\{[^{}]+\})", 1), f"struct<{fields.replace(' ', ':', 1)}>")
+    found = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast(f"array<struct<{fields.replace(' ', ':', 1)}>>"))
+    empty = F.from_json(F.lit("{}"), f"struct<{fields.replace(' ', ':', 1)}>")
+    return F.slice(F.concat(found, F.array_repeat(empty, expected)), 1, expected)
+
+
 def slug(text: Column) -> Column:
     return F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("_"))

@@ -154,6 +154,15 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select(F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.round(stats.kappa(po, pe), 6).alias("kappa"))
 
 
+def two_raters(cells: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """cells (both, first only, second only, neither) with pct of agreement and Cohen's kappa; null kappa where chance agreement is whole."""
+    w, x, y, z = (F.col(k).cast("double") for k in (a, b, c, d))
+    n = w + x + y + z
+    chance = (w + x) * (w + y) + (y + z) * (x + z)
+    kappa_ = F.when(chance != n * n, ((w + z) / n - chance / (n * n)) / (1 - chance / (n * n)))
+    return cells.withColumns({"pct": F.round(100 * (w + z) / n, 1), "kappa": F.round(kappa_, 6)})
+
+
 def set_overlap(df: DataFrame, item: str, side: str, a, b, by: list[str] | None = None) -> DataFrame:
     """only_a, only_b, both, either and pct (Jaccard in percent) of the item sets of two sides."""
     by = by or []

@@ -8,6 +8,7 @@ from corpusloom.functions import text, urls
 from corpusloom.operators import screening
 from corpusloom.plans.common import DOMAIN, HOST, PATH, t
 from corpusloom.plans.registry import query
+from corpusloom.sources import readers
 
 FETCHED = "(SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN 404 WHEN page_id % 10 > 5 THEN 200 END AS status, CASE page_id % 10 WHEN 1 THEN 'ssl' WHEN 2 THEN 'dns' WHEN 3 THEN 'refused' WHEN 4 THEN 'timeout' WHEN 5 THEN 'other' END AS error FROM pages)"
 
@@ -265,3 +266,59 @@ def a42(spark, d):
     j = j.join(hosts, "host", "left").withColumn("others", F.coalesce("n_host", F.lit(0)) - F.col("found").cast("int"))
     over = F.count_if(F.col("chars") > 500)
     return j.agg(F.count("*").alias("n"), F.count_if("found").alias("n_found"), over.alias("n_over"), F.sum("others").alias("same_host"), F.round(100.0 * over / F.count("*"), 1).alias("pct_over"))
+
+
+PAGE_OF = "'<table><thead><tr><th>id</th><th>url</th></tr></thead><tbody><tr><td>' || page_id || '</td><td><a href=\"x\">' || url || '</a></td><td> ' || decision || '\n</td><td>' || coalesce(replace(reason, ' ', ' <i>x</i> '), '') || '</td></tr><tr><td>short</td></tr></tbody></table>'"
+
+
+def ledger_pages(spark, d):
+    return ledger(spark, d).withColumn("html", F.expr(PAGE_OF))
+
+
+@query("s14_ledger_table", f"SELECT page_id, page_id::VARCHAR AS row_id, replace(url, '&', '&') AS url, decision, coalesce(replace(reason, ' ', ' x '), '') AS reason FROM {LEDGER} UNION ALL SELECT page_id, 'short', NULL, NULL, NULL FROM pages")
+def s14(spark, d):
+    return readers.ledger(ledger_pages(spark, d), "page_id", "html")
+
+
+@query("s25_ledger_subsets", f"SELECT decision, count(*) AS n, count(DISTINCT url) AS urls FROM {LEDGER} GROUP BY decision")
+def s25(spark, d):
+    """Addresses and decisions alone, as some audits read a ledger."""
+    rows = readers.ledger(ledger_pages(spark, d), "page_id", "html").select("url", "decision").filter("decision IS NOT NULL")
+    return rows.groupBy("decision").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+@query("s21_known_names", "SELECT DISTINCT trim(source || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END) AS name, length(trim(source))::BIGINT AS n FROM documents")
+def s21(spark, d):
+    return readers.known_names(t(spark, d, "documents").select(F.concat("source", F.when(F.col("doc_id") % 2 == 0, " ").otherwise("")).alias("name")))
+
+
+REASONS = [("duplicate", "duplicate"), ("outside_city_or_region", "outside .*(city|region)|regional service"), ("archival_or_ended", "archival|explicitly ended|one-off"), ("inaccessible_or_directory_generic", "(?s)inaccessible.*directory, policy, campaign, commercial"), ("inaccessible_only", "inaccessible"), ("directory_policy_only", "directory|umbrella|policy|campaign")]
+
+
+@query("x37_discard_reasons", "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(coalesce(reason, ''), '(?i){p}') THEN '{k}'" for k, p in REASONS) + f" ELSE 'other_or_unclassified' END AS bucket FROM {LEDGER}")
+def x37(spark, d):
+    reason = F.coalesce("reason", F.lit(""))
+    return ledger(spark, d).select("page_id", text.first_match([(k, reason.rlike(f"(?i){p}")) for k, p in REASONS], "other_or_unclassified").alias("bucket"))
+
+
+@query("x36_page_features", "SELECT page_id, len(regexp_extract_all(html, '(?i)<img[ >]'))::BIGINT AS images, len(regexp_extract_all(html, '(?i)<figure[ >]'))::BIGINT AS figures, len(regexp_extract_all(html, '(?i)<a [^>]*href'))::BIGINT AS links, regexp_matches(html, '(?i)class=\"?[^\">]*(map-box|charts-row)') AS has_map_or_charts, contains(html, '</table>') AS has_table FROM pages")
+def x36(spark, d):
+    h = F.col("html")
+    n = lambda p: F.coalesce(F.regexp_count(h, F.lit(p)), F.lit(0)).cast("long")
+    return t(spark, d, "pages").select("page_id", n("(?i)<img[ >]").alias("images"), n("(?i)<figure[ >]").alias("figures"), n("(?i)<a [^>]*href").alias("links"), h.rlike('(?i)class="?[^">]*(map-box|charts-row)').alias("has_map_or_charts"), F.contains(h, F.lit("</table>")).alias("has_table"))
+
+
+@query("a63_multimodal_audit", "SELECT coalesce(city::VARCHAR, 'pooled') AS city, sum(links)::BIGINT AS links, sum(tables)::BIGINT AS tables, count_if(links > 5)::BIGINT AS rich FROM (SELECT page_id % 5 AS city, len(regexp_extract_all(html, '(?i)<a [^>]*href')) AS links, contains(html, '</table>')::INT AS tables FROM pages) GROUP BY ROLLUP (city)")
+def a63(spark, d):
+    f = x36(spark, d).select((F.col("page_id") % 5).cast("string").alias("city"), "links", F.col("has_table").cast("int").alias("tables"))
+    out = f.rollup("city").agg(F.sum("links").alias("links"), F.sum("tables").alias("tables"), F.count_if(F.col("links") > 5).alias("rich"))
+    return out.withColumn("city", F.coalesce("city", F.lit("pooled")))
+
+
+@query("x39_answer_repair", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'garden' WHEN 2 THEN 'swap' ELSE 'unknown' END AS kind, 2 AS n FROM pages")
+def x39(spark, d):
+    """Answers in fences, after words, as one object, or as none: the first array, else the first object, else the default."""
+    k = F.col("page_id") % 4
+    said = F.when(k == 0, '```json\n[{"fsi_type": "bank"}, {"fsi_type": "late"}]\n```').when(k == 1, 'Sure: {"fsi_type": "garden"} as asked').when(k == 2, ' {"fsi_type": "swap"}').otherwise("I cannot tell")
+    a = t(spark, d, "pages").select("page_id", text.repaired_answers(said, "fsi_type string", 2).alias("a"))
+    return a.select("page_id", F.coalesce(F.get("a", 0)["fsi_type"], F.lit("unknown")).alias("kind"), F.size("a").alias("n"))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.parser import HTMLParser
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.functions.geo import MERCATOR_M
 
 RECORD = """url string, title string, text string, description string, author string,
 images array<struct<source_url:string,local_path:string,width:int,height:int,caption:string>>,
@@ -52,13 +60,13 @@ def document(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def key_values(spark: SparkSession, path: str, value: str) -> DataFrame:
     """id and the fields of `value` (a struct's DDL) from files that hold one JSON object by id each."""
-    parsed = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("id", "v"))
+    parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("id", "v"))
     return parsed.select("id", "v.*")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """name and text of every file; pages and merged documents come this way."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +85,114 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """name and rings (arrays of x, y) of polygon features."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
-    rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return rows.filter("f.geometry.type = 'Polygon'").select(F.col("f.properties")["name"].alias("name"), rings.alias("rings"))
+def geojson(spark: SparkSession, path: str, source_crs: str = "EPSG:4326") -> DataFrame:
+    """ord, name and rings (arrays of x, y in degrees) of the Polygon and MultiPolygon features of a file, in its order.
+
+    Parts of a MultiPolygon and holes are rings alike; a point inside an odd number of them is
+    inside. Coordinates in web mercator (source_crs EPSG:3857, in metres) are brought to degrees.
+    """
+    if source_crs not in ("EPSG:4326", "EPSG:3857"):
+        raise ValueError(f"no conversion from {source_crs}")
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("features").alias("ord", "f"))
+    ring, held = "array<array<double>>", F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.from_json(held, f"array<{ring}>")).when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(held, f"array<array<{ring}>>")))
+    degrees = (lambda p: (p[0], p[1])) if source_crs == "EPSG:4326" else (lambda p: (F.degrees(p[0] / MERCATOR_M), F.degrees(2 * F.atan(F.exp(p[1] / MERCATOR_M))) - 90))
+    point = lambda p: F.struct(degrees(p)[0].alias("x"), degrees(p)[1].alias("y"))
+    return rows.withColumn("parts", parts).filter("parts IS NOT NULL").select("ord", F.col("f.properties")["name"].alias("name"), F.transform("parts", lambda r: F.transform(r, point)).alias("rings"))
+
+
+def strings_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV whose cells all stay strings: no number and no null is read into annotations; an empty cell is an empty string."""
+    raw = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+
+
+def inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, rows, columns, types (as read with inference) and modified of CSV files; paths is a report's list of files."""
+    found = None
+    for path in paths:
+        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        at = spark.read.text(path).agg(F.max("_metadata.file_modification_time").alias("modified"))
+        row = df.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(at))  # a row each
+        row = row.select(F.lit(path).alias("path"), "rows", F.lit(", ".join(df.columns)).alias("columns"), F.lit(", ".join(t for _, t in df.dtypes)).alias("types"), "modified")
+        found = row if found is None else found.union(row)
+    return found
+
+
+class _Cells(HTMLParser):
+    """The cells of the rows of the tables' bodies."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.cell = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("td", "tr"):
+            self.handle_endtag(tag)
+        if tag == "tr":
+            self.rows.append([])
+        elif tag == "td" and self.rows:
+            self.cell = []
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "tr", "table") and self.cell is not None:
+            self.rows[-1].append(" ".join(" ".join(self.cell).split()))
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def table_rows(pages: pd.Series) -> pd.Series:
+    """The cells of every table row of a page that has <td> cells; headings have none."""
+
+    def one(page):
+        parser = _Cells()
+        parser.feed(page or "")
+        parser.close()
+        return [r for r in parser.rows if r]
+
+    return pd.Series([one(p) for p in pages], index=pages.index, dtype=object)
+
+
+def ledger(pages: DataFrame, key: str, html: str, columns: tuple[str, ...] = ("row_id", "url", "decision", "reason")) -> DataFrame:
+    """key and the named cells of the ledger tables of pages; a row with fewer cells has null for the rest."""
+    rows = pages.select(key, F.explode(table_rows(F.col(html))).alias("r"))
+    return rows.select(key, *[F.get("r", k).alias(c) for k, c in enumerate(columns)])
+
+
+def known_names(districts: DataFrame) -> DataFrame:
+    """name, distinct, with n (its length): the longest is to be looked for first."""
+    return districts.select(F.trim("name").alias("name")).filter("name <> ''").distinct().withColumn("n", F.length("name").cast("long"))
+
+
+#: Tables that stand for what the network gives; live calls are inputs.
+FETCHES = "url string, status int, error_class string, html string"
+PLACES = "query string, lat double, lng double"
+ANSWERS = "args_hash string, response string"
+
+
+def boundary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Fetched pages, places or model answers as stored (FETCHES, PLACES or ANSWERS), one JSON object a line."""
+    return spark.read.schema(schema).json(path)
+
+
+def config(path: str) -> dict:
+    """A city's settings from JSON, or YAML where that library is there, with its derived paths; a missing file names those beside it."""
+    at = Path(path)
+    if not at.exists():
+        raise FileNotFoundError(f"{path}: not among {sorted(p.name for p in at.parent.glob('*')) if at.parent.exists() else []}")
+    if at.suffix == ".json":
+        held = json.loads(at.read_text(encoding="utf-8"))
+    else:
+        import yaml
+
+        held = yaml.safe_load(at.read_text(encoding="utf-8"))
+    if not held.get("city"):
+        raise ValueError(f"{path}: no city")
+    base = held.get("data_dir") or f"data/{held['city'].lower().replace(' ', '_')}"
+    return {**held, "data_dir": base, "raw_dir": f"{base}/raw", "output_dir": f"{base}/output", "graph_dir": f"{base}/graphrag", "records": f"{base}/output/fsi_records.jsonl", "enriched": f"{base}/output/fsi_enriched.jsonl"}
