@@ -60,22 +60,22 @@ def bit_set(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0, F.lit(False))
 
 
-def without_rows(df: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """df without the rows whose number, its column `row`, is in gone (row); that column is dropped.
+def by_number(df: DataFrame, row: str, numbers: DataFrame, inside: bool) -> DataFrame:
+    """The rows of df whose number, its column `row`, is in numbers (row), or is not.
 
-    Numbers come of monotonically_increasing_id and lie close together, so gone is packed into
+    Numbers come of monotonically_increasing_id and lie close together, so they are packed into
     bitmaps, some bits a row of df. Up to a bound these go to all tasks and df isn't shuffled;
     beyond it df is joined.
     """
-    path = scratch(df.sparkSession, "gone")
-    blocks = gone.groupBy(F.floor(F.col("row") / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("row") % BLOCK_BITS).alias("bitmap"))
-    blocks = save(blocks, path)
-    kept = [df[c] for c in df.columns if c != row]
+    blocks = numbers.groupBy(F.floor(F.col("row") / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("row") % BLOCK_BITS).alias("bitmap"))
+    blocks = save(blocks, scratch(df.sparkSession, "numbers"))
+    own = [df[c] for c in df.columns]
     if blocks.count() * (BLOCK_BITS // 8) > MOST_SENT_BYTES:
-        return df.join(gone, df[row] == gone["row"], "left_anti").select(*kept)
+        return df.join(numbers, df[row] == numbers["row"], "left_semi" if inside else "left_anti").select(*own)
     sent = F.broadcast(blocks.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap")))
     joined = df.join(sent, F.floor(df[row] / BLOCK_BITS) == sent["_block"], "left")
-    return joined.filter(~bit_set(sent["_bitmap"], df[row] % BLOCK_BITS)).select(*kept)
+    hit = bit_set(sent["_bitmap"], df[row] % BLOCK_BITS)
+    return joined.filter(hit if inside else ~hit).select(*own)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import BLOCK_BITS, bit_set, remove, save, scratch, table, unused, without_rows
+from corpusloom.llm._common import BLOCK_BITS, bit_set, by_number, remove, save, scratch, table, unused
 
 #: Rows of a memtable; a task flushes a run for each.
 MEMTABLE_ROWS = 100_000
@@ -170,7 +170,7 @@ def drop_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     by_text = mixed.groupBy("digest", "other").agg(_least())
     others = mixed.join(by_text, ["digest", "other"]).select("row", "keep_row")
     gone = repeated.filter("same").select("row", "keep_row").union(others).filter("row <> keep_row").select("row")
-    return without_rows(marked.drop(key), row, gone)
+    return by_number(marked.drop(key), row, gone, False).drop(row)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

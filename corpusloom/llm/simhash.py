@@ -1,7 +1,14 @@
-"""SimHash near-duplicates: fingerprints, BK-trees over shards of them, and connected components."""
+"""SimHash near-duplicates: fingerprints, BK-trees over shards of them, and connected components.
+
+`near_groups` links all fingerprints of 64 bits within a few bits, and loses none. Texts whose
+shingle sets are alike to 0.8 differ in some ten of 64 bits, more than blocks of equal bits can
+reach; `keep_one_a_group` takes 128 bits, meets fingerprints that agree in some sampled bits,
+follows the trees' edges to a wide radius, and holds every link against the shingle sets.
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -9,9 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import components, remove, save, scratch, table, unused, without_rows
+from corpusloom.llm._common import by_number, components, remove, save, scratch, table, unused
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
+#: Of near copies: words a shingle, the least Jaccard similarity of shingle sets, 64-bit words of a fingerprint, and the radius
+#: that such texts are expected within (they differ in 19 of 128 bits, give or take 4; the sets are compared after).
+NEAR_WORDS, SIMILARITY, LANES, NEAR_RADIUS = 5, 0.8, 2, 33
+#: Tables of sampled bits are so many that two texts of the least similarity meet in one of them with this chance at least.
+MEETING = 0.98
+#: Links that a task holds before it keeps a spanning forest of them.
+LINKS_AT_ONCE = 400_000
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
 BLOCKS = 6
 #: Fingerprints of a BK-tree; larger shards are cut into so many trees that each holds about this number.
@@ -20,24 +34,37 @@ TREE_SIZE = 512
 PAIRS_AT_ONCE = 1 << 18
 
 
-def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of the lower-cased (A-Z) text's word shingles, repeats included; 0 without words."""
-    import xxhash
-
+def _shingles(text: str | None, n: int) -> list[bytes]:
+    """The runs of n words of the lower-cased (A-Z) text, repeats included; fewer words give one run, none give none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return []
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - words_a_shingle + 1)
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[-n:].tolist()
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.array([digest(whole[s:e], seed) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64)
+    k = max(1, len(words) - n + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))[:k].tolist()
+    return [whole[s:e] for s, e in zip(starts, ends[-k:].tolist(), strict=True)]
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _hashes(shingles: list[bytes], seed: int) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, seed) for s in shingles], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit SimHash of the lower-cased (A-Z) text's word shingles, repeats included; 0 without words."""
+    shingles = _shingles(text, words_a_shingle)
+    return _majority(_hashes(shingles, SEED)) if shingles else 0
 
 
 def fingerprints(words_a_shingle: int = SHINGLE_WORDS):
@@ -52,7 +79,7 @@ def fingerprints(words_a_shingle: int = SHINGLE_WORDS):
 
 
 class BkForest:
-    """BK-trees of many shards at once: `shard` and `fp` of the nodes, sorted by shard.
+    """BK-trees of many shards at once: `shard` and `fp` (nodes, 64-bit words) of the nodes, sorted by shard.
 
     The first fingerprint of a shard is its root; the rest are dealt to children by their
     distance to it, and so on, one level of all trees at a time.
@@ -60,7 +87,7 @@ class BkForest:
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray):
         n = len(fp)
-        self.fp = fp
+        self.fp, self.most = fp, 64 * fp.shape[1]
         self.edge = np.zeros(n, dtype=np.int64)
         self.parent = np.full(n, -1, dtype=np.int64)
         group, waiting, above = shard.astype(np.int64), np.arange(n), np.full(n, -1, dtype=np.int64)
@@ -72,32 +99,32 @@ class BkForest:
             self.parent[heads] = above[first]
             rest = ~first
             waiting, head = waiting[rest], heads[own[rest]]
-            distance = np.bitwise_count(fp[waiting] ^ fp[head]).astype(np.int64)
+            distance = apart(fp[waiting], fp[head])
             self.edge[waiting] = distance
-            key = own[rest] * 65 + distance
+            key = own[rest] * (self.most + 1) + distance
             order = np.argsort(key, kind="stable")
             group, waiting, above = key[order], waiting[order], head[order]
         has = np.flatnonzero(self.parent >= 0)
         self.children = has[np.lexsort((self.edge[has], self.parent[has]))]
-        rank = self.parent[self.children] * 65 + self.edge[self.children]
-        self.rank, self.roots = rank, np.flatnonzero(self.parent < 0)
+        self.rank = self.parent[self.children] * (self.most + 1) + self.edge[self.children]
+        self.roots = np.flatnonzero(self.parent < 0)
 
     def links(self, root: np.ndarray, query: np.ndarray, radius: int):
-        """Yields (query index, node index) arrays of all pairs within radius; root: the tree of each query."""
-        todo = [(np.arange(len(query)), root)]
+        """Yields (query index, node index, distance) arrays of all pairs within radius; root: the tree of each query."""
+        todo, width = [(np.arange(len(query)), root)], self.most + 1
         while todo:
             q, node = todo.pop()
             if len(q) > PAIRS_AT_ONCE:
                 half = len(q) // 2
                 todo += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
-            d = np.bitwise_count(query[q] ^ self.fp[node]).astype(np.int64)
+            d = apart(query[q], self.fp[node])
             near = d <= radius
             if near.any():
-                yield q[near], node[near]
+                yield q[near], node[near], d[near]
             # Children lie sorted by (parent, edge); those with an edge in [d - radius, d + radius] are a slice.
-            low = np.searchsorted(self.rank, node * 65 + np.maximum(0, d - radius), side="left")
-            high = np.searchsorted(self.rank, node * 65 + np.minimum(64, d + radius), side="right")
+            low = np.searchsorted(self.rank, node * width + np.maximum(0, d - radius), side="left")
+            high = np.searchsorted(self.rank, node * width + np.minimum(self.most, d + radius), side="right")
             n = high - low
             if n.any():
                 total = int(n.sum())
@@ -105,6 +132,29 @@ class BkForest:
                 todo.append((np.repeat(q, n), self.children[at]))
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b, distance) of a forest that connects what all links connect, by the shortest links (Boruvka's rounds)."""
+    order = np.argsort(d, kind="stable")
+    a, b = a[order], b[order]
+    label, chosen = np.arange(n), []
+    while True:
+        la, lb = label[a], label[b]
+        across = np.flatnonzero(la != lb)
+        if not len(across):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        first = np.full(n, len(a))
+        np.minimum.at(first, la[across], across)
+        np.minimum.at(first, lb[across], across)
+        picked = np.unique(first[first < len(a)])
+        label = _least_labels(n, [(la[picked], lb[picked])])[label]
+        chosen.append(picked)
+
+
 def _least_labels(n: int, pairs) -> np.ndarray:
     """The least index of each index's component, over arrays of pairs."""
     label = np.arange(n)
@@ -119,14 +169,20 @@ def _least_labels(n: int, pairs) -> np.ndarray:
     return label
 
 
-def _forest_links(batches, radius: int):
-    """Star links (a, b) of the groups in a partition sorted by group; rows: tree, own (member of the tree side), ask, fp."""
+def _in_trees(batches, radius: int, give):
+    """give(rows, links) of the groups in a partition sorted by group: what it makes of the links within radius.
+
+    Rows: tree, own (member of the tree side), ask, and the fingerprint's words w0, w1, ... . links
+    yields (row, row, distance) arrays over the rows of several whole groups.
+    """
     import pyarrow as pa
 
     held: list = []
 
     def solve(t):
-        tree, fp = t["tree"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+        tree = t["tree"].to_numpy()
+        words = [c for c in t.column_names if c[0] == "w" and c[1:].isdigit()]
+        fp = np.stack([t[c].to_numpy().view(np.uint64) for c in words], axis=1)
         own, ask = t["own"].to_numpy(zero_copy_only=False), t["ask"].to_numpy(zero_copy_only=False)
         new = np.ones(len(tree), dtype=bool)
         new[1:] = tree[1:] != tree[:-1]
@@ -138,10 +194,7 @@ def _forest_links(batches, radius: int):
         root_of = np.full(shard[-1] + 1, -1, dtype=np.int64)
         root_of[shard[nodes[forest.roots]]] = forest.roots
         asking = np.flatnonzero(ask & (root_of[shard] >= 0))
-        label = _least_labels(len(tree), ((asking[q], nodes[n]) for q, n in forest.links(root_of[shard[asking]], fp[asking], radius)))
-        far = np.flatnonzero(label != np.arange(len(tree)))
-        signed = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[label[far]])], ["a", "b"]) if len(far) else None
+        return give(t, ((asking[q], nodes[n], d) for q, n, d in forest.links(root_of[shard[asking]], fp[asking], radius)))
 
     for batch in batches:
         held.append(batch)
@@ -159,6 +212,50 @@ def _forest_links(batches, radius: int):
         yield out
 
 
+def _stars(t, links):
+    """Links (a, b) of fingerprints as stars about the least row of what is connected."""
+    import pyarrow as pa
+
+    label = _least_labels(t.num_rows, ((a, b) for a, b, _ in links))
+    far = np.flatnonzero(label != np.arange(t.num_rows))
+    signed = t["w0"].to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[label[far]])], ["a", "b"]) if len(far) else None
+
+
+def _shortest(t, links):
+    """Links (a, b) of nodes: the shortest that connect what is connected."""
+    import pyarrow as pa
+
+    kept = [np.zeros(0, dtype=np.int64)] * 3
+    size = 0
+    held: list = []
+
+    def reduce_():
+        a, b, d = (np.concatenate([k, *parts]) for k, parts in zip(kept, zip(*held, strict=True), strict=True))
+        stay = spanning(t.num_rows, a, b, d)
+        return [a[stay], b[stay], d[stay]]
+
+    for link in links:
+        held.append(link)
+        size += len(link[0])
+        if size > LINKS_AT_ONCE:
+            kept, held, size = reduce_(), [], 0
+    if held:
+        kept = reduce_()
+    node = t["node"].to_numpy()
+    a, b = node[kept[0]], node[kept[1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+
+
+def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give) -> DataFrame:
+    """Links (a, b) of shards (shard, n, columns): one of more than tree_size is dealt to several trees, and every pair of its parts meets in one task."""
+    met = shards.withColumn("parts", F.ceil(F.col("n") / tree_size)).withColumn("part", F.pmod(F.xxhash64(*columns), F.col("parts")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # With an equal part on both sides a fingerprint is a node and a query; else the lesser part's are the nodes.
+    met = met.select(*columns, F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("tree"), (F.col("part") <= F.col("other")).alias("own"), (F.col("part") >= F.col("other")).alias("ask"))
+    return met.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _in_trees(b, radius, give), "a bigint, b bigint").distinct()
+
+
 def _choices(bits: list[int], blocks: int, equal: int) -> list[tuple[int, list[int]]]:
     """For each choice of `equal` of the blocks that these bits are cut into: the mask of the chosen bits, and the bits that are left."""
     bounds = [len(bits) * k // blocks for k in range(blocks + 1)]
@@ -203,12 +300,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
     if equal < 1:
         raise ValueError("more blocks than the radius are needed")
     at = scratch(fps.sparkSession, "simhash-shards")
-    met = _in_shards(fps, blocks, equal, tree_size, at).withColumn("parts", F.ceil(F.col("n") / tree_size)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("fp", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("tree"), (F.col("part") <= F.col("other")).alias("own"), (F.col("part") >= F.col("other")).alias("ask"))
-    # With an equal part on both sides a fingerprint is a node and a query; else the lesser part's are the nodes.
-    near = met.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _forest_links(b, radius), "a bigint, b bigint")
-    links = save(near.distinct(), f"{at}-links")
+    shards = _in_shards(fps, blocks, equal, tree_size, at).withColumnRenamed("fp", "w0")
+    links = save(_met_in_trees(shards, ["w0"], tree_size, radius, _stars), f"{at}-links")
     for k in ("keys", "sizes", "deeper", "counted"):
         remove(fps.sparkSession, f"{at}-{k}")
     return links
@@ -240,23 +333,145 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SH
     return marked.join(_labelled(marked, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_a_group(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SHINGLE_WORDS) -> DataFrame:
+def _wide(texts: pd.Series) -> pd.DataFrame:
+    """w0, w1: the fingerprint's words; alike: a hash of the set of shingles."""
+    import xxhash
+
+    rows = []
+    for t in texts:
+        shingles = _shingles(t, NEAR_WORDS)
+        lanes = [_hashes(shingles, SEED + k) for k in range(LANES)]
+        rows.append([*(_majority(h) if shingles else 0 for h in lanes), xxhash.xxh3_64_intdigest(np.unique(lanes[0]).tobytes(), SEED)])
+    table_ = np.array(rows, dtype=np.uint64).reshape(-1, LANES + 1).view(np.int64)
+    return pd.DataFrame(table_, columns=[*(f"w{k}" for k in range(LANES)), "alike"])
+
+
+def _sampled(least: int, similarity: float) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many fingerprints: keys that hold some 64 by chance, and tables enough for MEETING.
+
+    Texts of Jaccard similarity s have an angle whose cosine is about 2 s / (1 + s), and differ
+    in a bit with the angle's share of a half turn.
+    """
+    bits = min(48, max(8, math.ceil(math.log2(max(2, least))) - 6))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits, math.ceil(math.log(1 - MEETING) / math.log(1 - agree**bits))
+
+
+def _keys(fp: np.ndarray, first: int, last: int, tables) -> list[np.ndarray]:
+    """The bits first to last of each table's own order of the fingerprint's bits, as a number."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    out = []
+    for t in tables:
+        order = np.random.default_rng([SEED, t]).permutation(bits.shape[1])[first:last]
+        packed = np.zeros((len(fp), 8), dtype=np.uint8)
+        part = np.packbits(bits[:, order], axis=1)
+        packed[:, : part.shape[1]] = part
+        out.append(packed.view(np.int64)[:, 0])
+    return out
+
+
+def _wide_shards(fps: DataFrame, bits: int, tables: int, tree_size: int, at: str) -> DataFrame:
+    """fps (node, w0, w1) in shards of two or more: node, w0, w1, shard, n. A shard holds those that agree in the sampled bits of a table.
+
+    A shard of more than tree_size is cut by as many further bits of its table's order as make
+    its pieces small by chance, and some more.
+    """
+    words = [f"w{k}" for k in range(LANES)]
+    schema = "tbl int, key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words)
+
+    def emit(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
+            for t, key in enumerate(_keys(fp, 0, bits, range(tables))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, dtype=np.int32)), pa.array(key), batch.column("node"), *(batch.column(w) for w in words)], ["tbl", "key", "node", *words])
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
+            tbl, more = batch.column("tbl").to_numpy(), batch.column("more").to_numpy()
+            deeper = np.zeros(len(fp), dtype=np.int64)
+            for t, m in {*zip(tbl.tolist(), more.tolist(), strict=True)}:
+                own = np.flatnonzero((tbl == t) & (more == m))
+                deeper[own] = _keys(fp[own], bits, bits + m, [t])[0]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(deeper), batch.column("node"), *(batch.column(w) for w in words)], ["shard", "deeper", "node", *words])
+
+    keyed = save(fps.select("node", *words).mapInArrow(emit, schema), f"{at}-keys")
+    sizes = save(keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-sizes")
+    met = keyed.join(sizes.hint("merge"), ["tbl", "key"]).withColumn("shard", F.xxhash64("tbl", "key"))
+    small = met.filter(F.col("n") <= tree_size).select("node", *words, "shard", "n")
+    more = (F.ceil(F.log2(F.col("n") / tree_size)) + 4).cast("int")
+    large = met.filter(F.col("n") > tree_size).select("tbl", "shard", more.alias("more"), "node", *words)
+    large = large.mapInArrow(cut, "shard bigint, deeper bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
+    large = save(large.withColumn("shard", F.xxhash64("shard", "deeper")).drop("deeper"), f"{at}-deeper")
+    counted = save(large.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-counted")
+    return small.union(large.join(counted, "shard").select("node", *words, "shard", "n"))
+
+
+def _alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts' shingle sets are alike to `similarity`; texts: row, text."""
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [np.unique(_hashes(_shingles(t, NEAR_WORDS), SEED)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], ["row", "own"])
+
+    own = texts.select("row", "text").mapInArrow(sets, "row bigint, own array<bigint>")
+    own = save(own.withColumn("n", F.size("own")), scratch(links.sparkSession, "simhash-sets"))
+    side = lambda c: own.select(F.col("row").alias(c), F.col("own").alias(f"own_{c}"), F.col("n").alias(f"n_{c}"))
+    size = own.select("row", "n")
+    # Sets of sizes too far apart can't be alike, so their links don't meet the sets.
+    close = links.join(size.withColumnRenamed("row", "a").withColumnRenamed("n", "x"), "a").join(size.withColumnRenamed("row", "b").withColumnRenamed("n", "y"), "b")
+    close = close.filter(F.least("x", "y") >= similarity * F.greatest("x", "y")).select("a", "b")
+    met = close.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    return met.filter(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+
+
+def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """One row of docs for each group of near copies: that of the least doc_id, null last; rows and columns else unchanged.
 
-    Rows are told apart by their place in the table, not by doc_id, so rows that repeat an id
-    with another text stand in the group of their own text. Of rows with one text and id one
-    stays. Null texts count as empty. An empty table gives no rows.
+    Near copies are texts whose sets of 5-word shingles (A-Z lower-cased; fewer words: the whole
+    text's) have a Jaccard similarity of `similarity` or more; a group is what such links
+    connect. Links are found by fingerprints of 128 bits: fingerprints that agree in the
+    sampled bits of one of several tables meet in a BK-tree, links within radius are followed,
+    the shortest that connect a tree's texts are kept, and each is held against the shingle
+    sets. Two texts of just the least similarity meet with a chance of MEETING; those more alike
+    meet more often. Rows are told apart by their place in the table, so rows that repeat an id
+    with another text stand in the group of their own text, and of rows with one text and id
+    one stays. Texts without words are alike, null texts among them. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    row, fp = unused(docs, "_row"), unused(docs, "_fp")
-    marked = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprints(words_a_shingle)(F.col("text"))})
-    marked = save(marked, scratch(spark, "simhash-docs"))
-    keys = marked.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    alike = keys.groupBy("fp").agg(first.alias("row"), F.min("doc_id").alias("doc_id"))
-    stay = alike.join(_labelled(keys, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("row"))
-    gone = keys.select("row").join(stay.select("row"), "row", "left_anti")
-    return without_rows(marked.drop(fp), row, gone)
+    spark, at = docs.sparkSession, scratch(docs.sparkSession, "simhash-near")
+    words, row, wide = [f"w{k}" for k in range(LANES)], unused(docs, "_row"), unused(docs, "_wide")
+    schema = ", ".join(f"{c} bigint" for c in [*words, "alike"])
+    marked = docs.withColumns({row: F.monotonically_increasing_id(), wide: F.pandas_udf(_wide, schema)(F.col("text"))})
+    marked = save(marked, f"{at}-docs")
+    keys = marked.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{wide}.*"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("least")
+    # A node is a set of shingles, by its least row; nodes with one fingerprint are linked to the least of them.
+    nodes = save(keys.groupBy(*words, "alike").agg(least).select(*words, "least.no", "least.doc_id", F.col("least.row").alias("node")), f"{at}-nodes")
+    fps = save(nodes.groupBy(*words).agg(F.min("node").alias("node")), f"{at}-fps")
+    same = nodes.select(*words, F.col("node").alias("b")).join(fps.withColumnRenamed("node", "a"), words).filter("a <> b").select("a", "b")
+    bits, tables = _sampled(fps.count(), similarity)
+    shards = _wide_shards(fps, bits, tables, tree_size, at)
+    links = save(_met_in_trees(shards, ["node", *words], tree_size, radius, _shortest).union(same).distinct(), f"{at}-links")
+    asked = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = by_number(marked.select(F.col(row).alias("row"), "text"), "row", asked, True)
+    roots = components(save(_alike(links, texts, similarity), f"{at}-alike"), "simhash-near")
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = grouped.groupBy("root").agg(F.min(F.struct("no", "doc_id", "node")).alias("least")).select(F.col("least.node").alias("row"))
+    gone = keys.select("row").join(save(stay, f"{at}-stay"), "row", "left_anti")
+    kept = by_number(marked.drop(wide), row, gone, False).drop(row)
+    for k in ("keys", "sizes", "deeper", "counted", "nodes", "fps", "links", "alike"):
+        remove(spark, f"{at}-{k}")
+    return kept
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
