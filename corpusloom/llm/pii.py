@@ -21,7 +21,7 @@ LEAST_SECRET = 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_RUN = re.compile(r"[0-9]+")
+_DIGITS = frozenset("0123456789")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -69,20 +69,17 @@ def _iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def _numbers(text: str, first: int, out: list) -> None:
-    """Addresses and card numbers; both start where a run of digits starts, so a pass over the runs finds them."""
-    ip_from = card_from = 0
-    for run in _RUN.finditer(text, first):
-        at = run.start()
-        if at >= ip_from and (m := _IP.match(text, at)):
-            ip_from = m.end()
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-                out.append(("ip", at, m.end()))
-        if at >= card_from and (m := _CARD.match(text, at)):
-            card_from = m.end()
-            digits = re.sub(r"[\x20-]", "", m[0]) if m.end() - at <= 40 else ""
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append(("card", at, m.end()))
+def _number_at(text: str, at: int, ends: dict, out: list) -> None:
+    """The address and the card number that start at the digit run at `at`; both start where a run does and end where one does."""
+    if at >= ends["ip"] and (m := _IP.match(text, at)):
+        ends["ip"] = m.end()
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            out.append(("ip", at, m.end()))
+    if at >= ends["card"] and (m := _CARD.match(text, at)):
+        ends["card"] = m.end()
+        digits = re.sub(r"[\x20-]", "", m[0]) if m.end() - at <= 40 else ""
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", at, m.end()))
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -91,16 +88,17 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     The base kinds follow their patterns exactly: leftmost, without overlap within a kind,
     failing matches dropped without another try. url, secret and account are added by the
     anchors "://", credential cues and account cues. Null and empty texts have no spans.
+    Every anchor of the automaton is expanded where it stands: signs and cues, and the first
+    digit of each run of digits for addresses and card numbers.
     """
     out: list[tuple[str, int, int]] = []
     if not text:
         return out
-    first_digit = -1
     ends = dict.fromkeys(KINDS, 0)
     for last, kind in _automaton().iter(text):
         if kind == "digit":
-            if first_digit < 0:
-                first_digit = last
+            if last == 0 or text[last - 1] not in _DIGITS:
+                _number_at(text, last, ends, out)
         elif kind == "at":
             start = last
             while start > ends["email"] and text[start - 1] in _LOCAL:
@@ -138,8 +136,6 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if _iban(m[1]) or (n == len(re.sub(r"[\x20-]", "", m[1])) and 6 <= n <= 18):
                 out.append(("account", m.start(1), m.end(1)))
                 ends["account"] = m.end(1)
-    if first_digit >= 0:
-        _numbers(text, first_digit, out)
     rank = {k: n for n, k in enumerate(KINDS)}
     out.sort(key=lambda s: (s[1], rank[s[0]]))
     return out
