@@ -89,9 +89,13 @@ def test_pii_added_and_redacted():
     assert len(pii.find_spans("1" * 50_000 + "@" * 1000)) == 0
 
 
-def test_pii_query_handles_nulls(spark):
-    rows = pii.find_pii(table(spark, [(1, None), (None, "a@b.cc"), (2, "")])).collect()
-    assert sorted(len(r["spans"]) for r in rows) == [0, 0, 1]
+def test_pii_handles_odd_rows(spark):
+    rows = [(1, None), (None, "a@b.cc"), (2, ""), (2, "10.0.0.1"), (2, "10.0.0.1"), (3, "x" * 300_000 + " 10.0.0.1 " + "9" * 300_000)]
+    df = table(spark, rows).withColumns({"spans": F.lit("clash"), "_text": F.lit(1)})
+    found = pii.find_pii(df).collect()
+    assert sorted(len(r["spans"]) for r in found) == [0, 0, 1, 1, 1, 1] and pii.find_pii(df.limit(0)).count() == 0
+    out = pii.redact_pii(df)
+    assert out.columns == df.columns and sorted(r["text"] or "" for r in out.collect())[:4] == ["", "", "[EMAIL]", "[IP]"]
 
 
 def slow_fingerprint(text):
