@@ -45,19 +45,30 @@ def f08(spark, d):
     return t(spark, d, "pages").select("page_id", text.title(F.col("html")).alias("title"), score.alias("score"), F.when(score >= 2, "high").when(score == 1, "low").otherwise("ok").alias("confidence"))
 
 
-@query("f12_internal_links", f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS pos FROM pages),
-f AS (SELECT page_id, href, min(pos) AS pos FROM l WHERE href LIKE '/%' GROUP BY page_id, href),
-r AS (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) SELECT page_id, href, rn AS pos FROM r WHERE rn <= 5""")
+#: The pages' links, which are paths, and some that are absolute, of other hosts, of the page itself, repeated, or no address.
+LINKED = "'<a href=\"' || url || '\"><a href=\"' || regexp_extract(url, '^[a-z]+://[^/]*') || '/sub/#top\"><a href=\"//other.example.org/x\"><a href=\"mailto:a@b.c\"><a href=\"/sub\"><a href=\"#top\">' || html"
+ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+
+
+@query("f12_internal_links", f"""WITH h AS (SELECT page_id, url, regexp_extract_all({LINKED}, 'href="([^"]*)"', 1) AS l FROM pages), l AS (SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1) AS pos FROM h),
+r AS (SELECT page_id, url, pos, regexp_replace(regexp_replace(CASE WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-z]+:)') || href WHEN href LIKE '/%' THEN {ORIGIN} || href WHEN href LIKE '#%' THEN url WHEN href LIKE 'http%' THEN href END, '#.*$', ''), '/+$', '') AS href FROM l),
+f AS (SELECT page_id, href, min(pos) AS pos FROM r WHERE starts_with(href || '/', {ORIGIN} || '/') AND href <> regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') GROUP BY page_id, href) SELECT page_id, href, rn AS pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) WHERE rn <= 5""")
 def f12(spark, d):
-    """Links as in the SQL, which are paths on the page's host; the limit counts resolved and distinct ones."""
-    links = t(spark, d, "pages").select("page_id", F.slice(urls.internal_links(F.col("url"), text.hrefs(F.col("html"))), 1, 5).alias("l"))
-    on_host = F.regexp_replace("href", r"^[A-Za-z]+://[^/?#]*", "")
-    return links.select("page_id", F.posexplode("l").alias("pos", "href")).select("page_id", F.when(on_host == "", "/").otherwise(on_host).alias("href"), (F.col("pos") + 1).cast("long").alias("pos"))
+    """The first five links on the page's host, resolved, without fragments, closing slashes and the page itself."""
+    pages = t(spark, d, "pages").select("page_id", "url", F.expr(LINKED.replace("'^[a-z]+://[^/]*')", "'^[a-z]+://[^/]*', 0)")).alias("html"))
+    links = pages.select("page_id", F.slice(urls.internal_links(F.col("url"), text.hrefs(F.col("html"))), 1, 5).alias("l"))
+    return links.select("page_id", F.posexplode("l").alias("pos", "href")).select("page_id", "href", (F.col("pos") + 1).cast("long").alias("pos"))
+
+
+#: Pages with a signal at the start, and in a title that comes late.
+CHALLENGED = "CASE WHEN page_id % 9 = 0 THEN repeat(' ', 600) || '<title>Just a Moment...</title>' || html WHEN page_id % 9 = 1 THEN '<p>PLEASE WAIT</p>' || html WHEN page_id % 9 = 2 THEN repeat('x', 500) || 'captcha' || html ELSE html END"
+SIGNALS = lambda c: " OR ".join(f"contains(lower({c}), '{w}')" for w in text.CHALLENGES)
 
 
-@query("f14_bot_challenge", "SELECT page_id, contains(lower(substring(html, 1, 500)), 'just a moment') OR contains(lower(substring(html, 1, 500)), 'captcha') OR contains(lower(substring(html, 1, 500)), '###') AS blocked FROM pages")
+@query("f14_bot_challenge", f"SELECT page_id, ({SIGNALS('left(h, 500)')}) OR ({SIGNALS('title')}) AS blocked FROM (SELECT page_id, h, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM (SELECT page_id, {CHALLENGED} AS h FROM pages))")
 def f14(spark, d):
-    return t(spark, d, "pages").select("page_id", text.challenged(F.col("html"), [*text.CHALLENGES, "###"]).alias("blocked"))
+    pages = t(spark, d, "pages").select("page_id", F.expr(CHALLENGED).alias("h"))
+    return pages.select("page_id", text.challenged(F.col("h")).alias("blocked"))
 
 
 @query("f17_file_slug", "SELECT page_id, substring(replace(regexp_replace(url, '^https?://', ''), '/', '_'), 1, 80) AS slug FROM pages")
