@@ -60,6 +60,22 @@ def levels(df: DataFrame, value: str, by: list[str] | None = None, shares: tuple
     return joined.withColumn("level", stats.level(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
+def popularity(body: Column, high: list[str], medium: list[str], low: list[str]) -> Column:
+    """struct(max_quantity, high, medium, low, text_length, has_numbers, score) of a text.
+
+    Words with a space are found as they stand, others at word boundaries. score: 3 for each
+    high word, 1 for each medium, -1 for each low one, 2 for a quantity over 100 and 1 over 10,
+    1 for more than 1000 characters.
+    """
+    full = F.coalesce(body, F.lit(""))
+    found = F.transform(F.regexp_extract_all(full, F.lit(r"(?i)\b(\d{2,6})\s*(?:people|members|volunteers|families|meals|kg|tonnes)"), F.lit(1)), lambda x: x.cast("long"))
+    most = F.coalesce(F.array_max(found), F.lit(0).cast("long"))
+    count = lambda words: sum((text.keyword_present(full, w).cast("long") for w in words), F.lit(0).cast("long"))
+    h, m, l, n = count(high), count(medium), count(low), F.length(full).cast("long")  # noqa: E741
+    score = 3 * h + m - l + F.when(most > 100, 2).otherwise(0) + F.when(most > 10, 1).otherwise(0) + F.when(n > 1000, 1).otherwise(0)
+    return F.struct(most.alias("max_quantity"), h.alias("high"), m.alias("medium"), l.alias("low"), n.alias("text_length"), (F.size(found) > 0).alias("has_numbers"), score.cast("long").alias("score"))
+
+
 def keyword_dimensions(df: DataFrame, body: str, dimensions: dict[str, list[str]], by: list[str] | None = None) -> DataFrame:
     """Long form: dimension, n_docs with any of its words, pct of all; one pass over the texts."""
     by = by or []

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and reread; where that is unset a local master has a folder of its own."""
-    spark: SparkSession = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's address below spark.checkpoint.dir; where that is unset a local master has a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -23,9 +22,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
         if not _own:
             _own.append(Path(tempfile.mkdtemp(prefix="corpusloom-")).as_uri())
         base = _own[0]
-    path = f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in a scratch folder and reread: its lineage ends in files that outlive executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, order: list, weights: dict[str, Column], by: list[str] | None = None) -> DataFrame:

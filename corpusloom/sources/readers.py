@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +65,11 @@ def key_values(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """name and text of every file; pages and merged documents come this way."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    """name (of the file, with the folders that a partitioned sink made) and text of every file; pages and merged documents come this way."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    folder = F.element_at(parts, -2)
+    name = F.when(F.contains(folder, F.lit("name=")), F.substring_index(folder, "=", -1)).otherwise(F.element_at(parts, -1))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -170,6 +173,39 @@ def known_names(districts: DataFrame) -> DataFrame:
     return districts.select(F.trim("name").alias("name")).filter("name <> ''").distinct().withColumn("n", F.length("name").cast("long"))
 
 
+# How an extraction prompt writes an entity: name, type, description.
+ENTITY = r'\("entity"<\|>"?([^"<]+)"?<\|>"?([^"<]+)"?<\|>"?([^")]*)"?\)'
+
+
+def template_entities(prompts: DataFrame, key: str, body: str) -> DataFrame:
+    """key, name, type and description of the entities that prompts write out, read as text."""
+    part = lambda k: F.regexp_extract_all(F.col(body), F.lit(ENTITY), F.lit(k))
+    zipped = F.arrays_zip(part(1).alias("name"), part(2).alias("type"), part(3).alias("description"))
+    return prompts.select(key, F.explode(zipped).alias("e")).select(key, "e.name", "e.type", "e.description")
+
+
+def block_prose(blocks: DataFrame, doc: str, place: str, body: str) -> DataFrame:
+    """doc, place, heading and text of the blocks of laid-out pages: a block of at most eight words without a closing sign heads those after it."""
+    words = F.size(F.filter(F.split(F.coalesce(F.col(body), F.lit("")), r"\s+"), lambda x: x != ""))
+    is_heading = (words > 0) & (words <= 8) & ~F.col(body).rlike(r"[.!?:;,]\s*$")
+    w = Window.partitionBy(doc).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    headed = blocks.withColumn("_h", is_heading).withColumn("heading", F.coalesce(F.last(F.when(F.col("_h"), F.trim(body)), ignorenulls=True).over(w), F.lit("")))
+    return headed.filter(~F.col("_h") & (words > 0)).select(doc, place, "heading", F.col(body).alias("text"))
+
+
+def words_in_bands(words: DataFrame, anchors: DataFrame, columns: list[float], foot: float = 1e9) -> DataFrame:
+    """doc, row and c0, c1, ...: the words (doc, x, y, word) of laid-out pages by the band of their row and the column of their x.
+
+    anchors: doc, row, y of each row's first line; a band goes to the next anchor. columns: where
+    each begins. Words above the first anchor are left out.
+    """
+    bands = anchors.withColumn("_end", F.coalesce(F.lead("y").over(Window.partitionBy("doc").orderBy("y", "row")), F.lit(foot))).select("doc", "row", F.col("y").alias("_from"), "_end")
+    met = words.join(bands, "doc").filter((F.col("y") >= F.col("_from")) & (F.col("y") < F.col("_end")))
+    column = sum((F.col("x") >= c).cast("int") for c in columns) - 1
+    text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == k, F.struct("y", "x", "word")))), lambda s: s["word"]), " ").alias(f"c{k}")
+    return met.withColumn("_c", column).groupBy("doc", "row").agg(*[text(k) for k in range(len(columns))])
+
+
 #: Tables that stand for what the network gives; live calls are inputs.
 FETCHES = "url string, status int, error_class string, html string"
 PLACES = "query string, lat double, lng double"
