@@ -198,7 +198,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row of docs (doc_id, text): n_tokens, ids_sha256 of the ids in decimal, decoded_sha256 of the decoded bytes.
 
-    A null text counts as empty: no ids, and the digests of no bytes. Other columns are ignored.
+    A null text counts as empty: no ids, and the digests of no bytes. Rows that repeat are encoded
+    each; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):

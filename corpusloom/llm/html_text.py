@@ -346,7 +346,11 @@ def main_texts(pages: list[str | None], model: BlockLabeller) -> list[str]:
 
 
 def extract(pages: DataFrame, model: BlockLabeller | None = None) -> DataFrame:
-    """page_id, url and text of every row of pages (page_id, url, html); text is empty for null or empty html or none found."""
+    """page_id, url and text of every row of pages (page_id, url, html); text is empty for null or empty html or none found.
+
+    Rows that repeat are extracted each; other columns are ignored, whatever they are called; an
+    empty table gives no rows. A page of any length is labelled whole.
+    """
     weights = (model or train()).p
 
     def run(batches):
