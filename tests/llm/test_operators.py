@@ -509,3 +509,96 @@ def test_sparse_transitions_equal_the_table(monkeypatch):
 def test_phone_of_any_length():
     long = "+1" + " -." * 70_000 + "2345678901"
     assert pii.find_spans(f"call {long}, now") == [("phone", 5, 5 + len(long))]
+
+
+def slow_phrases(text, sample):
+    """Phrases of the greedy longest-match parse of text in segments; a character that the sample lacks is a phrase of its own."""
+    codes, known = langid.letters_of(text).tolist(), langid.letters_of(sample).tolist()
+    subs = {tuple(known[a:b]) for a in range(len(known)) for b in range(a + 1, len(known) + 1)}
+    total = 0
+    for k in range(0, len(codes), langid.SEGMENT):
+        now, total = (), total + 1
+        for c in codes[k : k + langid.SEGMENT]:
+            if (*now, c) in subs:
+                now = (*now, c)
+            else:
+                total += 1
+                now = (c,) if (c,) in subs else ()
+    return total
+
+
+def test_phrases_equal_a_slow_parse(monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", 16)
+    samples = {"a": "the cat sat on that mat", "b": "der hund und die katze", "c": "źdźbło"}
+    parser = langid.CrossParser(samples)
+    texts = ["that cat", "die katze und der hund, źle!", "qqq 12 the", "the cat sat on that mat the cat sat on that mat", "x"]
+    coded = [langid.letters_of(t) for t in texts]
+    got = parser.phrases(coded) / parser.bits * np.array([[len(c)] for c in coded])
+    assert np.round(got).astype(int).tolist() == [[slow_phrases(t, samples[k]) for k in parser.langs] for t in texts]
+
+
+def test_langid_of_repeats_and_long_texts(spark):
+    rows = [(1, "der und die " * 20_000), (1, "der und die " * 20_000), (None, "the of that is"), (2, "z" * 5000 + " the")]
+    found = langid.identify(table(spark, rows), {"de": "der die und das ist", "en": "the and of that is"}).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in found)[:3] == [(0, "en"), (1, "de"), (1, "de")] and len(found) == 4
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_pieces_equal_the_library_s_ids(spark):
+    rows = [*duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall(), (9000, None), (9001, ""), (9002, "<|endoftext|> a <|STARTOFTEXT|>"), (9003, "word " * 5000), (9003, "again")]
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    wanted = []
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+        for piece, at in enumerate(range(0, len(ids), packing.CAPACITY)):
+            own = np.array(ids[at : at + packing.CAPACITY], dtype="<u4")
+            wanted.append((d, piece, at, len(own), zlib.crc32(own.tobytes())))
+    df = table(spark, rows).withColumns({"length": F.lit("clash"), "rank": F.lit(1), "base": F.lit(2)})
+    got = packing.pack_documents(df, P.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(wanted)
+
+
+def test_token_files_of_special_strings_and_clashing_columns(spark):
+    rows = [(1, "a<|endoftext|>b <|endoftext|>"), (2, " <|endoftext|"), (3, "x\ty z")]
+    root = token_files.scratch(spark, "special")
+    df = table(spark, rows).withColumns({"part": F.lit("clash"), "file": F.lit(0)})
+    got = token_files.read_token_files(spark, token_files.write_token_files(df, P.path("byte_bpe_50k.json"), 2, root), root).collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    crc = {d: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for d, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == crc
+
+
+def test_html_of_odd_rows(spark):
+    body = "<article><h1>Head of it</h1>" + "".join(f"<p>This is paragraph {k}, and the words of it go on for a while.</p>" for k in range(4000)) + "</article>"
+    rows = [(1, "u", None), (2, "u", ""), (2, "u", "<p>no end"), (3, "u", body), (3, "u", body), (None, "u", "<!-- <article> --><script>x")]
+    df = table(spark, rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
+    got = html_text.extract(df).collect()
+    assert len(got) == 6 and sorted(r["text"] for r in got if r["page_id"] == 1) == [""]
+    long = [r["text"] for r in got if r["page_id"] == 3]
+    assert long[0] == long[1] and long[0].count("\n") >= 3900
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    long = "the words of this are many and they go on for a while here " * 400
+    rows = [(None, "the and of that is a text", None, None, None), (5, None, "en", "s", 0), (6, "", "en", "s", 0), (7, "12 %%", "en", "s", 5), (8, long, "en", "s", 1), (8, long, "en", "s", 1), (9, "the words of that mail are a@b.cc now", "en", "s", 1)] + [(20 + k, f"the text number {k} of the and that is", "en", "s", 9) for k in range(8)]
+    docs = table(spark, rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"_row": F.lit("clash"), "score": F.lit(1)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == list(cp.COLUMNS)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in now.collect())
+    assert [d for d, _ in left] == [0, 8, 9, *range(20, 28)] and left[2][1] == "the words of that mail are [EMAIL] now"
+    pieces = cp.run(spark, str(tmp_path)).collect()
+    assert sorted({r["doc_id"] or 0 for r in pieces}) == [d for d, _ in left]
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    sizes = collections.Counter()
+    for r in pieces:
+        sizes[r["doc_id"] or 0] += r["length"]
+    assert sizes == {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in left}
+    none = docs.limit(0).select(*cp.COLUMNS)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
