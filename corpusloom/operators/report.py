@@ -90,6 +90,13 @@ def keyword_class(url: Column | None, title: Column, description: Column, body:
     return text.first_match([(k, text.any_keyword(whole, words)) for k, words in rules], F.lit(None).cast("string"))
 
 
+def classification_prompt(title: Column, description: Column, body: Column) -> Column:
+    """What a model is asked about a record: its title, then up to 1000 characters of the starts of description (200) and text (800)."""
+    start = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    content = F.regexp_replace(F.concat(start(description, 200), F.lit("\n"), start(body, 800)), r"\A[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+\z", "")
+    return F.concat(F.lit("Classify this FSI:\n\n"), title, F.lit("\n"), F.substring(content, 1, 1000))
+
+
 def enriched(record: Column, country: str, city: str) -> Column:
     """A full record from a struct (url, title, text, district, geo, fsi_type, operational_level, description), absent parts by default."""
     district, geo = record["district"], record["geo"]

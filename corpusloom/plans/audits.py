@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import claims
+from corpusloom.operators import claims, report
 from corpusloom.plans.common import BOXES_SQL, boxes, t
 from corpusloom.plans.documents import JUDGED, TURNS, a51, judged
 from corpusloom.plans.registry import query
@@ -60,10 +60,12 @@ def x34(spark, d):
     return a.join(b, meet).filter(ratio.between(0.05, 5)).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(ratio, 6).alias("ratio"))
 
 
-@query("x41_prompt", r"SELECT page_id, 'URL: ' || url || chr(10) || 'HTML: ' || left(regexp_replace(coalesce(html, ''), '[ \t\n\r]+', ' ', 'g'), 400) AS prompt FROM pages")
+@query("x41_prompt", r"SELECT doc_id, md5('Classify this FSI:' || chr(10) || chr(10) || 'T' || doc_id || chr(10) || left(regexp_replace(left(CASE WHEN doc_id % 3 = 0 THEN '' ELSE repeat(source || ' ', 60) END, 200) || chr(10) || left(coalesce(text, ''), 800), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), 1000)) AS prompt_md5 FROM documents")
 def x41(spark, d):
-    body = F.substring(F.regexp_replace(F.coalesce("html", F.lit("")), r"[ \t\n\r]+", " "), 1, 400)
-    return t(spark, d, "pages").select("page_id", F.concat(F.lit("URL: "), "url", F.lit("\nHTML: "), body).alias("prompt"))
+    """A record's title, the starts of its description and text, and no more than a thousand characters of both."""
+    description = F.when(F.col("doc_id") % 3 != 0, F.repeat(F.concat("source", F.lit(" ")), F.lit(60)))
+    prompt = report.classification_prompt(F.concat(F.lit("T"), "doc_id"), description, F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
 
 @query("x42_record_text", "SELECT doc_id, md5(concat_ws(chr(10), '# ' || source, 'Language: ' || lang, 'Length: ' || n_chars, '', 'Full text:', coalesce(text, ''))) AS record_md5 FROM documents")

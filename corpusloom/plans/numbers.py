@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import geo, urls
 from corpusloom.operators import corpus
-from corpusloom.plans.common import BOXES_SQL, POINTS_SQL, boxes, points, t
+from corpusloom.plans.common import BOXES, BOXES_SQL, POINTS_SQL, boxes, points, t
 from corpusloom.plans.registry import query
 
 MX, MY = "6378137.0 * radians({0})", "6378137.0 * ln(tan(radians({0}) / 2 + 0.7853981633974483))"
@@ -27,11 +27,15 @@ def f36(spark, d):
     return j02(spark, d).groupBy("match_type").agg(F.count("*").alias("n"))
 
 
-@query("j03_first_polygon", f"WITH c AS (SELECT page_id, min(name) AS district FROM {POINTS_SQL} p JOIN {BOXES_SQL} ON lng BETWEEN min_lng AND max_lng AND lat BETWEEN min_lat AND max_lat GROUP BY 1) SELECT district, count(*) AS n FROM c GROUP BY 1")
+IN_ORDER = f"list_position([{', '.join(repr(b[0]) for b in BOXES)}], name)"
+
+
+@query("j03_first_polygon", f"WITH c AS (SELECT page_id, arg_min(name, {IN_ORDER}) AS district FROM {POINTS_SQL} p JOIN {BOXES_SQL} ON lng BETWEEN min_lng AND max_lng AND lat BETWEEN min_lat AND max_lat GROUP BY 1) SELECT district, count(*) AS n FROM c GROUP BY 1")
 def j03(spark, d):
-    b = F.broadcast(boxes(spark))
+    """The first box of the list that holds a point, edges included."""
+    b = F.broadcast(boxes(spark).withColumn("ord", F.array_position(F.array(*[F.lit(x[0]) for x in BOXES]), F.col("name"))))
     hit = points(spark, d).join(b, F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")))
-    return hit.groupBy("page_id").agg(F.min("name").alias("district")).groupBy("district").agg(F.count("*").alias("n"))
+    return hit.groupBy("page_id").agg(F.min_by("name", "ord").alias("district")).groupBy("district").agg(F.count("*").alias("n"))
 
 
 @query("j18_cross_bbox", f"SELECT b.name AS a, c.name AS b, count(*) AS n FROM {POINTS_SQL} p JOIN {BOXES_SQL} ON lng BETWEEN b.min_lng AND b.max_lng AND lat BETWEEN b.min_lat AND b.max_lat JOIN {BOXES_SQL.replace('AS b(', 'AS c(')} ON b.name < c.name AND lng BETWEEN c.min_lng AND c.max_lng AND lat BETWEEN c.min_lat AND c.max_lat GROUP BY ALL")
