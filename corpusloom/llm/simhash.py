@@ -24,6 +24,8 @@ SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 NEAR_WORDS, SIMILARITY, LANES, NEAR_RADIUS = 5, 0.8, 2, 33
 #: Tables of sampled bits are so many that two texts of the least similarity meet in one of them with this chance at least.
 MEETING = 0.98
+#: Bits of a key at least, and nodes of a tree of wide fingerprints; larger shards are cut.
+LEAST_BITS, NEAR_TREE_SIZE = 12, 1024
 #: Links that a task holds before it keeps a spanning forest of them.
 LINKS_AT_ONCE = 400_000
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
@@ -347,12 +349,15 @@ def _wide(texts: pd.Series) -> pd.DataFrame:
 
 
 def _sampled(least: int, similarity: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for so many fingerprints: keys that hold some 64 by chance, and tables enough for MEETING.
+    """Bits of a key and number of tables for so many fingerprints: keys that hold some 256 at most by chance, and tables enough for MEETING.
+
+    Up to two million fingerprints there are 12 bits and 24 tables; the tables grow from there
+    as about the fourth root of the number.
 
     Texts of Jaccard similarity s have an angle whose cosine is about 2 s / (1 + s), and differ
     in a bit with the angle's share of a half turn.
     """
-    bits = min(48, max(8, math.ceil(math.log2(max(2, least))) - 6))
+    bits = min(48, max(LEAST_BITS, math.ceil(math.log2(max(2, least))) - 8))
     agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     return bits, math.ceil(math.log(1 - MEETING) / math.log(1 - agree**bits))
 
@@ -435,7 +440,7 @@ def _alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return met.filter(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree_size: int = NEAR_TREE_SIZE) -> DataFrame:
     """One row of docs for each group of near copies: that of the least doc_id, null last; rows and columns else unchanged.
 
     Near copies are texts whose sets of 5-word shingles (A-Z lower-cased; fewer words: the whole
