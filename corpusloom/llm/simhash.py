@@ -24,8 +24,10 @@ SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 NEAR_WORDS, SIMILARITY, LANES, NEAR_RADIUS = 5, 0.8, 2, 33
 #: Tables of sampled bits are so many that two texts of the least similarity meet in one of them with this chance at least.
 MEETING = 0.98
-#: Bits of a key at least, and nodes of a tree of wide fingerprints; larger shards are cut.
-LEAST_BITS, NEAR_TREE_SIZE = 12, 1024
+#: Bits of a key at least, further bits that crowded shards may be cut by, and nodes of a tree of wide fingerprints.
+LEAST_BITS, MORE_BITS, NEAR_TREE_SIZE = 10, 24, 1024
+#: Crowded shards up to this number are sent to all tasks by name.
+MOST_CROWDED = 1_000_000
 #: Links that a task holds before it keeps a spanning forest of them.
 LINKS_AT_ONCE = 400_000
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
@@ -348,70 +350,63 @@ def _wide(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(table_, columns=[*(f"w{k}" for k in range(LANES)), "alike"])
 
 
-def _sampled(least: int, similarity: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for so many fingerprints: keys that hold some 256 at most by chance, and tables enough for MEETING.
-
-    Up to two million fingerprints there are 12 bits and 24 tables; the tables grow from there
-    as about the fourth root of the number.
+def _sampled(fingerprints_: int, similarity: float) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many fingerprints: keys that hold some 1000 at most by chance, and tables enough for MEETING.
 
     Texts of Jaccard similarity s have an angle whose cosine is about 2 s / (1 + s), and differ
-    in a bit with the angle's share of a half turn.
+    in a bit with the angle's share of a half turn; MEETING is held for two standard deviations
+    more than that. Up to a million fingerprints there are 10 bits and 41 tables; from there
+    the tables grow as about the third root of the number.
     """
-    bits = min(48, max(LEAST_BITS, math.ceil(math.log2(max(2, least))) - 8))
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits, n = min(40, max(LEAST_BITS, math.ceil(math.log2(max(2, fingerprints_))) - 10)), 64 * LANES
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    agree = 1 - differ - 2 * math.sqrt(differ * (1 - differ) / n)
     return bits, math.ceil(math.log(1 - MEETING) / math.log(1 - agree**bits))
 
 
-def _keys(fp: np.ndarray, first: int, last: int, tables) -> list[np.ndarray]:
-    """The bits first to last of each table's own order of the fingerprint's bits, as a number."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    out = []
-    for t in tables:
-        order = np.random.default_rng([SEED, t]).permutation(bits.shape[1])[first:last]
-        packed = np.zeros((len(fp), 8), dtype=np.uint8)
-        part = np.packbits(bits[:, order], axis=1)
-        packed[:, : part.shape[1]] = part
-        out.append(packed.view(np.int64)[:, 0])
-    return out
+def _in_order(fp: np.ndarray, table_: int, first: int, last: int) -> np.ndarray:
+    """The bits first to last of a table's own order of the fingerprints' bits (0 or 1, a row each), as numbers."""
+    order = np.random.default_rng([SEED, table_]).permutation(fp.shape[1])[first:last]
+    packed = np.zeros((len(fp), 8), dtype=np.uint8)
+    part = np.packbits(fp[:, order], axis=1)
+    packed[:, 8 - part.shape[1] :] = part
+    return packed.view(">i8")[:, 0].astype(np.int64) >> (-(last - first) % 8)
 
 
 def _wide_shards(fps: DataFrame, bits: int, tables: int, tree_size: int, at: str) -> DataFrame:
-    """fps (node, w0, w1) in shards of two or more: node, w0, w1, shard, n. A shard holds those that agree in the sampled bits of a table.
+    """fps (node, w0, w1) in shards: node, w0, w1, shard, n (rows of a shard where it is crowded, else 1).
 
-    A shard of more than tree_size is cut by as many further bits of its table's order as make
-    its pieces small by chance, and some more.
+    A shard holds those that agree in the sampled bits of a table. Keys are made anew for the
+    count and for the shards, as that costs less than to keep them. A shard of more than
+    tree_size is cut by as many further bits of its table's order as make its pieces small by
+    chance, and some more.
     """
     words = [f"w{k}" for k in range(LANES)]
-    schema = "tbl int, key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words)
+    schema = "shard bigint, further int, node bigint, " + ", ".join(f"{w} bigint" for w in words)
 
     def emit(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
-            for t, key in enumerate(_keys(fp, 0, bits, range(tables))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, dtype=np.int32)), pa.array(key), batch.column("node"), *(batch.column(w) for w in words)], ["tbl", "key", "node", *words])
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
-            tbl, more = batch.column("tbl").to_numpy(), batch.column("more").to_numpy()
-            deeper = np.zeros(len(fp), dtype=np.int64)
-            for t, m in {*zip(tbl.tolist(), more.tolist(), strict=True)}:
-                own = np.flatnonzero((tbl == t) & (more == m))
-                deeper[own] = _keys(fp[own], bits, bits + m, [t])[0]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(deeper), batch.column("node"), *(batch.column(w) for w in words)], ["shard", "deeper", "node", *words])
-
-    keyed = save(fps.select("node", *words).mapInArrow(emit, schema), f"{at}-keys")
-    sizes = save(keyed.groupBy("tbl", "key").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-sizes")
-    met = keyed.join(sizes.hint("merge"), ["tbl", "key"]).withColumn("shard", F.xxhash64("tbl", "key"))
-    small = met.filter(F.col("n") <= tree_size).select("node", *words, "shard", "n")
-    more = (F.ceil(F.log2(F.col("n") / tree_size)) + 4).cast("int")
-    large = met.filter(F.col("n") > tree_size).select("tbl", "shard", more.alias("more"), "node", *words)
-    large = large.mapInArrow(cut, "shard bigint, deeper bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
-    large = save(large.withColumn("shard", F.xxhash64("shard", "deeper")).drop("deeper"), f"{at}-deeper")
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                fp = np.stack([part.column(w).to_numpy() for w in words], axis=1)
+                fp = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                for t in range(tables):
+                    shard = _in_order(fp, t, 0, bits) * tables + t
+                    further = _in_order(fp, t, bits, bits + MORE_BITS).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(further), part.column("node"), *(part.column(w) for w in words)], ["shard", "further", "node", *words])
+
+    keyed = fps.select("node", *words).mapInArrow(emit, schema)
+    crowded = save(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > tree_size), f"{at}-crowded")
+    known = crowded.withColumnRenamed("shard", "_crowded")
+    known = F.broadcast(known) if crowded.count() <= MOST_CROWDED else known
+    met = keyed.join(known, keyed["shard"] == known["_crowded"], "left")
+    small = met.filter("n IS NULL").select("node", *words, F.xxhash64("shard").alias("shard"), F.lit(1).cast("long").alias("n"))
+    more = F.least((F.ceil(F.log2(F.col("n") / tree_size)) + 4).cast("int"), F.lit(MORE_BITS))
+    piece = F.expr("shiftright(further, more)")
+    large = met.filter("n IS NOT NULL").withColumn("more", MORE_BITS - more).select(F.xxhash64("shard", piece).alias("shard"), "node", *words)
+    large = save(large, f"{at}-large")
     counted = save(large.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-counted")
     return small.union(large.join(counted, "shard").select("node", *words, "shard", "n"))
 
@@ -474,7 +469,7 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     stay = grouped.groupBy("root").agg(F.min(F.struct("no", "doc_id", "node")).alias("least")).select(F.col("least.node").alias("row"))
     gone = keys.select("row").join(save(stay, f"{at}-stay"), "row", "left_anti")
     kept = by_number(marked.drop(wide), row, gone, False).drop(row)
-    for k in ("keys", "sizes", "deeper", "counted", "nodes", "fps", "links", "alike"):
+    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike"):
         remove(spark, f"{at}-{k}")
     return kept
 
