@@ -67,14 +67,15 @@ def by_number(df: DataFrame, row: str, numbers: DataFrame, inside: bool) -> Data
     bitmaps, some bits a row of df. Up to a bound these go to all tasks and df isn't shuffled;
     beyond it df is joined.
     """
-    blocks = numbers.groupBy(F.floor(F.col("row") / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("row") % BLOCK_BITS).alias("bitmap"))
+    block, bit = (lambda c: F.shiftright(c, 15)), (lambda c: c.bitwiseAND(F.lit(BLOCK_BITS - 1)))
+    blocks = numbers.groupBy(block(F.col("row")).alias("block")).agg(F.bitmap_construct_agg(bit(F.col("row"))).alias("bitmap"))
     blocks = save(blocks, scratch(df.sparkSession, "numbers"))
     own = [df[c] for c in df.columns]
     if blocks.count() * (BLOCK_BITS // 8) > MOST_SENT_BYTES:
         return df.join(numbers, df[row] == numbers["row"], "left_semi" if inside else "left_anti").select(*own)
     sent = F.broadcast(blocks.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap")))
-    joined = df.join(sent, F.floor(df[row] / BLOCK_BITS) == sent["_block"], "left")
-    hit = bit_set(sent["_bitmap"], df[row] % BLOCK_BITS)
+    joined = df.join(sent, block(df[row]) == sent["_block"], "left")
+    hit = bit_set(sent["_bitmap"], bit(df[row]))
     return joined.filter(hit if inside else ~hit).select(*own)
 
 

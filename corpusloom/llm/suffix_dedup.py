@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import free, remove, save, scratch, table
+from corpusloom.llm._common import by_number, free, remove, save, scratch, table
 
 LENGTH = 400
 #: A node is cut into so many at most, a round.
@@ -251,10 +251,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     grams = scanned.filter("kind = 1").select(*names[1:7])
     met = save(grams.groupBy("c0", "c1").agg(F.count("*").alias("n")).filter("n > 1").select("c0", "c1"), f"{base}-met")
     nodes = save(grams.join(met, ["c0", "c1"]).select(*names[1:7], F.lit(False).alias("witness")), f"{base}-nodes0")
-    named = save(nodes.select("rid").distinct(), f"{base}-named")
-    free(spark)
-    texts = save(rows.select("rid", "packed").join(named, "rid"), f"{base}-texts")
-    for p in ("scan/kind=1", "met", "named"):
+    texts = save(by_number(rows.select("rid", "packed"), "rid", nodes.select(F.col("rid").alias("row")), True), f"{base}-texts")
+    for p in ("scan/kind=1", "met"):
         remove(spark, f"{base}-{p}")
     free(spark)
 
@@ -331,7 +329,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
 
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    return rows.join(spans, "rid", "left").select("doc_id", "packed", "spans").mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    touched = spans.select(F.col("rid").alias("row"))
+    cut = by_number(rows, "rid", touched, True).join(spans, "rid").select("doc_id", "packed", "spans")
+    whole = by_number(rows, "rid", touched, False).select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.unionByName(whole).mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
