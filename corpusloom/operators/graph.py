@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators.ordered import numbered, written
+from corpusloom.operators.ordered import discard, numbered, written
 
 #: What joins several values in one attribute of a stored graph.
 SEP = "<SEP>"
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         tied = written(tied.union(least).filter("a >= b").distinct(), "tied")
         low = written(tied.filter("a > b").groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = tied.filter("a > b").join(low, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = written(moved.union(low).union(tied.filter("a = b")).distinct(), "edges")
+        last, now = now, written(moved.union(low).union(tied.filter("a = b")).distinct(), "edges")
+        discard(last, least, tied, low)
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")
 
 

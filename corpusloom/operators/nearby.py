@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import geo
 from corpusloom.operators.claims import in_ring
-from corpusloom.operators.ordered import written
+from corpusloom.operators.ordered import discard, written
 
 METRES_A_DEGREE = 111_194.926
 #: Districts up to this many ring points are sent to all tasks; more are met by cells.
@@ -44,7 +44,9 @@ def _nearest(asked: DataFrame, places: DataFrame, cell: float, distance: Callabl
         out = done if out is None else out.union(done)
         if settled:
             return out
-        left = written(left.join(done.select("id"), "id", "left_anti"), "unsettled")
+        last, left = left, written(left.join(done.select("id"), "id", "left_anti"), "unsettled")
+        if last is not asked:
+            discard(last)
         if left.isEmpty():
             return out
         size *= 2

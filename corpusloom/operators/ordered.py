@@ -29,7 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in a scratch folder and reread: its lineage ends in files that outlive executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of tables that `written` made and that no result reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def running(df: DataFrame, order: list, weights: dict[str, Column], by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators.ordered import written
+from corpusloom.operators.ordered import discard, written
 
 # Errors that no later try mends.
 DEAD_ERRORS = ("ssl", "dns", "refused")
@@ -173,8 +173,10 @@ def drop_alike(images: DataFrame, order: str, bits: str, near: int = 8, by: list
         new = written(open_.join(waits, [*by, "_o"], "left_anti"), "kept")
         kept = new if kept is None else kept.union(new)
         gone = pairs.join(new, [*by, "_o"]).select(*by, F.col("_later").alias("_o")).distinct()
-        open_ = written(open_.join(new, [*by, "_o"], "left_anti").join(gone, [*by, "_o"], "left_anti"), "open")
+        last, open_ = open_, written(open_.join(new, [*by, "_o"], "left_anti").join(gone, [*by, "_o"], "left_anti"), "open")
+        discard(last)
         if open_.isEmpty():
+            discard(open_, pairs)
             break
     return images.join(kept.select(*by, F.col("_o").alias(order)), [*by, order], "left_semi")
 
