@@ -78,16 +78,17 @@ def a02(spark, d):
 
 
 RULES = (("licence", "licensed under"), ("secret", "token"), ("shout", "!!"), ("english", "the "))
-CLASS = "CASE " + " ".join(f"WHEN contains(lower(substring(coalesce({{0}}, ''), 1, 500)), '{w}') THEN '{k}'" for k, w in RULES) + " ELSE 'other' END"
+#: The first rule that holds in the first 500 characters, as the rule of x12 reads, and in whole texts.
+START_CLASS, CLASS = ("CASE " + " ".join(f"WHEN contains({low}, '{w}') THEN '{k}'" for k, w in RULES) + " ELSE 'other' END" for low in ("lower(substring(coalesce({0}, ''), 1, 500))", "lower(coalesce({0}, ''))"))
 
 
 def classify(body):
-    return text.first_match([(k, text.any_keyword(F.substring(body, 1, 500), [w])) for k, w in RULES], "other")
+    return text.first_match([(k, text.any_keyword(body, [w])) for k, w in RULES], "other")
 
 
-@query("x12_first_match_class", f"SELECT doc_id, {CLASS.format('text')} AS class FROM documents")
+@query("x12_first_match_class", f"SELECT doc_id, {START_CLASS.format('text')} AS class FROM documents")
 def x12(spark, d):
-    return t(spark, d, "documents").select("doc_id", classify(F.col("text")).alias("class"))
+    return t(spark, d, "documents").select("doc_id", classify(F.substring("text", 1, 500)).alias("class"))
 
 
 @query("x14_word_count", f"SELECT doc_id, len({TOKENS.format('text')})::BIGINT AS n_words, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents")
