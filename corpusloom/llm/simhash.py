@@ -28,8 +28,8 @@ MEETING = 0.98
 LEAST_BITS, MORE_BITS, NEAR_TREE_SIZE = 10, 24, 1024
 #: Crowded shards up to this number are sent to all tasks by name.
 MOST_CROWDED = 1_000_000
-#: Links that a task holds before it keeps a spanning forest of them.
-LINKS_AT_ONCE = 400_000
+#: Links that a task holds before it keeps the shortest of them, and how many of each node's shortest stay beside a spanning forest.
+LINKS_AT_ONCE, SHORTEST = 400_000, 8
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
 BLOCKS = 6
 #: Fingerprints of a BK-tree; larger shards are cut into so many trees that each holds about this number.
@@ -141,16 +141,14 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the links (a, b, distance) of a forest that connects what all links connect, by the shortest links (Boruvka's rounds)."""
-    order = np.argsort(d, kind="stable")
-    a, b = a[order], b[order]
-    label, chosen = np.arange(n), []
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b), the shortest first, of a forest that connects what all links connect, by the first links (Boruvka's rounds)."""
+    label, chosen = np.arange(n), [np.zeros(0, dtype=np.int64)]
     while True:
         la, lb = label[a], label[b]
         across = np.flatnonzero(la != lb)
         if not len(across):
-            return order[np.concatenate(chosen)] if chosen else order[:0]
+            return np.concatenate(chosen)
         first = np.full(n, len(a))
         np.minimum.at(first, la[across], across)
         np.minimum.at(first, lb[across], across)
@@ -159,6 +157,16 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
         chosen.append(picked)
 
 
+def first_of_each(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Places of the links (a, b), the shortest first, that are among the first `most` of one of their ends."""
+    ends, place = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((place, ends))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ends[order][1:] != ends[order][:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return np.unique(place[order][np.arange(len(order)) - start < most])
+
+
 def _least_labels(n: int, pairs) -> np.ndarray:
     """The least index of each index's component, over arrays of pairs."""
     label = np.arange(n)
@@ -227,28 +235,33 @@ def _stars(t, links):
 
 
 def _shortest(t, links):
-    """Links (a, b) of nodes: the shortest that connect what is connected."""
+    """Links (a, b) of nodes: the shortest that connect what is connected, and each node's shortest; of one length, those of lesser nodes.
+
+    In that order no two links are equal, so what is kept doesn't depend on how rows come.
+    """
     import pyarrow as pa
 
-    kept = [np.zeros(0, dtype=np.int64)] * 3
-    size = 0
-    held: list = []
+    node = t["node"].to_numpy()
+    kept, held, size = [np.zeros(0, dtype=np.int64)] * 3, [], 0
 
     def reduce_():
         a, b, d = (np.concatenate([k, *parts]) for k, parts in zip(kept, zip(*held, strict=True), strict=True))
-        stay = spanning(t.num_rows, a, b, d)
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.lexsort((node[b], node[a], d))
+        a, b, d = a[order], b[order], d[order]
+        stay = np.union1d(spanning(t.num_rows, a, b), first_of_each(a, b, SHORTEST))
         return [a[stay], b[stay], d[stay]]
 
     for link in links:
-        held.append(link)
-        size += len(link[0])
+        apart_ = link[0] != link[1]
+        held.append(tuple(x[apart_] for x in link))
+        size += int(apart_.sum())
         if size > LINKS_AT_ONCE:
             kept, held, size = reduce_(), [], 0
     if held:
         kept = reduce_()
-    node = t["node"].to_numpy()
-    a, b = node[kept[0]], node[kept[1]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+    return pa.RecordBatch.from_arrays([pa.array(node[kept[0]]), pa.array(node[kept[1]])], ["a", "b"]) if len(kept[0]) else None
 
 
 def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give) -> DataFrame:
@@ -442,8 +455,8 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     text's) have a Jaccard similarity of `similarity` or more; a group is what such links
     connect. Links are found by fingerprints of 128 bits: fingerprints that agree in the
     sampled bits of one of several tables meet in a BK-tree, links within radius are followed,
-    the shortest that connect a tree's texts are kept, and each is held against the shingle
-    sets. Two texts of just the least similarity meet with a chance of MEETING; those more alike
+    the shortest that connect a tree's texts and each text's own shortest are kept, and each is
+    held against the shingle sets. Two texts of just the least similarity meet with a chance of MEETING; those more alike
     meet more often. Rows are told apart by their place in the table, so rows that repeat an id
     with another text stand in the group of their own text, and of rows with one text and id
     one stays. Texts without words are alike, null texts among them. An empty table gives no rows.
