@@ -464,13 +464,15 @@ def test_crowded_shards_of_wide_fingerprints(spark):
     for a, b in links:
         assert ((rows[a][1] ^ rows[b][1]) & (1 << 64) - 1).bit_count() + ((rows[a][2] ^ rows[b][2]) & (1 << 64) - 1).bit_count() <= 27
         root[find(a)] = find(b)
-    assert len({find(k) for k in range(400)}) == 1 and len(links) < 400 * 6 * 16
+    assert len({find(k) for k in range(400)}) == 1
 
 
-def test_spanning_takes_the_shortest_links():
-    a, b, d = np.array([0, 1, 0, 3, 2]), np.array([1, 2, 2, 4, 2]), np.array([5, 1, 2, 9, 0])
-    assert sorted(simhash.spanning(5, a, b, d).tolist()) == [1, 2, 3]
-    assert simhash.spanning(3, a[:0], b[:0], d[:0]).tolist() == []
+def test_spanning_takes_the_first_links():
+    a, b = np.array([1, 0, 0, 3, 2]), np.array([2, 2, 1, 4, 2])
+    assert sorted(simhash.spanning(5, a, b).tolist()) == [0, 1, 3]
+    assert simhash.spanning(3, a[:0], b[:0]).tolist() == []
+    assert simhash.first_of_each(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 2]), 1).tolist() == [0, 1, 2]
+    assert simhash.first_of_each(a[:0], b[:0], 2).tolist() == []
 
 
 def test_pipeline_stages(spark):
