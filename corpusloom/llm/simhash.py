@@ -234,8 +234,12 @@ def _stars(t, links):
     return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[label[far]])], ["a", "b"]) if len(far) else None
 
 
+#: What _shortest gives: two nodes, and whether the link is one of those that connect.
+LINKS = "a bigint, b bigint, forest boolean"
+
+
 def _shortest(t, links):
-    """Links (a, b) of nodes: the shortest that connect what is connected, and each node's shortest; of one length, those of lesser nodes.
+    """Links (a, b, forest) of nodes: the shortest that connect what is connected, and each node's shortest; of one length, those of lesser nodes.
 
     In that order no two links are equal, so what is kept doesn't depend on how rows come.
     """
@@ -250,27 +254,28 @@ def _shortest(t, links):
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         order = np.lexsort((node[b], node[a], d))
         a, b, d = a[order], b[order], d[order]
-        stay = np.union1d(spanning(t.num_rows, a, b), first_of_each(a, b, SHORTEST))
-        return [a[stay], b[stay], d[stay]]
+        forest = spanning(t.num_rows, a, b)
+        stay = np.union1d(forest, first_of_each(a, b, SHORTEST))
+        return [a[stay], b[stay], d[stay]], np.isin(stay, forest)
 
     for link in links:
         apart_ = link[0] != link[1]
         held.append(tuple(x[apart_] for x in link))
         size += int(apart_.sum())
         if size > LINKS_AT_ONCE:
-            kept, held, size = reduce_(), [], 0
-    if held:
-        kept = reduce_()
-    return pa.RecordBatch.from_arrays([pa.array(node[kept[0]]), pa.array(node[kept[1]])], ["a", "b"]) if len(kept[0]) else None
+            (kept, _), held, size = reduce_(), [], 0
+    held.append(tuple(np.zeros(0, dtype=np.int64) for _ in range(3)))
+    kept, forest = reduce_()
+    return pa.RecordBatch.from_arrays([pa.array(node[kept[0]]), pa.array(node[kept[1]]), pa.array(forest)], ["a", "b", "forest"]) if len(kept[0]) else None
 
 
-def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give) -> DataFrame:
-    """Links (a, b) of shards (shard, n, columns): one of more than tree_size is dealt to several trees, and every pair of its parts meets in one task."""
+def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give, schema: str = "a bigint, b bigint") -> DataFrame:
+    """Links (schema) of shards (shard, n, columns): one of more than tree_size is dealt to several trees, and every pair of its parts meets in one task."""
     met = shards.withColumn("parts", F.ceil(F.col("n") / tree_size)).withColumn("part", F.pmod(F.xxhash64(*columns), F.col("parts")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # With an equal part on both sides a fingerprint is a node and a query; else the lesser part's are the nodes.
     met = met.select(*columns, F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("tree"), (F.col("part") <= F.col("other")).alias("own"), (F.col("part") >= F.col("other")).alias("ask"))
-    return met.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _in_trees(b, radius, give), "a bigint, b bigint").distinct()
+    return met.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _in_trees(b, radius, give), schema).distinct()
 
 
 def _choices(bits: list[int], blocks: int, equal: int) -> list[tuple[int, list[int]]]:
@@ -474,15 +479,23 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     same = nodes.select(*words, F.col("node").alias("b")).join(fps.withColumnRenamed("node", "a"), words).filter("a <> b").select("a", "b")
     bits, tables = _sampled(fps.count(), similarity)
     shards = _wide_shards(fps, bits, tables, tree_size, at)
-    links = save(_met_in_trees(shards, ["node", *words], tree_size, radius, _shortest).union(same).distinct(), f"{at}-links")
+    met = _met_in_trees(shards, ["node", *words], tree_size, radius, _shortest, LINKS).union(same.withColumn("forest", F.lit(True)))
+    links = save(met.groupBy("a", "b").agg(F.max("forest").alias("forest")), f"{at}-links")
     asked = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     texts = by_number(marked.select(F.col(row).alias("row"), "text"), "row", asked, True)
-    roots = components(save(_alike(links, texts, similarity), f"{at}-alike"), "simhash-near")
+    first = save(_alike(links.filter("forest").select("a", "b"), texts, similarity), f"{at}-alike")
+    # Of the others, links inside a group that is connected already change nothing.
+    roots = save(components(first, "simhash-near"), f"{at}-roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = links.filter("not forest").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = save(_alike(rest, texts, similarity), f"{at}-more")
+    roots = components(save(first.union(more), f"{at}-both"), "simhash-near")
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = grouped.groupBy("root").agg(F.min(F.struct("no", "doc_id", "node")).alias("least")).select(F.col("least.node").alias("row"))
     gone = keys.select("row").join(save(stay, f"{at}-stay"), "row", "left_anti")
     kept = by_number(marked.drop(wide), row, gone, False).drop(row)
-    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike"):
+    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike", "roots", "more", "both"):
         remove(spark, f"{at}-{k}")
     return kept
 
