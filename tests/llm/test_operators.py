@@ -453,7 +453,7 @@ def test_crowded_shards_of_wide_fingerprints(spark):
     base = r.integers(0, 1 << 63, 2)
     flips = lambda: np.bitwise_or.reduce(1 << r.integers(0, 63, 3))
     rows = [(k, int(base[0] ^ flips()), int(base[1] ^ flips())) for k in range(400)]
-    links = simhash._met_in_trees(simhash._wide_shards(table(spark, rows, "node long, w0 long, w1 long"), 8, 6, 16, simhash.scratch(spark, "t")), ["node", "w0", "w1"], 16, 27, simhash._shortest).collect()
+    links = simhash._met_in_trees(simhash._wide_shards(table(spark, rows, "node long, w0 long, w1 long"), 8, 6, 16, simhash.scratch(spark, "t")), ["node", "w0", "w1"], 16, 27, simhash._shortest, simhash.LINKS).collect()
     root = list(range(400))
 
     def find(x):
@@ -461,7 +461,7 @@ def test_crowded_shards_of_wide_fingerprints(spark):
             x = root[x]
         return x
 
-    for a, b in links:
+    for a, b, _ in links:
         assert ((rows[a][1] ^ rows[b][1]) & (1 << 64) - 1).bit_count() + ((rows[a][2] ^ rows[b][2]) & (1 << 64) - 1).bit_count() <= 27
         root[find(a)] = find(b)
     assert len({find(k) for k in range(400)}) == 1
