@@ -79,6 +79,23 @@ def by_number(df: DataFrame, row: str, numbers: DataFrame, inside: bool) -> Data
     return joined.filter(hit if inside else ~hit).select(*own)
 
 
+def sieve(rows: DataFrame, key: str, keys: DataFrame, bits_a_key: int = 16) -> DataFrame:
+    """The rows whose key may be in keys (key), a written table without repeats; few others pass.
+
+    The keys are packed into bitmaps of bits_a_key bits each. Up to a bound these go to all
+    tasks and rows aren't shuffled; beyond it all rows pass.
+    """
+    blocks = 1 + keys.count() * bits_a_key // BLOCK_BITS
+    if blocks * (BLOCK_BITS // 8) > MOST_SENT_BYTES:
+        return rows
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks * BLOCK_BITS))
+    packed = keys.select(bit(F.col(key)).alias("bit")).groupBy(F.shiftright("bit", 15).alias("_block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("_bitmap"))
+    sent = F.broadcast(save(packed, scratch(rows.sparkSession, "sieve")))
+    own = [rows[c] for c in rows.columns]
+    joined = rows.join(sent, F.shiftright(bit(rows[key]), 15) == sent["_block"])
+    return joined.filter(bit_set(sent["_bitmap"], bit(rows[key]).bitwiseAND(F.lit(BLOCK_BITS - 1)))).select(*own)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
