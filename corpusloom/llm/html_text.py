@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -24,7 +25,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd la
 #: Tags that end an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote body details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table td th tr ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)|([^<]+|<)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
@@ -36,7 +37,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     A block is the text between two block-level tags, its inline tags removed, character
     references decoded and white space made single. What scripts, styles and the head hold is
-    not text. An unclosed tag at the page's end is markup.
+    not text. A quote opens an attribute's value only after an equals sign. An unclosed tag, or
+    value, at the page's end is markup.
     """
     stack: list[tuple[str, tuple[str, ...]]] = []
     path: tuple[str, ...] = ()
@@ -115,8 +117,12 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _paths[path]
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """(blocks, PATH_DIM + WORD_DIM + STATS): tag path, hashed words over all of the block, and its form."""
+def features(page: list[tuple[tuple[str, ...], str, int]], first: int = 0, length: int | None = None) -> np.ndarray:
+    """(blocks, PATH_DIM + WORD_DIM + STATS): tag path, hashed words over all of the block, and its form.
+
+    The blocks may be a part of a page of `length`, from its block `first` on.
+    """
+    length = length or len(page)
     out = np.zeros((len(page), PATH_DIM + WORD_DIM + STATS), dtype=np.float32)
     crc = zlib.crc32
     for k, (path, text, linked) in enumerate(page):
@@ -124,7 +130,7 @@ def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         words = text.lower().split()
         n = len(words)
         out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.minimum(np.bincount([crc(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM) / n**0.5 / 2, 1)
-        out[k, -STATS:] = (np.log1p(n) / 4, linked / len(text), text[-1] in ".!?", k / len(page), "©" in text, n < 4)
+        out[k, -STATS:] = (np.log1p(n) / 4, linked / len(text), text[-1] in ".!?", (first + k) / length, "©" in text, n < 4)
     return out
 
 
@@ -145,13 +151,14 @@ class BlockLabeller:
     def _s(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x, mask, d):
-        """Hidden states (time, page, hidden) in one direction; padding keeps a page's state."""
+    def _run(self, x, mask, d, keep=True, start=None):
+        """Hidden states (time, page, hidden) in one direction, and with keep all gates; padding keeps a page's state. start: (state, cell) before."""
         t, n, _ = x.shape
         h, hs = self.hidden, []
         pre = x.reshape(t * n, -1) @ self.p["x" + d] + self.p["c" + d]
         pre = pre.reshape(t, n, 4 * h)
-        state, cell, steps = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
+        state, cell = start or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
+        steps = []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = pre[k] + state @ self.p["h" + d]
             i, f, o, g = self._s(z[:, :h]), self._s(z[:, h : 2 * h]), self._s(z[:, 2 * h : 3 * h]), np.tanh(z[:, 3 * h :])
@@ -159,13 +166,14 @@ class BlockLabeller:
             new_cell = m * (f * cell + i * g) + (1 - m) * cell
             th = np.tanh(new_cell)
             new_state = m * (o * th) + (1 - m) * state
-            steps.append((k, state, cell, i, f, o, g, th, m))
+            if keep:
+                steps.append((k, state, cell, i, f, o, g, th, m))
             state, cell = new_state, new_cell
             hs.append(state)
-        return np.stack(hs if d == "f" else hs[::-1]), steps
+        return np.stack(hs if d == "f" else hs[::-1]), steps if keep else (state, cell)
 
     def scores(self, x, mask):
-        (f, _), (b, _) = self._run(x, mask, "f"), self._run(x, mask, "b")
+        f, b = (self._run(x, mask, d, keep=False)[0] for d in "fb")
         return self._s(np.concatenate([f, b], axis=2) @ self.p["o"] + self.p["oc"])[:, :, 0]
 
     def gradients(self, x, mask, y):
@@ -212,6 +220,18 @@ class BlockLabeller:
         s = self.scores(x, mask)
         return [s[: len(p), k] > 0.5 for k, p in enumerate(pages)]
 
+    def label_long(self, page, at_once: int) -> np.ndarray:
+        """label for one page of blocks, of which so many have their features at once; the states go on from one part to the next."""
+        starts = list(range(0, len(page), at_once))
+        states = {d: np.zeros((len(page), self.hidden), np.float32) for d in "fb"}
+        for d, order in (("f", starts), ("b", starts[::-1])):
+            last = None
+            for k in order:
+                x = features(page[k : k + at_once], k, len(page))[:, None]
+                hs, last = self._run(x, np.ones(x.shape[:2], np.float32), d, keep=False, start=last)
+                states[d][k : k + at_once] = hs[:, 0]
+        return (self._s(np.concatenate([states["f"], states["b"]], axis=1) @ self.p["o"] + self.p["oc"]) > 0.5)[:, 0]
+
 
 def padded(pages, labels=None):
     t = max(1, *(len(p) for p in pages))
@@ -319,8 +339,9 @@ def made_page(r: random.Random) -> tuple[str, list[bool]]:
     return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>", labels
 
 
+@functools.cache
 def train(pages: int = TRAINING_PAGES, seed: int = 3) -> BlockLabeller:
-    """A labeller fitted on made pages; the same for the same numbers."""
+    """A labeller fitted on made pages, once in a process; the same for the same numbers."""
     r, x, y = random.Random(seed), [], []
     while len(x) < pages:
         page, labels = made_page(r)
@@ -338,6 +359,10 @@ def main_texts(pages: list[str | None], model: BlockLabeller) -> list[str]:
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
     while order:
         longest = len(found[order[-1]])
+        if longest > BLOCKS_AT_ONCE:
+            k = order.pop()
+            out[k] = "\n".join(b[1] for b, yes in zip(found[k], model.label_long(found[k], BLOCKS_AT_ONCE), strict=True) if yes)
+            continue
         take = max(1, min(len(order), BLOCKS_AT_ONCE // longest, PAGES_AT_ONCE))
         group, order = order[-take:], order[:-take]
         for k, on in zip(group, model.label([features(found[k]) for k in group]), strict=True):
