@@ -25,6 +25,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it what no column of df is called."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in a scratch folder and reread: its lineage ends in files that outlive executors."""
     path = scratch(df.sparkSession, name)

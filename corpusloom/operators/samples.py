@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ordered import numbered
+from corpusloom.operators.ordered import numbered, unused
 
 
 def draw(key: str, salt: str) -> Column:
@@ -50,6 +50,12 @@ def round_robin(df: DataFrame, key: str, by: str, categories: str, places: list[
     return first.groupBy(by).applyInPandas(pick, f"{by} {types[by]}, {key} {types[key]}, reason string, pick int")
 
 
+def sample_ids(df: DataFrame, order: list[str], form: str) -> DataFrame:
+    """df with sample_id, the rows' numbers in `order` from 1 in a format such as P2-%03d, which is wider for longer numbers."""
+    number = unused(df, "_n")
+    return numbered(df, order, number).withColumn("sample_id", F.format_string(form, F.col(number))).drop(number)
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The inner join by key, and what keeps it from being one to one: key and problem (only_left, only_right, repeated)."""
     a, b = left.groupBy(key).agg(F.count("*").alias("_l")), right.groupBy(key).agg(F.count("*").alias("_r"))

@@ -229,7 +229,7 @@ def p05(spark, d):
     return corpus.hash_sample(t(spark, d, "labels").select("quality", "toxic", "doc_id"), "doc_id", ["quality", "toxic"], 8, "p5")
 
 
-@query("w10_sequential_ids", "SELECT doc_id, 'A' || lpad((row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS item FROM labels")
+@query("w10_sequential_ids", "SELECT doc_id, 'A' || printf('%06d', row_number() OVER (ORDER BY doc_id)) AS item FROM labels")
 def w10(spark, d):
     return numbered(t(spark, d, "labels").select("doc_id"), ["doc_id"], "n").select("doc_id", F.format_string("A%06d", "n").alias("item"))
 

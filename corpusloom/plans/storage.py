@@ -131,7 +131,7 @@ def s09(spark, d):
     return rings.select("name", "ring", F.posexplode("r").alias("i", "p")).select("name", "ring", "i", "p.x", "p.y")
 
 
-@query("k05_text_files", "SELECT lpad(n_nationkey::VARCHAR, 3, '0') || '_' || regexp_replace(n_name, '[^A-Za-z0-9_-]', '_', 'g') AS name, length(n_name || chr(10) || 'of ' || n_regionkey)::INT AS chars FROM nation")
+@query("k05_text_files", "SELECT printf('%03d', n_nationkey) || '_' || regexp_replace(n_name, '[^A-Za-z0-9_-]', '_', 'g') AS name, length(n_name || chr(10) || 'of ' || n_regionkey)::INT AS chars FROM nation")
 def k05(spark, d):
     """A file a document, read back by name; the writer ends a file with a line feed."""
     path = scratch(spark, "documents")
@@ -139,7 +139,7 @@ def k05(spark, d):
     return readers.texts(spark, path).select("name", F.length(F.regexp_replace("text", "\n$", "")).alias("chars"))
 
 
-@query("s10_html_files", "SELECT lpad(r_regionkey::VARCHAR, 3, '0') || '_' || regexp_replace(r_name, '[^A-Za-z0-9_-]', '_', 'g') AS name, '<html>' || r_name || '</html>' AS html FROM region")
+@query("s10_html_files", "SELECT printf('%03d', r_regionkey) || '_' || regexp_replace(r_name, '[^A-Za-z0-9_-]', '_', 'g') AS name, '<html>' || r_name || '</html>' AS html FROM region")
 def s10(spark, d):
     path = scratch(spark, "raw")
     writers.text_files(t(spark, d, "region").select(F.col("r_regionkey").alias("doc_no"), F.col("r_name").alias("slug"), F.concat(F.lit("<html>"), "r_name", F.lit("</html>")).alias("text")), path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
 from corpusloom.operators import corpus, intervals, samples
-from corpusloom.operators.ordered import numbered
 from corpusloom.plans.common import DEDUP_KEY, URLS_SQL, t, url_list
 from corpusloom.plans.documents import JUDGED, judged
 from corpusloom.plans.registry import query
@@ -210,17 +209,17 @@ def w07(spark, d):
     return rows.withColumn("high", F.coalesce(F.lead("low").over(Window.partitionBy("doc").orderBy("low", "page_id")), F.lit(1000.0)))
 
 
-@query("p06_blinded", f"SELECT 'P2-' || lpad((row_number() OVER (ORDER BY md5(doc_id || ':p06'), doc_id))::VARCHAR, 3, '0') AS sample_id, city, '' AS verdict FROM {ANNOTATED}")
+@query("p06_blinded", f"SELECT 'P2-' || printf('%03d', row_number() OVER (ORDER BY md5(doc_id || ':p06'), doc_id)) AS sample_id, city, '' AS verdict FROM {ANNOTATED}")
 def p06(spark, d):
     """What an annotator sees: new ids in a random order, the answers left out."""
     return _numbered(spark, d).select("sample_id", "city", F.lit("").alias("verdict"))
 
 
-@query("p06_hidden", f"SELECT 'P2-' || lpad((row_number() OVER (ORDER BY md5(doc_id || ':p06'), doc_id))::VARCHAR, 3, '0') AS sample_id, doc_id, model_type, model_level FROM {ANNOTATED}")
+@query("p06_hidden", f"SELECT 'P2-' || printf('%03d', row_number() OVER (ORDER BY md5(doc_id || ':p06'), doc_id)) AS sample_id, doc_id, model_type, model_level FROM {ANNOTATED}")
 def p06_hidden(spark, d):
     return _numbered(spark, d).select("sample_id", "doc_id", "model_type", "model_level")
 
 
 def _numbered(spark, d):
     rows = annotated(spark, d).withColumn("_d", samples.draw("doc_id", "p06"))
-    return numbered(rows, ["_d", "doc_id"], "n").withColumn("sample_id", F.concat(F.lit("P2-"), F.lpad(F.col("n").cast("string"), 3, "0")))
+    return samples.sample_ids(rows, ["_d", "doc_id"], "P2-%03d")

@@ -62,12 +62,12 @@ def review_report(flagged: DataFrame, path: str) -> None:
 
 
 def text_files(documents: DataFrame, path: str) -> None:
-    """A file a document (doc_no, slug, text), named 000_slug.txt, in a folder that is emptied first.
+    """A file a document (doc_no, slug, text), named 000_slug.txt (wider beyond 999), in a folder that is emptied first.
 
     Tasks write their own documents by Spark's text writer, one document a file: each goes to a
     folder of its number and slug, which readers of names take for the file's name.
     """
-    name = F.concat_ws("_", F.lpad(F.col("doc_no").cast("string"), 3, "0"), F.substring(F.regexp_replace("slug", r"[^A-Za-z0-9_-]", "_"), 1, 60))
+    name = F.concat_ws("_", F.format_string("%03d", F.col("doc_no").cast("long")), F.substring(F.regexp_replace("slug", r"[^A-Za-z0-9_-]", "_"), 1, 60))
     documents.select(name.alias("name"), F.col("text").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
 
 

@@ -23,6 +23,19 @@ def test_round_robin_takes_turns_and_removes(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, samples.round_robin(df.repartition(5), "id", "city", "pools", ["b", "a"], 8, "s").collect()))
 
 
+def test_sample_ids_beyond_999_differ(spark):
+    df = spark.createDataFrame([(k * 37 % 1001, "x") for k in range(1001)], "d int, _n string").repartition(7)
+    got = {r["d"]: r["sample_id"] for r in samples.sample_ids(df, ["d"], "P2-%03d").collect()}
+    assert got == {k: f"P2-{k + 1:03d}" for k in range(1001)} and got[1000] == "P2-1001"
+
+
+def test_text_files_beyond_999_stay_apart(spark, tmp_path):
+    rows = [(k, "a", f"text {k}") for k in (7, 99, 100, 999, 1000, 1001, 100000)]
+    writers.text_files(spark.createDataFrame(rows, "doc_no long, slug string, text string"), str(tmp_path / "t"))
+    got = {r["name"]: r["text"].rstrip("\n") for r in readers.texts(spark, str(tmp_path / "t")).collect()}
+    assert got == {f"{k:03d}_a": f"text {k}" for k, *_ in rows}
+
+
 def test_one_to_one_names_what_is_not(spark):
     left, right = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int"), spark.createDataFrame([(2, "x"), (3, "y"), (4, "z")], "k int, v string")
     joined, problems = samples.one_to_one(left, right, "k")
