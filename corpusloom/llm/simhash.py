@@ -25,10 +25,11 @@ NEAR_WORDS, SIMILARITY, LANES, NEAR_RADIUS = 5, 0.8, 2, 33
 #: Tables of sampled bits are so many that two texts of the least similarity meet in one of them with this chance at least.
 MEETING = 0.98
 #: Bits of a key at least, further bits that crowded shards may be cut by, and nodes of a tree of wide fingerprints.
-LEAST_BITS, MORE_BITS, NEAR_TREE_SIZE = 10, 24, 1024
-#: Crowded shards up to this number are sent to all tasks by name.
+LEAST_BITS, MORE_BITS, NEAR_TREE_SIZE = 10, 24, 4096
+#: Shards up to this number are sent to all tasks by name.
 MOST_CROWDED = 1_000_000
-#: Links that a task holds before it keeps the shortest of them, and how many of each node's shortest stay beside a spanning forest.
+#: Links that a task of the first round holds before it keeps the shortest of them, and how many of each node's shortest stay beside
+#: a spanning forest. Nodes that others fall from ask again in the second round.
 LINKS_AT_ONCE, SHORTEST = 400_000, 8
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
 BLOCKS = 6
@@ -234,19 +235,21 @@ def _stars(t, links):
     return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[label[far]])], ["a", "b"]) if len(far) else None
 
 
-#: What _shortest gives: two nodes, and whether the link is one of those that connect.
+#: What _shortest gives: two nodes, and whether the link is one of those that connect; without b, a node that links fell from.
 LINKS = "a bigint, b bigint, forest boolean"
 
 
 def _shortest(t, links):
     """Links (a, b, forest) of nodes: the shortest that connect what is connected, and each node's shortest; of one length, those of lesser nodes.
 
-    In that order no two links are equal, so what is kept doesn't depend on how rows come.
+    In that order no two links are equal, so what is kept doesn't depend on how rows come. Both
+    ends of a link that isn't kept are given without b.
     """
     import pyarrow as pa
 
     node = t["node"].to_numpy()
     kept, held, size = [np.zeros(0, dtype=np.int64)] * 3, [], 0
+    fell = np.zeros(t.num_rows, dtype=bool)
 
     def reduce_():
         a, b, d = (np.concatenate([k, *parts]) for k, parts in zip(kept, zip(*held, strict=True), strict=True))
@@ -256,6 +259,9 @@ def _shortest(t, links):
         a, b, d = a[order], b[order], d[order]
         forest = spanning(t.num_rows, a, b)
         stay = np.union1d(forest, first_of_each(a, b, SHORTEST))
+        gone = np.ones(len(a), dtype=bool)
+        gone[stay] = False
+        fell[a[gone]] = fell[b[gone]] = True
         return [a[stay], b[stay], d[stay]], np.isin(stay, forest)
 
     for link in links:
@@ -266,7 +272,24 @@ def _shortest(t, links):
             (kept, _), held, size = reduce_(), [], 0
     held.append(tuple(np.zeros(0, dtype=np.int64) for _ in range(3)))
     kept, forest = reduce_()
-    return pa.RecordBatch.from_arrays([pa.array(node[kept[0]]), pa.array(node[kept[1]]), pa.array(forest)], ["a", "b", "forest"]) if len(kept[0]) else None
+    more = node[fell]
+    columns = [np.concatenate([node[kept[0]], more]), np.concatenate([node[kept[1]], more]), np.concatenate([forest, np.zeros(len(more), dtype=bool)])]
+    without = np.arange(len(columns[0])) >= len(forest)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=without), pa.array(columns[2])], ["a", "b", "forest"]) if len(columns[0]) else None
+
+
+def _across(t, links):
+    """Links (a, b) of nodes with different roots, all of them."""
+    import pyarrow as pa
+
+    node, root = t["node"].to_numpy(), t["root"].to_numpy()
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for a, b, _ in links:
+        other = root[a] != root[b]
+        pair = np.stack([node[a[other]], node[b[other]]], axis=1)
+        found.append(np.unique(np.sort(pair, axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]) if len(pairs) else None
 
 
 def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give, schema: str = "a bigint, b bigint") -> DataFrame:
@@ -391,16 +414,13 @@ def _in_order(fp: np.ndarray, table_: int, first: int, last: int) -> np.ndarray:
     return packed.view(">i8")[:, 0].astype(np.int64) >> (-(last - first) % 8)
 
 
-def _wide_shards(fps: DataFrame, bits: int, tables: int, tree_size: int, at: str) -> DataFrame:
-    """fps (node, w0, w1) in shards: node, w0, w1, shard, n (rows of a shard where it is crowded, else 1).
+def _keyed(fps: DataFrame, bits: int, tables: int) -> DataFrame:
+    """fps (node, w0, w1, and more) with shard and further, a row for each table: the sampled bits of a key, and MORE_BITS of the table's order after them.
 
-    A shard holds those that agree in the sampled bits of a table. Keys are made anew for the
-    count and for the shards, as that costs less than to keep them. A shard of more than
-    tree_size is cut by as many further bits of its table's order as make its pieces small by
-    chance, and some more.
+    Keys are made anew wherever they are read, as that costs less than to keep them.
     """
-    words = [f"w{k}" for k in range(LANES)]
-    schema = "shard bigint, further int, node bigint, " + ", ".join(f"{w} bigint" for w in words)
+    words, rest = [f"w{k}" for k in range(LANES)], fps.columns
+    schema = "shard bigint, further int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fps.schema.fields)
 
     def emit(batches):
         import pyarrow as pa
@@ -413,22 +433,69 @@ def _wide_shards(fps: DataFrame, bits: int, tables: int, tree_size: int, at: str
                 for t in range(tables):
                     shard = _in_order(fp, t, 0, bits) * tables + t
                     further = _in_order(fp, t, bits, bits + MORE_BITS).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(further), part.column("node"), *(part.column(w) for w in words)], ["shard", "further", "node", *words])
-
-    keyed = fps.select("node", *words).mapInArrow(emit, schema)
-    crowded = save(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > tree_size), f"{at}-crowded")
-    known = crowded.withColumnRenamed("shard", "_crowded")
-    known = F.broadcast(known) if crowded.count() <= MOST_CROWDED else known
-    met = keyed.join(known, keyed["shard"] == known["_crowded"], "left")
-    small = met.filter("n IS NULL").select("node", *words, F.xxhash64("shard").alias("shard"), F.lit(1).cast("long").alias("n"))
-    more = F.least((F.ceil(F.log2(F.col("n") / tree_size)) + 4).cast("int"), F.lit(MORE_BITS))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(further), *(part.column(c) for c in rest)], ["shard", "further", *rest])
+
+    return fps.mapInArrow(emit, schema)
+
+
+def _named(keyed: DataFrame, shards: DataFrame, how: str) -> DataFrame:
+    """keyed joined with shards (_shard, ...), a written table, which is sent to all tasks up to a bound."""
+    known = F.broadcast(shards) if shards.count() <= MOST_CROWDED else shards
+    return keyed.join(known, keyed["shard"] == known["_shard"], how)
+
+
+def _wide_shards(keyed: DataFrame, crowded: DataFrame, tree_size: int, at: str) -> DataFrame:
+    """keyed in shards, crowded ones (_shard, size) cut: node, w0, w1, shard, n (rows of a piece of a crowded shard, else 1).
+
+    A crowded shard is cut by as many further bits of its table's order as make its pieces
+    small by chance, and some more. Near copies that a cut parts are met in the second round.
+    """
+    words = [f"w{k}" for k in range(LANES)]
+    met = _named(keyed, crowded, "left")
+    small = met.filter("size IS NULL").select("node", *words, F.xxhash64("shard").alias("shard"), F.lit(1).cast("long").alias("n"))
+    more = F.least((F.ceil(F.log2(F.col("size") / tree_size)) + 4).cast("int"), F.lit(MORE_BITS))
     piece = F.expr("shiftright(further, more)")
-    large = met.filter("n IS NOT NULL").withColumn("more", MORE_BITS - more).select(F.xxhash64("shard", piece).alias("shard"), "node", *words)
+    large = met.filter("size IS NOT NULL").withColumn("more", MORE_BITS - more).select(F.xxhash64("shard", piece).alias("shard"), "node", *words)
     large = save(large, f"{at}-large")
     counted = save(large.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), f"{at}-counted")
     return small.union(large.join(counted, "shard").select("node", *words, "shard", "n"))
 
 
+def _missed(fps: DataFrame, fell: DataFrame, roots: DataFrame, bits: int, tables: int, tree_size: int, radius: int, at: str) -> DataFrame:
+    """Links (a, b) within radius of fingerprints that meet in a shard, of different roots: those that the first round cut or let fall.
+
+    fell: nodes (a) that a link fell from; roots: node, root of what is connected already. In a
+    shard that isn't crowded those nodes ask all others. In a crowded one all ask that don't
+    belong to its largest group; they and the nodes are dealt to parts, and every part of those
+    that ask meets every part of the nodes. So a large group of copies is read, but not compared
+    with itself.
+    """
+    words = [f"w{k}" for k in range(LANES)]
+    placed = fps.select("node", *words).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = save(placed.join(fell.select(F.col("a").alias("node"), F.lit(True).alias("fell")), "node", "left").withColumn("fell", F.coalesce("fell", F.lit(False))), f"{at}-placed")
+    keyed = _keyed(placed, bits, tables)
+    found = keyed.groupBy("shard").agg(F.count("*").alias("size"), F.max("fell").alias("asked"), F.min("root").alias("low"), F.max("root").alias("high"))
+    found = save(found.filter(f"low < high AND (asked OR size > {tree_size})").select(F.col("shard").alias("_shard"), "size"), f"{at}-asked")
+    small = _named(keyed, found.filter(F.col("size") <= tree_size), "inner")
+    small = small.select("node", *words, "root", F.xxhash64("shard").alias("tree"), F.lit(True).alias("own"), F.col("fell").alias("ask"))
+    large = save(_named(keyed, found.filter(F.col("size") > tree_size), "inner").select("shard", "size", "node", *words, "root"), f"{at}-crowd")
+    groups = large.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("n", "root")).alias("main"))
+    groups = save(groups.select("shard", "main.root", "main.n").withColumnsRenamed({"shard": "_shard", "root": "_main", "n": "_n"}), f"{at}-main")
+    met = large.join(groups, large["shard"] == groups["_shard"]).withColumn("out", F.col("root") != F.col("_main"))
+    parts = lambda n: F.greatest(F.ceil(n / tree_size), F.lit(1)).cast("long")
+    met = met.withColumns({"nodes": parts(F.col("size")), "asking": parts(F.col("size") - F.col("_n"))})
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    ends = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own = met.select("shard", "node", *words, "root", part("nodes").alias("p"), F.explode(ends("asking")).alias("q"), F.lit(True).alias("own"), F.lit(False).alias("ask"))
+    ask = met.filter("out").select("shard", "node", *words, "root", F.explode(ends("nodes")).alias("p"), part("asking").alias("q"), F.lit(False).alias("own"), F.lit(True).alias("ask"))
+    dealt = own.union(ask).select("node", *words, "root", F.xxhash64("shard", "p", "q").alias("tree"), "own", "ask")
+    rows = small.union(dealt).repartition("tree").sortWithinPartitions("tree")
+    links = save(rows.mapInArrow(lambda b: _in_trees(b, radius, _across), "a bigint, b bigint").distinct(), f"{at}-missed")
+    for k in ("placed", "asked", "crowd", "main"):
+        remove(fps.sparkSession, f"{at}-{k}")
+    return links
+
+
 def _alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' shingle sets are alike to `similarity`; texts: row, text."""
 
@@ -459,10 +526,12 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     Near copies are texts whose sets of 5-word shingles (A-Z lower-cased; fewer words: the whole
     text's) have a Jaccard similarity of `similarity` or more; a group is what such links
     connect. Links are found by fingerprints of 128 bits: fingerprints that agree in the
-    sampled bits of one of several tables meet in a BK-tree, links within radius are followed,
-    the shortest that connect a tree's texts and each text's own shortest are kept, and each is
-    held against the shingle sets. Two texts of just the least similarity meet with a chance of MEETING; those more alike
-    meet more often. Rows are told apart by their place in the table, so rows that repeat an id
+    sampled bits of one of several tables meet in a BK-tree, and links within radius are
+    followed. A first round cuts crowded shards, and holds the shortest links that connect a tree's
+    texts and each text's own shortest against the shingle sets. A second round takes all links
+    that the first cut or let fall, between texts that aren't connected yet. So no link of two
+    texts that agree in a key is lost, however many do: two texts of just the least similarity
+    meet with a chance of MEETING; those more alike meet more often. Rows are told apart by their place in the table, so rows that repeat an id
     with another text stand in the group of their own text, and of rows with one text and id
     one stays. Texts without words are alike, null texts among them. An empty table gives no rows.
     """
@@ -478,11 +547,14 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     fps = save(nodes.groupBy(*words).agg(F.min("node").alias("node")), f"{at}-fps")
     same = nodes.select(*words, F.col("node").alias("b")).join(fps.withColumnRenamed("node", "a"), words).filter("a <> b").select("a", "b")
     bits, tables = _sampled(fps.count(), similarity)
-    shards = _wide_shards(fps, bits, tables, tree_size, at)
+    keyed = _keyed(fps, bits, tables)
+    crowded = save(keyed.groupBy(F.col("shard").alias("_shard")).agg(F.count("*").alias("size")).filter(F.col("size") > tree_size), f"{at}-crowded")
+    shards = _wide_shards(keyed, crowded, tree_size, at)
     met = _met_in_trees(shards, ["node", *words], tree_size, radius, _shortest, LINKS).union(same.withColumn("forest", F.lit(True)))
     links = save(met.groupBy("a", "b").agg(F.max("forest").alias("forest")), f"{at}-links")
-    asked = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = by_number(marked.select(F.col(row).alias("row"), "text"), "row", asked, True)
+    fell, links = links.filter("b IS NULL").select("a"), links.filter("b IS NOT NULL")
+    of_texts = marked.select(F.col(row).alias("row"), "text")
+    texts = by_number(of_texts, "row", links.select(F.explode(F.array("a", "b")).alias("row")).distinct(), True)
     first = save(_alike(links.filter("forest").select("a", "b"), texts, similarity), f"{at}-alike")
     # Of the others, links inside a group that is connected already change nothing.
     roots = save(components(first, "simhash-near"), f"{at}-roots")
@@ -490,12 +562,17 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     rest = links.filter("not forest").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     more = save(_alike(rest, texts, similarity), f"{at}-more")
-    roots = components(save(first.union(more), f"{at}-both"), "simhash-near")
+    both = save(first.union(more), f"{at}-both")
+    roots = save(components(both, "simhash-near"), f"{at}-roots2")
+    missed = _missed(fps, fell, roots, bits, tables, tree_size, radius, at)
+    texts = by_number(of_texts, "row", missed.select(F.explode(F.array("a", "b")).alias("row")).distinct(), True)
+    last = _alike(missed, texts, similarity)
+    roots = components(save(both.union(last), f"{at}-all"), "simhash-near")
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = grouped.groupBy("root").agg(F.min(F.struct("no", "doc_id", "node")).alias("least")).select(F.col("least.node").alias("row"))
     gone = keys.select("row").join(save(stay, f"{at}-stay"), "row", "left_anti")
     kept = by_number(marked.drop(wide), row, gone, False).drop(row)
-    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike", "roots", "more", "both"):
+    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike", "roots", "more", "both", "roots2", "missed", "all"):
         remove(spark, f"{at}-{k}")
     return kept
 

@@ -453,7 +453,10 @@ def test_crowded_shards_of_wide_fingerprints(spark):
     base = r.integers(0, 1 << 63, 2)
     flips = lambda: np.bitwise_or.reduce(1 << r.integers(0, 63, 3))
     rows = [(k, int(base[0] ^ flips()), int(base[1] ^ flips())) for k in range(400)]
-    links = simhash._met_in_trees(simhash._wide_shards(table(spark, rows, "node long, w0 long, w1 long"), 8, 6, 16, simhash.scratch(spark, "t")), ["node", "w0", "w1"], 16, 27, simhash._shortest, simhash.LINKS).collect()
+    keyed = simhash._keyed(table(spark, rows, "node long, w0 long, w1 long"), 8, 6)
+    crowded = simhash.save(keyed.groupBy(F.col("shard").alias("_shard")).agg(F.count("*").alias("size")).filter("size > 16"), simhash.scratch(spark, "t"))
+    shards = simhash._wide_shards(keyed, crowded, 16, simhash.scratch(spark, "t"))
+    links = simhash._met_in_trees(shards, ["node", "w0", "w1"], 16, 27, simhash._shortest, simhash.LINKS).filter("b IS NOT NULL").collect()
     root = list(range(400))
 
     def find(x):
