@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import by_number, components, remove, save, scratch, table, unused
+from corpusloom.llm.set_trees import linked_sets
+from corpusloom.llm.shingles import SEED, _hashes, _least_labels, _shingles
 
-SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
+SHINGLE_WORDS, RADIUS = 4, 4
 #: Of near copies: words a shingle, the least Jaccard similarity of shingle sets, 64-bit words of a fingerprint, and the radius
 #: that such texts are expected within (they differ in 19 of 128 bits, give or take 4; the sets are compared after).
 NEAR_WORDS, SIMILARITY, LANES, NEAR_RADIUS = 5, 0.8, 2, 33
@@ -28,9 +30,6 @@ MEETING = 0.98
 LEAST_BITS, MORE_BITS, NEAR_TREE_SIZE = 10, 24, 4096
 #: Shards up to this number are sent to all tasks by name.
 MOST_CROWDED = 1_000_000
-#: Links that a task of the first round holds before it keeps the shortest of them, and how many of each node's shortest stay beside
-#: a spanning forest. Nodes that others fall from ask again in the second round.
-LINKS_AT_ONCE, SHORTEST = 400_000, 8
 #: Blocks that a fingerprint is cut into; of 6 blocks, 4 differing bits leave two equal.
 BLOCKS = 6
 #: Fingerprints of a BK-tree; larger shards are cut into so many trees that each holds about this number.
@@ -39,18 +38,6 @@ TREE_SIZE = 512
 PAIRS_AT_ONCE = 1 << 18
 
 
-def _shingles(text: str | None, n: int) -> list[bytes]:
-    """The runs of n words of the lower-cased (A-Z) text, repeats included; fewer words give one run, none give none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return []
-    whole = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    k = max(1, len(words) - n + 1)
-    starts = np.concatenate(([0], ends[:-1] + 1))[:k].tolist()
-    return [whole[s:e] for s, e in zip(starts, ends[-k:].tolist(), strict=True)]
-
-
 def _majority(h: np.ndarray) -> int:
     """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
@@ -59,13 +46,6 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _hashes(shingles: list[bytes], seed: int) -> np.ndarray:
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, seed) for s in shingles], dtype=np.uint64)
-
-
 def fingerprint(text: str | None, words_a_shingle: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit SimHash of the lower-cased (A-Z) text's word shingles, repeats included; 0 without words."""
     shingles = _shingles(text, words_a_shingle)
@@ -142,46 +122,6 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the links (a, b), the shortest first, of a forest that connects what all links connect, by the first links (Boruvka's rounds)."""
-    label, chosen = np.arange(n), [np.zeros(0, dtype=np.int64)]
-    while True:
-        la, lb = label[a], label[b]
-        across = np.flatnonzero(la != lb)
-        if not len(across):
-            return np.concatenate(chosen)
-        first = np.full(n, len(a))
-        np.minimum.at(first, la[across], across)
-        np.minimum.at(first, lb[across], across)
-        picked = np.unique(first[first < len(a)])
-        label = _least_labels(n, [(la[picked], lb[picked])])[label]
-        chosen.append(picked)
-
-
-def first_of_each(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Places of the links (a, b), the shortest first, that are among the first `most` of one of their ends."""
-    ends, place = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((place, ends))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = ends[order][1:] != ends[order][:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return np.unique(place[order][np.arange(len(order)) - start < most])
-
-
-def _least_labels(n: int, pairs) -> np.ndarray:
-    """The least index of each index's component, over arrays of pairs."""
-    label = np.arange(n)
-    for a, b in pairs:
-        while True:
-            la, lb = label[a], label[b]
-            if (la == lb).all():
-                break
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while (label != label[label]).any():
-                label = label[label]
-    return label
-
-
 def _in_trees(batches, radius: int, give):
     """give(rows, links) of the groups in a partition sorted by group: what it makes of the links within radius.
 
@@ -235,61 +175,16 @@ def _stars(t, links):
     return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[label[far]])], ["a", "b"]) if len(far) else None
 
 
-#: What _shortest gives: two nodes, and whether the link is one of those that connect; without b, a node that links fell from.
-LINKS = "a bigint, b bigint, forest boolean"
-
-
-def _shortest(t, links):
-    """Links (a, b, forest) of nodes: the shortest that connect what is connected, and each node's shortest; of one length, those of lesser nodes.
-
-    In that order no two links are equal, so what is kept doesn't depend on how rows come. Both
-    ends of a link that isn't kept are given without b.
-    """
+def _node_stars(t, links):
+    """Links (a, b) of nodes as stars about the least node of what is connected."""
     import pyarrow as pa
 
     node = t["node"].to_numpy()
-    kept, held, size = [np.zeros(0, dtype=np.int64)] * 3, [], 0
-    fell = np.zeros(t.num_rows, dtype=bool)
-
-    def reduce_():
-        a, b, d = (np.concatenate([k, *parts]) for k, parts in zip(kept, zip(*held, strict=True), strict=True))
-        swap = node[a] > node[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((node[b], node[a], d))
-        a, b, d = a[order], b[order], d[order]
-        forest = spanning(t.num_rows, a, b)
-        stay = np.union1d(forest, first_of_each(a, b, SHORTEST))
-        gone = np.ones(len(a), dtype=bool)
-        gone[stay] = False
-        fell[a[gone]] = fell[b[gone]] = True
-        return [a[stay], b[stay], d[stay]], np.isin(stay, forest)
-
-    for link in links:
-        apart_ = link[0] != link[1]
-        held.append(tuple(x[apart_] for x in link))
-        size += int(apart_.sum())
-        if size > LINKS_AT_ONCE:
-            (kept, _), held, size = reduce_(), [], 0
-    held.append(tuple(np.zeros(0, dtype=np.int64) for _ in range(3)))
-    kept, forest = reduce_()
-    more = node[fell]
-    columns = [np.concatenate([node[kept[0]], more]), np.concatenate([node[kept[1]], more]), np.concatenate([forest, np.zeros(len(more), dtype=bool)])]
-    without = np.arange(len(columns[0])) >= len(forest)
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=without), pa.array(columns[2])], ["a", "b", "forest"]) if len(columns[0]) else None
-
-
-def _across(t, links):
-    """Links (a, b) of nodes with different roots, all of them."""
-    import pyarrow as pa
-
-    node, root = t["node"].to_numpy(), t["root"].to_numpy()
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for a, b, _ in links:
-        other = root[a] != root[b]
-        pair = np.stack([node[a[other]], node[b[other]]], axis=1)
-        found.append(np.unique(np.sort(pair, axis=1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]) if len(pairs) else None
+    label = _least_labels(t.num_rows, ((a, b) for a, b, _ in links))
+    least = np.full(t.num_rows, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    far = np.flatnonzero(least[label] != node)
+    return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[label[far]])], ["a", "b"]) if len(far) else None
 
 
 def _met_in_trees(shards: DataFrame, columns: list[str], tree_size: int, radius: int, give, schema: str = "a bigint, b bigint") -> DataFrame:
@@ -379,16 +274,17 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words_a_shingle: int = SH
 
 
 def _wide(texts: pd.Series) -> pd.DataFrame:
-    """w0, w1: the fingerprint's words; alike: a hash of the set of shingles."""
+    """w0, w1: the fingerprint's words; alike: a hash of the set of shingles; n: its size."""
     import xxhash
 
     rows = []
     for t in texts:
         shingles = _shingles(t, NEAR_WORDS)
         lanes = [_hashes(shingles, SEED + k) for k in range(LANES)]
-        rows.append([*(_majority(h) if shingles else 0 for h in lanes), xxhash.xxh3_64_intdigest(np.unique(lanes[0]).tobytes(), SEED)])
-    table_ = np.array(rows, dtype=np.uint64).reshape(-1, LANES + 1).view(np.int64)
-    return pd.DataFrame(table_, columns=[*(f"w{k}" for k in range(LANES)), "alike"])
+        own = np.unique(lanes[0])
+        rows.append([*(_majority(h) if shingles else 0 for h in lanes), xxhash.xxh3_64_intdigest(own.tobytes(), SEED), len(own)])
+    table_ = np.array(rows, dtype=np.uint64).reshape(-1, LANES + 2).view(np.int64)
+    return pd.DataFrame(table_, columns=[*(f"w{k}" for k in range(LANES)), "alike", "n"])
 
 
 def _sampled(fingerprints_: int, similarity: float) -> tuple[int, int]:
@@ -461,75 +357,42 @@ def _wide_shards(keyed: DataFrame, crowded: DataFrame, tree_size: int, at: str)
     return small.union(large.join(counted, "shard").select("node", *words, "shard", "n"))
 
 
-def _missed(fps: DataFrame, fell: DataFrame, roots: DataFrame, bits: int, tables: int, tree_size: int, radius: int, at: str) -> DataFrame:
-    """Links (a, b) within radius of fingerprints that meet in a shard, of different roots: those that the first round cut or let fall.
+def _missed(fps: DataFrame, roots: DataFrame, bits: int, tables: int, crowded: DataFrame, tree_size: int, radius: int, at: str) -> DataFrame:
+    """Links (a, b), as stars, of fingerprints within radius that meet in a crowded shard: those that its cuts parted.
 
-    fell: nodes (a) that a link fell from; roots: node, root of what is connected already. In a
-    shard that isn't crowded those nodes ask all others. In a crowded one all ask that don't
-    belong to its largest group; they and the nodes are dealt to parts, and every part of those
-    that ask meets every part of the nodes. So a large group of copies is read, but not compared
-    with itself.
+    roots: node, root of what is connected already. In a shard all ask that don't belong to its
+    largest group; they and the nodes are dealt to parts, and every part of those that ask meets
+    every part of the nodes. So a large group of copies is read, but not compared with itself.
     """
     words = [f"w{k}" for k in range(LANES)]
-    placed = fps.select("node", *words).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = save(placed.join(fell.select(F.col("a").alias("node"), F.lit(True).alias("fell")), "node", "left").withColumn("fell", F.coalesce("fell", F.lit(False))), f"{at}-placed")
-    keyed = _keyed(placed, bits, tables)
-    found = keyed.groupBy("shard").agg(F.count("*").alias("size"), F.max("fell").alias("asked"), F.min("root").alias("low"), F.max("root").alias("high"))
-    found = save(found.filter(f"low < high AND (asked OR size > {tree_size})").select(F.col("shard").alias("_shard"), "size"), f"{at}-asked")
-    small = _named(keyed, found.filter(F.col("size") <= tree_size), "inner")
-    small = small.select("node", *words, "root", F.xxhash64("shard").alias("tree"), F.lit(True).alias("own"), F.col("fell").alias("ask"))
-    large = save(_named(keyed, found.filter(F.col("size") > tree_size), "inner").select("shard", "size", "node", *words, "root"), f"{at}-crowd")
+    placed = save(fps.select("node", *words).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{at}-placed")
+    large = save(_named(_keyed(placed, bits, tables), crowded, "inner").select("shard", "size", "node", *words, "root"), f"{at}-crowd")
     groups = large.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("n", "root")).alias("main"))
-    groups = save(groups.select("shard", "main.root", "main.n").withColumnsRenamed({"shard": "_shard", "root": "_main", "n": "_n"}), f"{at}-main")
-    met = large.join(groups, large["shard"] == groups["_shard"]).withColumn("out", F.col("root") != F.col("_main"))
-    parts = lambda n: F.greatest(F.ceil(n / tree_size), F.lit(1)).cast("long")
+    groups = save(groups.select(F.col("shard").alias("_shard"), F.col("main.root").alias("_main"), F.col("main.n").alias("_n")), f"{at}-main")
+    met = large.join(groups, large["shard"] == groups["_shard"]).filter("size > _n").withColumn("out", F.col("root") != F.col("_main"))
+    parts = lambda n: F.ceil(n / tree_size).cast("long")
     met = met.withColumns({"nodes": parts(F.col("size")), "asking": parts(F.col("size") - F.col("_n"))})
     part = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     ends = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    own = met.select("shard", "node", *words, "root", part("nodes").alias("p"), F.explode(ends("asking")).alias("q"), F.lit(True).alias("own"), F.lit(False).alias("ask"))
-    ask = met.filter("out").select("shard", "node", *words, "root", F.explode(ends("nodes")).alias("p"), part("asking").alias("q"), F.lit(False).alias("own"), F.lit(True).alias("ask"))
-    dealt = own.union(ask).select("node", *words, "root", F.xxhash64("shard", "p", "q").alias("tree"), "own", "ask")
-    rows = small.union(dealt).repartition("tree").sortWithinPartitions("tree")
-    links = save(rows.mapInArrow(lambda b: _in_trees(b, radius, _across), "a bigint, b bigint").distinct(), f"{at}-missed")
-    for k in ("placed", "asked", "crowd", "main"):
+    own = met.select("shard", "node", *words, part("nodes").alias("p"), F.explode(ends("asking")).alias("q"), F.lit(True).alias("own"), F.lit(False).alias("ask"))
+    ask = met.filter("out").select("shard", "node", *words, F.explode(ends("nodes")).alias("p"), part("asking").alias("q"), F.lit(False).alias("own"), F.lit(True).alias("ask"))
+    rows = own.union(ask).select("node", *words, F.xxhash64("shard", "p", "q").alias("tree"), "own", "ask")
+    links = save(rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(lambda b: _in_trees(b, radius, _node_stars), "a bigint, b bigint").distinct(), f"{at}-missed")
+    for k in ("placed", "crowd", "main"):
         remove(fps.sparkSession, f"{at}-{k}")
     return links
 
 
-def _alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts' shingle sets are alike to `similarity`; texts: row, text."""
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                found = [np.unique(_hashes(_shingles(t, NEAR_WORDS), SEED)).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], ["row", "own"])
-
-    own = texts.select("row", "text").mapInArrow(sets, "row bigint, own array<bigint>")
-    own = save(own.withColumn("n", F.size("own")), scratch(links.sparkSession, "simhash-sets"))
-    side = lambda c: own.select(F.col("row").alias(c), F.col("own").alias(f"own_{c}"), F.col("n").alias(f"n_{c}"))
-    size = own.select("row", "n")
-    # Sets of sizes too far apart can't be alike, so their links don't meet the sets.
-    close = links.join(size.withColumnRenamed("row", "a").withColumnRenamed("n", "x"), "a").join(size.withColumnRenamed("row", "b").withColumnRenamed("n", "y"), "b")
-    close = close.filter(F.least("x", "y") >= similarity * F.greatest("x", "y")).select("a", "b")
-    met = close.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    return met.filter(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
-
-
 def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, tree_size: int = NEAR_TREE_SIZE) -> DataFrame:
     """One row of docs for each group of near copies: that of the least doc_id, null last; rows and columns else unchanged.
 
     Near copies are texts whose sets of 5-word shingles (A-Z lower-cased; fewer words: the whole
     text's) have a Jaccard similarity of `similarity` or more; a group is what such links
     connect. Links are found by fingerprints of 128 bits: fingerprints that agree in the
-    sampled bits of one of several tables meet in a BK-tree, and links within radius are
-    followed. A first round cuts crowded shards, and holds the shortest links that connect a tree's
-    texts and each text's own shortest against the shingle sets. A second round takes all links
-    that the first cut or let fall, between texts that aren't connected yet. So no link of two
+    sampled bits of one of several tables meet in a BK-tree, and what links within radius connect
+    is a group of candidates. A first round cuts crowded shards; a second one meets what the cuts
+    parted and is in no group yet. The sets of a group are then joined exactly, in prefix trees:
+    links are never listed, and none is left out. So no link of two
     texts that agree in a key is lost, however many do: two texts of just the least similarity
     meet with a chance of MEETING; those more alike meet more often. Rows are told apart by their place in the table, so rows that repeat an id
     with another text stand in the group of their own text, and of rows with one text and id
@@ -537,42 +400,32 @@ def keep_one_a_group(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession, "simhash-near")
     words, row, wide = [f"w{k}" for k in range(LANES)], unused(docs, "_row"), unused(docs, "_wide")
-    schema = ", ".join(f"{c} bigint" for c in [*words, "alike"])
+    schema = ", ".join(f"{c} bigint" for c in [*words, "alike", "n"])
     marked = docs.withColumns({row: F.monotonically_increasing_id(), wide: F.pandas_udf(_wide, schema)(F.col("text"))})
     marked = save(marked, f"{at}-docs")
     keys = marked.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{wide}.*"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("least")
     # A node is a set of shingles, by its least row; nodes with one fingerprint are linked to the least of them.
-    nodes = save(keys.groupBy(*words, "alike").agg(least).select(*words, "least.no", "least.doc_id", F.col("least.row").alias("node")), f"{at}-nodes")
+    nodes = save(keys.groupBy(*words, "alike", "n").agg(least).select(*words, "n", "least.no", "least.doc_id", F.col("least.row").alias("node")), f"{at}-nodes")
     fps = save(nodes.groupBy(*words).agg(F.min("node").alias("node")), f"{at}-fps")
     same = nodes.select(*words, F.col("node").alias("b")).join(fps.withColumnRenamed("node", "a"), words).filter("a <> b").select("a", "b")
     bits, tables = _sampled(fps.count(), similarity)
     keyed = _keyed(fps, bits, tables)
     crowded = save(keyed.groupBy(F.col("shard").alias("_shard")).agg(F.count("*").alias("size")).filter(F.col("size") > tree_size), f"{at}-crowded")
     shards = _wide_shards(keyed, crowded, tree_size, at)
-    met = _met_in_trees(shards, ["node", *words], tree_size, radius, _shortest, LINKS).union(same.withColumn("forest", F.lit(True)))
-    links = save(met.groupBy("a", "b").agg(F.max("forest").alias("forest")), f"{at}-links")
-    fell, links = links.filter("b IS NULL").select("a"), links.filter("b IS NOT NULL")
-    of_texts = marked.select(F.col(row).alias("row"), "text")
-    texts = by_number(of_texts, "row", links.select(F.explode(F.array("a", "b")).alias("row")).distinct(), True)
-    first = save(_alike(links.filter("forest").select("a", "b"), texts, similarity), f"{at}-alike")
-    # Of the others, links inside a group that is connected already change nothing.
-    roots = save(components(first, "simhash-near"), f"{at}-roots")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = links.filter("not forest").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = save(_alike(rest, texts, similarity), f"{at}-more")
-    both = save(first.union(more), f"{at}-both")
-    roots = save(components(both, "simhash-near"), f"{at}-roots2")
-    missed = _missed(fps, fell, roots, bits, tables, tree_size, radius, at)
-    texts = by_number(of_texts, "row", missed.select(F.explode(F.array("a", "b")).alias("row")).distinct(), True)
-    last = _alike(missed, texts, similarity)
-    roots = components(save(both.union(last), f"{at}-all"), "simhash-near")
-    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stars = save(_met_in_trees(shards, ["node", *words], tree_size, radius, _node_stars).union(same), f"{at}-stars")
+    roots = save(components(stars, "simhash-near"), f"{at}-roots")
+    if not crowded.isEmpty():
+        missed = _missed(fps, roots, bits, tables, crowded, tree_size, radius, at)
+        roots = save(components(stars.union(missed), "simhash-near"), f"{at}-roots2")
+    groups = roots.join(nodes.select("node", "n"), "node").withColumn("weight", F.lit(1).cast("long"))
+    links = linked_sets(groups, marked.select(F.col(row).alias("row"), "text"), NEAR_WORDS, round(100 * similarity))
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "simhash-near")
+    grouped = nodes.join(save(roots, f"{at}-linked"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = grouped.groupBy("root").agg(F.min(F.struct("no", "doc_id", "node")).alias("least")).select(F.col("least.node").alias("row"))
     gone = keys.select("row").join(save(stay, f"{at}-stay"), "row", "left_anti")
     kept = by_number(marked.drop(wide), row, gone, False).drop(row)
-    for k in ("crowded", "large", "counted", "nodes", "fps", "links", "alike", "roots", "more", "both", "roots2", "missed", "all"):
+    for k in ("crowded", "large", "counted", "nodes", "fps", "stars", "roots", "roots2", "missed"):
         remove(spark, f"{at}-{k}")
     return kept
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ngram_join, spelling, vector_codes
+from corpusloom.llm import ngram_join, set_trees, spelling, vector_codes
 from corpusloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -266,13 +266,13 @@ def test_linked_sets_share_a_key():
 def test_prefix_tree_finds_all_links(monkeypatch):
     r = np.random.default_rng(9)
     for cells in (50, 1 << 24):
-        monkeypatch.setattr(ngram_join, "CELLS_AT_ONCE", cells)
+        monkeypatch.setattr(set_trees, "CELLS_AT_ONCE", cells)
         for _ in range(20):
             base = r.integers(0, 1 << 62, 60, dtype=np.uint64)
             sets = [np.unique(r.choice(base, int(r.integers(1, 60)), replace=False)) for _ in range(40)] + [base[:0]]
             sizes = np.array([len(s) for s in sets])
-            ranks, width = ngram_join._ranked(sets)
-            got = {(int(a), int(b)) for q, y in ngram_join.PrefixTree(ranks, sizes).links(ranks, sizes, width, 70) for a, b in zip(q, y, strict=True)}
+            ranks, width = set_trees._ranked(sets)
+            got = {(int(a), int(b)) for q, y in set_trees.PrefixTree(ranks, sizes).links(ranks, sizes, width, 70) for a, b in zip(q, y, strict=True)}
             wanted = {(a, b) for a in range(40) for b in range(40) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))}
             assert {p for p in got if 40 not in p} == wanted
 

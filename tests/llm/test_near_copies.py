@@ -1,11 +1,12 @@
-"""Near copies in crowded shards, and with more links a text than the first round keeps, against brute force."""
+"""Near copies in crowded shards, and with many links a text, against brute force."""
 
+import functools
 import random
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import simhash
+from corpusloom.llm import set_trees, simhash
 
 VOCABULARY = [f"w{k}" for k in range(4000)]
 
@@ -56,10 +57,10 @@ def test_pairs_in_crowded_shards_are_met(spark, monkeypatch):
     assert {x["doc_id"] for x in simhash.keep_one_a_group(df, tree_size=16).collect()} == wanted
 
 
-@pytest.mark.parametrize("shortest", [1, 8])
-def test_a_crowd_with_links_at_the_edge(spark, monkeypatch, shortest):
+@pytest.mark.parametrize(("tree_size", "tree_grams"), [(128, 20_000), (4096, 300_000)])
+def test_a_crowd_with_links_at_the_edge(spark, monkeypatch, tree_size, tree_grams):
     """1,200 copies of one text, each like the text or some copies only, beside their own copies and strangers."""
-    monkeypatch.setattr(simhash, "SHORTEST", shortest)
+    monkeypatch.setattr(simhash, "linked_sets", functools.partial(set_trees.linked_sets, tree_grams=tree_grams))
     r, rows = random.Random(5), []
     base = [r.choice(VOCABULARY) for _ in range(150)]
     rows.append((5000, " ".join(base)))
@@ -72,6 +73,6 @@ def test_a_crowd_with_links_at_the_edge(spark, monkeypatch, shortest):
     wanted = stay(rows)
     assert 60 < len(wanted) < 400
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {x["doc_id"] for x in simhash.keep_one_a_group(df, tree_size=128).collect()}
+    got = {x["doc_id"] for x in simhash.keep_one_a_group(df, tree_size=tree_size).collect()}
     # Of links of just 0.8 two in a hundred may agree in no key.
     assert len(got ^ wanted) <= 2, (sorted(got - wanted)[:9], sorted(wanted - got)[:9])
