@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
-from corpusloom.operators import corpus, graph
+from corpusloom.operators import communities, corpus, graph
+from corpusloom.operators.ordered import written
 from corpusloom.plans.common import DOMAIN, t
 from corpusloom.plans.registry import query
 
@@ -76,6 +77,51 @@ def g04_edges(spark, d):
     return built(spark, d)[1].select("a", "b", "weight", F.md5(F.col("source_id").cast("binary")).alias("sources_md5"))
 
 
+NAME_PAIRS = f"(WITH m AS (SELECT * FROM {MENTIONS}), p AS (SELECT DISTINCT x.chunk, least(x.name, y.name) AS a, greatest(x.name, y.name) AS b FROM m x JOIN m y ON x.chunk = y.chunk AND y.pos - x.pos BETWEEN 1 AND 3) SELECT a, b, count(*) AS weight FROM p GROUP BY a, b)"
+NAMES = f"(SELECT DISTINCT name AS node FROM {MENTIONS})"
+PLACED = f"WITH {communities.sql(NAMES, NAME_PAIRS)}"
+
+
+def name_graph(spark, d):
+    """Nodes (node) and edges (a, b, weight: the documents that hold both close by) of the phrases of all documents."""
+    found = written(mentions(spark, d), "mentions")
+    pairs = graph.co_occurrences(found).groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+    return found.select(F.col("name").alias("node")).distinct(), written(pairs, "pairs")
+
+
+def placed(spark, d):
+    nodes_, pairs = name_graph(spark, d)
+    return nodes_, pairs, written(communities.communities(nodes_, pairs), "placed")
+
+
+@query("g05_communities", f"{PLACED} SELECT node, level, cluster FROM placed")
+def g05_communities(spark, d):
+    """Communities of the phrases of all documents, in levels."""
+    return placed(spark, d)[2]
+
+
+@query("g05_modularity", f"{PLACED}, m AS (SELECT sum(weight) AS m FROM links), i AS (SELECT x.level, x.cluster, sum(weight) AS inside FROM links JOIN placed x ON x.node = a JOIN placed y ON y.node = b AND y.level = x.level AND y.cluster = x.cluster GROUP BY ALL), o AS (SELECT level, cluster, sum(weight) AS ends FROM placed LEFT JOIN (SELECT a AS node, weight FROM links UNION ALL SELECT b, weight FROM links) USING (node) GROUP BY ALL) SELECT level, count(*) AS clusters, round(sum(coalesce(inside, 0) / m - (coalesce(ends, 0) / (2 * m)) ** 2), 9) AS modularity FROM o LEFT JOIN i USING (level, cluster), m GROUP BY level")
+def g05_modularity(spark, d):
+    _, pairs, found = placed(spark, d)
+    return communities.modularity(pairs, found).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("g05_cluster_attributes", f"""{PLACED} SELECT node, '[' || string_agg('{{"level":' || level || ',"cluster":' || cluster || '}}', ',' ORDER BY level) || ']' AS clusters FROM placed GROUP BY node""")
+def g05_attributes(spark, d):
+    """What a stored graph's nodes hold of their communities."""
+    return communities.cluster_attribute(placed(spark, d)[2])
+
+
+REPORT_WORDS = 40
+
+
+@query("g05_report_rows", f"{PLACED}, s AS (SELECT node, sum(weight) AS rank FROM (SELECT a AS node, weight FROM links UNION ALL SELECT b, weight FROM links) GROUP BY node), r AS (SELECT level, cluster, 0 AS kind, coalesce(rank, 0) AS rank, node AS name, len(string_split(node, ' ')) AS words FROM placed LEFT JOIN s USING (node) UNION ALL SELECT x.level, x.cluster, 1, weight, a || ' - ' || b, len(string_split(a || ' - ' || b, ' ')) FROM links JOIN placed x ON x.node = a JOIN placed y ON y.node = b AND y.level = x.level AND y.cluster = x.cluster), o AS (SELECT *, row_number() OVER w AS place, sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM r WINDOW w AS (PARTITION BY level, cluster ORDER BY kind, rank DESC, name)) SELECT level, cluster, place::INT AS place, CASE kind WHEN 0 THEN 'node' ELSE 'edge' END AS kind, name, words::INT AS words FROM o WHERE upto <= {REPORT_WORDS}")
+def g05_report_rows(spark, d):
+    """What each community's report is written from, to a budget of words."""
+    nodes_, pairs, found = placed(spark, d)
+    return communities.report_rows(found, nodes_.withColumn("description", F.lit(None).cast("string")), pairs, REPORT_WORDS)
+
+
 @query("x46_cluster_attributes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n_levels, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 7)::INT END AS cluster, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS n_sources FROM documents")
 def x46(spark, d):
     """Clusters in JSON and sources joined by <SEP>, as a stored graph holds them."""
