@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
-from corpusloom.operators import screening
+from corpusloom.operators import main_text, screening
 from corpusloom.plans.common import DOMAIN, HOST, PATH, t
 from corpusloom.plans.registry import query
 from corpusloom.sources import readers
@@ -110,6 +110,28 @@ def f18(spark, d):
     return p.select("page_id", text.title(F.col("html")).alias("title"), F.md5(text.main_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
+#: Pages as they come, and bare of their articles' tags, so that only blocks tell what is main text.
+BARE_PAGES = "(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE regexp_replace(html, '</?article[^>]*>', '', 'g') END AS html FROM pages)"
+
+
+def bare_pages(spark, d):
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.regexp_replace("html", "</?article[^>]*>", ""))
+    return t(spark, d, "pages").select("page_id", html.alias("html"))
+
+
+@query("f18_page_blocks", f"WITH {main_text.sql(BARE_PAGES)} SELECT page_id, block::BIGINT AS block, md5(text) AS text_md5, words::INT AS words, round(linked, 9) AS linked, heading, off, round(smoothed, 9) AS smoothed, kept FROM kept_blocks")
+def f18_blocks(spark, d):
+    """The blocks of all pages with their words, links and place, and whether they are main text."""
+    found = main_text.kept(main_text.blocks(bare_pages(spark, d)))
+    return found.select("page_id", "block", F.md5(F.col("text").cast("binary")).alias("text_md5"), "words", F.round("linked", 9).alias("linked"), "heading", "off", F.round("smoothed", 9).alias("smoothed"), "kept")
+
+
+@query("f18_block_text", f"WITH {main_text.sql(BARE_PAGES)}, b AS (SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY block) FILTER (kept), '') AS main, string_agg(text, chr(10) ORDER BY block) AS whole FROM kept_blocks GROUP BY page_id) SELECT page_id, coalesce(CASE WHEN length(main) < {main_text.SHORT} AND length(whole) > length(main) THEN whole ELSE main END, '') AS text FROM pages LEFT JOIN b USING (page_id)")
+def f18_block_text(spark, d):
+    """The main text of all pages by the densities of their blocks."""
+    return main_text.main_texts(bare_pages(spark, d))
+
+
 ADDRESSED = "coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' 12 Green Street, based in Newtown. D02 X285 and Via Roma 7' WHEN 1 THEN ' in the Old Harbour area BN1 4GH, BN1 4GH, 08012' ELSE '' END"
 
 
