@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geo, text, urls
-from corpusloom.operators import claims, corpus
-from corpusloom.operators.ordered import order_statistics
+from corpusloom.operators import claims, corpus, languages
+from corpusloom.operators.ordered import order_statistics, written
 from corpusloom.plans.audits import COUNTS, stated
 from corpusloom.plans.common import DOMAIN, HOST, PATH, POINTS_SQL, URLS_SQL, points, t, url_list
 from corpusloom.plans.documents import HINT_SQL, HINTS
@@ -123,3 +123,26 @@ def x51(spark, d):
 def x58(spark, d):
     body = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
     return t(spark, d, "documents").select("doc_id", F.length(F.coalesce(body, F.lit(""))).cast("long").alias("n"))
+
+
+#: Rows whose language is learnt from, and all rows, of which some can't be reached.
+LEARNT = "(SELECT lang, text FROM documents WHERE doc_id % 5 <> 0)"
+REACHED = "(SELECT doc_id AS key, CASE WHEN doc_id % 17 <> 0 THEN text END AS text FROM documents)"
+
+
+def detected(spark, d):
+    docs = t(spark, d, "documents")
+    table = written(languages.profiles(docs.filter("doc_id % 5 <> 0")), "profiles")
+    return languages.detect(docs, table, "doc_id", reachable=F.col("doc_id") % 17 != 0)
+
+
+@query("x51_language_profiles", f"WITH {languages.sql(LEARNT, REACHED)} SELECT key AS doc_id, language, margin FROM detected")
+def x51_profiles(spark, d):
+    """The language of all documents by trigram profiles of four fifths of them; unreachable ones are unknown."""
+    return detected(spark, d)
+
+
+@query("x51_held_out_agreement", f"WITH {languages.sql(LEARNT, REACHED)} SELECT coalesce(lang, 'none') AS lang, count(*) AS n, count_if(language = lang)::BIGINT AS agreed, count_if(language = 'unknown')::BIGINT AS unknown FROM detected JOIN documents ON doc_id = key WHERE doc_id % 5 = 0 GROUP BY 1")
+def x51_agreement(spark, d):
+    held = t(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(detected(spark, d), "doc_id")
+    return held.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("agreed"), F.count_if(F.col("language") == languages.UNKNOWN).alias("unknown"))
