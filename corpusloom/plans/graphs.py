@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
-from corpusloom.operators import communities, corpus, graph
+from corpusloom.operators import communities, corpus, graph, local_search
 from corpusloom.operators.ordered import written
-from corpusloom.plans.common import DOMAIN, t
+from corpusloom.plans.common import DOMAIN, TOKENS, t
 from corpusloom.plans.registry import query
 
 #: Chains of documents: each tenth and each 23rd begins a new one; each 29th has a loop; labels alone are nodes without links.
@@ -195,3 +195,46 @@ def g09(spark, d):
     nodes_, edges = built(spark, d)
     q = g07(spark, d).agg(F.count_if(F.col("error").isNull()).alias("answered"), F.count("*").alias("asked"))
     return nodes_.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).crossJoin(F.broadcast(q))  # a row each
+
+
+#: Every item of `benchmark` is a question; texts are windows of 180 words of all documents, which overlap by 20.
+UNITS = f"(SELECT doc_id || '#' || chunk AS doc_id, array_to_string(w[chunk * 160 + 1:chunk * 160 + 180], ' ') AS text FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 180) / 160.0))::INT)) AS chunk FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents) WHERE len(w) > 0))"
+SEEDS = f"""units AS MATERIALIZED (SELECT * FROM {UNITS}), m AS MATERIALIZED (SELECT DISTINCT chunk, name FROM {MENTIONS.replace('FROM documents', 'FROM units')}), pairs AS MATERIALIZED (SELECT * FROM {NAME_PAIRS.replace('FROM documents', 'FROM units')}),
+asked AS MATERIALIZED (SELECT item_id AS query_id, name, row_number() OVER (PARTITION BY item_id ORDER BY i) AS place FROM (SELECT item_id, name, min(i) AS i FROM (SELECT item_id, unnest({PHRASE}) AS name, generate_subscripts({PHRASE}, 1) AS i FROM benchmark) GROUP BY ALL) WHERE name IN (SELECT name FROM m) QUALIFY place <= {local_search.MOST_NAMES}),
+near AS MATERIALIZED (SELECT a AS name, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs)"""
+WORDS_OF = "greatest(len(list_filter(string_split_regex(coalesce({0}, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')), 1)"
+TEXTS = f"""{SEEDS}, rel AS (SELECT chunk, name, (SELECT count(*) FROM m x JOIN near n ON n.other = x.name WHERE x.chunk = m.chunk AND n.name = m.name) AS related FROM m WHERE name IN (SELECT name FROM asked)),
+once AS (SELECT query_id, chunk, min(struct_pack("of" := place, less := -related, chunk := chunk, name := r.name)) AS rank FROM asked JOIN rel r USING (name) GROUP BY ALL),
+ordered AS (SELECT query_id, chunk, rank, {WORDS_OF.format('text')} AS words, row_number() OVER w AS place, sum({WORDS_OF.format('text')}) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM once JOIN units ON doc_id = chunk WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+texts AS (SELECT query_id, place, chunk, rank.name AS name, -rank.less AS related, words FROM ordered WHERE upto <= {local_search.TEXT_WORDS})"""
+
+
+def asked_graph(spark, d):
+    """What a local search reads: questions' names, mentions, links and texts with their words."""
+    cut = corpus.chunks(t(spark, d, "documents"), "doc_id", "text", 180, 20)
+    chunks = cut.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("chunk"), "text", local_search.word_count(F.col("text")).alias("words"))
+    found = written(chunks.select("chunk", F.posexplode(graph.phrases(F.col("text"))).alias("pos", "name")), "mentions")
+    pairs = written(graph.co_occurrences(found).groupBy("a", "b").agg(F.count("*").alias("weight")), "pairs")
+    questions = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return questions, written(local_search.seeds(questions, found.select("name").distinct()), "seeds"), found, pairs, chunks
+
+
+@query("g09_local_texts", f"WITH {TEXTS} SELECT query_id, place::INT AS place, chunk, name, related, words::INT AS words FROM texts")
+def g09_local_texts(spark, d):
+    """The texts that a local search takes for each question, and by which name."""
+    _, asked, found, pairs, chunks = asked_graph(spark, d)
+    return local_search.local_texts(asked, found, pairs, chunks)
+
+
+@query("g09_local_relations", f"WITH {SEEDS}, deg AS (SELECT name, count(*) AS n FROM near GROUP BY name), once AS (SELECT DISTINCT query_id, a, b, weight, x.n + y.n AS ends FROM asked s JOIN pairs ON s.name IN (a, b) JOIN deg x ON x.name = a JOIN deg y ON y.name = b), o AS (SELECT *, len(string_split(a || ' ' || b, ' ')) AS words, row_number() OVER w AS place, sum(len(string_split(a || ' ' || b, ' '))) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM once WINDOW w AS (PARTITION BY query_id ORDER BY ends DESC, weight DESC, a, b)) SELECT query_id, place::INT AS place, a, b, weight, words::INT AS words FROM o WHERE upto <= {local_search.RELATION_WORDS}")
+def g09_local_relations(spark, d):
+    _, asked, _, pairs, _ = asked_graph(spark, d)
+    return local_search.local_relations(asked, pairs)
+
+
+@query("g09_local_answers", f"WITH {TEXTS}, a AS (SELECT query_id, count(*) AS n_texts, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY place) FILTER (place <= 3) AS context FROM texts JOIN units ON doc_id = chunk GROUP BY query_id) SELECT item_id AS query_id, coalesce(n_texts, 0) AS n_texts, md5(coalesce(context, '')) AS context_md5, CASE WHEN n_texts IS NULL THEN 'no text for ' || item_id END AS error FROM benchmark LEFT JOIN a ON query_id = item_id")
+def g09_local_answers(spark, d):
+    """Each question with its three first texts as context, or its error."""
+    questions, asked, found, pairs, chunks = asked_graph(spark, d)
+    got = local_search.answers(questions, local_search.local_texts(asked, found, pairs, chunks), chunks, 3)
+    return got.select("query_id", "n_texts", F.md5(F.col("context").cast("binary")).alias("context_md5"), "error")
