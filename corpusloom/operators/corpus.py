@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import stats, text, urls
 from corpusloom.operators import nearby
-from corpusloom.operators.ordered import numbered, order_statistics
+from corpusloom.operators.ordered import numbered, order_statistics, unused
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row of least order of each key; order must be unique in a key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The row of least order of each key, null first; order must be unique in a key. Rows are compared before they are shuffled."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order))
+    return df.groupBy(key.alias(unused(df, "_key"))).agg(first.alias("_row")).select("_row.*")
 
 
 def flag_near_duplicates(df: DataFrame, url: str, order: str) -> DataFrame:
     """is_duplicate and duplicate_of: the first address with the same dedup_key, null for that one itself."""
-    w = Window.partitionBy(urls.dedup_key(F.col(url))).orderBy(order)
-    flagged = df.withColumn("_rn", F.row_number().over(w)).withColumn("_first", F.first(url).over(w))
-    return flagged.withColumns({"is_duplicate": F.col("_rn") > 1, "duplicate_of": F.when(F.col("_rn") > 1, F.col("_first"))}).drop("_rn", "_first")
+    keyed = df.withColumn("_key", urls.dedup_key(F.col(url)))
+    # One row a repeated key; a popular address is split among tasks where the rows meet it.
+    first = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(url).alias("url"))).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    later = F.coalesce(~F.col(order).eqNullSafe(F.col("_first.at")), F.lit(False)) & F.col("_first").isNotNull()
+    joined = keyed.join(first, F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return joined.withColumns({"is_duplicate": later, "duplicate_of": F.when(later, F.col("_first.url"))}).drop("_key", "_k", "_first", "_n")
 
 
 def merge_by(df: DataFrame, key: str, body: str, order: str, per_part: int = 1000) -> DataFrame:

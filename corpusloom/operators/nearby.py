@@ -14,6 +14,8 @@ from corpusloom.operators.ordered import discard, written
 METRES_A_DEGREE = 111_194.926
 #: Districts up to this many ring points are sent to all tasks; more are met by cells.
 MOST_SENT = 500_000
+#: Centroids up to this number are compared with a point in one pass; more are met by cells.
+MOST_CENTRES = 1_000
 
 
 def _cells(x: Column, y: Column, size: float, around: bool, wrap: float | None) -> Column:
@@ -117,6 +119,16 @@ def containing(points: DataFrame, districts: DataFrame, key: str, edge: bool, ce
     return met.filter(inside(x, y, F.col("rings"), edge)).select(key, "lat", "lng", "ord", "name", "cx", "cy")
 
 
+def centroid_distances(points: DataFrame, districts: DataFrame, key: str) -> DataFrame:
+    """key, name and metres (in web mercator) from each point (key, lat, lng) to each district's centroid; districts are checked to be few."""
+    if districts.count() > MOST_CENTRES:
+        raise ValueError(f"over {MOST_CENTRES} districts")
+    held = F.broadcast(_shaped(districts).agg(F.collect_list(F.struct("name", "cx", "cy")).alias("_centres")))  # a row
+    each = points.crossJoin(held).select(key, "lat", "lng", F.explode("_centres").alias("c"))
+    away = F.sqrt(F.pow(geo.mercator_x(F.col("lng")) - F.col("c.cx"), F.lit(2)) + F.pow(geo.mercator_y(F.col("lat")) - F.col("c.cy"), F.lit(2)))
+    return each.select(key, F.col("c.name").alias("name"), away.alias("metres"))
+
+
 def first_containing(points: DataFrame, districts: DataFrame, key: str) -> DataFrame:
     """key and name of the first district (by ord) that contains a point or has it on its edge; points in none are left out."""
     return containing(points, districts, key, True).groupBy(key).agg(F.min_by("name", "ord").alias("name"))
@@ -124,11 +136,19 @@ def first_containing(points: DataFrame, districts: DataFrame, key: str) -> DataF
 
 def locate(points: DataFrame, districts: DataFrame, key: str, cell: float = 20_000.0) -> DataFrame:
     """key, district and match_type of every point: the containing district of the nearest centroid (`exact`), else the one of
-    the nearest centroid of all (`nearest`); without coordinates `Not Specified` and `no_coords`. Ties go to the least ord."""
+    the nearest centroid of all (`nearest`); without coordinates `Not Specified` and `no_coords`. Ties go to the least ord;
+    key must tell points apart."""
     lost = geo.missing(F.col("lat"), F.col("lng"))
     known = points.filter(~lost).select(key, "lat", "lng")
     away = F.pow(geo.mercator_x(F.col("lng")) - F.col("cx"), F.lit(2)) + F.pow(geo.mercator_y(F.col("lat")) - F.col("cy"), F.lit(2))
     exact = containing(known, districts, key, False).groupBy(key).agg(F.min(F.struct(away.alias("away"), "ord", "name")).alias("b"))
+    none = points.filter(lost).select(key, F.lit("Not Specified").alias("district"), F.lit("no_coords").alias("match_type"))
+    if districts.count() <= MOST_CENTRES:
+        centre = F.struct(F.col("ord"), F.col("name"), F.col("cx"), F.col("cy"))
+        held = F.broadcast(_shaped(districts).agg(F.sort_array(F.collect_list(centre)).alias("_centres")))  # a row
+        to = F.transform("_centres", lambda c: F.struct((F.pow(geo.mercator_x(F.col("lng")) - c["cx"], F.lit(2)) + F.pow(geo.mercator_y(F.col("lat")) - c["cy"], F.lit(2))).alias("away"), c["ord"].alias("ord"), c["name"].alias("name")))
+        found = known.crossJoin(held).withColumn("_near", F.array_min(to)["name"]).join(exact.select(key, F.col("b.name").alias("_in")), key, "left")
+        return found.select(key, F.coalesce("_in", "_near").alias("district"), F.when(F.col("_in").isNotNull(), "exact").otherwise("nearest").alias("match_type")).unionByName(none)
     exact = written(exact.select(key, F.col("b.name").alias("district"), F.lit("exact").alias("match_type")), "exact")
     rest = known.join(exact, key, "left_anti").select(F.col(key).alias("id"), geo.mercator_x(F.col("lng")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
     centres = _shaped(districts).select(F.struct("ord", "name").alias("place"), F.col("cx").alias("x"), F.col("cy").alias("y"))
@@ -137,5 +157,4 @@ def locate(points: DataFrame, districts: DataFrame, key: str, cell: float = 20_0
     centres = centres.select(F.struct(F.col("place.ord").cast("long").alias("ord"), F.col("place.name").alias("name")).alias("place"), "x", "y")
     near = nearest_in_plane(tagged, centres, cell, 2.0 * 40_075_017.0)
     near = near.join(tagged.select("id", "_key"), "id").select(F.col("_key").alias(key), F.col("place.name").alias("district"), F.lit("nearest").alias("match_type"))
-    none = points.filter(lost).select(key, F.lit("Not Specified").alias("district"), F.lit("no_coords").alias("match_type"))
     return exact.unionByName(near).unionByName(none)

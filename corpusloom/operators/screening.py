@@ -150,17 +150,19 @@ def usable_images(images: DataFrame, page: str, order: str, look_at: int = 30, k
     return good.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 
 
-def drop_alike(images: DataFrame, order: str, bits: str, near: int = 8, by: list[str] | None = None) -> DataFrame:
+def drop_alike(images: DataFrame, order: str, bits: str, near: int = 8, by: list[str] | None = None, width: int = 64) -> DataFrame:
     """images without those within `near` differing bits (less than) of one kept before, in the given order, in each group of by.
 
-    The greedy pass over an ordered list, without a task that holds the list: two hashes of 64
+    The greedy pass over an ordered list, without a task that holds the list: of equal hashes
+    the first alone can be kept, so the others go before any rows meet; two hashes of `width`
     bits that differ in fewer than `near` agree in one of `near` blocks, so neighbours meet by
     equality; then, round by round, an image whose earlier neighbours are all dropped is kept,
-    and one with a kept earlier neighbour is dropped. order must tell all images apart.
+    and one with a kept earlier neighbour is dropped. order must tell all images apart; an image
+    without a hash is kept.
     """
     by = by or []
-    rows = images.select(*by, F.col(order).alias("_o"), F.col(bits).alias("_b"))
-    bounds = [64 * k // near for k in range(near + 1)]
+    rows = images.filter(F.col(bits).isNotNull()).groupBy(*by, F.col(bits).alias("_b")).agg(F.min(order).alias("_o")).select(*by, "_o", "_b")
+    bounds = [width * k // near for k in range(near + 1)]
     masks = [(1 << bounds[k + 1]) - (1 << bounds[k]) for k in range(near)]
     blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("_b").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for k, m in enumerate(masks)])
     keyed = rows.withColumn("_k", F.explode(blocks)).select(*by, "_o", "_b", "_k.k", "_k.v")
@@ -178,7 +180,7 @@ def drop_alike(images: DataFrame, order: str, bits: str, near: int = 8, by: list
         if open_.isEmpty():
             discard(open_, pairs)
             break
-    return images.join(kept.select(*by, F.col("_o").alias(order)), [*by, order], "left_semi")
+    return images.join(kept.select(*by, F.col("_o").alias(order)), [*by, order], "left_semi").unionByName(images.filter(F.col(bits).isNull()))
 
 
 def margin_box(points: DataFrame, by: list[str], margin: float = 0.25) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import claims, report
-from corpusloom.plans.common import BOXES_SQL, boxes, t
+from corpusloom.plans.common import POINTS_SQL, points, t
 from corpusloom.plans.documents import JUDGED, TURNS, a51, judged
 from corpusloom.plans.registry import query
 
@@ -50,14 +50,21 @@ def x57(spark, d):
     return found.select("k", "o.retained", "o.total")
 
 
-@query("x34_box_accept", f"""SELECT a.name AS a, b.name AS b, round(((b.max_lng - b.min_lng) * (b.max_lat - b.min_lat)) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat)), 6) AS ratio FROM {BOXES_SQL.replace('AS b(', 'AS a(')} JOIN {BOXES_SQL} ON a.name <> b.name AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat
-WHERE ((b.max_lng - b.min_lng) * (b.max_lat - b.min_lat)) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat)) BETWEEN 0.05 AND 5""")
+#: The box of each fifteenth of the pages, by their points.
+PAGE_BOXES = f"(SELECT page_id % 15 AS name, min(lng) AS min_lng, min(lat) AS min_lat, max(lng) * (1 + page_id % 15 / 10.0::DOUBLE) AS max_lng, max(lat) AS max_lat FROM {POINTS_SQL} WHERE lat IS NOT NULL GROUP BY page_id % 15)"
+
+
+@query("x34_box_accept", f"""SELECT a.name AS a, b.name AS b, round(((b.max_lng - b.min_lng) * (b.max_lat - b.min_lat)) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat)), 6) AS ratio FROM {PAGE_BOXES} a JOIN {PAGE_BOXES} b ON a.name <> b.name AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat
+WHERE ((b.max_lng - b.min_lng) * (b.max_lat - b.min_lat)) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat)) BETWEEN 0.8 AND 1.5""")
 def x34(spark, d):
-    """Boxes that another would replace: they meet, and their areas are of one order. The list of boxes is configuration."""
-    a, b = boxes(spark).alias("a"), F.broadcast(boxes(spark)).alias("b")
+    """Boxes that another would replace: they meet, and their areas are of one order. Fifteen boxes, made of the points of all pages."""
+    p = points(spark, d).filter("lat IS NOT NULL").groupBy((F.col("page_id") % 15).alias("name"))
+    held = p.agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"))
+    held = held.withColumn("max_lng", F.col("max_lng") * (1 + F.col("name") / 10))
+    a, b = held.alias("a"), F.broadcast(held).alias("b")
     ratio = F.expr("(b.max_lng - b.min_lng) * (b.max_lat - b.min_lat) / ((a.max_lng - a.min_lng) * (a.max_lat - a.min_lat))")
     meet = F.expr("a.name <> b.name AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat")
-    return a.join(b, meet).filter(ratio.between(0.05, 5)).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(ratio, 6).alias("ratio"))
+    return a.join(b, meet).filter(ratio.between(0.8, 1.5)).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(ratio, 6).alias("ratio"))
 
 
 @query("x41_prompt", r"SELECT doc_id, md5('Classify this FSI:' || chr(10) || chr(10) || 'T' || doc_id || chr(10) || left(regexp_replace(left(CASE WHEN doc_id % 3 = 0 THEN '' ELSE repeat(source || ' ', 60) END, 200) || chr(10) || left(coalesce(text, ''), 800), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), 1000)) AS prompt_md5 FROM documents")

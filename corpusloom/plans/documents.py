@@ -255,10 +255,10 @@ def a51(spark, d):
     return p.select("role", "word", "presence", F.when(F.col("presence") == F.col("turns"), "stable").otherwise("partial").alias("note"))
 
 
-@query("j16_replicate_pairs", f"WITH s AS (SELECT turn, word FROM {TURNS} WHERE role = 'user'), n AS (SELECT turn, count(*) AS n FROM s GROUP BY turn), i AS (SELECT a.turn AS x, b.turn AS y, count(*) AS k FROM s a JOIN s b ON a.word = b.word AND a.turn < b.turn GROUP BY ALL) SELECT p.turn AS turn_a, q.turn AS turn_b, coalesce(k, 0) AS shared, round(100.0::DOUBLE * coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 1) AS pct FROM n p JOIN n q ON p.turn < q.turn LEFT JOIN i ON i.x = p.turn AND i.y = q.turn")
+@query("j16_replicate_pairs", f"WITH s AS (SELECT coalesce(role, '') AS role, turn, word FROM {TURNS}), n AS (SELECT role, turn, count(*) AS n FROM s GROUP BY ALL), i AS (SELECT a.role, a.turn AS x, b.turn AS y, count(*) AS k FROM s a JOIN s b ON a.role = b.role AND a.word = b.word AND a.turn < b.turn GROUP BY ALL) SELECT p.role, p.turn AS turn_a, q.turn AS turn_b, coalesce(k, 0) AS shared, round(100.0::DOUBLE * coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 1) AS pct FROM n p JOIN n q ON p.role = q.role AND p.turn < q.turn LEFT JOIN i ON i.role = p.role AND i.x = p.turn AND i.y = q.turn")
 def j16(spark, d):
-    s = turns(spark, d).filter("role = 'user'").select("turn", "word")
-    return corpus.replicate_pairs(s, "turn", "word").withColumnRenamed("a", "turn_a").withColumnRenamed("b", "turn_b")
+    s = turns(spark, d).select(F.coalesce("role", F.lit("")).alias("role"), "turn", "word")
+    return corpus.replicate_pairs(s, "turn", "word", ["role"]).withColumnRenamed("a", "turn_a").withColumnRenamed("b", "turn_b")
 
 
 @query("j10_cache_lookup", "WITH c AS (SELECT sha256(text) AS h, min(item_id) AS item_id FROM benchmark GROUP BY 1) SELECT b.item_id, c.item_id IS NOT NULL AS hit FROM benchmark b LEFT JOIN c ON c.h = sha256(CASE WHEN b.item_id % 3 = 0 THEN b.text || '.' ELSE b.text END)")

@@ -98,10 +98,10 @@ def a27(spark, d):
     return j17(spark, d).agg(F.round(F.percentile("metres", 0.5), 4).alias("mid"), F.round(F.percentile("metres", 0.25), 4).alias("low"), F.round(F.percentile("metres", 0.75), 4).alias("high"))
 
 
-@query("x33_centroid_distance", f"SELECT name, round(cx, 3) AS cx, round(cy, 3) AS cy FROM {CENTRES_SQL}")
+@query("x33_centroid_distance", f"SELECT page_id, name, round(sqrt(pow({MX.format('lng')} - cx, 2) + pow({MY.format('lat')} - cy, 2)), 3) AS metres FROM {GRID_SQL}, {CENTRES_SQL} WHERE lat IS NOT NULL")
 def x33(spark, d):
-    c = nearby._shaped(districts(spark))
-    return c.select("name", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
+    """How far each page's point lies from each district's centroid, in web mercator."""
+    return nearby.centroid_distances(grid(spark, d).filter("lat IS NOT NULL"), districts(spark), "page_id").withColumn("metres", F.round("metres", 3))
 
 
 REASONED = "(SELECT page_id, (page_id * 7 % 200 - 100)::DOUBLE / CASE WHEN page_id % 5 = 0 THEN 200 ELSE 1 END AS lat, (page_id * 13 % 400 - 200)::DOUBLE / CASE WHEN page_id % 5 = 0 THEN 400 ELSE 1 END AS lng FROM pages)"

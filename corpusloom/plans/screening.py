@@ -38,12 +38,13 @@ def f09(spark, d):
     return screening.flag_coordinates(listed(spark, d))
 
 
-@query("a03_review_report", f"SELECT (count_if(lat = '') + count_if(needs_review))::BIGINT AS total_missing, 0::BIGINT AS resolved, count_if(needs_review)::BIGINT AS unresolved, md5(string_agg(CASE WHEN needs_review THEN url END, chr(10) ORDER BY page_id)) AS urls_md5 FROM {FLAGGED}")
+@query("a03_review_report", f"SELECT page_id // 1000 AS part, (count_if(lat = '') + count_if(needs_review))::BIGINT AS total_missing, 0::BIGINT AS resolved, count_if(needs_review)::BIGINT AS unresolved, md5(string_agg(CASE WHEN needs_review THEN url END, chr(10) ORDER BY page_id)) AS urls_md5 FROM {FLAGGED} GROUP BY 1")
 def a03(spark, d):
-    """Rows for review count twice in total_missing, once as blank and once as unresolved, as the report counts them."""
+    """A report's part for each thousand pages, as no task holds all its addresses. Rows for review count twice in total_missing,
+    once as blank and once as unresolved, as the report counts them."""
     review = F.count_if("needs_review")
     listed_urls = F.transform(F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.struct("page_id", "url")))), lambda x: x["url"])
-    return f09(spark, d).agg((F.count_if(F.col("lat") == "") + review).alias("total_missing"), F.lit(0).cast("long").alias("resolved"), review.alias("unresolved"), F.md5(F.array_join(listed_urls, "\n").cast("binary")).alias("urls_md5"))
+    return f09(spark, d).groupBy(F.floor(F.col("page_id") / 1000).alias("part")).agg((F.count_if(F.col("lat") == "") + review).alias("total_missing"), F.lit(0).cast("long").alias("resolved"), review.alias("unresolved"), F.when(review > 0, F.md5(F.array_join(listed_urls, "\n").cast("binary"))).alias("urls_md5"))
 
 
 POSTCODE = r"\bD\d{1,2}[A-Z]?\s?[A-Z0-9]{4}\b"
@@ -84,10 +85,10 @@ def f15(spark, d):
     return p.select("page_id", "is_blog", "b.title", "b.html", F.when(F.col("b").isNotNull(), F.size("b.images")).alias("n_images"))
 
 
-@query("f16_merge_subpages", "WITH p AS (SELECT page_id // 3 AS seed, page_id, url, CASE WHEN page_id % 4 = 0 OR page_id // 3 % 5 = 0 THEN NULL ELSE left(html, 60) END AS html, ['i' || page_id % 4, 'j' || page_id % 3] AS images FROM pages) SELECT seed, arg_min(url, page_id) AS url, md5(string_agg(html, chr(10) ORDER BY page_id)) AS html_md5, array_to_string(list_sort(list_distinct(flatten(list(images)))), ' ') AS images FROM p GROUP BY seed")
+@query("f16_merge_subpages", "WITH p AS (SELECT page_id // 3 AS seed, page_id, url, CASE WHEN page_id % 4 = 0 OR page_id // 3 % 5 = 0 THEN NULL ELSE html END AS html, ['i' || page_id % 4, 'j' || page_id % 3] AS images FROM pages) SELECT seed, arg_min(url, page_id) AS url, md5(string_agg(html, chr(10) ORDER BY page_id)) AS html_md5, array_to_string(list_sort(list_distinct(flatten(list(images)))), ' ') AS images FROM p GROUP BY seed")
 def f16(spark, d):
     seed = F.floor(F.col("page_id") / 3)
-    html = F.when((F.col("page_id") % 4 == 0) | (seed % 5 == 0), F.lit(None)).otherwise(F.substring("html", 1, 60))
+    html = F.when((F.col("page_id") % 4 == 0) | (seed % 5 == 0), F.lit(None)).otherwise(F.col("html"))
     p = t(spark, d, "pages").select(seed.alias("seed"), "page_id", "url", html.alias("html"), F.array(F.concat(F.lit("i"), F.col("page_id") % 4), F.concat(F.lit("j"), F.col("page_id") % 3)).alias("images"))
     return screening.merge_subpages(p, "seed", "page_id").select("seed", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"), F.array_join("images", " ").alias("images"))
 
@@ -232,7 +233,7 @@ SELECT city, unnest(arg_max(ids, rn)) AS page_id FROM k GROUP BY city""")
 def f24(spark, d):
     """Hashes of 12 bits here, so that they meet on small tables; fewer than 4 differing bits."""
     i = t(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("city"), (F.col("page_id") * F.lit(2654435761) % 4096).alias("bits"))
-    return screening.drop_alike(i, "page_id", "bits", 4, ["city"]).select("city", "page_id")
+    return screening.drop_alike(i, "page_id", "bits", 4, ["city"], width=12).select("city", "page_id")
 
 
 @query("f30_margin_box", "WITH p AS (SELECT page_id % 4 AS city, 51 + (page_id % 97) / 100.0::DOUBLE AS lat, (page_id % 89) / 100.0::DOUBLE AS lng FROM pages) SELECT city, round(min(lng) - 0.25 * (max(lng) - min(lng)), 9) AS min_lng, round(min(lat) - 0.25 * (max(lat) - min(lat)), 9) AS min_lat, round(max(lng) + 0.25 * (max(lng) - min(lng)), 9) AS max_lng, round(max(lat) + 0.25 * (max(lat) - min(lat)), 9) AS max_lat FROM p GROUP BY city")

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators import claims
 from corpusloom.operators.ordered import scratch
 from corpusloom.plans.common import t
-from corpusloom.plans.places import RINGS_SQL, SHAPES
 from corpusloom.plans.registry import query
 from corpusloom.plans.reports_audit import HTML, PROSE, prose
-from corpusloom.plans.screening import FETCHED, PLACES_SQL, fetched, places
+from corpusloom.plans.screening import FETCHED, fetched
 from corpusloom.sources import readers, writers
 
 
@@ -119,14 +118,25 @@ def s08(spark, d):
     return edges.select("source", "target", F.col("data")["d4"].cast("double").alias("weight"))
 
 
-@query("s09_geojson", f"SELECT name, ring, i, x, y FROM {RINGS_SQL}")
-def s09(spark, d):
-    """Polygons with holes, and one of several parts."""
-    from json import dumps
+#: A square for each nation with a square inside, by its key: a hole, or for each third nation a part of its own beside it.
+SQUARES = "(SELECT n_nationkey AS k, n_name AS name, ring, i, n_nationkey * 10.0 - 125 + CASE WHEN ring = 0 THEN 0 WHEN n_nationkey % 3 = 0 THEN 9 ELSE 2 END + CASE WHEN ring = 0 THEN 8 ELSE 0.5 END * CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END AS x, n_regionkey * 10.0 - 20 + CASE WHEN ring = 0 THEN 0 ELSE 2 END + CASE WHEN ring = 0 THEN 8 ELSE 0.5 END * CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END AS y FROM nation, range(2) r(ring), range(5) c(i))"
+
 
-    closed = lambda ring: [list(p) for p in [*ring, ring[0]]]
-    features = [{"type": "Feature", "properties": {"name": n}, "geometry": {"type": "MultiPolygon", "coordinates": [[closed(r)] for r in rings]} if n == "isles" else {"type": "Polygon", "coordinates": [closed(r) for r in rings]}} for n, rings in SHAPES]
-    path = one_file(spark.createDataFrame([(dumps({"type": "FeatureCollection", "features": features}),)], "j string"), "districts", "j")
+@query("s09_geojson", f"SELECT name, ring::INT AS ring, i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM {SQUARES}")
+def s09(spark, d):
+    """Polygons with holes, and some of several parts: a district of each nation, written as one document and read back."""
+    k, third = F.col("n_nationkey"), F.col("n_nationkey") % 3 == 0
+
+    def square(x, y, size):
+        corner = lambda dx, dy: F.array(x + dx, y + dy)
+        return F.array(corner(0, 0), corner(size, 0), corner(size, size), corner(0, size), corner(0, 0))
+
+    x, y = k * 10.0 - 125, F.col("n_regionkey") * 10.0 - 20
+    outer, inner = square(x, y, 8.0), square(x + F.when(third, 9.0).otherwise(2.0), y + 2.0, 0.5)
+    shape = F.when(third, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(outer), F.array(inner)).alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(outer, inner).alias("coordinates"))))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(F.col("n_name").alias("name"))), F.lit(',"geometry":'), shape, F.lit("}"))
+    whole = t(spark, d, "nation").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list(feature)), ","), F.lit("]}")).alias("j"))  # 25 nations
+    path = one_file(whole, "districts", "j")
     rings = readers.geojson(spark, path).select("name", F.posexplode("rings").alias("ring", "r"))
     return rings.select("name", "ring", F.posexplode("r").alias("i", "p")).select("name", "ring", "i", "p.x", "p.y")
 
@@ -191,19 +201,22 @@ def s18(spark, d):
     return readers.boundary(spark, path, readers.FETCHES).groupBy("status", "error_class").agg(F.count("*").alias("n"))
 
 
-@query("s19_place_boundary", f"SELECT query, p_lat AS lat, p_lng AS lng FROM {PLACES_SQL}")
+@query("s19_place_boundary", "SELECT s_suppkey, s_name AS query, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 181 - 90)::DOUBLE END AS lat, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 3 % 361 - 180)::DOUBLE END AS lng FROM supplier")
 def s19(spark, d):
-    path = scratch(spark, "places")
-    writers.json_lines(places(spark).toDF("query", "lat", "lng"), path)
-    return readers.boundary(spark, path, readers.PLACES)
+    """Places of all suppliers' names as a geocoder answered, every seventh without an answer; met by what was asked."""
+    path, s = scratch(spark, "places"), t(spark, d, "supplier")
+    known = s.filter("s_suppkey % 7 <> 0").select(F.col("s_name").alias("query"), (F.col("s_suppkey") % 181 - 90).cast("double").alias("lat"), (F.col("s_suppkey") * 3 % 361 - 180).cast("double").alias("lng"))
+    writers.json_lines(known, path)
+    asked = s.select("s_suppkey", F.col("s_name").alias("query"))
+    return asked.join(readers.boundary(spark, path, readers.PLACES), "query", "left").select("s_suppkey", "query", "lat", "lng")
 
 
-@query("s20_answer_boundary", "SELECT b.item_id, CASE WHEN item_id % 3 <> 0 THEN left(text, 30) END AS response FROM benchmark b")
+@query("s20_answer_boundary", "SELECT b.item_id, CASE WHEN item_id % 3 <> 0 THEN text END AS response FROM benchmark b")
 def s20(spark, d):
     """Model answers are an input, found by the digest of what was asked."""
     b, path = t(spark, d, "benchmark"), scratch(spark, "answers")
     digest = F.sha2(F.to_json(F.struct(F.lit("m").alias("model"), "text")).cast("binary"), 256)
-    writers.json_lines(b.filter("item_id % 3 <> 0").select(digest.alias("args_hash"), F.substring("text", 1, 30).alias("response")).distinct(), path)
+    writers.json_lines(b.filter("item_id % 3 <> 0").select(digest.alias("args_hash"), F.col("text").alias("response")).distinct(), path)
     held = readers.boundary(spark, path, readers.ANSWERS)
     return b.withColumn("args_hash", digest).join(held, "args_hash", "left").select("item_id", "response")
 
