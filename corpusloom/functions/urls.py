@@ -6,7 +6,7 @@ import html
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,33 @@ def links_within(url: str | None, hrefs: list[str]) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def internal_links(url: pd.Series, hrefs: pd.Series) -> pd.Series:
     return pd.Series([links_within(u, [] if h is None else list(h)) for u, h in zip(url, hrefs, strict=True)], index=url.index, dtype=object)
+
+
+def suffix_rules(rules: DataFrame) -> DataFrame:
+    """rules (rule: a public suffix, `*.` before one for any label there, `!` before an exception; # lines and blanks are comments) as key, extra and exception."""
+    rule = F.lower(F.trim("rule"))
+    kept = rules.select(rule.alias("rule")).filter("rule <> '' AND NOT startswith(rule, '//') AND NOT startswith(rule, '#')")
+    extra = F.when(F.startswith("rule", F.lit("*.")), 1).when(F.startswith("rule", F.lit("!")), -1).otherwise(0)
+    return kept.select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("key"), extra.alias("extra")).distinct()
+
+
+def registrable_domains(rows: DataFrame, host: str, rules: DataFrame, most_sent: int = 100_000) -> DataFrame:
+    """rows with registrable: the public suffix of a host by the longest rule that its labels meet, and the label before it.
+
+    rules: see suffix_rules. An exception takes its own first label off the suffix, before all
+    other rules. A host that meets no rule has no suffix: its last label stands, an IPv4 address
+    whole. A host that is a suffix itself has no label before it, and begins with a dot. Null hosts
+    have none. Hosts are looked up once each, by equality of their ends with a rule; few rules
+    are sent to all tasks.
+    """
+    known = suffix_rules(rules)
+    known = F.broadcast(known) if known.count() <= most_sent else known
+    labels = F.split("host", r"\.")
+    hosts = rows.select(F.lower(F.col(host)).alias("host")).filter("host IS NOT NULL").distinct().withColumns({"labels": labels, "n": F.size(labels)})
+    ends = hosts.select("host", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice("labels", F.col("n") - k + 1, k), ".").alias("key")))).alias("e")).select("host", "n", "e.depth", "e.key")
+    met = ends.join(known, "key").withColumn("suffix", F.col("depth") + F.col("extra")).filter("suffix <= n")
+    best = met.groupBy("host").agg(F.max(F.struct((F.col("extra") == -1).alias("exception"), "suffix"))["suffix"].alias("suffix"))
+    took = F.when(F.col("suffix").isNull(), F.when(F.col("host").rlike(r"^\d+(\.\d+){3}$"), F.col("host")).otherwise(F.element_at("labels", -1)))
+    took = took.when(F.col("suffix") == F.col("n"), F.concat(F.lit("."), F.col("host"))).otherwise(F.array_join(F.slice("labels", F.col("n") - F.col("suffix"), F.col("suffix") + 1), "."))
+    found = hosts.join(best, "host", "left").select(F.col("host").alias("_host"), took.alias("registrable"))
+    return rows.join(found, F.lower(F.col(host)) == F.col("_host"), "left").drop("_host")

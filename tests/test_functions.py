@@ -91,3 +91,14 @@ def test_stream_first_seen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 1
+
+
+def test_registrable_domains_by_rules(spark):
+    """The published algorithm's own examples: longest rule, wildcards, exceptions, no rule."""
+    rules = spark.createDataFrame([(r,) for r in ["com", "uk.com", "jp", "ac.jp", "kyoto.jp", "ide.kyoto.jp", "c.kobe.jp", "*.kobe.jp", "!city.kobe.jp", "ck", "*.ck", "!www.ck", "", "# no", "// no"]], "rule string")
+    wanted = {"com": ".com", "example.com": "example.com", "a.b.example.com": "example.com", "EXAMPLE.uk.com": "example.uk.com", "b.test.ac.jp": "test.ac.jp", "kyoto.jp": ".kyoto.jp", "x.b.ide.kyoto.jp": "b.ide.kyoto.jp", "b.c.kobe.jp": "b.c.kobe.jp", "a.x.kobe.jp": "a.x.kobe.jp", "y.a.x.kobe.jp": "a.x.kobe.jp", "x.kobe.jp": ".x.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp", "test.ck": ".test.ck", "b.test.ck": "b.test.ck", "a.b.test.ck": "b.test.ck", "www.ck": "www.ck", "www.www.ck": "www.ck", "a.b.unknown": "unknown", "localhost": "localhost", "10.0.0.1": "10.0.0.1"}
+    df = spark.createDataFrame([(h, "x") for h in [*wanted, "a.b.example.com", None]], "host string, key string")
+    got = [(r["host"], r["registrable"]) for r in urls.registrable_domains(df, "host", rules).collect()]
+    assert sorted(got, key=str) == sorted([*wanted.items(), ("a.b.example.com", "example.com"), (None, None)], key=str)
+    assert sorted(urls.registrable_domains(df, "host", rules, most_sent=0).select("host", "registrable").collect(), key=str) == sorted(urls.registrable_domains(df, "host", rules).select("host", "registrable").collect(), key=str)
+
