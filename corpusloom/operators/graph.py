@@ -134,6 +134,50 @@ def template_matches(nodes: DataFrame, templates: DataFrame, n: int = 5) -> Data
     return hit.select(F.col("_key").alias("name"), kind.alias("classification"), F.when(F.size(shared) > 0, shared[0]).otherwise("").alias("evidence"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Names up to this number, and characters of them, are sent to all tasks; more are met by a shuffle of the texts' words.
+MOST_NAMES, MOST_NAME_CHARACTERS = 200_000, 8_000_000
+
+
+def _runs(column: Column) -> Column:
+    """Runs of letters and digits (ASCII), A-Z lower-cased."""
+    return F.regexp_extract_all(F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def known_names(texts: DataFrame, key: str, body: str, names: DataFrame) -> DataFrame:
+    """key and name of every name (names: name) that stands in a text at no letter's or digit's side, case (A-Z) ignored.
+
+    A name is met by its longest run of letters and digits, which must be a run of the text
+    too; names of other signs besides are then looked for in the texts they may stand in. Few
+    names are sent to all tasks; of many, the texts' distinct runs are shuffled. A name without a
+    letter or digit has no run and is looked for in every text; that those are few is checked. Null
+    and blank names are left out, repeated ones count once, and key must tell texts apart.
+    """
+    held = names.select("name").filter(F.trim("name") != "").distinct().withColumn("_runs", _runs(F.col("name")))
+    longest = F.array_max(F.transform("_runs", lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    escaped = F.regexp_replace("name", r"([^\p{L}\p{N}\s])", r"\\$1")
+    pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), escaped, F.lit("(?![A-Za-z0-9])"))
+    held = held.select(F.col("name"), longest.alias("_run"), F.when(F.translate("name", UPPER, LOWER) != F.coalesce(longest, F.lit("")), pattern).alias("_pattern"))
+    bare = [r["name"] for r in held.filter("_run IS NULL").select("name").limit(1001).collect()]
+    if len(bare) > 1000:
+        raise ValueError("over 1000 names without a letter or digit")
+    runs = held.filter("_run IS NOT NULL")
+    size = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("c")).first()
+    words = texts.select(F.col(key), F.col(body).alias("_body"), F.explode(F.array_distinct(_runs(F.col(body)))).alias("_word"))
+    fits = F.col("_pattern").isNull() | F.expr("regexp_like(_body, _pattern)")
+    if size["n"] <= MOST_NAMES and size["c"] <= MOST_NAME_CHARACTERS:
+        found = words.join(F.broadcast(runs), F.col("_word") == F.col("_run")).filter(fits).select(key, "name")
+    else:
+        may = words.select(key, "_word").join(runs, F.col("_word") == F.col("_run")).select(key, "name", "_pattern")
+        apart = texts.select(F.col(key).alias("_key"), F.col(body).alias("_body"))
+        found = may.filter("_pattern IS NULL").select(key, "name").union(may.filter("_pattern IS NOT NULL").join(apart, F.col(key) == F.col("_key")).filter(fits).select(key, "name"))
+    if bare:
+        more = texts.select(key, F.explode(F.filter(F.array(*map(F.lit, bare)), lambda n: F.contains(F.col(body), n))).alias("name"))
+        sides = F.concat(F.lit("(?<![A-Za-z0-9])"), escaped, F.lit("(?![A-Za-z0-9])"))
+        found = found.union(more.join(texts.select(F.col(key).alias("_key"), F.col(body).alias("_body")), F.col(key) == F.col("_key")).withColumn("_sides", sides).filter(F.expr("regexp_like(_body, _sides)")).select(key, "name"))
+    return found
+
+
 def names_in_texts(texts: DataFrame, key: str, body: str, names: list[str]) -> DataFrame:
     """key and found (names in the text at no letter's or digit's side, case ignored, sorted); names is configuration."""
     hay = F.concat(F.lit(" "), F.coalesce(F.col(body), F.lit("")), F.lit(" "))

@@ -164,6 +164,19 @@ def j22(spark, d):
     return f.select("doc_id", F.array_join(F.transform("found", lambda x: F.concat(x, F.lit(";"))), "").alias("found"))
 
 
+#: All phrases of two words or more are names; the second words of phrases that follow each other stand at no border of a name.
+LONG_NAMES = f"(SELECT DISTINCT name FROM {MENTIONS} WHERE contains(name, ' ') UNION SELECT DISTINCT source || '-x' FROM documents UNION SELECT n_name FROM nation)"
+
+
+@query("j22_many_names", f"WITH n AS MATERIALIZED (SELECT name, lower(name) AS low, string_split_regex(lower(name), '[^a-z0-9]+') AS l FROM {LONG_NAMES}), r AS (SELECT name, low, list_sort(l, 'DESC', 'NULLS LAST') AS l FROM n), a AS (SELECT name, low, list_reduce(l, lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) AS run FROM r), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS run FROM documents), d AS (SELECT doc_id, ' ' || lower(text) || ' ' AS body FROM documents) SELECT name, count(*) AS n_docs FROM w JOIN a USING (run) JOIN d USING (doc_id) WHERE run = low OR regexp_matches(body, '[^a-z0-9]' || low || '[^a-z0-9]') GROUP BY name")
+def j22_many(spark, d):
+    """How many documents hold each of many names: phrases, sources and nations."""
+    docs = t(spark, d, "documents")
+    phrases = docs.select(F.explode(graph.phrases(F.col("text"))).alias("name")).filter(F.contains("name", F.lit(" ")))
+    names = phrases.union(docs.select(F.concat("source", F.lit("-x")))).union(t(spark, d, "nation").select("n_name")).distinct()
+    return graph.known_names(docs, "doc_id", "text", written(names, "names")).groupBy("name").agg(F.count("*").alias("n_docs"))
+
+
 @query("g08_leakage_audit", f"SELECT 'nodes' AS part, count_if(classification = 'confirmed')::BIGINT AS leaks, count(*) AS checked FROM {MATCHES} UNION ALL SELECT 'reports', count_if(regexp_matches({PADDED}, '(?i)[^A-Za-z0-9]GNU General[^A-Za-z0-9]'))::BIGINT, count(*) FROM documents UNION ALL SELECT 'answers', count_if(regexp_matches(' ' || text || ' ', '(?i)[^A-Za-z0-9]the[^A-Za-z0-9]'))::BIGINT, count(*) FROM conversations WHERE role = 'assistant'")
 def g08(spark, d):
     """Leaks of template material in nodes, reports and answers."""
