@@ -183,6 +183,40 @@ def a46(spark, d):
     return i.select("source", "k", F.round("i.high", 6).alias("high"), F.col("i.low").alias("low"))
 
 
+def _halved(cases: str, state: str, most: str, tail_low: str, tail_high: str) -> str:
+    """SQL steps up to `ends` (low, high): where the upper tail at `low` and the lower one at `high` are 0.025, by 45 halvings of [0, most]."""
+    mid = lambda c: f"((lo_{c} + hi_{c}) / 2)"
+    low, high = tail_low.replace("X", mid("l")), tail_high.replace("X", mid("u"))
+    return f"""c AS (SELECT * FROM {cases}),
+halved AS (SELECT {state}, 0 AS step, 0.0::DOUBLE AS lo_l, ({most})::DOUBLE AS hi_l, 0.0::DOUBLE AS lo_u, ({most})::DOUBLE AS hi_u FROM c
+  UNION ALL SELECT {state}, step + 1, CASE WHEN {low} < 0.025 THEN {mid('l')} ELSE lo_l END, CASE WHEN {low} < 0.025 THEN hi_l ELSE {mid('l')} END, CASE WHEN {high} > 0.025 THEN {mid('u')} ELSE lo_u END, CASE WHEN {high} > 0.025 THEN hi_u ELSE {mid('u')} END FROM halved WHERE step < 45),
+ends AS (SELECT {state}, {mid('l')} AS low, {mid('u')} AS high FROM halved WHERE step = 45)"""
+
+
+TALLIES = "(SELECT source, count_if(toxic = 1)::BIGINT AS k, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY source)"
+_BINOMIAL = "list_sum(list_transform(range({0}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(X) + (n - i) * ln(1 - X))))"
+_POISSON = "list_sum(list_transform(range(0, {0}), lambda i: exp(i * ln(X) - X - lgamma(i + 1))))"
+
+
+def tallies(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return j.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count("*").alias("n"))
+
+
+@query("a45_any_share", f"WITH RECURSIVE {_halved(TALLIES, 'source, k, n', '1', _BINOMIAL.format('k, n + 1'), _BINOMIAL.format('0, k + 1'))} SELECT source, k, n, round(CASE WHEN k = 0 THEN 0 ELSE low END, 6) AS low, round(CASE WHEN k = n THEN 1 ELSE high END, 6) AS high FROM ends")
+def a45_any(spark, d):
+    """The exact interval of the share of toxic documents of each source; the SQL halves the range until the tails are even."""
+    i = tallies(spark, d).withColumn("i", intervals.binomial_interval("k", "n"))
+    return i.select("source", "k", "n", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
+@query("a46_any_rate", f"WITH RECURSIVE {_halved(TALLIES, 'source, k, n', '4 * k + 20', '(1 - ' + _POISSON.format('k') + ')', _POISSON.format('k + 1'))} SELECT source, k, round(CASE WHEN k = 0 THEN 0 ELSE low END / (n / 100.0::DOUBLE), 6) AS low, round(high / (n / 100.0::DOUBLE), 6) AS high FROM ends")
+def a46_any(spark, d):
+    """The exact interval of toxic documents a hundred of each source."""
+    i = tallies(spark, d).withColumn("i", intervals.poisson_interval("k", F.col("n") / F.lit(100.0)))
+    return i.select("source", "k", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
 STRESS = ["short", "junk", "contact"]
 
 
