@@ -112,12 +112,12 @@ def x04(spark, d):
 
 
 #: Rules of public suffixes with a wildcard and an exception, and ends that the pages' hosts are moved to, one meeting no rule.
-RULES = ["// a comment", "com", "net", "uk", "co.uk", "ck", "*.ck", "!www.ck", "kobe.jp", "*.kobe.jp", "!city.kobe.jp", "jp", "blog.uk"]
+SUFFIXES = ["// a comment", "com", "net", "uk", "co.uk", "ck", "*.ck", "!www.ck", "kobe.jp", "*.kobe.jp", "!city.kobe.jp", "jp", "blog.uk"]
 ENDS = ["co.uk", "b.ck", "www.ck", "city.kobe.jp", "x.kobe.jp", "blog.uk", "nowhere", "com"]
 MOVED = f"(SELECT page_id, regexp_replace({DOMAIN.format('url')}, '[.][a-z]+$', '') || '.' || {ENDS!r}[page_id % {len(ENDS)} + 1] AS host FROM pages)"
 
 
-@query("x04_suffix_rules", f"""WITH r AS (SELECT DISTINCT regexp_replace(rule, '^(\\*\\.|!)', '') AS key, CASE rule[1] WHEN '*' THEN 1 WHEN '!' THEN -1 ELSE 0 END AS extra FROM (SELECT unnest({RULES!r}) AS rule) WHERE rule[1:2] <> '//'),
+@query("x04_suffix_rules", f"""WITH r AS (SELECT DISTINCT regexp_replace(rule, '^(\\*\\.|!)', '') AS key, CASE rule[1] WHEN '*' THEN 1 WHEN '!' THEN -1 ELSE 0 END AS extra FROM (SELECT unnest({SUFFIXES!r}) AS rule) WHERE rule[1:2] <> '//'),
 h AS (SELECT page_id, host, string_split(host, '.') AS l FROM {MOVED}), e AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS depth, l FROM h),
 m AS (SELECT page_id, max(struct_pack(exception := extra = -1, suffix := depth + extra)) AS best FROM e JOIN r ON r.key = array_to_string(l[len(l) - depth + 1:], '.') WHERE depth + extra <= len(l) GROUP BY page_id)
 SELECT h.page_id, host, CASE WHEN best IS NULL THEN l[-1] WHEN best.suffix = len(l) THEN '.' || host ELSE array_to_string(l[len(l) - best.suffix:], '.') END AS registrable FROM h LEFT JOIN m USING (page_id)""")
@@ -125,7 +125,7 @@ def x04_rules(spark, d):
     """Registrable domains by a table of rules, the longest first, with wildcards and exceptions."""
     end = F.get(F.array(*map(F.lit, ENDS)), (F.col("page_id") % len(ENDS)).cast("int"))
     hosts = t(spark, d, "pages").select("page_id", F.concat_ws(".", F.regexp_replace(urls.domain(F.col("url")), "[.][a-z]+$", ""), end).alias("host"))
-    return urls.registrable_domains(hosts, "host", spark.createDataFrame([(r,) for r in RULES], "rule string"))
+    return urls.registrable_domains(hosts, "host", spark.createDataFrame([(r,) for r in SUFFIXES], "rule string"))
 
 
 @query("a17_corpus_stats", f"""WITH p AS (SELECT regexp_extract({host}, '\\.([A-Za-z]+)$', 1) AS tld, url, {key} AS k, {dom} AS dom, len(list_filter(string_split({path}, '/'), lambda x: x <> '')) AS depth FROM pages)
