@@ -78,19 +78,32 @@ def co_occurrences(found: DataFrame, near: int = 3) -> DataFrame:
     return pairs.select("chunk", F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")).distinct()
 
 
-def build(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (name, type, description, source_id) and undirected weighted edges (a, b, weight, source_id).
+def _in_parts(rows: DataFrame, by: list[str], value: str, per_part: int) -> DataFrame:
+    """by, part (from 0) and value: the distinct values of each group in order, per_part of them a part, joined by SEP."""
+    known = rows.select(*by, F.col(value).cast("string").alias(value)).filter(F.col(value).isNotNull()).distinct()
+    ranked = numbered(known, [value], "_rank", by)
+    return ranked.groupBy(*by, F.floor((F.col("_rank") - 1) / per_part).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(value)), SEP).alias(value))
+
+
+def build(entities: DataFrame, relations: DataFrame, per_part: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, part, type, description, source_id) and undirected weighted edges (a, b, part, weight, source_id).
 
     entities: name, type, description, source. A node takes its most frequent type, the first of
     equals; its distinct descriptions and sources are joined in order by SEP. relations: a, b,
-    weight, source.
+    weight, source. A popular name stands in a large share of all texts, so a node or edge comes in
+    parts of per_part descriptions and sources each (part, from 0), and no task holds more of it;
+    names, types and weights are those of the whole in every part.
     """
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), SEP)
     types = entities.groupBy("name", "type").agg(F.count("*").alias("n")).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "type"))["type"].alias("type"))
-    nodes = entities.groupBy("name").agg(joined("description").alias("description"), joined(F.col("source").cast("string")).alias("source_id")).join(types, "name")
+    described = _in_parts(entities, ["name"], "description", per_part).withColumnRenamed("part", "_part")
+    sourced = _in_parts(entities, ["name"], "source", per_part).withColumnRenamed("source", "source_id")
+    both = sourced.join(described.withColumnRenamed("name", "_name"), (F.col("name") == F.col("_name")) & (F.col("part") == F.col("_part")), "full")
+    both = both.select(F.coalesce("name", "_name").alias("name"), F.coalesce("part", "_part").alias("part"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("source_id", F.lit("")).alias("source_id"))
+    nodes = types.join(both, "name", "left").withColumns({"part": F.coalesce("part", F.lit(0).cast("long")), "description": F.coalesce("description", F.lit("")), "source_id": F.coalesce("source_id", F.lit(""))})
     pairs = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", "source")
-    edges = pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), joined(F.col("source").cast("string")).alias("source_id"))
-    return nodes.select("name", "type", "description", "source_id"), edges
+    weights = pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    edges = weights.join(_in_parts(pairs, ["a", "b"], "source", per_part), ["a", "b"], "left")
+    return nodes.select("name", "part", "type", "description", "source_id"), edges.select("a", "b", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "weight", F.coalesce("source", F.lit("")).alias("source_id"))
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -109,3 +109,13 @@ def test_report_rows_keep_the_budget(spark):
     placed = spark.createDataFrame([(k, 0, 0 if k < 3 else 1) for k in range(6)], "node long, level int, cluster long")
     got = [(r["cluster"], r["place"], r["kind"], r["name"]) for r in communities.report_rows(placed, nodes, edges, 15).orderBy("cluster", "place").collect()]
     assert got == [(0, 1, "node", "1"), (0, 2, "node", "2"), (0, 3, "node", "0"), (0, 4, "edge", "1 - 2"), (1, 1, "node", "3"), (1, 2, "node", "4"), (1, 3, "node", "5"), (1, 4, "edge", "3 - 4")]
+
+
+def test_hot_nodes_come_in_parts(spark):
+    entities = spark.createDataFrame([("THE", "x" if k % 3 else "y", f"d{k % 5}", k) for k in range(100, 125)] + [("ONE", "z", None, 7), ("ONE", "z", None, 7)], "name string, type string, description string, source long")
+    relations = spark.createDataFrame([("THE", "ONE", 1.0, k) for k in range(23)] + [("ONE", "THE", 2.0, 3)], "a string, b string, weight double, source long")
+    nodes, edges = graph.build(entities, relations, per_part=10)
+    got = {(r["name"], r["part"]): (r["type"], r["description"].split(graph.SEP), r["source_id"].split(graph.SEP)) for r in nodes.collect()}
+    assert got == {("THE", 0): ("x", [f"d{k}" for k in range(5)], [str(k) for k in range(100, 110)]), ("THE", 1): ("x", [""], [str(k) for k in range(110, 120)]), ("THE", 2): ("x", [""], [str(k) for k in range(120, 125)]), ("ONE", 0): ("z", [""], ["7"])}
+    parts = sorted((r["part"], r["weight"], len(r["source_id"].split(graph.SEP))) for r in edges.collect())
+    assert parts == [(0, 25.0, 10), (1, 25.0, 10), (2, 25.0, 3)]
