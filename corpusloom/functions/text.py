@@ -100,7 +100,7 @@ def hrefs(html: Column) -> Column:
     return F.transform(F.filter(F.transform(tags, value), lambda x: x != ""), lambda x: F.regexp_replace(x, r"""^["']|["']\z""", ""))
 
 
-#: Signals of a page that a bot check or a refusal stands in for.
+#: Signals of a page that a bot check or a refusal stands in for.
 CHALLENGES = ["checking your browser", "just a moment", "please wait", "403 error", "request blocked", "access denied", "enable javascript", "voight-kampff", "validation request", "user validation required", "captcha", "prove you are human"]
 
 

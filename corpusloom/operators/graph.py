@@ -80,9 +80,14 @@ def co_occurrences(found: DataFrame, near: int = 3) -> DataFrame:
 
 def _in_parts(rows: DataFrame, by: list[str], value: str, per_part: int) -> DataFrame:
     """by, part (from 0) and value: the distinct values of each group in order, per_part of them a part, joined by SEP."""
-    known = rows.select(*by, F.col(value).cast("string").alias(value)).filter(F.col(value).isNotNull()).distinct()
-    ranked = numbered(known, [value], "_rank", by)
-    return ranked.groupBy(*by, F.floor((F.col("_rank") - 1) / per_part).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(value)), SEP).alias(value))
+    known = written(rows.select(*by, F.col(value).cast("string").alias(value)).filter(F.col(value).isNotNull()).distinct(), "values")
+    # Few groups have more than a part; only their rows are numbered.
+    large = written(known.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_part).select(*by), "large")
+    named = F.broadcast(large) if large.count() <= MOST_NAMES else large
+    joined = F.array_join(F.array_sort(F.collect_list(value)), SEP).alias(value)
+    small = known.join(named, by, "left_anti").groupBy(*by).agg(joined).select(*by, F.lit(0).cast("long").alias("part"), value)
+    ranked = numbered(known.join(named, by, "left_semi"), [value], "_rank", by)
+    return small.union(ranked.groupBy(*by, F.floor((F.col("_rank") - 1) / per_part).alias("part")).agg(joined).select(*by, "part", value))
 
 
 def build(entities: DataFrame, relations: DataFrame, per_part: int = 1000) -> tuple[DataFrame, DataFrame]:

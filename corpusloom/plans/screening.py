@@ -315,6 +315,7 @@ def s21(spark, d):
     return readers.known_names(t(spark, d, "documents").select(F.concat("source", F.when(F.col("doc_id") % 2 == 0, " ").otherwise("")).alias("name")))
 
 
+#: Reasons for leaving an address out, by patterns in this order.
 REASONS = [("duplicate", "duplicate"), ("outside_city_or_region", "outside .*(city|region)|regional service"), ("archival_or_ended", "archival|explicitly ended|one-off"), ("inaccessible_or_directory_generic", "(?s)inaccessible.*directory, policy, campaign, commercial"), ("inaccessible_only", "inaccessible"), ("directory_policy_only", "directory|umbrella|policy|campaign")]
 
 
