@@ -63,9 +63,9 @@ NODES = f"(WITH m AS (SELECT chunk, name, coalesce(lang, 'none') AS type, source
 
 def built(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk"), F.coalesce("lang", F.lit("none")).alias("type"), F.col("source").alias("description"))
-    found = mentions(spark, d)
+    found = written(mentions(spark, d), "mentions")
     entities = found.join(docs, "chunk").select("name", "type", "description", F.col("chunk").alias("source"))
-    relations = graph.co_occurrences(found).select("a", "b", F.lit(1.0).alias("weight"), F.col("chunk").alias("source"))
+    relations = written(graph.co_occurrences(found).select("a", "b", F.lit(1.0).alias("weight"), F.col("chunk").alias("source")), "relations")
     return graph.build(entities, relations, SOURCES)
 
 
