@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph
+from corpusloom.operators.ordered import written
 
 #: Names of a question that are followed, and words that its texts and its relations may have.
 MOST_NAMES, TEXT_WORDS, RELATION_WORDS = 20, 1500, 200
@@ -38,15 +39,18 @@ def local_texts(asked: DataFrame, mentions: DataFrame, pairs: DataFrame, chunks:
     its neighbours stand too (related), then by chunk. A text counts once, for its first name, and
     texts are taken while their words keep the budget. As a text has a word at least, no name
     needs more than `budget` texts: a popular name's texts are cut to these before they meet
-    questions, by a ranking that each task begins on its own rows.
+    questions, by a ranking that each task begins on its own rows. The work is the pairs of names
+    of a text, so it grows with the texts as long as these are windows of a bounded size.
     """
     around = pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).union(pairs.select("b", "a")).filter("name <> other")
     held = mentions.select("chunk", "name").distinct()
     wanted = asked.select("name").distinct()
     near = around.join(wanted, "name", "left_semi")
-    of = held.join(wanted, "name", "left_semi")
-    both = of.join(near, "name").join(held.select("chunk", F.col("name").alias("other")), ["chunk", "other"])
-    related = of.join(both.groupBy("chunk", "name").agg(F.count("*").alias("related")), ["chunk", "name"], "left").withColumn("related", F.coalesce("related", F.lit(0).cast("long")))
+    of = written(held.join(wanted, "name", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "mentions-asked-for")
+    # A name meets the names of its own text, which are few, before its neighbours, which may be most names.
+    beside = of.join(held.select("chunk", F.col("name").alias("other")), "chunk").select("_row", "name", "other")
+    both = beside.join(near, ["name", "other"]).groupBy("_row").agg(F.count("*").alias("related"))
+    related = of.join(both, "_row", "left").select("chunk", "name", F.coalesce("related", F.lit(0).cast("long")).alias("related"))
     best = Window.partitionBy("name").orderBy(F.desc("related"), "chunk")
     first = related.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= budget).drop("rn")
     rank = F.struct(F.col("place").alias("of"), (-F.col("related")).alias("less"), "chunk", "name")
