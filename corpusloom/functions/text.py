@@ -47,10 +47,15 @@ def word_count(text: Column) -> Column:
 
 def language_hint(text: Column, lists: dict[str, list[str]]) -> Column:
     """The language with the most of its function words among the text's words; ties, and texts without any, go to the first listed."""
-    present = F.array_distinct(words(text))
-    scores = {k: F.size(F.array_intersect(present, F.array(*map(F.lit, v)))) for k, v in lists.items()}
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    return first_match([(k, s == top) for k, s in scores.items()], next(iter(lists)))
+    listed = F.array(*map(F.lit, sorted({w for v in lists.values() for w in v})))
+
+    def best(present: Column) -> Column:
+        scores = {k: F.size(F.array_intersect(present, F.array(*map(F.lit, v)))) for k, v in lists.items()}
+        top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+        return first_match([(k, s == top) for k, s in scores.items()], next(iter(lists)))
+
+    # A lambda's variable holds the text's listed words, else each score would split the text again.
+    return F.transform(F.array(F.array_intersect(words(text), listed)), best)[0]
 
 
 #: A number as written: thousands by comma, decimals, a percent sign; no word goes on before or after it.

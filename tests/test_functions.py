@@ -102,3 +102,11 @@ def test_registrable_domains_by_rules(spark):
     assert sorted(got, key=str) == sorted([*wanted.items(), ("a.b.example.com", "example.com"), (None, None)], key=str)
     assert sorted(urls.registrable_domains(df, "host", rules, most_sent=0).select("host", "registrable").collect(), key=str) == sorted(urls.registrable_domains(df, "host", rules).select("host", "registrable").collect(), key=str)
 
+
+
+def test_language_hint_splits_a_text_once(spark):
+    lists = {"en": ["the", "of"], "fr": ["le", "de"], "nl": ["de", "het"]}
+    rows = ["The end of the day", "le jour, DE la nuit", "het de", "de", None, "", "x " * 1000 + "HET"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k long, t string").select("k", text.language_hint(F.col("t"), lists).alias("h"))
+    assert [r["h"] for r in df.orderBy("k").collect()] == ["en", "fr", "nl", "fr", "en", "en", "nl"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
