@@ -119,3 +119,27 @@ def test_hot_nodes_come_in_parts(spark):
     assert got == {("THE", 0): ("x", [f"d{k}" for k in range(5)], [str(k) for k in range(100, 110)]), ("THE", 1): ("x", [""], [str(k) for k in range(110, 120)]), ("THE", 2): ("x", [""], [str(k) for k in range(120, 125)]), ("ONE", 0): ("z", [""], ["7"])}
     parts = sorted((r["part"], r["weight"], len(r["source_id"].split(graph.SEP))) for r in edges.collect())
     assert parts == [(0, 25.0, 10), (1, 25.0, 10), (2, 25.0, 3)]
+
+
+def test_names_close_by_are_found_in_one_shuffle(spark):
+    r = random.Random(5)
+    rows = [(c, p + (p > 6) * 2, r.choice("ABCDEFGH")) for c in range(40) for p in range(r.randint(0, 12))] + [(1, 3, "A"), (1, 3, "Z")]
+    found = spark.createDataFrame(rows, "chunk long, pos int, name string")
+    wanted = {(c, min(x, y), max(x, y)) for c, p, x in rows for d, q, y in rows if c == d and 1 <= p - q <= 3 and x != y}
+    pairs = graph.co_occurrences(found)
+    assert pairs._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    got = [tuple(x) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+@pytest.mark.parametrize("large", [0, 10, 50_000])
+def test_parts_are_alike_by_either_way(spark, monkeypatch, large):
+    monkeypatch.setattr(graph, "LARGE_GROUP", large)
+    r = random.Random(9)
+    rows = [(r.choice(["A", "A", "A", "B", f"C{r.randint(0, 30)}"]), r.randint(0, 60)) for _ in range(400)] + [("A", None), ("N", None)]
+    got = graph._in_parts(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", 7).collect()
+    wanted = {}
+    for k in {k for k, _ in rows}:
+        values = sorted({str(v) for n, v in rows if n == k and v is not None})
+        wanted |= {(k, at // 7): graph.SEP.join(values[at : at + 7]) for at in range(0, len(values), 7)}
+    assert {(x["k"], x["part"]): x["v"] for x in got} == wanted and len(got) == len(wanted)
