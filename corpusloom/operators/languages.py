@@ -1,4 +1,4 @@
-"""The language of texts by character trigrams: profiles counted in Spark, scores summed by joins with a bounded table (DataFrame functions only)."""
+"""The language of texts by character trigrams: profiles counted in Spark, scores summed by a join with a bounded table (DataFrame functions only)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from corpusloom.operators.ordered import written
 
 #: Trigrams a language's profile keeps, its most frequent; languages at most; units of a score to one of a natural logarithm.
 PROFILE, MOST_LANGUAGES, UNITS = 2000, 256, 1000
-#: Words with scores up to this number are sent to all tasks; more are joined.
-MOST_SENT_WORDS = 200_000
 UNKNOWN = "unknown"
 
 
@@ -35,6 +33,7 @@ def profiles(labelled: DataFrame, text: str = "text", language: str = "lang", mo
     """
     words = labelled.filter(F.col(language).isNotNull()).select(F.col(language).alias("lang"), _words(F.col(text)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = words.select("lang", "n", _trigrams(F.col("word")).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "trigrams")
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= most)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     if totals.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
@@ -61,14 +60,10 @@ def detect(texts: DataFrame, table: DataFrame, key: str, text: str = "text", rea
     if not languages:
         return answers.select(key, F.lit(UNKNOWN).alias("language"), F.lit(None).cast("long").alias("margin"))
     wide = table.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("score"))).alias(f"s{k}") for k, x in enumerate(languages)])
-    found = written(rows.filter("_reachable").select(key, _words(F.col("_text")).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times")), "text-words")
-    # A word's trigrams are looked up once, however many texts hold it.
+    # The table of trigrams is bounded, so a text's trigrams are looked up where the text lies, and one row of it moves.
     scores = range(len(languages))
-    words = found.select("word").distinct().select("word", _trigrams(F.col("word")).alias("gram")).join(F.broadcast(wide), "gram")
-    words = written(words.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in scores]), "word-scores")
-    known = F.broadcast(words) if words.count() <= MOST_SENT_WORDS else words
-    times = lambda c: F.sum(F.col("times") * F.col(c)).alias(c)
-    sums = found.join(known, "word").groupBy(key).agg(times("n"), *[times(f"s{k}") for k in scores])
+    grams = rows.filter("_reachable").select(key, _words(F.col("_text")).alias("_word")).select(key, _trigrams(F.col("_word")).alias("_gram"))
+    sums = grams.join(F.broadcast(wide), F.col("_gram") == F.col("gram")).groupBy(key).agg(F.count("*").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in scores])
     order = F.array_sort(F.array(*[F.struct((-F.col(f"s{k}")).alias("less"), F.lit(x).alias("lang")) for k, x in enumerate(languages)]))
     best = sums.select(key, "n", order.alias("o")).select(F.col(key), F.col("o")[0]["lang"].alias("language"), F.floor((F.get("o", F.lit(1))["less"] - F.col("o")[0]["less"]) / F.col("n")).alias("margin"))
     return answers.join(best, key, "left").select(key, F.coalesce("language", F.lit(UNKNOWN)).alias("language"), "margin")

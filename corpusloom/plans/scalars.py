@@ -130,10 +130,11 @@ LEARNT = "(SELECT lang, text FROM documents WHERE doc_id % 5 <> 0)"
 REACHED = "(SELECT doc_id AS key, CASE WHEN doc_id % 17 <> 0 THEN text END AS text FROM documents)"
 
 
-def detected(spark, d):
+def detected(spark, d, of="true"):
+    """The language of the documents that `of` holds for, by profiles of four fifths of all documents."""
     docs = t(spark, d, "documents")
     table = written(languages.profiles(docs.filter("doc_id % 5 <> 0")), "profiles")
-    return languages.detect(docs, table, "doc_id", reachable=F.col("doc_id") % 17 != 0)
+    return languages.detect(docs.filter(of), table, "doc_id", reachable=F.col("doc_id") % 17 != 0)
 
 
 @query("x51_language_profiles", f"WITH {languages.sql(LEARNT, REACHED)} SELECT key AS doc_id, language, margin FROM detected")
@@ -144,5 +145,5 @@ def x51_profiles(spark, d):
 
 @query("x51_held_out_agreement", f"WITH {languages.sql(LEARNT, REACHED)} SELECT coalesce(lang, 'none') AS lang, count(*) AS n, count_if(language = lang)::BIGINT AS agreed, count_if(language = 'unknown')::BIGINT AS unknown FROM detected JOIN documents ON doc_id = key WHERE doc_id % 5 = 0 GROUP BY 1")
 def x51_agreement(spark, d):
-    held = t(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(detected(spark, d), "doc_id")
+    held = t(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", "lang").join(detected(spark, d, "doc_id % 5 = 0"), "doc_id")
     return held.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("agreed"), F.count_if(F.col("language") == languages.UNKNOWN).alias("unknown"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import languages
+from corpusloom.plans import scalars
 
 LABELLED = [("en", "The cat sat on the mat, and the dog was there too."), ("en", "this thing that"), ("fr", "Le chat était là avec le chien, et la nuit"), ("de", "Der Hund und die Katze, über alles"), (None, "nothing to learn from"), ("de", None)]
 
@@ -57,3 +58,19 @@ def test_agreement_on_held_out_documents(spark):
     found = languages.detect(docs, table, "doc_id").join(docs.filter("doc_id % 5 = 0 AND lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang"), "doc_id")
     n, right = found.count(), found.filter("language = lang").count()
     assert n > 100 and right / n > 0.95
+
+
+def test_no_words_of_texts_are_written_and_one_row_a_text_moves(spark, monkeypatch):
+    table = languages.profiles(spark.createDataFrame(LABELLED, "lang string, text string"))
+    df = spark.createDataFrame([(k, "the cat and la nuit " * 50) for k in range(20)], "id long, text string").coalesce(1)
+    monkeypatch.delattr(languages, "written")
+    found = languages.detect(df, table, "id").collect()
+    assert len(found) == 20 and len({(r["language"], r["margin"]) for r in found}) == 1
+
+
+def test_agreement_detects_held_out_documents_only(spark, monkeypatch):
+    asked = []
+    detect = languages.detect
+    monkeypatch.setattr(scalars.languages, "detect", lambda texts, *a, **k: asked.append(texts) or detect(texts, *a, **k))
+    rows = scalars.x51_agreement(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["n"] for r in rows) == asked[0].count() and asked[0].filter("doc_id % 5 <> 0").count() == 0
