@@ -4,33 +4,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ordered import discard, numbered, written
+from corpusloom.operators.ordered import bucketed, discard, numbered, written
 
 #: Rounds of moves a level at most, and levels.
 ROUNDS, LEVELS = 8, 2
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """(v, u, w) of the edges (a, b, w) in both directions; a self loop comes twice, as it counts twice in a strength."""
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "w").union(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "w"))
+#: Rows of neighbours in a bucket, at most about; small graphs have two buckets a core, of this many at least.
+MOST_ROWS, LEAST_ROWS = 1_500_000, 50_000
 
 
-def _moved(near: DataFrame, nodes: DataFrame, total: float, turn: int) -> DataFrame:
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Buckets of a graph's neighbours, and tasks that nodes are dealt to: few enough that what moves between any two is worth a block."""
+    return max(1, -(-rows // MOST_ROWS), min(2 * spark.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+
+
+def _neighbours(edges: DataFrame, parts: int) -> DataFrame:
+    """(v, u, w) of the edges (a, b, w), each pair once, in both directions and without self loops: a written table in buckets of u.
+
+    So a round brings the nodes to the neighbours that they are, and the neighbours stay where they lie.
+    """
+    apart = edges.filter("a <> b")
+    near = apart.select(F.col("a").alias("v"), F.col("b").alias("u"), "w").union(apart.select(F.col("b").alias("v"), F.col("a").alias("u"), "w"))
+    return bucketed(near, "u", parts, "neighbours")
+
+
+def _moved(near: DataFrame, nodes: DataFrame, total: float, turn: int, parts: int) -> DataFrame:
     """nodes (v, k, c) after one round: half of them may join the community that raises modularity most.
 
     near: (v, u, w), without self loops. Which half is a bit of the node's number, another one
     each round, so most neighbours don't move at once; a node alone in its community joins
     another such node only if that one's number is less, so that two don't change places.
-    Of equal gains the least community wins, and staying wins over moving.
+    Of equal gains the least community wins, and staying wins over moving. A neighbour's row moves
+    once, to the node that may move, and bears what is known of its community.
     """
-    tied = near.join(nodes.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("w").alias("w"))
     sums = nodes.groupBy("c").agg(F.sum("k").alias("all"), F.count("*").alias("size"))
-    own = nodes.join(sums, "c").select("v", "k", F.col("c").alias("own"), F.col("all").alias("own_all"), F.col("size").alias("own_size"))
+    state = nodes.join(sums, "c")
+    own = state.select("v", "k", F.col("c").alias("own"), F.col("all").alias("own_all"), F.col("size").alias("own_size"))
     may = F.expr(f"shiftright(v, {turn // 2 % 16}) % 2 = {turn % 2}")
-    offers = tied.join(own.filter(may), "v").join(sums, "c")
+    # A bucket's nodes, and a task's, are a small table in memory: no side is sorted.
+    around = near.filter(may).join(state.select(F.col("v").alias("u"), "c", "all", "size").hint("shuffle_hash"), "u").select("v", "c", "w", "all", "size")
+    tied = around.repartition(parts, "v").groupBy("v", "c").agg(F.sum("w").alias("w"), F.max("all").alias("all"), F.max("size").alias("size"))
+    offers = tied.join(own.filter(may).hint("shuffle_hash"), "v")
     here = F.col("c") == F.col("own")
     swaps = ~here & (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("c") > F.col("own"))
     # The gain in modularity against standing alone, times the square of all weight.
@@ -42,18 +60,25 @@ def _moved(near: DataFrame, nodes: DataFrame, total: float, turn: int) -> DataFr
 
 
 def _level(edges: DataFrame, rounds: int) -> DataFrame:
-    """(v, c) of the nodes of edges (a, b, w), a written table: communities bear the number of one of their first members."""
-    around = _both_ways(edges)
-    nodes = written(around.groupBy("v").agg(F.sum("w").alias("k")).withColumn("c", F.col("v")), "communities")
+    """(v, c) of the nodes of edges (a, b, w), a written table with each pair once: communities bear the number of one of their first members."""
+    parts = _parts(edges.sparkSession, 2 * edges.count())
+    near = _neighbours(edges, parts)
+    # A self loop counts twice in a strength.
+    ends = near.select(F.col("u").alias("v"), "w").union(edges.filter("a = b").select("a", 2 * F.col("w")))
+    nodes = written(ends.groupBy("v").agg(F.sum("w").alias("k")).withColumn("c", F.col("v")), "communities")
     total = nodes.agg(F.sum("k")).first()[0]
-    near = written(around.filter("v <> u").groupBy("v", "u").agg(F.sum("w").alias("w")), "neighbours")
     for turn in range(rounds):
-        last, nodes = nodes, written(_moved(near, nodes, total, turn), "communities")
+        last, nodes = nodes, written(_moved(near, nodes, total, turn, parts), "communities")
         discard(last)
     discard(near)
     return nodes
 
 
+def node_ids(nodes: DataFrame) -> DataFrame:
+    """node and v, its number from 1 in the nodes' order, of nodes (node), a written table."""
+    return written(numbered(nodes.select("node").distinct(), ["node"], "v"), "node-ids")
+
+
 def communities(nodes: DataFrame, edges: DataFrame, weight: str = "weight", levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
     """node, level (0 the coarsest) and cluster of every node of nodes (node) under the undirected edges (a, b, weight).
 
@@ -64,10 +89,19 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str = "weight", leve
     whose weight isn't positive, or whose ends aren't nodes, are left out; repeated edges add up.
     A round is an equi-join and sums by key on written tables; no task holds a community.
     """
-    ids = written(numbered(nodes.select("node").distinct(), ["node"], "v"), "node-ids")
+    ids = node_ids(nodes)
     at = lambda c, v: ids.select(F.col("node").alias(c), F.col("v").alias(v))
     pairs = edges.filter(F.col(weight) > 0).select("a", "b", F.col(weight).cast("double").alias("w")).join(at("a", "x"), "a").join(at("b", "y"), "b")
     now = written(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "graph")
+    return numbered_communities(ids, now, levels, rounds).select("node", "level", "cluster")
+
+
+def numbered_communities(ids: DataFrame, now: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
+    """node, v, level and cluster, as communities gives them, of the nodes ids (node, v) under the edges now (a, b, w).
+
+    Edges hold the nodes' numbers, a <= b, each pair once, with a positive weight; both are written tables.
+    """
+    given = now
     placed, found = ids, []
     for k in range(levels):
         level = _level(now, rounds)
@@ -79,12 +113,12 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str = "weight", leve
         c = lambda end, to: level.select(F.col("v").alias(end), F.col("c").alias(to))
         merged = now.join(c("a", "x"), "a").join(c("b", "y"), "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         merged = written(merged, "graph")
-        discard(now, level)
+        discard(level, *([] if now is given else [now]))
         now = merged
-    rows = reduce(DataFrame.union, [placed.select("node", F.lit(levels - 1 - k).alias("level"), F.col(name).alias("c")) for k, name in enumerate(found)])
+    rows = reduce(DataFrame.union, [placed.select("node", "v", F.lit(levels - 1 - k).alias("level"), F.col(name).alias("c")) for k, name in enumerate(found)])
     sizes = rows.groupBy("level", "c").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     ranked = numbered(sizes, ["level", F.desc("n"), "least"], "rank")
-    return rows.join(ranked, ["level", "c"]).select("node", "level", (F.col("rank") - 1).alias("cluster"))
+    return rows.join(ranked, ["level", "c"]).select("node", "v", "level", (F.col("rank") - 1).alias("cluster"))
 
 
 def modularity(edges: DataFrame, placed: DataFrame, weight: str = "weight") -> DataFrame:

@@ -1,9 +1,11 @@
 """Communities against the same rules in plain Python, and their modularity."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import communities, graph
 
@@ -84,6 +86,40 @@ def test_communities_equal_plain_python(spark, seed):
     assert len(got) == 2 * len(set(nodes))
 
 
+@pytest.mark.parametrize("rows", [20])
+def test_communities_of_many_buckets_equal_plain_python(spark, monkeypatch, rows):
+    monkeypatch.setattr(communities, "MOST_ROWS", rows)
+    names, edges = knots(random.Random(3), 4, 6, 0.7, 0.05)
+    edges += [(names[0], b, 1.0) for b in names[1:]] + [(names[2], names[2], 3.0)]
+    got = communities.communities(spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(edges, EDGES)).collect()
+    assert {tuple(x) for x in got} == slow_communities(set(names), edges) and len(got) == 2 * len(names)
+
+
+def test_a_round_moves_neighbours_once(spark, monkeypatch):
+    monkeypatch.setattr(communities, "MOST_ROWS", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(k, k % 7 + 100, 1.0) for k in range(60)], "a long, b long, w double")
+        near = communities._neighbours(edges, 5)
+        nodes = spark.range(200).select(F.col("id").alias("v"), F.lit(1.0).alias("k"), F.col("id").alias("c"))
+        plan = communities._moved(near, nodes, 120.0, 0, 5)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+        deep = lambda x: len(re.match(r"[\s:|+-]*", x).group())
+        depth, above = deep(lines[scan]), []
+        for x in reversed(lines[:scan]):
+            if deep(x) < depth:
+                depth = deep(x)
+                above.append(x)
+        # What stands over the neighbours: one shuffle to the nodes that may move; sums by node have none.
+        assert sum("Exchange hashpartitioning" in x for x in above) == 1
+        communities.discard(near)
+        assert near._called not in [x.name for x in spark.catalog.listTables()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_knots_are_found_and_modularity_is_that_of_components_or_more(spark):
     names, edges = knots(random.Random(7), 6, 10, 0.8, 0.01)
     nodes, links = spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(edges, EDGES)
@@ -132,6 +168,17 @@ def test_names_close_by_are_found_in_one_shuffle(spark):
     assert len(got) == len(set(got)) and set(got) == wanted
 
 
+def test_pairs_of_lists_are_those_of_places_without_a_shuffle(spark):
+    r = random.Random(8)
+    rows = [(c, r.sample("ABCDEFGHIJ", r.randint(0, 9))) for c in range(30)] + [(99, None)]
+    lists = spark.createDataFrame(rows, "chunk long, names array<string>")
+    pairs = graph.pairs_in_lists(lists, "names")
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in pairs.collect()]
+    wanted = {tuple(x) for x in graph.co_occurrences(lists.select("chunk", F.posexplode("names").alias("pos", "name"))).collect()}
+    assert wanted and len(got) == len(set(got)) and set(got) == wanted
+
+
 @pytest.mark.parametrize("large", [0, 10, 50_000])
 def test_parts_are_alike_by_either_way(spark, monkeypatch, large):
     monkeypatch.setattr(graph, "LARGE_GROUP", large)
