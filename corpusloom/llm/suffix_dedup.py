@@ -336,6 +336,6 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and the text that is left; a character of which only some bytes stay shows as U+FFFD there."""
+    """The contract's columns, and as text what is left, as a table of documents names it; a character of which only some bytes stay shows as U+FFFD there."""
     found = repeated_bytes(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

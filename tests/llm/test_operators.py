@@ -53,6 +53,15 @@ def test_suffix_dedup_equals_brute_force(spark, length):
     assert sorted((tuple(r)[:5] for r in got), key=str) == removed(edge_rows(), length)
 
 
+def test_op1_gives_what_is_left_as_text(spark, tmp_path):
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [(1, f"one {passage} end"), (2, f"two {passage}"), (3, "alone"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {k: r["text"].split() for k, r in got.items()} == {1: ["one", "end"], 2: ["two"], 3: ["alone"], 4: []}
+    assert all(r["n_bytes"] - r["n_removed"] == len(r["text"]) for r in got.values())
+
+
 def test_suffix_dedup_tiles_agree(monkeypatch):
     text = [bytes(random.Random(5).choices(b"abcd", k=9000))]
     whole = sorted(map(tuple, np.concatenate([p for _, p in suffix_dedup.document_anchors(text, 400, 160)]).tolist()))
