@@ -11,6 +11,11 @@ it without one sorted array; a round is a count by identifier. A bucket of one s
 dropped, and suffixes alike as far as `length` reaches need no more rounds, but for one that
 stays as witness for others. Strings with one identifier count as equal; their bytes are not
 compared (at 10 ** 14 strings, some 1 in 10 ** 10 that any two identifiers meet by chance).
+
+Passages of over 50 words may be shorter than `length` and are then never removed. They are
+counted beside it by winnowing: the least 20-word string (by hash) of each 51 words is a
+fingerprint of its document, so documents that share 51 words share a fingerprint, and those
+that share no 20 words share none.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ LENGTH = 400
 FAN = 7
 #: Bytes whose grams are held at once; longer documents are read in tiles with a margin.
 TILE = 1 << 20
+#: Words of a string that fingerprints a document, and of a passage that is sure to hold one.
+GRAM_WORDS, PASSAGE_WORDS = 20, 51
 #: Bits of an offset in a node's number.
 BITS = 10
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -134,6 +141,83 @@ def document_anchors(texts: list[bytes], length: int, q: int):
             yield first + d, p[own] - starts[d]
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _A[4]
+    return x ^ (x >> np.uint64(32))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of data."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = _SPACE[raw]
+    first = ~space
+    first[1:] &= space[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    # The sum over a word's bytes of their number times a power by place; white space counts as 0.
+    reach = np.diff(starts, append=len(raw))
+    power = np.full(int(reach.max()), _A[0])
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    number = np.where(space, np.uint64(0), raw.astype(np.uint64) + np.uint64(1))[starts[0] :]
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, reach)
+    return starts, _mixed(np.add.reduceat(number * power[place], starts - starts[0]))
+
+
+def _winnowed(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and fingerprints, each once a document: the least hash of GRAM_WORDS words in each PASSAGE_WORDS of one document."""
+    if len(words) < PASSAGE_WORDS:
+        return doc[:0], words[:0]
+    have, h = 1, words
+    while have < GRAM_WORDS:
+        step = min(have, GRAM_WORDS - have)
+        h = _mixed(h[: len(h) - step] * _A[have % 4] + h[step:])
+        have += step
+    width = PASSAGE_WORDS - GRAM_WORDS + 1
+    least = np.where(doc[PASSAGE_WORDS - 1 :] == doc[: len(doc) - PASSAGE_WORDS + 1], _sliding(h, width, np.minimum), np.uint64(0))
+    none = np.zeros(width - 1, dtype=np.uint64)
+    spots = np.flatnonzero((h == _sliding(np.concatenate([none, least, none]), width, np.maximum)) & (h != 0))
+    d, h = doc[spots], h[spots]
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    return d[new], h[new]
+
+
+def passage_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of passages: numbers of texts and 64-bit hashes."""
+    docs, prints, k = [], [], 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) <= TILE):
+            size += len(texts[k]) + 1
+            k += 1
+        if size <= TILE:
+            starts, words = _word_hashes(b" ".join(texts[first:k]))
+            doc = first + np.searchsorted(np.cumsum([len(t) + 1 for t in texts[first:k]]), starts, side="right")
+        else:
+            # One long text, cut at white space.
+            parts, at, text = [], 0, texts[first]
+            while at < len(text):
+                end = at + TILE
+                while end < len(text) and not _SPACE[text[end]]:
+                    end += 1
+                parts.append(_word_hashes(text[at:end])[1])
+                at = end
+            words = np.concatenate(parts)
+            doc = np.full(len(words), first)
+        d, h = _winnowed(words, doc)
+        docs.append(d)
+        prints.append(h)
+    return (np.concatenate(docs), np.concatenate(prints)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 #: A node is an anchor and a range of offsets of strings before it: anchor, first offset of its
 #: place in the grid, first and last offset of its own strings, packed into one number; u: the
 #: identifier of all that its own strings cover, c: of its bucket, what all strings there share.
@@ -206,11 +290,13 @@ def _refine(nodes: DataFrame, last: bool, length: int, at: str) -> tuple[DataFra
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
+    """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and n_passages.
 
     A byte of a text in UTF-8 is removed if a string of `length` bytes that covers it also
     starts anywhere else in the table, in the same document or another; strings never cross
-    documents. Null texts count as empty. Rows that repeat a doc_id and text are documents of
+    documents. n_passages is the number of fingerprints of its passages (see above) that another
+    row has too: over 0 for a text that shares 51 words in a row, whatever their bytes, and 0 for
+    one that shares no 20 words; nothing is removed by it. Null texts count as empty. Rows that repeat a doc_id and text are documents of
     their own and so repeat each other. Extra columns are ignored; an empty table gives no rows.
     """
     import xxhash  # noqa: F401  (fails here rather than on an executor)
@@ -235,6 +321,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rids = np.arange(rid, rid + m)
                 rid += m
                 yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(rids), *(none(m, pa.int64()) for _ in range(5)), part.column("doc_id"), pa.array([pack(t) for t in texts], pa.binary())], names)
+                d, prints = passage_prints(texts)
+                m = len(d)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.array([2] * m, pa.int32()), pa.array(rids[d]), none(m, pa.int64()), pa.array(prints.view(np.int64)), *(none(m, pa.int64()) for _ in range(4)), none(m, pa.binary())], names)
                 owner, rows, digests = [], [], []
                 for d, found in document_anchors(texts, length, q):
                     # The initial bucket: the q-gram at the anchor, what the strings at all offsets share.
@@ -248,6 +338,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"kind int, {NODE}, doc_id bigint, packed binary")
     scanned = save(scanned, f"{base}-scan", "kind")
     rows = scanned.filter("kind = 0").select("rid", "doc_id", "packed")
+    prints = scanned.filter("kind = 2").select("rid", F.col("u0").alias("print"))
+    common = save(prints.groupBy("print").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a < b").select("print"), f"{base}-common")
+    passages = save(prints.join(common, "print").groupBy("rid").agg(F.count("*").alias("n_passages")), f"{base}-passages")
+    for p in ("scan/kind=2", "common"):
+        remove(spark, f"{base}-{p}")
+    free(spark)
     grams = scanned.filter("kind = 1").select(*names[1:7])
     met = save(grams.groupBy("c0", "c1").agg(F.count("*").alias("n")).filter("n > 1").select("c0", "c1"), f"{base}-met")
     nodes = save(grams.join(met, ["c0", "c1"]).select(*names[1:7], F.lit(False).alias("witness")), f"{base}-nodes0")
@@ -297,8 +393,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = marks[0]
     for m in marks[1:]:
         every = every.union(m)
-    spans = save(every.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{base}-spans")
-    for p in ("texts", *(f"{k}-marks" for k in range(len(marks)))):
+    spans = every.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = save(spans.join(passages, "rid", "full_outer"), f"{base}-spans")
+    for p in ("texts", "passages", *(f"{k}-marks" for k in range(len(marks)))):
         remove(spark, f"{base}-{p}")
     free(spark)
 
@@ -307,10 +404,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
         for batch in batches:
             out, size = [], 0
-            for doc, raw, own in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for doc, raw, own, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "spans", "n_passages")), strict=True):
                 kept, removed, runs, at, text = [], 0, 0, 0, unpack(raw)
                 for s, e in sorted((x["start"], x["end"]) for x in own or ()):
                     if s > at or not runs:
@@ -320,7 +417,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if e > at:
                         removed, at = removed + e - at, e
                 kept = b"".join(kept) + text[at:]
-                out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept, shared or 0))
                 size += len(kept)
                 if size > BYTES_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
@@ -328,14 +425,17 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
 
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages"]
     touched = spans.select(F.col("rid").alias("row"))
-    cut = by_number(rows, "rid", touched, True).join(spans, "rid").select("doc_id", "packed", "spans")
-    whole = by_number(rows, "rid", touched, False).select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return cut.unionByName(whole).mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = by_number(rows, "rid", touched, True).join(spans, "rid").select("doc_id", "packed", "spans", "n_passages")
+    whole = by_number(rows, "rid", touched, False).select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("n_passages"))
+    return cut.unionByName(whole).mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, n_passages bigint")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and as text what is left, as a table of documents names it; a character of which only some bytes stay shows as U+FFFD there."""
+    """The contract's columns, and as text what is left, as a table of documents names it; a character of which only some bytes stay shows as U+FFFD there.
+
+    n_passages counts what a text shares with others by words, also below 400 bytes.
+    """
     found = repeated_bytes(table(spark, sf_dir, "documents"))
     return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

@@ -62,6 +62,56 @@ def test_op1_gives_what_is_left_as_text(spark, tmp_path):
     assert all(r["n_bytes"] - r["n_removed"] == len(r["text"]) for r in got.values())
 
 
+def test_op1_counts_shared_passages_below_400_bytes(spark, tmp_path):
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}"[:5] for _ in range(n)]
+    passage, short = words(51), words(19)
+    own = words(400)
+    rows = [
+        (1, " ".join([*words(90), *passage, *words(70)])),
+        (2, " ".join([*words(13), *passage[:30]]) + "\n \t" + " ".join(passage[30:])),
+        (3, " ".join([*words(80), *short, *words(80)])),
+        (4, " ".join([*words(60), *short, *words(60)])),
+        (5, " ".join([*own, *own])),
+        (6, " ".join(passage[:50])),
+        (7, None),
+        (8, " \n"),
+    ]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(" ".join(passage).encode()) < 400
+    assert {k for k, r in got.items() if r["n_passages"] > 0} == {1, 2}
+    assert {k for k, r in got.items() if r["n_removed"] > 0} == {5}
+
+
+def test_passage_prints_equal_brute_force_and_tiles_agree(monkeypatch):
+    r = random.Random(12)
+    spaced = lambda n: "".join(r.choice(["a", "bc", "dé", "e"]) + r.choice([" ", "\n", " \t "]) for _ in range(n))
+    passages = [spaced(r.randint(45, 60)) for _ in range(8)]
+    texts = [(spaced(r.randint(0, 120)) + r.choice(["", *passages]) + spaced(r.randint(0, 120))).encode() for _ in range(60)]
+
+    def prints():
+        d, h = suffix_dedup.passage_prints(texts)
+        return sorted(zip(d.tolist(), h.tolist(), strict=True))
+
+    whole = prints()
+    by_text = collections.defaultdict(set)
+    for d, h in whole:
+        by_text[d].add(h)
+    windows = [{tuple(w[k : k + 51]) for k in range(len(w) - 50)} for w in (t.split() for t in texts)]
+    grams = [{tuple(w[k : k + 20]) for k in range(len(w) - 19)} for w in (t.split() for t in texts)]
+    assert sum(bool(windows[a] & windows[b]) for a in range(len(texts)) for b in range(a)) > 20
+    for a in range(len(texts)):
+        assert bool(by_text[a]) == bool(windows[a])
+        for b in range(a):
+            if windows[a] & windows[b]:
+                assert by_text[a] & by_text[b]
+            if not grams[a] & grams[b]:
+                assert not by_text[a] & by_text[b]
+    monkeypatch.setattr(suffix_dedup, "TILE", 100)
+    assert prints() == whole
+
+
 def test_suffix_dedup_tiles_agree(monkeypatch):
     text = [bytes(random.Random(5).choices(b"abcd", k=9000))]
     whole = sorted(map(tuple, np.concatenate([p for _, p in suffix_dedup.document_anchors(text, 400, 160)]).tolist()))
