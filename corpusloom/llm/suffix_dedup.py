@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -143,6 +144,15 @@ def document_anchors(texts: list[bytes], length: int, q: int):
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NUMBER = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    steps = np.ones((2, n), dtype=np.uint64)
+    steps[0, 1:], steps[1, 1:] = _A[0], pow(int(_A[0]), -1, 1 << 64)
+    return tuple(np.cumprod(steps, axis=1, dtype=np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -160,13 +170,9 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, np.zeros(0, dtype=np.uint64)
     # The sum over a word's bytes of their number times a power by place; white space counts as 0.
-    reach = np.diff(starts, append=len(raw))
-    power = np.full(int(reach.max()), _A[0])
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    number = np.where(space, np.uint64(0), raw.astype(np.uint64) + np.uint64(1))[starts[0] :]
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, reach)
-    return starts, _mixed(np.add.reduceat(number * power[place], starts - starts[0]))
+    power, inverse = _powers(max(TILE + 1, len(raw)))
+    sums = np.add.reduceat(_NUMBER[raw] * power[: len(raw)], starts)
+    return starts, _mixed(sums * inverse[starts])
 
 
 def _winnowed(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
